@@ -1,0 +1,32 @@
+"""Plan checks used by the tests: what a good physical plan must (not) contain."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def physical_plan(df: DataFrame) -> str:
+    """Formatted physical plan text (no execution)."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def formatted_plan(df: DataFrame) -> str:
+    return df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+
+
+PYTHON_OPERATORS = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
+
+
+def plan_problems(df: DataFrame) -> list[str]:
+    """Things that would not scale: Python evaluation, cartesian products, or a
+    ``Window`` with no partition key (all rows in one task)."""
+    plan = formatted_plan(df)
+    problems = [op for op in PYTHON_OPERATORS if op in plan]
+    if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+        problems.append("nested-loop or cartesian join")
+    for line in plan.splitlines():
+        if line.strip().startswith("Arguments:") and "Window" in line and "[]" in line:
+            problems.append("unpartitioned window")
+    return problems

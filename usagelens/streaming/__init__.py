@@ -1,0 +1,2 @@
+"""Streaming: the reports are batch views recomputed over append-only telemetry tables;
+they define no watermark, window or state, so no streaming operator is provided."""
