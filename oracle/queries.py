@@ -1,0 +1,461 @@
+"""DuckDB oracle SQL for every checkable query (same output names as the Spark side).
+
+The report logic follows the reports' own SQL shapes (window averages over the whole
+table, four dense-rank subsets with left joins, the plain range join, the self-join of
+statements to their overlaps); doubles are rounded to 6 places as on the Spark side.
+"""
+
+from __future__ import annotations
+
+from .fixtures import AUDIT, LIST_PRICES, QUERY_HISTORY, TIMELINE, USAGE, WAREHOUSE_EVENTS
+
+AS_OF = "DATE '2024-01-31'"
+DETAIL_NODE = "model.p.view"
+ONE_DASHBOARD = "d3"
+SQL_TASK_KEYS = "('refresh-dashboard', 'refresh-alert', 'refresh-query', 'sqlalert', 'sqldashboard', 'sqlsavedquery')"
+
+
+def _with(*ctes: str) -> str:
+    return "WITH " + ",".join(ctes) + "\n"
+
+
+def _rd(expr: str) -> str:
+    """Round to 6 places like the Spark side: snap to 9 places, then exact half-up on the decimal."""
+    return f"CAST(round(CAST(round({expr}, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE)"
+
+
+def _r(*cols: str) -> str:
+    return ", ".join(f"{_rd(c)} AS {c}" for c in cols)
+
+
+def _raw_qh(partition: str = "") -> str:
+    sec = "COALESCE(CAST({c} AS DOUBLE) / 1000, 0)"
+    s = {c: sec.format(c=c) for c in [
+        "total_duration_ms", "total_task_duration_ms", "execution_duration_ms", "compilation_duration_ms",
+        "waiting_at_capacity_duration_ms", "waiting_for_compute_duration_ms", "result_fetch_duration_ms"]}
+    open_at, close_at = "instr(statement_text, '/*')", "instr(statement_text, '*/')"
+    return f"""
+raw_qh AS (
+  SELECT
+    workspace_id, statement_id, executed_by, statement_text, warehouse_id, execution_status, statement_type,
+    client_application,
+    COALESCE(error_message, 'None') AS error_message,
+    {s['total_duration_ms']} AS QueryRuntimeSeconds,
+    {s['total_task_duration_ms']} AS CPUTotalExecutionTime,
+    {s['execution_duration_ms']} AS ExecutionQueryTime,
+    {s['compilation_duration_ms']} AS CompilationQueryTime,
+    {s['waiting_at_capacity_duration_ms']} AS QueueQueryTime,
+    {s['waiting_for_compute_duration_ms']} AS StartUpQueryTime,
+    {s['result_fetch_duration_ms']} AS ResultFetchTime,
+    CASE WHEN {s['total_task_duration_ms']} = 0 THEN 0
+         ELSE {s['total_duration_ms']} + {s['compilation_duration_ms']} END AS TotalResourceTimeUsedForAllocation,
+    start_time, end_time, update_time,
+    COALESCE(read_bytes, 0) AS read_bytes,
+    COALESCE(read_io_cache_percent, 0) AS read_io_cache_percent,
+    from_result_cache,
+    COALESCE(spilled_local_bytes, 0) AS spilled_local_bytes,
+    CAST(total_task_duration_ms AS DOUBLE) / NULLIF(total_duration_ms, 0) AS TotalCPUTime_To_Execution_Time_Ratio,
+    COALESCE(CAST(waiting_at_capacity_duration_ms AS DOUBLE) / NULLIF(total_duration_ms, 0), 0) AS ProportionQueueTime,
+    AVG(CAST(total_duration_ms AS DOUBLE) / 1000) OVER ({partition}) AS WarehouseAvgQueryRuntime,
+    AVG(CAST(waiting_at_capacity_duration_ms AS DOUBLE) / 1000) OVER ({partition}) AS WarehouseAvgQueueTime,
+    AVG(COALESCE((CAST(waiting_at_capacity_duration_ms AS DOUBLE) / 1000)
+                 / NULLIF(CAST(total_duration_ms AS DOUBLE) / 1000, 0), 0)) OVER ({partition}) AS WarehouseAvgProportionTimeQueueing,
+    CASE WHEN read_bytes > 0 THEN CAST(read_bytes AS DOUBLE) / 1073741824 ELSE 0 END AS ReadDataAmountInGB,
+    CASE WHEN read_io_cache_percent > 0 THEN 'Used Cache' ELSE 'No Cache' END AS UsedCacheFlag,
+    CASE WHEN spilled_local_bytes > 0 THEN 'Spilled Data To Disk' ELSE 'No Spill' END AS HasSpillFlag,
+    CASE WHEN read_bytes > 0 THEN 'Did Read Data' ELSE 'No Data Read' END AS ReadDataFlag,
+    CASE WHEN {s['total_task_duration_ms']} > 0 THEN 'UsedWorkerTasks' ELSE 'NoWorkers' END AS UsedWorkerTasksFlag,
+    CASE WHEN spilled_local_bytes > 0 THEN 1 ELSE 0 END AS Calc_HasSpillFlag,
+    CAST(CASE WHEN read_bytes > 0 THEN 0.25 ELSE 0 END AS DOUBLE) AS Calc_ReadDataFlag,
+    CAST(CASE WHEN {s['total_task_duration_ms']} > 0 THEN 0.25 ELSE 0 END AS DOUBLE) AS Calc_UsedWorkerTasksFlag,
+    CASE WHEN {close_at} - {open_at} - 2 <= 0 THEN ''
+         ELSE substr(statement_text, {open_at} + 2, {close_at} - {open_at} - 2) END AS dbt_metadata_json
+  FROM qh
+)"""
+
+
+_KEYS = ["app", "node_id", "profile_name", "target_name", "connection_name", "dbt_version", "dbt_databricks_version"]
+
+
+def _enhanced(missing: str = "NULL") -> str:
+    fields = ",\n    ".join(f"COALESCE(json_extract_string(j, '$.{k}'), {missing}) AS {k}" for k in _KEYS)
+    return f"""
+enhanced_qh AS (
+  SELECT * EXCLUDE (j),
+    CASE WHEN (lower(json_extract_string(j, '$.app')) = 'dbt' OR client_application LIKE '%dbt%')
+         THEN 'DBT Query' ELSE 'Other Query Type' END AS DBT_Query_Type,
+    {fields},
+    COALESCE(json_extract_string(j, '$.node_id'), json_extract_string(j, '$.connection_name'), {missing}) AS node_or_connection
+  FROM (SELECT *, try_cast(dbt_metadata_json AS JSON) AS j FROM raw_qh)
+)"""
+
+
+COST = """
+consumption_cost AS (
+  SELECT u.usage_start_time, u.usage_end_time, l.sku_name, l.price AS sku_price, u.usage_date, u.usage_quantity,
+         u.warehouse_id, l.price * u.usage_quantity AS total_cost_for_warehouse_uptime
+  FROM list_prices l INNER JOIN usage u ON l.sku_name = u.sku_name
+  WHERE l.sku_name ILIKE '%serverless%sql%'
+),
+query_durations AS (
+  SELECT q.statement_id, q.workspace_id, q.warehouse_id, q.start_time, q.end_time, c.usage_start_time, c.usage_end_time,
+    COALESCE(date_sub('second', greatest(q.start_time, c.usage_start_time), least(q.end_time, c.usage_end_time)), 0)
+      AS query_duration_in_interval,
+    c.total_cost_for_warehouse_uptime / NULLIF(date_sub('second', c.usage_start_time, c.usage_end_time), 0) AS cost_per_second
+  FROM qh q INNER JOIN consumption_cost c ON q.warehouse_id = c.warehouse_id
+  WHERE q.start_time < c.usage_end_time AND q.end_time > c.usage_start_time
+),
+query_costs AS (
+  SELECT q.statement_id, q.workspace_id, q.warehouse_id, q.start_time, q.end_time,
+         SUM(qd.query_duration_in_interval * qd.cost_per_second) AS approx_query_cost
+  FROM qh q INNER JOIN query_durations qd ON q.statement_id = qd.statement_id
+  GROUP BY q.statement_id, q.workspace_id, q.warehouse_id, q.start_time, q.end_time
+)"""
+
+_DOUBLES = [
+    "QueryRuntimeSeconds", "CPUTotalExecutionTime", "ExecutionQueryTime", "CompilationQueryTime", "QueueQueryTime",
+    "StartUpQueryTime", "ResultFetchTime", "TotalResourceTimeUsedForAllocation",
+    "TotalCPUTime_To_Execution_Time_Ratio", "ProportionQueueTime", "WarehouseAvgQueryRuntime",
+    "WarehouseAvgQueueTime", "WarehouseAvgProportionTimeQueueing", "ReadDataAmountInGB", "Calc_ReadDataFlag",
+    "Calc_UsedWorkerTasksFlag",
+]
+_REPLACE_DOUBLES = "REPLACE (" + _r(*_DOUBLES) + ")"
+
+_METRIC_COLUMNS = (
+    "workspace_id, statement_id, executed_by, statement_text, warehouse_id, execution_status, statement_type, "
+    "client_application, error_message, "
+    + _r("QueryRuntimeSeconds", "CPUTotalExecutionTime", "ExecutionQueryTime", "CompilationQueryTime", "QueueQueryTime", "StartUpQueryTime",
+         "ResultFetchTime", "TotalResourceTimeUsedForAllocation")
+    + ", start_time, end_time, update_time, read_bytes, read_io_cache_percent, from_result_cache, spilled_local_bytes, "
+    + _r("TotalCPUTime_To_Execution_Time_Ratio", "ProportionQueueTime", "ReadDataAmountInGB")
+)
+
+SQL: dict[str, str] = {}
+
+SQL["statement_metrics"] = _with(QUERY_HISTORY, _raw_qh()) + f"SELECT {_METRIC_COLUMNS} FROM raw_qh"
+
+SQL["statement_flags"] = _with(QUERY_HISTORY, _raw_qh()) + (
+    "SELECT statement_id, " + _r("ReadDataAmountInGB") + ", UsedCacheFlag, HasSpillFlag, "
+    "ReadDataFlag, UsedWorkerTasksFlag, Calc_HasSpillFlag, "
+    + _r("Calc_ReadDataFlag", "Calc_UsedWorkerTasksFlag") + " FROM raw_qh"
+)
+
+SQL["fleet_averages"] = _with(QUERY_HISTORY, _raw_qh()) + (
+    "SELECT statement_id, "
+    + _r("QueryRuntimeSeconds", "WarehouseAvgQueryRuntime", "WarehouseAvgQueueTime", "WarehouseAvgProportionTimeQueueing")
+    + " FROM raw_qh"
+)
+
+SQL["fleet_averages_by_warehouse"] = _with(QUERY_HISTORY, _raw_qh("PARTITION BY warehouse_id")) + (
+    "SELECT statement_id, warehouse_id, "
+    + _r("WarehouseAvgQueryRuntime", "WarehouseAvgQueueTime", "WarehouseAvgProportionTimeQueueing")
+    + " FROM raw_qh"
+)
+
+_COMMENT_SELECT = (
+    "SELECT statement_id, dbt_metadata_json, app, node_id, profile_name, target_name, connection_name, "
+    "dbt_version, dbt_databricks_version, node_or_connection FROM enhanced_qh"
+)
+SQL["comment_metadata"] = _with(QUERY_HISTORY, _raw_qh(), _enhanced()) + _COMMENT_SELECT
+SQL["comment_metadata_filled"] = _with(QUERY_HISTORY, _raw_qh(), _enhanced("'None'")) + _COMMENT_SELECT
+
+SQL["client_label"] = _with(QUERY_HISTORY, _raw_qh(), _enhanced()) + (
+    "SELECT statement_id, client_application, DBT_Query_Type FROM enhanced_qh"
+)
+
+_COST_BASE = _with(QUERY_HISTORY, USAGE, LIST_PRICES, COST)
+
+SQL["priced_usage"] = _COST_BASE + (
+    "SELECT usage_start_time, usage_end_time, sku_name, usage_date, warehouse_id, "
+    + _r("sku_price", "usage_quantity", "total_cost_for_warehouse_uptime") + " FROM consumption_cost"
+)
+
+SQL["interval_overlap"] = _COST_BASE + (
+    "SELECT statement_id, warehouse_id, start_time, end_time, usage_start_time, usage_end_time FROM query_durations"
+)
+SQL["interval_overlap_plain"] = SQL["interval_overlap"]
+
+SQL["allocate_cost"] = _COST_BASE + (
+    "SELECT statement_id, warehouse_id, usage_start_time, query_duration_in_interval, "
+    + _r("cost_per_second") + " FROM query_durations"
+)
+
+SQL["statement_cost"] = _COST_BASE + (
+    "SELECT statement_id, workspace_id, warehouse_id, start_time, end_time, " + _r("approx_query_cost")
+    + " FROM query_costs"
+)
+
+SQL["elapsed_vs_epoch_seconds"] = _with(QUERY_HISTORY) + (
+    "SELECT statement_id, date_sub('second', start_time, end_time) AS elapsed_seconds, "
+    "date_diff('second', start_time, end_time) AS epoch_seconds FROM qh"
+)
+
+SQL["enhanced_history"] = _with(QUERY_HISTORY, USAGE, LIST_PRICES, _raw_qh(), _enhanced(), COST) + f"""
+SELECT qh.* {_REPLACE_DOUBLES}, {_rd('qc.approx_query_cost')} AS approx_query_cost
+FROM enhanced_qh qh, query_costs qc
+WHERE qh.workspace_id = qc.workspace_id
+  AND qh.statement_id = qc.statement_id
+  AND qh.start_time >= {AS_OF} - INTERVAL 15 DAY
+ORDER BY approx_query_cost DESC"""
+
+
+def _node_base(min_runtime: int) -> str:
+    return _with(QUERY_HISTORY, USAGE, LIST_PRICES, _raw_qh(), _enhanced("'None'"), COST) + f""",
+query_cost AS (
+  SELECT qc.statement_id, qc.workspace_id, qc.warehouse_id, qc.start_time, qc.end_time,
+         qc.approx_query_cost AS apprx_query_cost, qq.total_task_duration_ms, qq.statement_text, qq.client_application
+  FROM query_costs qc, qh qq
+  WHERE qc.start_time >= {AS_OF} - INTERVAL 10 DAY
+    AND qq.start_time >= {AS_OF} - INTERVAL 10 DAY
+    AND qc.statement_id = qq.statement_id
+),
+tool AS (
+  SELECT m.*, qc.apprx_query_cost, qc.total_task_duration_ms
+  FROM enhanced_qh m, query_cost qc
+  WHERE m.DBT_Query_Type = 'DBT Query'
+    AND m.QueryRuntimeSeconds > {min_runtime}
+    AND m.workspace_id = qc.workspace_id
+    AND m.start_time >= {AS_OF} - INTERVAL 10 DAY
+    AND m.statement_id = qc.statement_id
+)
+"""
+
+
+SQL["node_cost_report"] = _node_base(60) + f"""
+SELECT workspace_id, profile_name, target_name, node_or_connection,
+       count(1) AS num_runs,
+       {_rd('sum(CPUTotalExecutionTime)')} AS sum_CPUTotalExecutionTime,
+       {_rd('sum(QueryRuntimeSeconds)')} AS sum_QueryRuntimeSeconds,
+       min(statement_id) AS example_statement_id,
+       {_rd('sum(apprx_query_cost)')} AS sum_apprx_query_cost,
+       {_rd('mean(apprx_query_cost)')} AS avg_apprx_query_cost,
+       {_rd('median(apprx_query_cost)')} AS med_apprx_query_cost
+FROM tool
+GROUP BY ALL
+ORDER BY sum_CPUTotalExecutionTime DESC"""
+
+SQL["node_cost_detail"] = _node_base(1) + f"""
+SELECT * {_REPLACE_DOUBLES[:-1]}, {_rd('apprx_query_cost')} AS apprx_query_cost)
+FROM tool
+WHERE node_or_connection = '{DETAIL_NODE}'"""
+
+# --- audit log: schedules ------------------------------------------------------------
+
+_SCHEDULE_T = """'{"quartz_cron_expression":"VARCHAR","timezone_id":"VARCHAR","pause_status":"VARCHAR"}'"""
+_NEW_SETTINGS_T = (
+    """'{"schedule":{"quartz_cron_expression":"VARCHAR","timezone_id":"VARCHAR","pause_status":"VARCHAR"},"""
+    """"tasks":[{"task_key":"VARCHAR","sql_task":{"dashboard":{"dashboard_id":"VARCHAR","pause_subscriptions":"BOOLEAN"},"""
+    """"warehouse_id":"VARCHAR"}}]}'"""
+)
+
+CHANGES = f"""
+schedule_main AS (
+  SELECT workspace_id, event_time, service_name, action_name, email AS user_email,
+    coalesce(json_extract_string(result, '$.job_id'), p_job_id, p_jobId) AS job_id,
+    p_tasks,
+    json_transform(p_schedule, {_SCHEDULE_T}) AS schedule_info,
+    json_transform(p_new_settings, {_NEW_SETTINGS_T}) AS update_info,
+    p_name AS job_name, p_is_from_redash AS from_redash_ind, status_code AS status, error_message AS error
+  FROM audit
+  WHERE service_name = 'jobs'
+),
+changes AS (
+  SELECT workspace_id, event_time, service_name, action_name, user_email,
+    coalesce(schedule_info.quartz_cron_expression, update_info.schedule.quartz_cron_expression) AS schedule_cron,
+    schedule_info,
+    coalesce(schedule_info.pause_status, update_info.schedule.pause_status) AS pause_status,
+    status, from_redash_ind, job_id, job_name,
+    json_extract_string(p_tasks, '$[0].sql_task.alert.alert_id') AS alert_id,
+    json_extract_string(p_tasks, '$[0].sql_task.dashboard.dashboard_id') AS dashboard_id,
+    json_extract_string(p_tasks, '$[0].sql_task.query.query_id') AS query_id,
+    coalesce(update_info.tasks[1].sql_task.warehouse_id, json_extract_string(p_tasks, '$[0].sql_task.warehouse_id'))
+      AS warehouse_id,
+    error, update_info
+  FROM schedule_main
+  WHERE action_name IN ('create', 'update', 'delete')
+)"""
+
+SQL["schedule_changes"] = _with(AUDIT, CHANGES) + """
+SELECT workspace_id, event_time, service_name, action_name, user_email, schedule_cron,
+       schedule_info.timezone_id AS schedule_timezone, pause_status, status, from_redash_ind, job_id, job_name,
+       alert_id, dashboard_id, query_id, warehouse_id, error,
+       update_info.schedule.quartz_cron_expression AS update_cron
+FROM changes"""
+
+_RANK = "dense_rank() OVER (PARTITION BY job_id ORDER BY event_time DESC) AS rec_rank"
+LATEST = f"""
+audit_info AS (SELECT *, {_RANK} FROM changes),
+schedule_view AS (
+  SELECT job_id, job_name, dashboard_id, warehouse_id, alert_id, query_id, schedule_cron, schedule_info, pause_status,
+         event_time, {_RANK}
+  FROM changes WHERE schedule_cron IS NOT NULL
+),
+pause_view AS (
+  SELECT job_id, job_name, dashboard_id, warehouse_id, alert_id, query_id, schedule_cron, pause_status, event_time, {_RANK}
+  FROM changes WHERE pause_status IS NOT NULL
+),
+create_view AS (
+  SELECT job_id, job_name, dashboard_id, warehouse_id, alert_id, query_id, schedule_cron, schedule_info, pause_status,
+         event_time, {_RANK}
+  FROM changes WHERE schedule_info IS NOT NULL
+),
+latest AS (
+  SELECT
+    a.workspace_id, a.event_time AS last_updated_time, a.service_name, a.user_email,
+    a.action_name AS last_updated_action,
+    coalesce(a.schedule_cron, s.schedule_cron) AS schedule_cron,
+    coalesce(a.pause_status, s.pause_status, p.pause_status) AS pause_status,
+    coalesce(a.schedule_info, s.schedule_info, a.update_info.schedule) AS schedule_info,
+    a.status, a.from_redash_ind, a.job_id,
+    coalesce(a.job_name, s.job_name, c.job_name) AS job_name,
+    coalesce(a.dashboard_id, s.dashboard_id, c.dashboard_id) AS dashboard_id,
+    coalesce(a.alert_id, s.alert_id, c.alert_id) AS alert_id,
+    coalesce(a.query_id, s.query_id, c.query_id) AS query_id,
+    coalesce(a.warehouse_id, s.warehouse_id, c.warehouse_id) AS warehouse_id,
+    a.error
+  FROM audit_info a
+    LEFT JOIN schedule_view s ON a.job_id = s.job_id
+    LEFT JOIN pause_view p ON a.job_id = p.job_id
+    LEFT JOIN create_view c ON a.job_id = c.job_id
+  WHERE a.rec_rank = 1 AND s.rec_rank = 1 AND p.rec_rank = 1 AND c.rec_rank = 1
+    AND a.action_name != 'delete' AND a.from_redash_ind = 'true'
+)"""
+
+SQL["latest_schedules"] = _with(AUDIT, CHANGES, LATEST) + """
+SELECT workspace_id, last_updated_time, service_name, user_email, last_updated_action, schedule_cron, pause_status,
+       schedule_info.quartz_cron_expression AS schedule_info_cron, schedule_info.timezone_id AS schedule_timezone,
+       status, from_redash_ind, job_id, job_name, dashboard_id, alert_id, query_id, warehouse_id, error
+FROM latest"""
+
+SQL["latest_per_key"] = _with(TIMELINE) + """
+SELECT job_id, run_id, task_key, result_state, period_start_time
+FROM (SELECT *, dense_rank() OVER (PARTITION BY job_id ORDER BY period_start_time DESC) AS rec_rank FROM timeline)
+WHERE rec_rank = 1"""
+
+# --- audit log: runs -------------------------------------------------------------------
+
+RUNS = f"""
+run_main AS (
+  SELECT workspace_id, event_time, service_name, action_name,
+    coalesce(json_extract_string(result, '$.job_id'), p_job_id, p_jobId) AS job_id,
+    coalesce(p_multitaskParentRunId, p_runId) AS main_run_id,
+    p_jobTaskType AS task_type, p_taskKey AS task_key, p_jobTriggerType AS trigger_type, p_queryIds AS query_id,
+    p_dashboardId AS dashboard_id, p_alertId AS alert_id, p_warehouseId AS warehouse_id,
+    p_runCreatorUserName AS creator_name, status_code AS status, error_message AS error
+  FROM audit
+  WHERE service_name = 'jobs' AND action_name IN ('runTriggered', 'runFailed', 'runStart', 'runSucceeded')
+),
+run_trigger AS (
+  SELECT workspace_id, event_time, service_name, action_name, job_id, main_run_id, trigger_type
+  FROM run_main WHERE action_name IN ('runTriggered')
+),
+run_start AS (
+  SELECT workspace_id, event_time, service_name, action_name, job_id, main_run_id, task_type, task_key, query_id,
+         dashboard_id, alert_id, warehouse_id
+  FROM run_main WHERE action_name IN ('runStart') AND task_key IN {SQL_TASK_KEYS}
+),
+run_end AS (
+  SELECT workspace_id, event_time, service_name, action_name, job_id, main_run_id, status, error
+  FROM run_main WHERE action_name IN ('runSucceeded', 'runFailed') AND task_key IN {SQL_TASK_KEYS}
+),
+runs AS (
+  SELECT t.workspace_id, t.service_name,
+         coalesce(re.action_name, t.action_name, t.action_name) AS run_state,
+         t.job_id, t.main_run_id, t.trigger_type,
+         t.event_time AS triggered_event_time, r.event_time AS run_event_time, re.event_time AS run_end_event_time,
+         date_diff('second', r.event_time, re.event_time) AS run_duration_seconds,
+         r.task_type, r.task_key, r.query_id, r.dashboard_id, r.alert_id, r.warehouse_id, re.status, re.error
+  FROM run_trigger t
+    LEFT JOIN run_start r ON t.job_id = r.job_id AND t.main_run_id = r.main_run_id
+    LEFT JOIN run_end re ON t.job_id = re.job_id AND t.main_run_id = re.main_run_id
+)"""
+
+SQL["run_events"] = _with(AUDIT, RUNS) + "SELECT * FROM run_main"
+
+SQL["run_history"] = _with(AUDIT, RUNS) + "SELECT * FROM runs"
+
+SQL["run_stats"] = _with(AUDIT, RUNS) + """
+SELECT workspace_id, job_id, task_key, run_state, query_id, dashboard_id, alert_id,
+       count(DISTINCT main_run_id) AS total_num_runs,
+       CAST(sum(date_diff('second', run_event_time, run_end_event_time)) AS BIGINT) AS total_run_duration_seconds,
+       coalesce(array_to_string(list_sort(list(DISTINCT warehouse_id) FILTER (WHERE warehouse_id IS NOT NULL)), ','), '')
+         AS warehouses
+FROM runs
+GROUP BY ALL
+ORDER BY total_run_duration_seconds DESC"""
+SQL["run_stats_sql"] = SQL["run_stats"]
+
+SQL["schedule_with_runs"] = _with(AUDIT, CHANGES, LATEST, RUNS) + """,
+run_info AS (
+  SELECT workspace_id, job_id, max(triggered_event_time) AS last_run_time, count(main_run_id) AS total_num_runs,
+         CAST(sum(run_duration_seconds) AS BIGINT) AS total_run_duration_seconds
+  FROM runs GROUP BY ALL
+)
+SELECT j.job_id, j.workspace_id, j.last_updated_time, j.last_updated_action, j.schedule_cron, j.pause_status,
+       j.warehouse_id, r.last_run_time, r.total_num_runs, r.total_run_duration_seconds
+FROM latest j LEFT JOIN run_info r ON j.job_id = r.job_id AND j.workspace_id = r.workspace_id"""
+
+SQL["timeline_run_stats"] = _with(TIMELINE) + f"""
+SELECT workspace_id, job_id, task_key, result_state,
+       count(DISTINCT run_id) AS total_num_runs,
+       CAST(sum(date_diff('second', period_start_time, period_end_time)) AS BIGINT) AS total_run_duration_seconds,
+       array_to_string(list_sort(list_distinct(compute_ids)), ',') AS warehouses
+FROM timeline
+WHERE task_key IN {SQL_TASK_KEYS}
+GROUP BY ALL
+ORDER BY total_run_duration_seconds DESC"""
+
+# --- audit log: dashboards ----------------------------------------------------------------
+
+PUBLISHERS = """
+publishers AS (
+  SELECT dashboard_id, email AS publisher FROM (
+    SELECT p_dashboard_id AS dashboard_id, email,
+           row_number() OVER (PARTITION BY p_dashboard_id ORDER BY event_time DESC, email DESC) AS rn
+    FROM audit
+    WHERE event_date >= DATE '2023-01-01' AND action_name = 'publishDashboard'
+  ) WHERE rn = 1
+)"""
+
+SQL["dashboard_publishers"] = _with(AUDIT, PUBLISHERS) + "SELECT dashboard_id, publisher FROM publishers"
+
+SQL["dashboard_queries"] = _with(AUDIT, QUERY_HISTORY, PUBLISHERS) + f"""
+SELECT
+  a.workspace_id, a.p_dashboard_id AS dashboard_id, a.request_id, h.statement_id,
+  CASE WHEN a.user_agent ILIKE '%lakeview_processing%' THEN 'scheduled' ELSE 'interactive' END AS mode,
+  coalesce(d.publisher, h.executed_by) AS user_owner,
+  {_rd('CAST(h.total_duration_ms AS DOUBLE) / 1000')} AS total_duration,
+  {_rd('CAST(h.waiting_for_compute_duration_ms AS DOUBLE) / 1000')} AS waiting_for_compute_duration,
+  {_rd('CAST(h.waiting_at_capacity_duration_ms AS DOUBLE) / 1000')} AS waiting_at_capacity_duration,
+  {_rd('CAST(h.execution_duration_ms AS DOUBLE) / 1000')} AS execution_duration,
+  {_rd('CAST(h.compilation_duration_ms AS DOUBLE) / 1000')} AS compilation_duration,
+  {_rd('CAST(h.total_task_duration_ms AS DOUBLE) / 1000')} AS total_task_duration,
+  {_rd('CAST(h.result_fetch_duration_ms AS DOUBLE) / 1000')} AS result_fetch_duration,
+  CAST(h.start_time AS DATE) AS start_date, CAST(h.end_time AS DATE) AS end_date, CAST(h.update_time AS DATE) AS update_date,
+  a.action_name, a.event_date,
+  h.statement_text, h.execution_status, h.statement_type, h.client_application, h.error_message, h.read_bytes,
+  h.read_io_cache_percent, h.from_result_cache, h.spilled_local_bytes, h.warehouse_id
+FROM audit a
+  INNER JOIN qh h ON a.p_statement_id = h.statement_id
+  LEFT JOIN publishers d ON a.p_dashboard_id = d.dashboard_id
+WHERE a.action_name = 'executeQuery'"""
+
+_AUDIT_COLS = (
+    "a.workspace_id, a.event_time, a.event_date, a.service_name, a.action_name, a.email AS user_email, a.user_agent, "
+    "a.request_id, a.p_statement_id AS param_statement_id, a.status_code"
+)
+
+SQL["audit_by_dashboard"] = _with(AUDIT) + f"""
+SELECT {_AUDIT_COLS} FROM audit a
+WHERE a.service_name = 'dashboards' AND a.p_dashboard_id = '{ONE_DASHBOARD}'"""
+
+SQL["audit_with_publisher"] = _with(AUDIT, PUBLISHERS) + f"""
+SELECT {_AUDIT_COLS}, d.dashboard_id, d.publisher
+FROM audit a INNER JOIN publishers d ON a.p_dashboard_id = d.dashboard_id"""
+
+SQL["usage_by_sku"] = _with(USAGE) + (
+    "SELECT usage_start_time, usage_end_time, usage_date, sku_name, " + _r("usage_quantity") + ", warehouse_id "
+    "FROM usage WHERE sku_name ILIKE '%serverless%sql%'"
+)
+
+SQL["warehouse_events"] = _with(WAREHOUSE_EVENTS) + "SELECT * FROM warehouse_events_v"

@@ -61,7 +61,8 @@ def scalars(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits)
+            # snap float noise at 9 places, then round half-up at `digits` places
+            c = F.round(F.round(c.cast("double"), 9), digits)
         elif isinstance(f.dataType, (T.StructType, T.MapType, T.ArrayType)):
             raise TypeError(f"nested output column {f.name}")
         cols.append(c.alias(f.name))
