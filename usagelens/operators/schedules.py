@@ -94,63 +94,87 @@ def latest_schedules(changes: DataFrame) -> DataFrame:
     filtered left joins act as inner joins); tied event times multiply rows; deleted
     jobs and jobs whose newest event lacks the origin flag are dropped.
 
-    One partial aggregate computes the four newest times per job, one join brings them
-    back to the events, and the four newest-row sets are cut from that single result.
+    Plan: the parsed events are hash-partitioned on ``job_id`` once; that one exchange
+    feeds both the aggregate of the four newest times per job and the join back to the
+    events (Spark reuses it, so the audit rows are read, parsed and shuffled once). The
+    join keeps only rows that are newest for at least one role; an aggregate on the
+    same partitioning gathers, per role, the rows tied at that newest time (usually
+    one), and explodes rebuild their product. Both aggregates stream with one buffer
+    per job, and only a job's newest rows are ever gathered.
     """
     t = F.col("event_time")
-    events = changes.where(F.col("job_id").isNotNull())
+    events = changes.where(F.col("job_id").isNotNull()).repartition("job_id")
     newest = events.groupBy("job_id").agg(
         F.max(t).alias("_t_any"),
         F.max(F.when(F.col("schedule_cron").isNotNull(), t)).alias("_t_cron"),
         F.max(F.when(F.col("pause_status").isNotNull(), t)).alias("_t_pause"),
         F.max(F.when(F.col("schedule_info").isNotNull(), t)).alias("_t_create"),
     )
-    ranked = events.join(newest, "job_id")
-    a = ranked.where(
-        t.eqNullSafe(F.col("_t_any"))
-        & (F.col("action_name") != DELETE_ACTION)
-        & (F.col("from_redash_ind") == FLAGGED_ORIGIN)
-    )
-    s = ranked.where(F.col("schedule_cron").isNotNull() & t.eqNullSafe(F.col("_t_cron"))).select(
-        "job_id",
-        *[F.col(c).alias(f"s_{c}") for c in
-          ["schedule_cron", "pause_status", "schedule_info", "job_name", "dashboard_id", "alert_id", "query_id", "warehouse_id"]],
+
+    def newest_for(cond, top: str):
+        # null-safe "event_time = newest time of this role" (a NULL time is newest only
+        # when the role has no non-NULL time, as with dense_rank ... DESC)
+        return cond & t.eqNullSafe(F.col(top))
+
+    is_a = newest_for(
+        (F.col("action_name") != DELETE_ACTION) & (F.col("from_redash_ind") == FLAGGED_ORIGIN), "_t_any"
     )
-    p = ranked.where(F.col("pause_status").isNotNull() & t.eqNullSafe(F.col("_t_pause"))).select(
-        "job_id", F.col("pause_status").alias("p_pause_status")
+    is_s = newest_for(F.col("schedule_cron").isNotNull(), "_t_cron")
+    is_p = newest_for(F.col("pause_status").isNotNull(), "_t_pause")
+    is_c = newest_for(F.col("schedule_info").isNotNull(), "_t_create")
+    a_cols = [
+        "workspace_id", "event_time", "service_name", "user_identity", "action_name", "schedule_cron",
+        "pause_status", "schedule_info", "update_info", "status", "from_redash_ind", "job_name", "dashboard_id",
+        "alert_id", "query_id", "warehouse_id", "error", "request_params", "response",
+    ]
+    s_cols = ["schedule_cron", "pause_status", "schedule_info", "job_name", "dashboard_id", "alert_id", "query_id", "warehouse_id"]
+    c_cols = ["job_name", "dashboard_id", "alert_id", "query_id", "warehouse_id"]
+
+    def role(cond, cols):
+        # coalesce keeps the flag a plain boolean, so the row is listed only when it holds
+        return F.collect_list(F.when(F.coalesce(cond, F.lit(False)), F.struct(*cols)))
+
+    roles = (
+        events.join(newest, "job_id")
+        .where(F.coalesce(is_a | is_s | is_p | is_c, F.lit(False)))
+        .groupBy("job_id")
+        .agg(
+            role(is_a, a_cols).alias("_a"),
+            role(is_s, s_cols).alias("_s"),
+            role(is_p, ["pause_status"]).alias("_p"),
+            role(is_c, c_cols).alias("_c"),
+        )
     )
-    c = ranked.where(F.col("schedule_info").isNotNull() & t.eqNullSafe(F.col("_t_create"))).select(
-        "job_id", *[F.col(x).alias(f"c_{x}") for x in ["job_name", "dashboard_id", "alert_id", "query_id", "warehouse_id"]]
+    rows = (
+        roles.select("job_id", F.explode("_a").alias("a"), "_s", "_p", "_c")
+        .select("job_id", "a", F.explode("_s").alias("s"), "_p", "_c")
+        .select("job_id", "a", "s", F.explode("_p").alias("p"), "_c")
+        .select("job_id", "a", "s", "p", F.explode("_c").alias("c"))
     )
 
     def fill(name: str, *sides: str):
-        return F.coalesce(F.col(name), *[F.col(f"{side}_{name}") for side in sides]).alias(name)
-
-    return (
-        a.join(s, "job_id")
-        .join(p, "job_id")
-        .join(c, "job_id")
-        .select(
-            "workspace_id",
-            t.alias("last_updated_time"),
-            "service_name",
-            "user_identity",
-            F.col("action_name").alias("last_updated_action"),
-            fill("schedule_cron", "s"),
-            F.coalesce("pause_status", "s_pause_status", "p_pause_status").alias("pause_status"),
-            F.coalesce("schedule_info", "s_schedule_info", F.col("update_info.schedule")).alias("schedule_info"),
-            "status",
-            "from_redash_ind",
-            "job_id",
-            fill("job_name", "s", "c"),
-            fill("dashboard_id", "s", "c"),
-            fill("alert_id", "s", "c"),
-            fill("query_id", "s", "c"),
-            fill("warehouse_id", "s", "c"),
-            "error",
-            "request_params",
-            "response",
-        )
+        return F.coalesce(F.col(f"a.{name}"), *[F.col(f"{side}.{name}") for side in sides]).alias(name)
+
+    return rows.select(
+        "a.workspace_id",
+        F.col("a.event_time").alias("last_updated_time"),
+        "a.service_name",
+        "a.user_identity",
+        F.col("a.action_name").alias("last_updated_action"),
+        fill("schedule_cron", "s"),
+        fill("pause_status", "s", "p"),
+        F.coalesce(F.col("a.schedule_info"), F.col("s.schedule_info"), F.col("a.update_info.schedule")).alias("schedule_info"),
+        "a.status",
+        "a.from_redash_ind",
+        "job_id",
+        fill("job_name", "s", "c"),
+        fill("dashboard_id", "s", "c"),
+        fill("alert_id", "s", "c"),
+        fill("query_id", "s", "c"),
+        fill("warehouse_id", "s", "c"),
+        "a.error",
+        "a.request_params",
+        "a.response",
     )
 
 

@@ -6,35 +6,59 @@ loader returns lazy DataFrames so filters and column pruning reach the scan.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+SOURCE_NAMES = (
+    "query_history",
+    "usage",
+    "list_prices",
+    "audit_log",
+    "task_run_timeline",
+    "warehouse_events",
+)
+
+Frame = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class Sources:
-    query_history: DataFrame
-    usage: DataFrame
-    list_prices: DataFrame
-    audit_log: DataFrame
-    task_run_timeline: DataFrame
-    warehouse_events: DataFrame
+    """The six inputs by logical name. Each may be given as a DataFrame or as a
+    zero-argument function building one; a function is called on first use only, so a
+    report touching one source never plans the others."""
+
+    __slots__ = ("_frames",)
+
+    def __init__(self, **frames: Frame) -> None:
+        unknown = set(frames) - set(SOURCE_NAMES)
+        missing = set(SOURCE_NAMES) - set(frames)
+        if unknown or missing:
+            raise ValueError(f"unknown sources {sorted(unknown)}, missing sources {sorted(missing)}")
+        object.__setattr__(self, "_frames", dict(frames))
+
+    def __getattr__(self, name: str) -> DataFrame:
+        frames = object.__getattribute__(self, "_frames")
+        if name not in frames:
+            raise AttributeError(name)
+        value = frames[name]
+        if not isinstance(value, DataFrame):
+            value = frames[name] = value()
+        return value
 
     @classmethod
     def names(cls) -> list[str]:
-        return [f.name for f in fields(cls)]
+        return list(SOURCE_NAMES)
 
 
 def from_catalog(spark: SparkSession, tables: Mapping[str, str]) -> Sources:
     """Bind each logical source to a table name, e.g. ``{"usage": "main.billing.usage", ...}``."""
-    missing = [n for n in Sources.names() if n not in tables]
+    missing = [n for n in SOURCE_NAMES if n not in tables]
     if missing:
         raise ValueError(f"no table given for: {', '.join(missing)}")
-    return Sources(**{n: spark.table(tables[n]) for n in Sources.names()})
+    return Sources(**{n: (lambda t=tables[n]: spark.table(t)) for n in SOURCE_NAMES})
 
 
 def from_parquet(spark: SparkSession, root: str) -> Sources:
     """Read ``<root>/<logical name>`` Parquet folders (one per source)."""
     root = root.rstrip("/")
-    return Sources(**{n: spark.read.parquet(f"{root}/{n}") for n in Sources.names()})
+    return Sources(**{n: (lambda p=f"{root}/{n}": spark.read.parquet(p)) for n in SOURCE_NAMES})
