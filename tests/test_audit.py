@@ -1,0 +1,213 @@
+import json
+import random
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from builders import audit, history
+from conftest import rows, ts
+from usagelens.operators import (
+    dashboard_publishers,
+    dashboard_queries,
+    latest_per_key,
+    latest_schedules,
+    run_events,
+    run_history,
+    run_stats,
+    schedule_changes,
+    schedule_with_runs,
+)
+
+
+def _create(job, t, cron="0 1 * * * ?", pause="UNPAUSED", flag="true", kind="dashboard", wh="w1"):
+    tasks = [{"task_key": "t", "sql_task": {kind: {f"{kind}_id": f"x{job}"}, "warehouse_id": wh}}]
+    return {
+        "service_name": "jobs", "action_name": "create", "event_time": t, "workspace_id": 1,
+        "request_params": {
+            "name": f"job-{job}", "is_from_redash": flag, "tasks": json.dumps(tasks),
+            "schedule": json.dumps({"quartz_cron_expression": cron, "timezone_id": "UTC", "pause_status": pause}),
+        },
+        "result": json.dumps({"job_id": job}),
+    }
+
+
+def _update(job, t, settings=None):
+    params = {"job_id": str(job)} if settings else {"jobId": str(job)}
+    if settings:
+        params["new_settings"] = json.dumps(settings)
+    return {"service_name": "jobs", "action_name": "update", "event_time": t, "workspace_id": 1, "request_params": params}
+
+
+def test_schedule_changes_parse(spark):
+    a = audit(
+        spark,
+        _create(7, ts(2024, 1, 1), kind="alert"),
+        _update(7, ts(2024, 1, 2), {"schedule": {"quartz_cron_expression": "0 9 * * * ?", "pause_status": "PAUSED"},
+                                    "tasks": [{"sql_task": {"warehouse_id": "w9"}}]}),
+        {"service_name": "jobs", "action_name": "create", "event_time": ts(2024, 1, 3), "workspace_id": 1,
+         "request_params": {"jobId": "8", "tasks": "[]"}},
+        {"service_name": "jobs", "action_name": "runStart", "event_time": ts(2024, 1, 3), "workspace_id": 1},
+    )
+    out = {(r.job_id, r.action_name): r for r in schedule_changes(a).collect()}
+    assert set(out) == {("7", "create"), ("7", "update"), ("8", "create")}
+    c, u, e = out[("7", "create")], out[("7", "update")], out[("8", "create")]
+    assert (c.schedule_cron, c.pause_status, c.alert_id, c.dashboard_id, c.warehouse_id, c.from_redash_ind) == (
+        "0 1 * * * ?", "UNPAUSED", "x7", None, "w1", "true")
+    assert (u.schedule_cron, u.pause_status, u.warehouse_id, u.schedule_info) == ("0 9 * * * ?", "PAUSED", "w9", None)
+    assert e.alert_id is None and e.warehouse_id is None  # empty task array: NULL, not an error
+
+
+def test_latest_schedules_quirks(spark):
+    a = audit(
+        spark,
+        _create(1, ts(2024, 1, 1)), _update(1, ts(2024, 1, 5)),  # Q10: newest row is an update without the flag
+        _create(2, ts(2024, 1, 1), cron="0 2 * * * ?"), _create(2, ts(2024, 1, 1), cron="0 3 * * * ?"),  # Q9 tie
+        _create(3, ts(2024, 1, 1)),
+        {"service_name": "jobs", "action_name": "delete", "event_time": ts(2024, 1, 9), "workspace_id": 1,
+         "request_params": {"jobId": "3"}},  # deleted job
+        _update(4, ts(2024, 1, 1)),  # Q8: never had a cron/pause/create event -> dropped
+        _create(5, ts(2024, 1, 1), flag="false"),  # origin flag not set
+        _create(6, ts(2024, 1, 1), pause="PAUSED"),
+        _update(6, ts(2024, 1, 2), {"schedule": {"quartz_cron_expression": "0 7 * * * ?"}}),  # newest has cron, no pause
+    )
+    out = latest_schedules(schedule_changes(a))
+    got = rows(out, "job_id", "schedule_cron", "pause_status", "last_updated_action")
+    # jobs 1, 3, 4, 5 dropped; job 6's newest event (an update) lacks the origin flag;
+    # job 2 has two tied creates, so each of the four roles ties: 2 x 2 x 2 x 2 rows
+    assert {r[0] for r in got} == {"2"} and len(got) == 16
+    assert sorted({r[1] for r in got}) == ["0 2 * * * ?", "0 3 * * * ?"]
+
+
+_REFERENCE_SHAPE = """
+WITH a AS (SELECT *, dense_rank() OVER (PARTITION BY job_id ORDER BY event_time DESC) AS rec_rank FROM changes),
+s AS (SELECT job_id, job_name, dashboard_id, warehouse_id, alert_id, query_id, schedule_cron, schedule_info,
+             pause_status, dense_rank() OVER (PARTITION BY job_id ORDER BY event_time DESC) AS rec_rank
+      FROM changes WHERE schedule_cron IS NOT NULL),
+p AS (SELECT job_id, pause_status, dense_rank() OVER (PARTITION BY job_id ORDER BY event_time DESC) AS rec_rank
+      FROM changes WHERE pause_status IS NOT NULL),
+c AS (SELECT job_id, job_name, dashboard_id, warehouse_id, alert_id, query_id,
+             dense_rank() OVER (PARTITION BY job_id ORDER BY event_time DESC) AS rec_rank
+      FROM changes WHERE schedule_info IS NOT NULL)
+SELECT a.job_id, a.event_time AS last_updated_time, a.action_name AS last_updated_action,
+       coalesce(a.schedule_cron, s.schedule_cron) AS schedule_cron,
+       coalesce(a.pause_status, s.pause_status, p.pause_status) AS pause_status,
+       coalesce(a.schedule_info, s.schedule_info, a.update_info.schedule).quartz_cron_expression AS info_cron,
+       coalesce(a.job_name, s.job_name, c.job_name) AS job_name,
+       coalesce(a.dashboard_id, s.dashboard_id, c.dashboard_id) AS dashboard_id,
+       coalesce(a.warehouse_id, s.warehouse_id, c.warehouse_id) AS warehouse_id
+FROM a LEFT JOIN s ON a.job_id = s.job_id LEFT JOIN p ON a.job_id = p.job_id LEFT JOIN c ON a.job_id = c.job_id
+WHERE a.rec_rank = 1 AND s.rec_rank = 1 AND p.rec_rank = 1 AND c.rec_rank = 1
+  AND action_name != 'delete' AND from_redash_ind = 'true'
+"""
+
+
+def test_latest_schedules_equals_ranked_left_joins_with_ties(spark):
+    rng = random.Random(11)
+    events = []
+    for _ in range(400):
+        job = rng.randint(0, 40)
+        t = ts(2024, 1, 1, rng.randint(0, 3))  # few distinct times: many ties
+        kind = rng.random()
+        if kind < 0.5:
+            events.append(_create(job, t, cron=f"0 {rng.randint(0, 59)} * * * ?", pause=rng.choice(["PAUSED", "UNPAUSED"]),
+                                  flag=rng.choice(["true", "true", "false"]), wh=f"w{rng.randint(0, 3)}"))
+        elif kind < 0.75:
+            sched = {"schedule": {"quartz_cron_expression": f"0 {rng.randint(0, 59)} 6 * * ?"}} if rng.random() < 0.5 else None
+            if sched and rng.random() < 0.5:
+                sched["schedule"]["pause_status"] = "PAUSED"
+            events.append(_update(job, t, sched))
+        else:
+            events.append({"service_name": "jobs", "action_name": "delete", "event_time": t, "workspace_id": 1,
+                           "request_params": {"jobId": str(job)}})
+    changes = schedule_changes(audit(spark, *events))
+    changes.createOrReplaceTempView("changes")
+    ref = spark.sql(_REFERENCE_SHAPE)
+    ours = latest_schedules(changes).select(
+        "job_id", "last_updated_time", "last_updated_action", "schedule_cron", "pause_status",
+        F.col("schedule_info.quartz_cron_expression").alias("info_cron"), "job_name", "dashboard_id", "warehouse_id")
+    assert ref.count() > 20
+    assert ours.exceptAll(ref).count() == 0 and ref.exceptAll(ours).count() == 0
+
+
+def test_latest_per_key_equals_dense_rank(spark):
+    rng = random.Random(3)
+    data = [(rng.randint(0, 20) if rng.random() > 0.05 else None, i,
+             None if rng.random() < 0.03 else rng.randint(0, 8)) for i in range(800)]
+    df = spark.createDataFrame(data, "k int, id int, t int")
+    ranked = df.withColumn("r", F.dense_rank().over(Window.partitionBy("k").orderBy(F.desc("t")))).where("r = 1").drop("r")
+    ours = latest_per_key(df, "k", "t")
+    assert ours.exceptAll(ranked).count() == 0 and ranked.exceptAll(ours).count() == 0
+    cond = F.col("id") % 2 == 0
+    ranked2 = df.where(cond).withColumn("r", F.dense_rank().over(Window.partitionBy("k").orderBy(F.desc("t")))).where("r = 1").drop("r")
+    ours2 = latest_per_key(df, "k", "t", where=cond)
+    assert ours2.exceptAll(ranked2).count() == 0 and ranked2.exceptAll(ours2).count() == 0
+
+
+def _run(action, t, job="9", run="100", task=None, parent=None, wh=None):
+    p = {"jobId": job, "runId": run}
+    if parent:
+        p["multitaskParentRunId"] = parent
+    if task:
+        p["taskKey"] = task
+    if wh:
+        p["warehouseId"] = wh
+    return {"service_name": "jobs", "action_name": action, "event_time": t, "workspace_id": 1, "request_params": p}
+
+
+def test_run_history_and_stats(spark):
+    a = audit(
+        spark,
+        _run("runTriggered", ts(2024, 1, 1, 0, 0, 0)),
+        _run("runStart", ts(2024, 1, 1, 0, 0, 1), run="1001", parent="100", task="refresh-query", wh="w1"),
+        _run("runStart", ts(2024, 1, 1, 0, 0, 2), run="1002", parent="100", task="refresh-alert", wh="w2"),
+        _run("runStart", ts(2024, 1, 1, 0, 0, 3), run="1003", parent="100", task="other", wh="w3"),
+        _run("runSucceeded", ts(2024, 1, 1, 0, 0, 11), run="1001", parent="100", task="refresh-query"),
+        _run("runFailed", ts(2024, 1, 1, 0, 0, 12), run="1002", parent="100", task="refresh-alert"),
+        _run("runTriggered", ts(2024, 1, 2), run="200"),
+        _run("runStart", ts(2024, 1, 2, 0, 0, 5), run="2001", parent="200", task="refresh-query"),
+    )
+    hist = run_history(run_events(a))
+    r100 = hist.where("main_run_id = '100'")
+    assert r100.count() == 4  # Q13: 2 starts x 2 ends, 'other' task filtered out
+    assert sorted(r.run_state for r in r100.collect()) == ["runFailed", "runFailed", "runSucceeded", "runSucceeded"]
+    r200 = hist.where("main_run_id = '200'").collect()
+    assert [(r.run_state, r.run_duration_seconds) for r in r200] == [("runTriggered", None)]  # Q15
+    stats = {(r.task_key, r.run_state): r for r in run_stats(hist).collect()}
+    assert stats[("refresh-query", "runSucceeded")].total_num_runs == 1
+    assert stats[("refresh-query", "runSucceeded")].total_run_duration_seconds == 10
+    assert sorted(stats[("refresh-alert", "runFailed")].warehouses) == ["w2"]
+
+
+def test_schedule_with_runs_counts_history_rows(spark):
+    a = audit(
+        spark,
+        _create(9, ts(2024, 1, 1)),
+        _run("runTriggered", ts(2024, 1, 3)),
+        _run("runStart", ts(2024, 1, 3, 0, 0, 1), run="1001", parent="100", task="refresh-query"),
+        _run("runSucceeded", ts(2024, 1, 3, 0, 0, 4), run="1001", parent="100", task="refresh-query"),
+    )
+    out = schedule_with_runs(latest_schedules(schedule_changes(a)), run_history(run_events(a))).collect()
+    assert [(r.job_id, r.total_num_runs, r.total_run_duration_seconds, r.last_run_time) for r in out] == [
+        ("9", 1, 3, ts(2024, 1, 3))]
+
+
+def test_dashboard_publishers_and_queries(spark):
+    pub = lambda t, email, d="d1": {"service_name": "dashboards", "action_name": "publishDashboard", "event_time": t,
+                                    "event_date": t.date(), "email": email, "request_params": {"dashboard_id": d}}
+    a = audit(
+        spark,
+        pub(ts(2024, 1, 1), "old@x"), pub(ts(2024, 1, 2), "b@x"), pub(ts(2024, 1, 2), "a@x"),  # Q12 tie -> max email
+        pub(ts(2022, 1, 1), "ancient@x", "d2"),  # before the publish floor
+        {"service_name": "dashboards", "action_name": "executeQuery", "event_time": ts(2024, 1, 3), "workspace_id": 5,
+         "user_agent": "LAKEVIEW_PROCESSING/2", "request_params": {"dashboard_id": "d1", "statement_id": "s1"}},
+        {"service_name": "dashboards", "action_name": "executeQuery", "event_time": ts(2024, 1, 3), "workspace_id": 5,
+         "user_agent": None, "request_params": {"dashboard_id": "d2", "statement_id": "s2"}},
+    )
+    pubs = dashboard_publishers(a)
+    assert rows(pubs) == [("d1", "b@x")]
+    h = history(spark, {"statement_id": "s1", "executed_by": "e1", "total_duration_ms": 1500},
+                {"statement_id": "s2", "executed_by": "e2", "total_duration_ms": None})
+    out = {r.statement_id: r for r in dashboard_queries(a, h, pubs).collect()}
+    assert (out["s1"].mode, out["s1"].user_owner, out["s1"].total_duration, out["s1"].workspace_id) == ("scheduled", "b@x", 1.5, 5)
+    assert (out["s2"].mode, out["s2"].user_owner, out["s2"].total_duration) == ("interactive", "e2", None)
+    assert "total_duration_ms" not in dashboard_queries(a, h, pubs).columns

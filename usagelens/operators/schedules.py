@@ -94,16 +94,16 @@ def latest_schedules(changes: DataFrame) -> DataFrame:
     filtered left joins act as inner joins); tied event times multiply rows; deleted
     jobs and jobs whose newest event lacks the origin flag are dropped.
 
-    Plan: the parsed events are hash-partitioned on ``job_id`` once; that one exchange
-    feeds both the aggregate of the four newest times per job and the join back to the
-    events (Spark reuses it, so the audit rows are read, parsed and shuffled once). The
-    join keeps only rows that are newest for at least one role; an aggregate on the
-    same partitioning gathers, per role, the rows tied at that newest time (usually
-    one), and explodes rebuild their product. Both aggregates stream with one buffer
-    per job, and only a job's newest rows are ever gathered.
+    Plan: a partial aggregate over a narrow projection gives the four newest times of
+    each job (only per-task partial maxima are shuffled); one equi-join on ``job_id``
+    brings them to the events, which are shuffled once (AQE splits a hot job's
+    partition); the join keeps only rows that are newest for at least one role; an
+    aggregate on the join's partitioning (no further shuffle) gathers, per role, the
+    rows tied at that newest time (usually one), and explodes rebuild their product.
+    No window sorts a whole job in one task, and only a job's newest rows are gathered.
     """
     t = F.col("event_time")
-    events = changes.where(F.col("job_id").isNotNull()).repartition("job_id")
+    events = changes.where(F.col("job_id").isNotNull())
     newest = events.groupBy("job_id").agg(
         F.max(t).alias("_t_any"),
         F.max(F.when(F.col("schedule_cron").isNotNull(), t)).alias("_t_cron"),
