@@ -27,12 +27,15 @@ RUN_HISTORY_COLUMNS = [
 ]
 
 
-def timeline_run_stats(timeline: DataFrame, task_keys: Sequence[str] = SQL_TASK_KEYS) -> DataFrame:
-    """Distinct runs and summed run seconds per (workspace, job, task, state, warehouse set).
+def timeline_run_stats(
+    timeline: DataFrame, task_keys: Sequence[str] = SQL_TASK_KEYS, sort: bool = True
+) -> DataFrame:
+    """Distinct runs and summed run seconds per (workspace, job, task, state, warehouse set),
+    longest total first.
 
     The warehouse set is ``array_distinct(compute_ids)``, a grouping key of its own.
     """
-    return (
+    out = (
         timeline.where(F.col("task_key").isin(list(task_keys)))
         .groupBy(
             "workspace_id", "job_id", "task_key", "result_state",
@@ -47,6 +50,7 @@ def timeline_run_stats(timeline: DataFrame, task_keys: Sequence[str] = SQL_TASK_
             "total_num_runs", "total_run_duration_seconds", "warehouses",
         )
     )
+    return out.orderBy(F.desc("total_run_duration_seconds")) if sort else out
 
 
 def run_events(audit: DataFrame) -> DataFrame:
@@ -125,13 +129,14 @@ def run_history(events: DataFrame, task_keys: Sequence[str] = SQL_TASK_KEYS) ->
     )
 
 
-def run_stats(history: DataFrame) -> DataFrame:
+def run_stats(history: DataFrame, sort: bool = True) -> DataFrame:
     """Distinct runs, summed run seconds and the set of warehouses per
-    (workspace, job, task, state, query, dashboard, alert)."""
-    return history.groupBy(
+    (workspace, job, task, state, query, dashboard, alert), longest total first."""
+    out = history.groupBy(
         "workspace_id", "job_id", "task_key", "run_state", "query_id", "dashboard_id", "alert_id"
     ).agg(
         F.count_distinct("main_run_id").alias("total_num_runs"),
         F.sum(epoch_seconds_between("run_event_time", "run_end_event_time")).alias("total_run_duration_seconds"),
         F.collect_set("warehouse_id").alias("warehouses"),
     )
+    return out.orderBy(F.desc("total_run_duration_seconds")) if sort else out

@@ -35,11 +35,12 @@ def job_id_of_event() -> F.Column:
     )
 
 
-def schedule_changes(audit: DataFrame) -> DataFrame:
+def schedule_changes(audit: DataFrame, sort: bool = False) -> DataFrame:
     """Create / update / delete events of the jobs service with their payloads parsed.
 
     The three create-task shapes are parsed once with their union schema; an element
-    of an empty or missing task array is NULL.
+    of an empty or missing task array is NULL. ``sort`` orders by job and time (the
+    view's order, which readers of a view cannot rely on, so it is off by default).
     """
     main = audit.where((F.col("service_name") == JOBS_SERVICE) & F.col("action_name").isin(CHANGE_ACTIONS)).select(
         "workspace_id",
@@ -58,7 +59,7 @@ def schedule_changes(audit: DataFrame) -> DataFrame:
         "request_params",
         "response",
     )
-    return main.select(
+    out = main.select(
         "workspace_id",
         "event_time",
         "service_name",
@@ -85,6 +86,7 @@ def schedule_changes(audit: DataFrame) -> DataFrame:
         "update_info",
         "response",
     )
+    return out.orderBy("job_id", "event_time") if sort else out
 
 
 def latest_schedules(changes: DataFrame) -> DataFrame:
