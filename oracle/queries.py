@@ -1,19 +1,47 @@
 """DuckDB oracle SQL for every checkable query (same output names as the Spark side).
 
-The report logic follows the reports' own SQL shapes (window averages over the whole
-table, four dense-rank subsets with left joins, the plain range join, the self-join of
-statements to their overlaps); doubles are rounded to 6 places as on the Spark side.
+Written as plain relational SQL in its own terms: whole-history averages are a one-row
+aggregate, statement cost groups the overlap pairs directly, the latest schedule uses
+per-role newest times, and every join is explicit. Doubles are rounded to 6 places the
+same way as on the Spark side.
 """
 
 from __future__ import annotations
 
 from .fixtures import AUDIT, LIST_PRICES, QUERY_HISTORY, TIMELINE, USAGE, WAREHOUSE_EVENTS
 
-AS_OF = "DATE '2024-01-31'"
+BOUND_15 = "DATE '2024-01-31' - INTERVAL 15 DAY"
+BOUND_10 = "DATE '2024-01-31' - INTERVAL 10 DAY"
 DETAIL_NODE = "model.p.view"
 ONE_DASHBOARD = "d3"
 SQL_TASK_KEYS = "('refresh-dashboard', 'refresh-alert', 'refresh-query', 'sqlalert', 'sqldashboard', 'sqlsavedquery')"
 
+DOUBLES = {
+    "QueryRuntimeSeconds", "CPUTotalExecutionTime", "ExecutionQueryTime", "CompilationQueryTime", "QueueQueryTime",
+    "StartUpQueryTime", "ResultFetchTime", "TotalResourceTimeUsedForAllocation",
+    "TotalCPUTime_To_Execution_Time_Ratio", "ProportionQueueTime", "WarehouseAvgQueryRuntime",
+    "WarehouseAvgQueueTime", "WarehouseAvgProportionTimeQueueing", "ReadDataAmountInGB", "Calc_ReadDataFlag",
+    "Calc_UsedWorkerTasksFlag", "approx_query_cost", "apprx_query_cost", "cost_per_second", "sku_price",
+    "usage_quantity", "total_cost_for_warehouse_uptime",
+}
+
+METRICS = [
+    "workspace_id", "statement_id", "executed_by", "statement_text", "warehouse_id", "execution_status",
+    "statement_type", "client_application", "error_message", "QueryRuntimeSeconds", "CPUTotalExecutionTime",
+    "ExecutionQueryTime", "CompilationQueryTime", "QueueQueryTime", "StartUpQueryTime", "ResultFetchTime",
+    "TotalResourceTimeUsedForAllocation", "start_time", "end_time", "update_time", "read_bytes",
+    "read_io_cache_percent", "from_result_cache", "spilled_local_bytes", "TotalCPUTime_To_Execution_Time_Ratio",
+    "ProportionQueueTime",
+]
+AVERAGES = ["WarehouseAvgQueryRuntime", "WarehouseAvgQueueTime", "WarehouseAvgProportionTimeQueueing"]
+FLAGS = [
+    "ReadDataAmountInGB", "UsedCacheFlag", "HasSpillFlag", "ReadDataFlag", "UsedWorkerTasksFlag",
+    "Calc_HasSpillFlag", "Calc_ReadDataFlag", "Calc_UsedWorkerTasksFlag",
+]
+COMMENT_KEYS = ["app", "node_id", "profile_name", "target_name", "connection_name", "dbt_version", "dbt_databricks_version"]
+META = ["DBT_Query_Type", *COMMENT_KEYS, "node_or_connection"]
+TOOL = [*METRICS, *AVERAGES, *FLAGS, "dbt_metadata_json", *META]
+
 
 def _with(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
@@ -24,222 +52,203 @@ def _rd(expr: str) -> str:
     return f"CAST(round(CAST(round({expr}, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE)"
 
 
-def _r(*cols: str) -> str:
-    return ", ".join(f"{_rd(c)} AS {c}" for c in cols)
+def _cols(alias: str, names: list[str]) -> str:
+    """Select list with doubles rounded."""
+    out = []
+    for n in names:
+        ref = f"{alias}.{n}" if alias else n
+        out.append(f"{_rd(ref)} AS {n}" if n in DOUBLES else ref)
+    return ", ".join(out)
 
 
-def _raw_qh(partition: str = "") -> str:
-    sec = "COALESCE(CAST({c} AS DOUBLE) / 1000, 0)"
-    s = {c: sec.format(c=c) for c in [
-        "total_duration_ms", "total_task_duration_ms", "execution_duration_ms", "compilation_duration_ms",
-        "waiting_at_capacity_duration_ms", "waiting_for_compute_duration_ms", "result_fetch_duration_ms"]}
-    open_at, close_at = "instr(statement_text, '/*')", "instr(statement_text, '*/')"
-    return f"""
-raw_qh AS (
+def _sec(col: str) -> str:
+    return f"coalesce(CAST(h.{col} AS DOUBLE) / 1000, 0)"
+
+
+# --- statements --------------------------------------------------------------------
+
+STMT = f"""
+stmt AS (
   SELECT
-    workspace_id, statement_id, executed_by, statement_text, warehouse_id, execution_status, statement_type,
-    client_application,
-    COALESCE(error_message, 'None') AS error_message,
-    {s['total_duration_ms']} AS QueryRuntimeSeconds,
-    {s['total_task_duration_ms']} AS CPUTotalExecutionTime,
-    {s['execution_duration_ms']} AS ExecutionQueryTime,
-    {s['compilation_duration_ms']} AS CompilationQueryTime,
-    {s['waiting_at_capacity_duration_ms']} AS QueueQueryTime,
-    {s['waiting_for_compute_duration_ms']} AS StartUpQueryTime,
-    {s['result_fetch_duration_ms']} AS ResultFetchTime,
-    CASE WHEN {s['total_task_duration_ms']} = 0 THEN 0
-         ELSE {s['total_duration_ms']} + {s['compilation_duration_ms']} END AS TotalResourceTimeUsedForAllocation,
-    start_time, end_time, update_time,
-    COALESCE(read_bytes, 0) AS read_bytes,
-    COALESCE(read_io_cache_percent, 0) AS read_io_cache_percent,
-    from_result_cache,
-    COALESCE(spilled_local_bytes, 0) AS spilled_local_bytes,
-    CAST(total_task_duration_ms AS DOUBLE) / NULLIF(total_duration_ms, 0) AS TotalCPUTime_To_Execution_Time_Ratio,
-    COALESCE(CAST(waiting_at_capacity_duration_ms AS DOUBLE) / NULLIF(total_duration_ms, 0), 0) AS ProportionQueueTime,
-    AVG(CAST(total_duration_ms AS DOUBLE) / 1000) OVER ({partition}) AS WarehouseAvgQueryRuntime,
-    AVG(CAST(waiting_at_capacity_duration_ms AS DOUBLE) / 1000) OVER ({partition}) AS WarehouseAvgQueueTime,
-    AVG(COALESCE((CAST(waiting_at_capacity_duration_ms AS DOUBLE) / 1000)
-                 / NULLIF(CAST(total_duration_ms AS DOUBLE) / 1000, 0), 0)) OVER ({partition}) AS WarehouseAvgProportionTimeQueueing,
-    CASE WHEN read_bytes > 0 THEN CAST(read_bytes AS DOUBLE) / 1073741824 ELSE 0 END AS ReadDataAmountInGB,
-    CASE WHEN read_io_cache_percent > 0 THEN 'Used Cache' ELSE 'No Cache' END AS UsedCacheFlag,
-    CASE WHEN spilled_local_bytes > 0 THEN 'Spilled Data To Disk' ELSE 'No Spill' END AS HasSpillFlag,
-    CASE WHEN read_bytes > 0 THEN 'Did Read Data' ELSE 'No Data Read' END AS ReadDataFlag,
-    CASE WHEN {s['total_task_duration_ms']} > 0 THEN 'UsedWorkerTasks' ELSE 'NoWorkers' END AS UsedWorkerTasksFlag,
-    CASE WHEN spilled_local_bytes > 0 THEN 1 ELSE 0 END AS Calc_HasSpillFlag,
-    CAST(CASE WHEN read_bytes > 0 THEN 0.25 ELSE 0 END AS DOUBLE) AS Calc_ReadDataFlag,
-    CAST(CASE WHEN {s['total_task_duration_ms']} > 0 THEN 0.25 ELSE 0 END AS DOUBLE) AS Calc_UsedWorkerTasksFlag,
-    CASE WHEN {close_at} - {open_at} - 2 <= 0 THEN ''
-         ELSE substr(statement_text, {open_at} + 2, {close_at} - {open_at} - 2) END AS dbt_metadata_json
-  FROM qh
+    h.workspace_id, h.statement_id, h.executed_by, h.statement_text, h.warehouse_id, h.execution_status,
+    h.statement_type, h.client_application,
+    coalesce(h.error_message, 'None') AS error_message,
+    {_sec('total_duration_ms')} AS QueryRuntimeSeconds,
+    {_sec('total_task_duration_ms')} AS CPUTotalExecutionTime,
+    {_sec('execution_duration_ms')} AS ExecutionQueryTime,
+    {_sec('compilation_duration_ms')} AS CompilationQueryTime,
+    {_sec('waiting_at_capacity_duration_ms')} AS QueueQueryTime,
+    {_sec('waiting_for_compute_duration_ms')} AS StartUpQueryTime,
+    {_sec('result_fetch_duration_ms')} AS ResultFetchTime,
+    CASE WHEN {_sec('total_task_duration_ms')} = 0 THEN 0.0
+         ELSE {_sec('total_duration_ms')} + {_sec('compilation_duration_ms')} END AS TotalResourceTimeUsedForAllocation,
+    h.start_time, h.end_time, h.update_time,
+    coalesce(h.read_bytes, 0) AS read_bytes,
+    coalesce(h.read_io_cache_percent, 0) AS read_io_cache_percent,
+    h.from_result_cache,
+    coalesce(h.spilled_local_bytes, 0) AS spilled_local_bytes,
+    CASE WHEN h.total_duration_ms <> 0
+         THEN CAST(h.total_task_duration_ms AS DOUBLE) / h.total_duration_ms END AS TotalCPUTime_To_Execution_Time_Ratio,
+    CASE WHEN h.total_duration_ms <> 0 AND h.waiting_at_capacity_duration_ms IS NOT NULL
+         THEN CAST(h.waiting_at_capacity_duration_ms AS DOUBLE) / h.total_duration_ms ELSE 0.0 END AS ProportionQueueTime,
+    CASE WHEN h.read_bytes > 0 THEN CAST(h.read_bytes AS DOUBLE) / 1073741824 ELSE 0.0 END AS ReadDataAmountInGB,
+    CASE WHEN h.read_io_cache_percent > 0 THEN 'Used Cache' ELSE 'No Cache' END AS UsedCacheFlag,
+    CASE WHEN h.spilled_local_bytes > 0 THEN 'Spilled Data To Disk' ELSE 'No Spill' END AS HasSpillFlag,
+    CASE WHEN h.read_bytes > 0 THEN 'Did Read Data' ELSE 'No Data Read' END AS ReadDataFlag,
+    CASE WHEN coalesce(h.total_task_duration_ms, 0) > 0 THEN 'UsedWorkerTasks' ELSE 'NoWorkers' END AS UsedWorkerTasksFlag,
+    CASE WHEN h.spilled_local_bytes > 0 THEN 1 ELSE 0 END AS Calc_HasSpillFlag,
+    CASE WHEN h.read_bytes > 0 THEN 0.25 ELSE 0.0 END AS Calc_ReadDataFlag,
+    CASE WHEN coalesce(h.total_task_duration_ms, 0) > 0 THEN 0.25 ELSE 0.0 END AS Calc_UsedWorkerTasksFlag,
+    CASE WHEN h.statement_text IS NULL THEN NULL
+         WHEN strpos(h.statement_text, '*/') - strpos(h.statement_text, '/*') > 2
+         THEN substring(h.statement_text, strpos(h.statement_text, '/*') + 2,
+                        strpos(h.statement_text, '*/') - strpos(h.statement_text, '/*') - 2)
+         ELSE '' END AS dbt_metadata_json
+  FROM qh h
 )"""
 
 
-_KEYS = ["app", "node_id", "profile_name", "target_name", "connection_name", "dbt_version", "dbt_databricks_version"]
+def _fleet(by_warehouse: bool = False) -> str:
+    share = (
+        "CASE WHEN total_duration_ms <> 0 AND waiting_at_capacity_duration_ms IS NOT NULL "
+        "THEN (CAST(waiting_at_capacity_duration_ms AS DOUBLE) / 1000) / (CAST(total_duration_ms AS DOUBLE) / 1000) "
+        "ELSE 0.0 END"
+    )
+    key = "warehouse_id, " if by_warehouse else ""
+    group = " GROUP BY warehouse_id" if by_warehouse else ""
+    return f"""
+fleet AS (
+  SELECT {key}
+    avg(CAST(total_duration_ms AS DOUBLE) / 1000) AS WarehouseAvgQueryRuntime,
+    avg(CAST(waiting_at_capacity_duration_ms AS DOUBLE) / 1000) AS WarehouseAvgQueueTime,
+    avg({share}) AS WarehouseAvgProportionTimeQueueing
+  FROM qh{group}
+)"""
 
 
-def _enhanced(missing: str = "NULL") -> str:
-    fields = ",\n    ".join(f"COALESCE(json_extract_string(j, '$.{k}'), {missing}) AS {k}" for k in _KEYS)
+def _meta(missing: str = "NULL") -> str:
+    keys = ",\n    ".join(f"coalesce(json_extract_string(doc, '$.{k}'), {missing}) AS {k}" for k in COMMENT_KEYS)
     return f"""
-enhanced_qh AS (
-  SELECT * EXCLUDE (j),
-    CASE WHEN (lower(json_extract_string(j, '$.app')) = 'dbt' OR client_application LIKE '%dbt%')
+meta AS (
+  SELECT s.* EXCLUDE (doc),
+    CASE WHEN lower(json_extract_string(doc, '$.app')) = 'dbt' OR s.client_application LIKE '%dbt%'
          THEN 'DBT Query' ELSE 'Other Query Type' END AS DBT_Query_Type,
-    {fields},
-    COALESCE(json_extract_string(j, '$.node_id'), json_extract_string(j, '$.connection_name'), {missing}) AS node_or_connection
-  FROM (SELECT *, try_cast(dbt_metadata_json AS JSON) AS j FROM raw_qh)
+    {keys},
+    coalesce(json_extract_string(doc, '$.node_id'), json_extract_string(doc, '$.connection_name'), {missing})
+      AS node_or_connection
+  FROM (SELECT *, try_cast(dbt_metadata_json AS JSON) AS doc FROM stmt) s
 )"""
 
 
-COST = """
-consumption_cost AS (
-  SELECT u.usage_start_time, u.usage_end_time, l.sku_name, l.price AS sku_price, u.usage_date, u.usage_quantity,
-         u.warehouse_id, l.price * u.usage_quantity AS total_cost_for_warehouse_uptime
-  FROM list_prices l INNER JOIN usage u ON l.sku_name = u.sku_name
-  WHERE l.sku_name ILIKE '%serverless%sql%'
+BILLING = """
+billed AS (
+  SELECT u.usage_start_time, u.usage_end_time, p.sku_name, p.price AS sku_price, u.usage_date, u.usage_quantity,
+         u.warehouse_id, p.price * u.usage_quantity AS total_cost_for_warehouse_uptime,
+         date_sub('second', u.usage_start_time, u.usage_end_time) AS billed_seconds
+  FROM usage u JOIN list_prices p ON p.sku_name = u.sku_name
+  WHERE lower(p.sku_name) LIKE '%serverless%sql%'
 ),
-query_durations AS (
-  SELECT q.statement_id, q.workspace_id, q.warehouse_id, q.start_time, q.end_time, c.usage_start_time, c.usage_end_time,
-    COALESCE(date_sub('second', greatest(q.start_time, c.usage_start_time), least(q.end_time, c.usage_end_time)), 0)
-      AS query_duration_in_interval,
-    c.total_cost_for_warehouse_uptime / NULLIF(date_sub('second', c.usage_start_time, c.usage_end_time), 0) AS cost_per_second
-  FROM qh q INNER JOIN consumption_cost c ON q.warehouse_id = c.warehouse_id
-  WHERE q.start_time < c.usage_end_time AND q.end_time > c.usage_start_time
+pairs AS (
+  SELECT h.statement_id, h.workspace_id, h.warehouse_id, h.start_time, h.end_time, b.usage_start_time, b.usage_end_time,
+         coalesce(date_sub('second', greatest(h.start_time, b.usage_start_time), least(h.end_time, b.usage_end_time)), 0)
+           AS query_duration_in_interval,
+         CASE WHEN b.billed_seconds <> 0 THEN b.total_cost_for_warehouse_uptime / b.billed_seconds END AS cost_per_second
+  FROM qh h JOIN billed b
+    ON b.warehouse_id = h.warehouse_id AND h.start_time < b.usage_end_time AND b.usage_start_time < h.end_time
 ),
-query_costs AS (
-  SELECT q.statement_id, q.workspace_id, q.warehouse_id, q.start_time, q.end_time,
-         SUM(qd.query_duration_in_interval * qd.cost_per_second) AS approx_query_cost
-  FROM qh q INNER JOIN query_durations qd ON q.statement_id = qd.statement_id
-  GROUP BY q.statement_id, q.workspace_id, q.warehouse_id, q.start_time, q.end_time
+stmt_cost AS (
+  SELECT statement_id, workspace_id, warehouse_id, start_time, end_time,
+         sum(query_duration_in_interval * cost_per_second) AS approx_query_cost
+  FROM pairs
+  GROUP BY statement_id, workspace_id, warehouse_id, start_time, end_time
 )"""
 
-_DOUBLES = [
-    "QueryRuntimeSeconds", "CPUTotalExecutionTime", "ExecutionQueryTime", "CompilationQueryTime", "QueueQueryTime",
-    "StartUpQueryTime", "ResultFetchTime", "TotalResourceTimeUsedForAllocation",
-    "TotalCPUTime_To_Execution_Time_Ratio", "ProportionQueueTime", "WarehouseAvgQueryRuntime",
-    "WarehouseAvgQueueTime", "WarehouseAvgProportionTimeQueueing", "ReadDataAmountInGB", "Calc_ReadDataFlag",
-    "Calc_UsedWorkerTasksFlag",
-]
-_REPLACE_DOUBLES = "REPLACE (" + _r(*_DOUBLES) + ")"
-
-_METRIC_COLUMNS = (
-    "workspace_id, statement_id, executed_by, statement_text, warehouse_id, execution_status, statement_type, "
-    "client_application, error_message, "
-    + _r("QueryRuntimeSeconds", "CPUTotalExecutionTime", "ExecutionQueryTime", "CompilationQueryTime", "QueueQueryTime", "StartUpQueryTime",
-         "ResultFetchTime", "TotalResourceTimeUsedForAllocation")
-    + ", start_time, end_time, update_time, read_bytes, read_io_cache_percent, from_result_cache, spilled_local_bytes, "
-    + _r("TotalCPUTime_To_Execution_Time_Ratio", "ProportionQueueTime", "ReadDataAmountInGB")
-)
-
 SQL: dict[str, str] = {}
 
-SQL["statement_metrics"] = _with(QUERY_HISTORY, _raw_qh()) + f"SELECT {_METRIC_COLUMNS} FROM raw_qh"
+SQL["statement_metrics"] = _with(QUERY_HISTORY, STMT) + f"SELECT {_cols('', [*METRICS, 'ReadDataAmountInGB'])} FROM stmt"
 
-SQL["statement_flags"] = _with(QUERY_HISTORY, _raw_qh()) + (
-    "SELECT statement_id, " + _r("ReadDataAmountInGB") + ", UsedCacheFlag, HasSpillFlag, "
-    "ReadDataFlag, UsedWorkerTasksFlag, Calc_HasSpillFlag, "
-    + _r("Calc_ReadDataFlag", "Calc_UsedWorkerTasksFlag") + " FROM raw_qh"
-)
-
-SQL["fleet_averages"] = _with(QUERY_HISTORY, _raw_qh()) + (
-    "SELECT statement_id, "
-    + _r("QueryRuntimeSeconds", "WarehouseAvgQueryRuntime", "WarehouseAvgQueueTime", "WarehouseAvgProportionTimeQueueing")
-    + " FROM raw_qh"
-)
+SQL["statement_flags"] = _with(QUERY_HISTORY, STMT) + f"SELECT {_cols('', ['statement_id', *FLAGS])} FROM stmt"
 
-SQL["fleet_averages_by_warehouse"] = _with(QUERY_HISTORY, _raw_qh("PARTITION BY warehouse_id")) + (
-    "SELECT statement_id, warehouse_id, "
-    + _r("WarehouseAvgQueryRuntime", "WarehouseAvgQueueTime", "WarehouseAvgProportionTimeQueueing")
-    + " FROM raw_qh"
+SQL["fleet_averages"] = _with(QUERY_HISTORY, STMT, _fleet()) + (
+    f"SELECT {_cols('s', ['statement_id', 'QueryRuntimeSeconds'])}, {_cols('f', AVERAGES)} FROM stmt s CROSS JOIN fleet f"
 )
 
-_COMMENT_SELECT = (
-    "SELECT statement_id, dbt_metadata_json, app, node_id, profile_name, target_name, connection_name, "
-    "dbt_version, dbt_databricks_version, node_or_connection FROM enhanced_qh"
+SQL["fleet_averages_by_warehouse"] = _with(QUERY_HISTORY, STMT, _fleet(by_warehouse=True)) + (
+    f"SELECT {_cols('s', ['statement_id', 'warehouse_id'])}, {_cols('f', AVERAGES)} "
+    "FROM stmt s LEFT JOIN fleet f ON f.warehouse_id = s.warehouse_id"
 )
-SQL["comment_metadata"] = _with(QUERY_HISTORY, _raw_qh(), _enhanced()) + _COMMENT_SELECT
-SQL["comment_metadata_filled"] = _with(QUERY_HISTORY, _raw_qh(), _enhanced("'None'")) + _COMMENT_SELECT
 
-SQL["client_label"] = _with(QUERY_HISTORY, _raw_qh(), _enhanced()) + (
-    "SELECT statement_id, client_application, DBT_Query_Type FROM enhanced_qh"
-)
+_COMMENT = ["statement_id", "dbt_metadata_json", *COMMENT_KEYS, "node_or_connection"]
+SQL["comment_metadata"] = _with(QUERY_HISTORY, STMT, _meta()) + f"SELECT {_cols('', _COMMENT)} FROM meta"
+SQL["comment_metadata_filled"] = _with(QUERY_HISTORY, STMT, _meta("'None'")) + f"SELECT {_cols('', _COMMENT)} FROM meta"
+SQL["client_label"] = _with(QUERY_HISTORY, STMT, _meta()) + "SELECT statement_id, client_application, DBT_Query_Type FROM meta"
 
-_COST_BASE = _with(QUERY_HISTORY, USAGE, LIST_PRICES, COST)
+_COST_BASE = _with(QUERY_HISTORY, USAGE, LIST_PRICES, BILLING)
 
-SQL["priced_usage"] = _COST_BASE + (
-    "SELECT usage_start_time, usage_end_time, sku_name, usage_date, warehouse_id, "
-    + _r("sku_price", "usage_quantity", "total_cost_for_warehouse_uptime") + " FROM consumption_cost"
-)
+SQL["priced_usage"] = _COST_BASE + "SELECT " + _cols("", [
+    "usage_start_time", "usage_end_time", "sku_name", "sku_price", "usage_date", "usage_quantity", "warehouse_id",
+    "total_cost_for_warehouse_uptime",
+]) + " FROM billed"
 
 SQL["interval_overlap"] = _COST_BASE + (
-    "SELECT statement_id, warehouse_id, start_time, end_time, usage_start_time, usage_end_time FROM query_durations"
+    "SELECT statement_id, warehouse_id, start_time, end_time, usage_start_time, usage_end_time FROM pairs"
 )
 SQL["interval_overlap_plain"] = SQL["interval_overlap"]
 
-SQL["allocate_cost"] = _COST_BASE + (
-    "SELECT statement_id, warehouse_id, usage_start_time, query_duration_in_interval, "
-    + _r("cost_per_second") + " FROM query_durations"
-)
+SQL["allocate_cost"] = _COST_BASE + "SELECT " + _cols("", [
+    "statement_id", "warehouse_id", "usage_start_time", "query_duration_in_interval", "cost_per_second",
+]) + " FROM pairs"
 
-SQL["statement_cost"] = _COST_BASE + (
-    "SELECT statement_id, workspace_id, warehouse_id, start_time, end_time, " + _r("approx_query_cost")
-    + " FROM query_costs"
-)
+SQL["statement_cost"] = _COST_BASE + "SELECT " + _cols("", [
+    "statement_id", "workspace_id", "warehouse_id", "start_time", "end_time", "approx_query_cost",
+]) + " FROM stmt_cost"
 
 SQL["elapsed_vs_epoch_seconds"] = _with(QUERY_HISTORY) + (
     "SELECT statement_id, date_sub('second', start_time, end_time) AS elapsed_seconds, "
     "date_diff('second', start_time, end_time) AS epoch_seconds FROM qh"
 )
 
-SQL["enhanced_history"] = _with(QUERY_HISTORY, USAGE, LIST_PRICES, _raw_qh(), _enhanced(), COST) + f"""
-SELECT qh.* {_REPLACE_DOUBLES}, {_rd('qc.approx_query_cost')} AS approx_query_cost
-FROM enhanced_qh qh, query_costs qc
-WHERE qh.workspace_id = qc.workspace_id
-  AND qh.statement_id = qc.statement_id
-  AND qh.start_time >= {AS_OF} - INTERVAL 15 DAY
-ORDER BY approx_query_cost DESC"""
-
-
-def _node_base(min_runtime: int) -> str:
-    return _with(QUERY_HISTORY, USAGE, LIST_PRICES, _raw_qh(), _enhanced("'None'"), COST) + f""",
-query_cost AS (
-  SELECT qc.statement_id, qc.workspace_id, qc.warehouse_id, qc.start_time, qc.end_time,
-         qc.approx_query_cost AS apprx_query_cost, qq.total_task_duration_ms, qq.statement_text, qq.client_application
-  FROM query_costs qc, qh qq
-  WHERE qc.start_time >= {AS_OF} - INTERVAL 10 DAY
-    AND qq.start_time >= {AS_OF} - INTERVAL 10 DAY
-    AND qc.statement_id = qq.statement_id
-),
-tool AS (
-  SELECT m.*, qc.apprx_query_cost, qc.total_task_duration_ms
-  FROM enhanced_qh m, query_cost qc
-  WHERE m.DBT_Query_Type = 'DBT Query'
-    AND m.QueryRuntimeSeconds > {min_runtime}
-    AND m.workspace_id = qc.workspace_id
-    AND m.start_time >= {AS_OF} - INTERVAL 10 DAY
-    AND m.statement_id = qc.statement_id
+SQL["enhanced_history"] = _with(QUERY_HISTORY, USAGE, LIST_PRICES, STMT, _fleet(), _meta(), BILLING) + f"""
+SELECT {_cols('m', [c for c in TOOL if c not in AVERAGES])}, {_cols('f', AVERAGES)},
+       {_rd('c.approx_query_cost')} AS approx_query_cost
+FROM meta m
+CROSS JOIN fleet f
+JOIN stmt_cost c ON c.workspace_id = m.workspace_id AND c.statement_id = m.statement_id
+WHERE m.start_time >= {BOUND_15}"""
+
+
+def _tool_cost(min_runtime: int) -> str:
+    base = _with(QUERY_HISTORY, USAGE, LIST_PRICES, STMT, _fleet(), _meta("'None'"), BILLING)
+    return base + f""",
+tool_cost AS (
+  SELECT m.*, f.*, c.approx_query_cost AS apprx_query_cost, h.total_task_duration_ms
+  FROM meta m
+  CROSS JOIN fleet f
+  JOIN stmt_cost c ON c.workspace_id = m.workspace_id AND c.statement_id = m.statement_id AND c.start_time >= {BOUND_10}
+  JOIN qh h ON h.statement_id = c.statement_id AND h.start_time >= {BOUND_10}
+  WHERE m.DBT_Query_Type = 'DBT Query' AND m.QueryRuntimeSeconds > {min_runtime} AND m.start_time >= {BOUND_10}
 )
 """
 
 
-SQL["node_cost_report"] = _node_base(60) + f"""
+SQL["node_cost_report"] = _tool_cost(60) + f"""
 SELECT workspace_id, profile_name, target_name, node_or_connection,
-       count(1) AS num_runs,
+       count(*) AS num_runs,
        {_rd('sum(CPUTotalExecutionTime)')} AS sum_CPUTotalExecutionTime,
        {_rd('sum(QueryRuntimeSeconds)')} AS sum_QueryRuntimeSeconds,
        min(statement_id) AS example_statement_id,
        {_rd('sum(apprx_query_cost)')} AS sum_apprx_query_cost,
-       {_rd('mean(apprx_query_cost)')} AS avg_apprx_query_cost,
-       {_rd('median(apprx_query_cost)')} AS med_apprx_query_cost
-FROM tool
-GROUP BY ALL
-ORDER BY sum_CPUTotalExecutionTime DESC"""
-
-SQL["node_cost_detail"] = _node_base(1) + f"""
-SELECT * {_REPLACE_DOUBLES[:-1]}, {_rd('apprx_query_cost')} AS apprx_query_cost)
-FROM tool
+       {_rd('avg(apprx_query_cost)')} AS avg_apprx_query_cost,
+       {_rd('quantile_cont(apprx_query_cost, 0.5)')} AS med_apprx_query_cost
+FROM tool_cost
+GROUP BY workspace_id, profile_name, target_name, node_or_connection"""
+
+SQL["node_cost_detail"] = _tool_cost(1) + f"""
+SELECT {_cols('', [*TOOL, 'apprx_query_cost', 'total_task_duration_ms'])}
+FROM tool_cost
 WHERE node_or_connection = '{DETAIL_NODE}'"""
 
-# --- audit log: schedules ------------------------------------------------------------
+# --- audit log: schedules --------------------------------------------------------------
 
 _SCHEDULE_T = """'{"quartz_cron_expression":"VARCHAR","timezone_id":"VARCHAR","pause_status":"VARCHAR"}'"""
 _NEW_SETTINGS_T = (
@@ -249,7 +258,7 @@ _NEW_SETTINGS_T = (
 )
 
 CHANGES = f"""
-schedule_main AS (
+job_events AS (
   SELECT workspace_id, event_time, service_name, action_name, email AS user_email,
     coalesce(json_extract_string(result, '$.job_id'), p_job_id, p_jobId) AS job_id,
     p_tasks,
@@ -257,7 +266,7 @@ schedule_main AS (
     json_transform(p_new_settings, {_NEW_SETTINGS_T}) AS update_info,
     p_name AS job_name, p_is_from_redash AS from_redash_ind, status_code AS status, error_message AS error
   FROM audit
-  WHERE service_name = 'jobs'
+  WHERE service_name = 'jobs' AND action_name IN ('create', 'update', 'delete')
 ),
 changes AS (
   SELECT workspace_id, event_time, service_name, action_name, user_email,
@@ -271,8 +280,7 @@ changes AS (
     coalesce(update_info.tasks[1].sql_task.warehouse_id, json_extract_string(p_tasks, '$[0].sql_task.warehouse_id'))
       AS warehouse_id,
     error, update_info
-  FROM schedule_main
-  WHERE action_name IN ('create', 'update', 'delete')
+  FROM job_events
 )"""
 
 SQL["schedule_changes"] = _with(AUDIT, CHANGES) + """
@@ -282,43 +290,55 @@ SELECT workspace_id, event_time, service_name, action_name, user_email, schedule
        update_info.schedule.quartz_cron_expression AS update_cron
 FROM changes"""
 
-_RANK = "dense_rank() OVER (PARTITION BY job_id ORDER BY event_time DESC) AS rec_rank"
-LATEST = f"""
-audit_info AS (SELECT *, {_RANK} FROM changes),
-schedule_view AS (
-  SELECT job_id, job_name, dashboard_id, warehouse_id, alert_id, query_id, schedule_cron, schedule_info, pause_status,
-         event_time, {_RANK}
-  FROM changes WHERE schedule_cron IS NOT NULL
+# newest time of each job overall and among rows carrying a cron, a pause status, or a
+# create-time schedule; every row at such a time takes that role (ties multiply)
+LATEST = """
+role_times AS (
+  SELECT job_id,
+         max(event_time) AS t_last,
+         max(event_time) FILTER (WHERE schedule_cron IS NOT NULL) AS t_cron,
+         max(event_time) FILTER (WHERE pause_status IS NOT NULL) AS t_pause,
+         max(event_time) FILTER (WHERE schedule_info IS NOT NULL) AS t_create
+  FROM changes WHERE job_id IS NOT NULL GROUP BY job_id
 ),
-pause_view AS (
-  SELECT job_id, job_name, dashboard_id, warehouse_id, alert_id, query_id, schedule_cron, pause_status, event_time, {_RANK}
-  FROM changes WHERE pause_status IS NOT NULL
+last_rows AS (
+  SELECT c.* FROM changes c JOIN role_times r USING (job_id) WHERE c.event_time IS NOT DISTINCT FROM r.t_last
 ),
-create_view AS (
-  SELECT job_id, job_name, dashboard_id, warehouse_id, alert_id, query_id, schedule_cron, schedule_info, pause_status,
-         event_time, {_RANK}
-  FROM changes WHERE schedule_info IS NOT NULL
+cron_rows AS (
+  SELECT c.job_id, c.schedule_cron, c.pause_status, c.schedule_info, c.job_name, c.dashboard_id, c.alert_id,
+         c.query_id, c.warehouse_id
+  FROM changes c JOIN role_times r USING (job_id)
+  WHERE c.schedule_cron IS NOT NULL AND c.event_time IS NOT DISTINCT FROM r.t_cron
+),
+pause_rows AS (
+  SELECT c.job_id, c.pause_status
+  FROM changes c JOIN role_times r USING (job_id)
+  WHERE c.pause_status IS NOT NULL AND c.event_time IS NOT DISTINCT FROM r.t_pause
+),
+create_rows AS (
+  SELECT c.job_id, c.job_name, c.dashboard_id, c.alert_id, c.query_id, c.warehouse_id
+  FROM changes c JOIN role_times r USING (job_id)
+  WHERE c.schedule_info IS NOT NULL AND c.event_time IS NOT DISTINCT FROM r.t_create
 ),
 latest AS (
   SELECT
-    a.workspace_id, a.event_time AS last_updated_time, a.service_name, a.user_email,
-    a.action_name AS last_updated_action,
-    coalesce(a.schedule_cron, s.schedule_cron) AS schedule_cron,
-    coalesce(a.pause_status, s.pause_status, p.pause_status) AS pause_status,
-    coalesce(a.schedule_info, s.schedule_info, a.update_info.schedule) AS schedule_info,
-    a.status, a.from_redash_ind, a.job_id,
-    coalesce(a.job_name, s.job_name, c.job_name) AS job_name,
-    coalesce(a.dashboard_id, s.dashboard_id, c.dashboard_id) AS dashboard_id,
-    coalesce(a.alert_id, s.alert_id, c.alert_id) AS alert_id,
-    coalesce(a.query_id, s.query_id, c.query_id) AS query_id,
-    coalesce(a.warehouse_id, s.warehouse_id, c.warehouse_id) AS warehouse_id,
-    a.error
-  FROM audit_info a
-    LEFT JOIN schedule_view s ON a.job_id = s.job_id
-    LEFT JOIN pause_view p ON a.job_id = p.job_id
-    LEFT JOIN create_view c ON a.job_id = c.job_id
-  WHERE a.rec_rank = 1 AND s.rec_rank = 1 AND p.rec_rank = 1 AND c.rec_rank = 1
-    AND a.action_name != 'delete' AND a.from_redash_ind = 'true'
+    n.workspace_id, n.event_time AS last_updated_time, n.service_name, n.user_email,
+    n.action_name AS last_updated_action,
+    coalesce(n.schedule_cron, k.schedule_cron) AS schedule_cron,
+    coalesce(n.pause_status, k.pause_status, p.pause_status) AS pause_status,
+    coalesce(n.schedule_info, k.schedule_info, n.update_info.schedule) AS schedule_info,
+    n.status, n.from_redash_ind, n.job_id,
+    coalesce(n.job_name, k.job_name, cr.job_name) AS job_name,
+    coalesce(n.dashboard_id, k.dashboard_id, cr.dashboard_id) AS dashboard_id,
+    coalesce(n.alert_id, k.alert_id, cr.alert_id) AS alert_id,
+    coalesce(n.query_id, k.query_id, cr.query_id) AS query_id,
+    coalesce(n.warehouse_id, k.warehouse_id, cr.warehouse_id) AS warehouse_id,
+    n.error
+  FROM last_rows n
+  JOIN cron_rows k ON k.job_id = n.job_id
+  JOIN pause_rows p ON p.job_id = n.job_id
+  JOIN create_rows cr ON cr.job_id = n.job_id
+  WHERE n.action_name <> 'delete' AND n.from_redash_ind = 'true'
 )"""
 
 SQL["latest_schedules"] = _with(AUDIT, CHANGES, LATEST) + """
@@ -328,14 +348,16 @@ SELECT workspace_id, last_updated_time, service_name, user_email, last_updated_a
 FROM latest"""
 
 SQL["latest_per_key"] = _with(TIMELINE) + """
-SELECT job_id, run_id, task_key, result_state, period_start_time
-FROM (SELECT *, dense_rank() OVER (PARTITION BY job_id ORDER BY period_start_time DESC) AS rec_rank FROM timeline)
-WHERE rec_rank = 1"""
+SELECT t.job_id, t.run_id, t.task_key, t.result_state, t.period_start_time
+FROM timeline t
+JOIN (SELECT job_id, max(period_start_time) AS newest FROM timeline GROUP BY job_id) m
+  ON m.job_id IS NOT DISTINCT FROM t.job_id
+WHERE t.period_start_time IS NOT DISTINCT FROM m.newest"""
 
-# --- audit log: runs -------------------------------------------------------------------
+# --- audit log: runs ---------------------------------------------------------------------
 
 RUNS = f"""
-run_main AS (
+run_ev AS (
   SELECT workspace_id, event_time, service_name, action_name,
     coalesce(json_extract_string(result, '$.job_id'), p_job_id, p_jobId) AS job_id,
     coalesce(p_multitaskParentRunId, p_runId) AS main_run_id,
@@ -343,34 +365,32 @@ run_main AS (
     p_dashboardId AS dashboard_id, p_alertId AS alert_id, p_warehouseId AS warehouse_id,
     p_runCreatorUserName AS creator_name, status_code AS status, error_message AS error
   FROM audit
-  WHERE service_name = 'jobs' AND action_name IN ('runTriggered', 'runFailed', 'runStart', 'runSucceeded')
+  WHERE service_name = 'jobs' AND action_name IN ('runTriggered', 'runStart', 'runSucceeded', 'runFailed')
 ),
-run_trigger AS (
-  SELECT workspace_id, event_time, service_name, action_name, job_id, main_run_id, trigger_type
-  FROM run_main WHERE action_name IN ('runTriggered')
+triggers AS (
+  SELECT workspace_id, service_name, action_name, job_id, main_run_id, trigger_type, event_time AS triggered_event_time
+  FROM run_ev WHERE action_name = 'runTriggered'
 ),
-run_start AS (
-  SELECT workspace_id, event_time, service_name, action_name, job_id, main_run_id, task_type, task_key, query_id,
-         dashboard_id, alert_id, warehouse_id
-  FROM run_main WHERE action_name IN ('runStart') AND task_key IN {SQL_TASK_KEYS}
+task_starts AS (
+  SELECT job_id, main_run_id, event_time AS run_event_time, task_type, task_key, query_id, dashboard_id, alert_id,
+         warehouse_id
+  FROM run_ev WHERE action_name = 'runStart' AND task_key IN {SQL_TASK_KEYS}
 ),
-run_end AS (
-  SELECT workspace_id, event_time, service_name, action_name, job_id, main_run_id, status, error
-  FROM run_main WHERE action_name IN ('runSucceeded', 'runFailed') AND task_key IN {SQL_TASK_KEYS}
+task_ends AS (
+  SELECT job_id, main_run_id, event_time AS run_end_event_time, action_name AS end_action, status, error
+  FROM run_ev WHERE action_name IN ('runSucceeded', 'runFailed') AND task_key IN {SQL_TASK_KEYS}
 ),
 runs AS (
-  SELECT t.workspace_id, t.service_name,
-         coalesce(re.action_name, t.action_name, t.action_name) AS run_state,
-         t.job_id, t.main_run_id, t.trigger_type,
-         t.event_time AS triggered_event_time, r.event_time AS run_event_time, re.event_time AS run_end_event_time,
-         date_diff('second', r.event_time, re.event_time) AS run_duration_seconds,
-         r.task_type, r.task_key, r.query_id, r.dashboard_id, r.alert_id, r.warehouse_id, re.status, re.error
-  FROM run_trigger t
-    LEFT JOIN run_start r ON t.job_id = r.job_id AND t.main_run_id = r.main_run_id
-    LEFT JOIN run_end re ON t.job_id = re.job_id AND t.main_run_id = re.main_run_id
+  SELECT tr.workspace_id, tr.service_name, coalesce(te.end_action, tr.action_name) AS run_state,
+         tr.job_id, tr.main_run_id, tr.trigger_type, tr.triggered_event_time, ts.run_event_time,
+         te.run_end_event_time, date_diff('second', ts.run_event_time, te.run_end_event_time) AS run_duration_seconds,
+         ts.task_type, ts.task_key, ts.query_id, ts.dashboard_id, ts.alert_id, ts.warehouse_id, te.status, te.error
+  FROM triggers tr
+  LEFT JOIN task_starts ts ON ts.job_id = tr.job_id AND ts.main_run_id = tr.main_run_id
+  LEFT JOIN task_ends te ON te.job_id = tr.job_id AND te.main_run_id = tr.main_run_id
 )"""
 
-SQL["run_events"] = _with(AUDIT, RUNS) + "SELECT * FROM run_main"
+SQL["run_events"] = _with(AUDIT, RUNS) + "SELECT * FROM run_ev"
 
 SQL["run_history"] = _with(AUDIT, RUNS) + "SELECT * FROM runs"
 
@@ -378,22 +398,20 @@ SQL["run_stats"] = _with(AUDIT, RUNS) + """
 SELECT workspace_id, job_id, task_key, run_state, query_id, dashboard_id, alert_id,
        count(DISTINCT main_run_id) AS total_num_runs,
        CAST(sum(date_diff('second', run_event_time, run_end_event_time)) AS BIGINT) AS total_run_duration_seconds,
-       coalesce(array_to_string(list_sort(list(DISTINCT warehouse_id) FILTER (WHERE warehouse_id IS NOT NULL)), ','), '')
-         AS warehouses
+       coalesce(string_agg(DISTINCT warehouse_id, ',' ORDER BY warehouse_id), '') AS warehouses
 FROM runs
-GROUP BY ALL
-ORDER BY total_run_duration_seconds DESC"""
+GROUP BY workspace_id, job_id, task_key, run_state, query_id, dashboard_id, alert_id"""
 SQL["run_stats_sql"] = SQL["run_stats"]
 
 SQL["schedule_with_runs"] = _with(AUDIT, CHANGES, LATEST, RUNS) + """,
-run_info AS (
+per_job AS (
   SELECT workspace_id, job_id, max(triggered_event_time) AS last_run_time, count(main_run_id) AS total_num_runs,
          CAST(sum(run_duration_seconds) AS BIGINT) AS total_run_duration_seconds
-  FROM runs GROUP BY ALL
+  FROM runs GROUP BY workspace_id, job_id
 )
-SELECT j.job_id, j.workspace_id, j.last_updated_time, j.last_updated_action, j.schedule_cron, j.pause_status,
-       j.warehouse_id, r.last_run_time, r.total_num_runs, r.total_run_duration_seconds
-FROM latest j LEFT JOIN run_info r ON j.job_id = r.job_id AND j.workspace_id = r.workspace_id"""
+SELECT l.job_id, l.workspace_id, l.last_updated_time, l.last_updated_action, l.schedule_cron, l.pause_status,
+       l.warehouse_id, j.last_run_time, j.total_num_runs, j.total_run_duration_seconds
+FROM latest l LEFT JOIN per_job j ON j.job_id = l.job_id AND j.workspace_id = l.workspace_id"""
 
 SQL["timeline_run_stats"] = _with(TIMELINE) + f"""
 SELECT workspace_id, job_id, task_key, result_state,
@@ -402,42 +420,43 @@ SELECT workspace_id, job_id, task_key, result_state,
        array_to_string(list_sort(list_distinct(compute_ids)), ',') AS warehouses
 FROM timeline
 WHERE task_key IN {SQL_TASK_KEYS}
-GROUP BY ALL
-ORDER BY total_run_duration_seconds DESC"""
+GROUP BY workspace_id, job_id, task_key, result_state, array_to_string(list_sort(list_distinct(compute_ids)), ',')"""
 
-# --- audit log: dashboards ----------------------------------------------------------------
+# --- audit log: dashboards ------------------------------------------------------------------
 
 PUBLISHERS = """
 publishers AS (
   SELECT dashboard_id, email AS publisher FROM (
     SELECT p_dashboard_id AS dashboard_id, email,
-           row_number() OVER (PARTITION BY p_dashboard_id ORDER BY event_time DESC, email DESC) AS rn
+           row_number() OVER (PARTITION BY p_dashboard_id ORDER BY event_time DESC, email DESC) AS pick
     FROM audit
     WHERE event_date >= DATE '2023-01-01' AND action_name = 'publishDashboard'
-  ) WHERE rn = 1
+  ) WHERE pick = 1
 )"""
 
 SQL["dashboard_publishers"] = _with(AUDIT, PUBLISHERS) + "SELECT dashboard_id, publisher FROM publishers"
 
+_DASH_SECONDS = [
+    ("total_duration", "total_duration_ms"), ("waiting_for_compute_duration", "waiting_for_compute_duration_ms"),
+    ("waiting_at_capacity_duration", "waiting_at_capacity_duration_ms"), ("execution_duration", "execution_duration_ms"),
+    ("compilation_duration", "compilation_duration_ms"), ("total_task_duration", "total_task_duration_ms"),
+    ("result_fetch_duration", "result_fetch_duration_ms"),
+]
+_DASH_SECONDS_SQL = ",\n  ".join(f"{_rd(f'CAST(h.{src} AS DOUBLE) / 1000')} AS {name}" for name, src in _DASH_SECONDS)
+
 SQL["dashboard_queries"] = _with(AUDIT, QUERY_HISTORY, PUBLISHERS) + f"""
 SELECT
   a.workspace_id, a.p_dashboard_id AS dashboard_id, a.request_id, h.statement_id,
-  CASE WHEN a.user_agent ILIKE '%lakeview_processing%' THEN 'scheduled' ELSE 'interactive' END AS mode,
+  CASE WHEN lower(a.user_agent) LIKE '%lakeview_processing%' THEN 'scheduled' ELSE 'interactive' END AS mode,
   coalesce(d.publisher, h.executed_by) AS user_owner,
-  {_rd('CAST(h.total_duration_ms AS DOUBLE) / 1000')} AS total_duration,
-  {_rd('CAST(h.waiting_for_compute_duration_ms AS DOUBLE) / 1000')} AS waiting_for_compute_duration,
-  {_rd('CAST(h.waiting_at_capacity_duration_ms AS DOUBLE) / 1000')} AS waiting_at_capacity_duration,
-  {_rd('CAST(h.execution_duration_ms AS DOUBLE) / 1000')} AS execution_duration,
-  {_rd('CAST(h.compilation_duration_ms AS DOUBLE) / 1000')} AS compilation_duration,
-  {_rd('CAST(h.total_task_duration_ms AS DOUBLE) / 1000')} AS total_task_duration,
-  {_rd('CAST(h.result_fetch_duration_ms AS DOUBLE) / 1000')} AS result_fetch_duration,
+  {_DASH_SECONDS_SQL},
   CAST(h.start_time AS DATE) AS start_date, CAST(h.end_time AS DATE) AS end_date, CAST(h.update_time AS DATE) AS update_date,
   a.action_name, a.event_date,
   h.statement_text, h.execution_status, h.statement_type, h.client_application, h.error_message, h.read_bytes,
   h.read_io_cache_percent, h.from_result_cache, h.spilled_local_bytes, h.warehouse_id
 FROM audit a
-  INNER JOIN qh h ON a.p_statement_id = h.statement_id
-  LEFT JOIN publishers d ON a.p_dashboard_id = d.dashboard_id
+JOIN qh h ON h.statement_id = a.p_statement_id
+LEFT JOIN publishers d ON d.dashboard_id = a.p_dashboard_id
 WHERE a.action_name = 'executeQuery'"""
 
 _AUDIT_COLS = (
@@ -451,11 +470,11 @@ WHERE a.service_name = 'dashboards' AND a.p_dashboard_id = '{ONE_DASHBOARD}'"""
 
 SQL["audit_with_publisher"] = _with(AUDIT, PUBLISHERS) + f"""
 SELECT {_AUDIT_COLS}, d.dashboard_id, d.publisher
-FROM audit a INNER JOIN publishers d ON a.p_dashboard_id = d.dashboard_id"""
+FROM audit a JOIN publishers d ON d.dashboard_id = a.p_dashboard_id"""
 
 SQL["usage_by_sku"] = _with(USAGE) + (
-    "SELECT usage_start_time, usage_end_time, usage_date, sku_name, " + _r("usage_quantity") + ", warehouse_id "
-    "FROM usage WHERE sku_name ILIKE '%serverless%sql%'"
+    "SELECT " + _cols("", ["usage_start_time", "usage_end_time", "usage_date", "sku_name", "usage_quantity", "warehouse_id"])
+    + " FROM usage WHERE lower(sku_name) LIKE '%serverless%sql%'"
 )
 
 SQL["warehouse_events"] = _with(WAREHOUSE_EVENTS) + "SELECT * FROM warehouse_events_v"

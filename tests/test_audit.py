@@ -78,30 +78,33 @@ def test_latest_schedules_quirks(spark):
     assert sorted({r[1] for r in got}) == ["0 2 * * * ?", "0 3 * * * ?"]
 
 
-_REFERENCE_SHAPE = """
-WITH a AS (SELECT *, dense_rank() OVER (PARTITION BY job_id ORDER BY event_time DESC) AS rec_rank FROM changes),
-s AS (SELECT job_id, job_name, dashboard_id, warehouse_id, alert_id, query_id, schedule_cron, schedule_info,
-             pause_status, dense_rank() OVER (PARTITION BY job_id ORDER BY event_time DESC) AS rec_rank
-      FROM changes WHERE schedule_cron IS NOT NULL),
-p AS (SELECT job_id, pause_status, dense_rank() OVER (PARTITION BY job_id ORDER BY event_time DESC) AS rec_rank
-      FROM changes WHERE pause_status IS NOT NULL),
-c AS (SELECT job_id, job_name, dashboard_id, warehouse_id, alert_id, query_id,
-             dense_rank() OVER (PARTITION BY job_id ORDER BY event_time DESC) AS rec_rank
-      FROM changes WHERE schedule_info IS NOT NULL)
-SELECT a.job_id, a.event_time AS last_updated_time, a.action_name AS last_updated_action,
-       coalesce(a.schedule_cron, s.schedule_cron) AS schedule_cron,
-       coalesce(a.pause_status, s.pause_status, p.pause_status) AS pause_status,
-       coalesce(a.schedule_info, s.schedule_info, a.update_info.schedule).quartz_cron_expression AS info_cron,
-       coalesce(a.job_name, s.job_name, c.job_name) AS job_name,
-       coalesce(a.dashboard_id, s.dashboard_id, c.dashboard_id) AS dashboard_id,
-       coalesce(a.warehouse_id, s.warehouse_id, c.warehouse_id) AS warehouse_id
-FROM a LEFT JOIN s ON a.job_id = s.job_id LEFT JOIN p ON a.job_id = p.job_id LEFT JOIN c ON a.job_id = c.job_id
-WHERE a.rec_rank = 1 AND s.rec_rank = 1 AND p.rec_rank = 1 AND c.rec_rank = 1
-  AND action_name != 'delete' AND from_redash_ind = 'true'
-"""
-
-
-def test_latest_schedules_equals_ranked_left_joins_with_ties(spark):
+def _brute_force_latest(changes):
+    """Newest rows per role by dense rank (window per job), then every combination."""
+
+    def newest(df):
+        w = Window.partitionBy("job_id").orderBy(F.desc("event_time"))
+        return df.withColumn("_r", F.dense_rank().over(w)).where("_r = 1").drop("_r")
+
+    last = newest(changes).where((F.col("action_name") != "delete") & (F.col("from_redash_ind") == "true"))
+    cron = newest(changes.where(F.col("schedule_cron").isNotNull())).select(
+        "job_id", *[F.col(c).alias("k_" + c) for c in ["schedule_cron", "pause_status", "schedule_info", "job_name",
+                                                        "dashboard_id", "warehouse_id"]])
+    pause = newest(changes.where(F.col("pause_status").isNotNull())).select("job_id", F.col("pause_status").alias("p_pause"))
+    made = newest(changes.where(F.col("schedule_info").isNotNull())).select(
+        "job_id", *[F.col(c).alias("m_" + c) for c in ["job_name", "dashboard_id", "warehouse_id"]])
+    j = last.join(cron, "job_id").join(pause, "job_id").join(made, "job_id")
+    return j.select(
+        "job_id", F.col("event_time").alias("last_updated_time"), F.col("action_name").alias("last_updated_action"),
+        F.coalesce("schedule_cron", "k_schedule_cron").alias("schedule_cron"),
+        F.coalesce("pause_status", "k_pause_status", "p_pause").alias("pause_status"),
+        F.coalesce("schedule_info", "k_schedule_info", "update_info.schedule")["quartz_cron_expression"].alias("info_cron"),
+        F.coalesce("job_name", "k_job_name", "m_job_name").alias("job_name"),
+        F.coalesce("dashboard_id", "k_dashboard_id", "m_dashboard_id").alias("dashboard_id"),
+        F.coalesce("warehouse_id", "k_warehouse_id", "m_warehouse_id").alias("warehouse_id"),
+    )
+
+
+def test_latest_schedules_equals_dense_rank_brute_force_with_ties(spark):
     rng = random.Random(11)
     events = []
     for _ in range(400):
@@ -120,8 +123,7 @@ def test_latest_schedules_equals_ranked_left_joins_with_ties(spark):
             events.append({"service_name": "jobs", "action_name": "delete", "event_time": t, "workspace_id": 1,
                            "request_params": {"jobId": str(job)}})
     changes = schedule_changes(audit(spark, *events))
-    changes.createOrReplaceTempView("changes")
-    ref = spark.sql(_REFERENCE_SHAPE)
+    ref = _brute_force_latest(changes)
     ours = latest_schedules(changes).select(
         "job_id", "last_updated_time", "last_updated_action", "schedule_cron", "pause_status",
         F.col("schedule_info.quartz_cron_expression").alias("info_cron"), "job_name", "dashboard_id", "warehouse_id")

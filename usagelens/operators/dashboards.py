@@ -15,6 +15,7 @@ EXECUTE_ACTION = "executeQuery"
 PUBLISHED_SINCE = "2023-01-01"
 SCHEDULED_AGENT_PATTERN = "%lakeview_processing%"
 SCHEDULED_MODE, INTERACTIVE_MODE = "scheduled", "interactive"
+DASHBOARD_KEY, STATEMENT_KEY = "dashboard_id", "statement_id"
 
 # history columns replaced by derived ones in the dashboard view
 _REPLACED = [
@@ -39,7 +40,7 @@ def dashboard_publishers(audit: DataFrame, since: str = PUBLISHED_SINCE) -> Data
     email = F.col("user_identity.email")
     return (
         audit.where((F.col("event_date") >= F.lit(since).cast("date")) & (F.col("action_name") == PUBLISH_ACTION))
-        .groupBy(param("dashboard_id").alias("dashboard_id"))
+        .groupBy(param(DASHBOARD_KEY).alias("dashboard_id"))
         .agg(F.max_by(email, F.struct(F.col("event_time"), email)).alias("publisher"))
     )
 
@@ -55,9 +56,9 @@ def dashboard_queries(
     the remaining history columns. Statements and dashboards are matched by id only."""
     a = audit.where(F.col("action_name") == EXECUTE_ACTION).select(
         F.col("workspace_id").alias("_a_workspace_id"),
-        param("dashboard_id").alias("dashboard_id"),
+        param(DASHBOARD_KEY).alias("dashboard_id"),
         "request_id",
-        param("statement_id").alias("_a_statement_id"),
+        param(STATEMENT_KEY).alias("_a_statement_id"),
         "user_agent",
         "action_name",
         "event_date",
@@ -85,11 +86,11 @@ def dashboard_queries(
 
 def audit_by_dashboard(audit: DataFrame, dashboard_id: str) -> DataFrame:
     """All audit rows of one dashboard."""
-    return audit.where((F.col("service_name") == DASHBOARDS_SERVICE) & (param("dashboard_id") == dashboard_id))
+    return audit.where((F.col("service_name") == DASHBOARDS_SERVICE) & (param(DASHBOARD_KEY) == dashboard_id))
 
 
 def audit_with_publisher(audit: DataFrame, publishers: DataFrame) -> DataFrame:
     """Every audit row of a dashboard that has a publisher, with that publisher."""
-    keyed = audit.withColumn("_d_key", param("dashboard_id"))
+    keyed = audit.withColumn("_d_key", param(DASHBOARD_KEY))
     pubs = publishers.select(F.col("dashboard_id").alias("_d_key"), "dashboard_id", "publisher")
     return keyed.join(pubs, "_d_key").select(*audit.columns, "dashboard_id", "publisher")

@@ -18,6 +18,18 @@ STARTED = "runStart"
 SUCCEEDED = "runSucceeded"
 FAILED = "runFailed"
 RUN_ACTIONS = [TRIGGERED, FAILED, STARTED, SUCCEEDED]
+# Request-parameter keys of run events (output column -> key).
+RUN_ID_KEYS = ["multitaskParentRunId", "runId"]
+RUN_PARAMS = {
+    "task_type": "jobTaskType",
+    "task_key": "taskKey",
+    "trigger_type": "jobTriggerType",
+    "query_id": "queryIds",
+    "dashboard_id": "dashboardId",
+    "alert_id": "alertId",
+    "warehouse_id": "warehouseId",
+    "creator_name": "runCreatorUserName",
+}
 
 RUN_HISTORY_COLUMNS = [
     "workspace_id", "service_name", "run_state", "job_id", "main_run_id", "trigger_type",
@@ -67,15 +79,8 @@ def run_events(audit: DataFrame) -> DataFrame:
         "service_name",
         "action_name",
         job_id_of_event().alias("job_id"),
-        F.coalesce(param("multitaskParentRunId"), param("runId")).alias("main_run_id"),
-        param("jobTaskType").alias("task_type"),
-        param("taskKey").alias("task_key"),
-        param("jobTriggerType").alias("trigger_type"),
-        param("queryIds").alias("query_id"),
-        param("dashboardId").alias("dashboard_id"),
-        param("alertId").alias("alert_id"),
-        param("warehouseId").alias("warehouse_id"),
-        param("runCreatorUserName").alias("creator_name"),
+        F.coalesce(*[param(k) for k in RUN_ID_KEYS]).alias("main_run_id"),
+        *[param(key).alias(name) for name, key in RUN_PARAMS.items()],
         "request_params",
         "response",
         F.col("response.status_code").alias("status"),

@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 from ..functions import first_of, param
 from ..schemas import JOB_RESULT_DDL, NEW_SETTINGS_DDL, SCHEDULE_DDL, TASKS_DDL
 
-# Service and actions of asset changes; the origin flag value kept.
+# Service and actions of asset changes; the origin flag value kept;
+# request-parameter keys of the jobs service payloads.
 JOBS_SERVICE = "jobs"
 CHANGE_ACTIONS = ["create", "update", "delete"]
 DELETE_ACTION = "delete"
 FLAGGED_ORIGIN = "true"
+JOB_ID_KEYS = ["job_id", "jobId"]
+TASKS_KEY = "tasks"
+SCHEDULE_KEY = "schedule"
+NEW_SETTINGS_KEY = "new_settings"
+NAME_KEY = "name"
+ORIGIN_KEY = "is_from_redash"
 
 CHANGE_COLUMNS = [
     "workspace_id", "event_time", "service_name", "action_name", "user_identity", "schedule_cron",
@@ -31,7 +38,7 @@ RUN_INFO_COLUMNS = ["last_run_time", "total_num_runs", "total_run_duration_secon
 def job_id_of_event() -> F.Column:
     """Job id from the response payload, else from the request (two spellings)."""
     return F.coalesce(
-        F.from_json(F.col("response.result"), JOB_RESULT_DDL)["job_id"], param("job_id"), param("jobId")
+        F.from_json(F.col("response.result"), JOB_RESULT_DDL)["job_id"], *[param(k) for k in JOB_ID_KEYS]
     )
 
 
@@ -49,11 +56,11 @@ def schedule_changes(audit: DataFrame, sort: bool = False) -> DataFrame:
         "action_name",
         "user_identity",
         job_id_of_event().alias("job_id"),
-        F.from_json(param("tasks"), TASKS_DDL).alias("_tasks"),
-        F.from_json(param("schedule"), SCHEDULE_DDL).alias("schedule_info"),
-        F.from_json(param("new_settings"), NEW_SETTINGS_DDL).alias("update_info"),
-        param("name").alias("job_name"),
-        param("is_from_redash").alias("from_redash_ind"),
+        F.from_json(param(TASKS_KEY), TASKS_DDL).alias("_tasks"),
+        F.from_json(param(SCHEDULE_KEY), SCHEDULE_DDL).alias("schedule_info"),
+        F.from_json(param(NEW_SETTINGS_KEY), NEW_SETTINGS_DDL).alias("update_info"),
+        param(NAME_KEY).alias("job_name"),
+        param(ORIGIN_KEY).alias("from_redash_ind"),
         F.col("response.status_code").alias("status"),
         F.col("response.error_message").alias("error"),
         "request_params",
@@ -118,19 +125,19 @@ def latest_schedules(changes: DataFrame) -> DataFrame:
         # when the role has no non-NULL time, as with dense_rank ... DESC)
         return cond & t.eqNullSafe(F.col(top))
 
-    is_a = newest_for(
+    is_last = newest_for(
         (F.col("action_name") != DELETE_ACTION) & (F.col("from_redash_ind") == FLAGGED_ORIGIN), "_t_any"
     )
-    is_s = newest_for(F.col("schedule_cron").isNotNull(), "_t_cron")
-    is_p = newest_for(F.col("pause_status").isNotNull(), "_t_pause")
-    is_c = newest_for(F.col("schedule_info").isNotNull(), "_t_create")
-    a_cols = [
+    is_cron = newest_for(F.col("schedule_cron").isNotNull(), "_t_cron")
+    is_pause = newest_for(F.col("pause_status").isNotNull(), "_t_pause")
+    is_create = newest_for(F.col("schedule_info").isNotNull(), "_t_create")
+    last_cols = [
         "workspace_id", "event_time", "service_name", "user_identity", "action_name", "schedule_cron",
         "pause_status", "schedule_info", "update_info", "status", "from_redash_ind", "job_name", "dashboard_id",
         "alert_id", "query_id", "warehouse_id", "error", "request_params", "response",
     ]
-    s_cols = ["schedule_cron", "pause_status", "schedule_info", "job_name", "dashboard_id", "alert_id", "query_id", "warehouse_id"]
-    c_cols = ["job_name", "dashboard_id", "alert_id", "query_id", "warehouse_id"]
+    cron_cols = ["schedule_cron", "pause_status", "schedule_info", "job_name", "dashboard_id", "alert_id", "query_id", "warehouse_id"]
+    create_cols = ["job_name", "dashboard_id", "alert_id", "query_id", "warehouse_id"]
 
     def role(cond, cols):
         # coalesce keeps the flag a plain boolean, so the row is listed only when it holds
@@ -138,45 +145,47 @@ def latest_schedules(changes: DataFrame) -> DataFrame:
 
     roles = (
         events.join(newest, "job_id")
-        .where(F.coalesce(is_a | is_s | is_p | is_c, F.lit(False)))
+        .where(F.coalesce(is_last | is_cron | is_pause | is_create, F.lit(False)))
         .groupBy("job_id")
         .agg(
-            role(is_a, a_cols).alias("_a"),
-            role(is_s, s_cols).alias("_s"),
-            role(is_p, ["pause_status"]).alias("_p"),
-            role(is_c, c_cols).alias("_c"),
+            role(is_last, last_cols).alias("_last"),
+            role(is_cron, cron_cols).alias("_cron"),
+            role(is_pause, ["pause_status"]).alias("_pause"),
+            role(is_create, create_cols).alias("_create"),
         )
     )
     rows = (
-        roles.select("job_id", F.explode("_a").alias("a"), "_s", "_p", "_c")
-        .select("job_id", "a", F.explode("_s").alias("s"), "_p", "_c")
-        .select("job_id", "a", "s", F.explode("_p").alias("p"), "_c")
-        .select("job_id", "a", "s", "p", F.explode("_c").alias("c"))
+        roles.select("job_id", F.explode("_last").alias("last"), "_cron", "_pause", "_create")
+        .select("job_id", "last", F.explode("_cron").alias("cron"), "_pause", "_create")
+        .select("job_id", "last", "cron", F.explode("_pause").alias("pause"), "_create")
+        .select("job_id", "last", "cron", "pause", F.explode("_create").alias("create"))
     )
 
-    def fill(name: str, *sides: str):
-        return F.coalesce(F.col(f"a.{name}"), *[F.col(f"{side}.{name}") for side in sides]).alias(name)
+    def fill(name: str, *roles_: str):
+        return F.coalesce(F.col(f"last.{name}"), *[F.col(f"{r}.{name}") for r in roles_]).alias(name)
 
     return rows.select(
-        "a.workspace_id",
-        F.col("a.event_time").alias("last_updated_time"),
-        "a.service_name",
-        "a.user_identity",
-        F.col("a.action_name").alias("last_updated_action"),
-        fill("schedule_cron", "s"),
-        fill("pause_status", "s", "p"),
-        F.coalesce(F.col("a.schedule_info"), F.col("s.schedule_info"), F.col("a.update_info.schedule")).alias("schedule_info"),
-        "a.status",
-        "a.from_redash_ind",
+        "last.workspace_id",
+        F.col("last.event_time").alias("last_updated_time"),
+        "last.service_name",
+        "last.user_identity",
+        F.col("last.action_name").alias("last_updated_action"),
+        fill("schedule_cron", "cron"),
+        fill("pause_status", "cron", "pause"),
+        F.coalesce(
+            F.col("last.schedule_info"), F.col("cron.schedule_info"), F.col("last.update_info.schedule")
+        ).alias("schedule_info"),
+        "last.status",
+        "last.from_redash_ind",
         "job_id",
-        fill("job_name", "s", "c"),
-        fill("dashboard_id", "s", "c"),
-        fill("alert_id", "s", "c"),
-        fill("query_id", "s", "c"),
-        fill("warehouse_id", "s", "c"),
-        "a.error",
-        "a.request_params",
-        "a.response",
+        fill("job_name", "cron", "create"),
+        fill("dashboard_id", "cron", "create"),
+        fill("alert_id", "cron", "create"),
+        fill("query_id", "cron", "create"),
+        fill("warehouse_id", "cron", "create"),
+        "last.error",
+        "last.request_params",
+        "last.response",
     )
 
 
