@@ -31,21 +31,28 @@ def tool_statements(
     since: Column | None,
     missing: str | None = None,
     extra: Sequence[str] = (),
+    cost: DataFrame | None = None,
+    cost_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Statements started on or after ``since`` with every per-statement column.
+    """Statements started on or after ``since`` with every per-statement column, joined
+    to ``cost`` on (workspace_id, statement_id) when given.
 
     Fleet averages are taken over *all* of ``history`` (not only the recent rows); the
-    date filter is applied to the wide rows first, so the JSON parse and the joins only
-    see recent statements, while the averages read two columns of the full table.
+    date filter is applied to the history scan first. The cost join happens on the base
+    metric columns: flags, averages, the parsed comment and the label are derived after
+    it, so the shuffle carries only what the statement row holds (a filter on a derived
+    column, like the tool label, is still pushed below the join by Catalyst).
     """
     recent = history if since is None else history.where(F.col("start_time") >= since)
     df = statement_metrics(recent, extra=extra)
+    if cost is not None:
+        df = df.join(cost.select("workspace_id", "statement_id", *cost_cols), ["workspace_id", "statement_id"])
     df = with_statement_flags(df)
     df = with_fleet_averages(df, history)
     df = with_comment_text(df)
     df = with_comment_metadata(df, missing=missing)
     df = with_client_label(df)
-    return df.select(*TOOL_COLUMNS, *extra)
+    return df.select(*TOOL_COLUMNS, *extra, *cost_cols)
 
 
 def enhanced_history(
@@ -66,8 +73,6 @@ def enhanced_history(
     """
     since = rolling_lower_bound(as_of, days)
     hist = src.query_history
-    stmts = tool_statements(hist, since, missing=missing)
     cost = statement_cost(hist, src.usage, src.list_prices, since=since, sku_pattern=sku_pattern, bin_seconds=bin_seconds)
-    out = stmts.join(cost.select("workspace_id", "statement_id", "approx_query_cost"), ["workspace_id", "statement_id"])
-    out = out.select(*ENHANCED_COLUMNS)
+    out = tool_statements(hist, since, missing=missing, cost=cost, cost_cols=["approx_query_cost"])
     return out.orderBy(F.desc("approx_query_cost")) if sort else out

@@ -20,14 +20,15 @@ def _tool_statement_cost(
 ) -> DataFrame:
     since = rolling_lower_bound(as_of, days)
     hist = src.query_history
-    stmts = tool_statements(hist, since, missing=MISSING, extra=["total_task_duration_ms"]).where(
-        (F.col(LABEL) == TOOL_LABEL) & (F.col("QueryRuntimeSeconds") > min_runtime)
-    )
     cost = statement_cost(
         hist, src.usage, src.list_prices, since=since, sku_pattern=sku_pattern, bin_seconds=bin_seconds,
         cost_col="apprx_query_cost",
     )
-    return stmts.join(cost.select("workspace_id", "statement_id", "apprx_query_cost"), ["workspace_id", "statement_id"])
+    stmts = tool_statements(
+        hist, since, missing=MISSING, extra=["total_task_duration_ms"], cost=cost, cost_cols=["apprx_query_cost"]
+    )
+    # label and runtime floor are pushed below the cost join by Catalyst
+    return stmts.where((F.col(LABEL) == TOOL_LABEL) & (F.col("QueryRuntimeSeconds") > min_runtime))
 
 
 def node_cost_report(
