@@ -29,10 +29,24 @@ ASSET_KINDS = ["alert", "dashboard", "query"]  # by o_orderkey % 3
 _SPREAD_KEYS = {"events": "event_id", "orders": "o_orderkey", "lineitem": "l_orderkey"}
 
 
+def _parallelism(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # no SparkContext on a remote (Connect) session
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _session_key(spark: SparkSession) -> str:
+    try:
+        return str(spark._jsparkSession.sessionUUID())
+    except Exception:  # remote (Connect) session
+        return str(getattr(spark, "session_id", id(spark)))
+
+
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     key = _SPREAD_KEYS.get(name)
-    return df if key is None else df.repartition(spark.sparkContext.defaultParallelism, key)
+    return df if key is None else df.repartition(_parallelism(spark), key)
 
 
 def _s(c: Column) -> Column:
@@ -343,7 +357,7 @@ def fixture_sources(spark: SparkSession, sf_dir: str) -> Sources:
     Each source is planned on first use, and the definitions are kept per session and
     folder (plans only, no data), like views registered once and queried many times.
     """
-    key = (spark._jsparkSession.sessionUUID(), sf_dir.rstrip("/"))
+    key = (_session_key(spark), sf_dir.rstrip("/"))
     if key in _DEFINED:
         return _DEFINED[key]
     tables: dict[str, DataFrame] = {}
