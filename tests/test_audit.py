@@ -213,3 +213,15 @@ def test_dashboard_publishers_and_queries(spark):
     assert (out["s1"].mode, out["s1"].user_owner, out["s1"].total_duration, out["s1"].workspace_id) == ("scheduled", "b@x", 1.5, 5)
     assert (out["s2"].mode, out["s2"].user_owner, out["s2"].total_duration) == ("interactive", "e2", None)
     assert "total_duration_ms" not in dashboard_queries(a, h, pubs).columns
+
+
+def test_sort_options(spark):
+    from conftest import SMALL_DIR
+    from usagelens.sources import fixture_sources
+
+    audit = fixture_sources(spark, SMALL_DIR).audit_log
+    got = [(r.job_id, r.event_time) for r in schedule_changes(audit, sort=True).select("job_id", "event_time").collect()]
+    assert got == sorted(got, key=lambda x: (x[0] is not None, x[0], x[1])) and len(got) > 100
+    totals = [r.total_run_duration_seconds for r in run_stats(run_history(run_events(audit))).collect()]
+    present = [x for x in totals if x is not None]
+    assert present == sorted(present, reverse=True) and totals[-1] is None  # NULLs last in DESC
