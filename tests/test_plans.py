@@ -12,6 +12,16 @@ def test_no_python_no_cartesian_no_global_window(spark, name):
     assert plan_problems(QUERIES[name](spark, SMALL_DIR)) == []
 
 
+def test_checker_catches_single_task_windows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    base = spark.range(10).withColumn("x", F.col("id") % 3)
+    assert plan_problems(base.withColumn("a", F.avg("id").over(Window.partitionBy()))) == ["unpartitioned window"]
+    assert plan_problems(base.withColumn("a", F.sum("id").over(Window.orderBy("x")))) == ["unpartitioned window"]
+    assert plan_problems(base.withColumn("a", F.sum("id").over(Window.partitionBy("x").orderBy("id")))) == []
+
+
 def test_flagship_pushes_date_filter_and_prunes_columns(spark):
     plan = formatted_plan(QUERIES["enhanced_history"](spark, SMALL_DIR))
     assert "Window" not in plan  # whole-history averages are scalar subqueries, not OVER ()

@@ -19,6 +19,24 @@ def formatted_plan(df: DataFrame) -> str:
 PYTHON_OPERATORS = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
 
 
+def unpartitioned_windows(df: DataFrame) -> int:
+    """Number of ``Window`` operators fed by a single-partition exchange (possibly through
+    a sort): a window with no partition key, which puts every row in one task."""
+    lines = physical_plan(df).splitlines()
+    count = 0
+    for i, line in enumerate(lines):
+        if not line.lstrip(" +-:").startswith("Window"):
+            continue
+        for child in lines[i + 1 : i + 3]:  # the child, or the sort under it
+            node = child.lstrip(" +-:")
+            if node.startswith("Exchange"):
+                count += "SinglePartition" in node
+                break
+            if not node.startswith("Sort"):
+                break
+    return count
+
+
 def plan_problems(df: DataFrame) -> list[str]:
     """Things that would not scale: Python evaluation, cartesian products, or a
     ``Window`` with no partition key (all rows in one task)."""
@@ -26,7 +44,6 @@ def plan_problems(df: DataFrame) -> list[str]:
     problems = [op for op in PYTHON_OPERATORS if op in plan]
     if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
         problems.append("nested-loop or cartesian join")
-    for line in plan.splitlines():
-        if line.strip().startswith("Arguments:") and "Window" in line and "[]" in line:
-            problems.append("unpartitioned window")
+    if unpartitioned_windows(df):
+        problems.append("unpartitioned window")
     return problems
