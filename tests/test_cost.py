@@ -82,3 +82,18 @@ def test_binned_overlap_equals_plain_join(spark, bin_seconds):
     plain = interval_overlap(left, right, "k", "ls", "le", "rs", "re", None).select("lid", "rid")
     assert plain.count() > 100
     assert binned.exceptAll(plain).count() == 0 and plain.exceptAll(binned).count() == 0
+
+
+def test_overlap_with_mixed_timestamp_types(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        left = spark.createDataFrame([("k", 1, ts(2024, 1, 1, 10, 10), ts(2024, 1, 1, 10, 50))],
+                                     "k string, lid int, ls timestamp_ntz, le timestamp_ntz")
+        right = spark.createDataFrame([("k", 2, ts(2024, 1, 1, 10, 0), ts(2024, 1, 1, 11, 0))],
+                                      "k string, rid int, rs timestamp_ntz, re timestamp_ntz")
+        right = right.withColumn("rs", right.rs.cast("timestamp")).withColumn("re", right.re.cast("timestamp"))
+        plain = interval_overlap(left, right, "k", "ls", "le", "rs", "re", None).count()
+        binned = interval_overlap(left, right, "k", "ls", "le", "rs", "re", 3600).count()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert plain == binned == 1

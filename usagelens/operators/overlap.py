@@ -58,6 +58,11 @@ def interval_overlap(
     once. ``bin_seconds=None`` runs the plain equi-join with range residuals.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    # both sides are binned on one clock: the right side takes the left side's timestamp type
+    ltype = left.schema[left_start].dataType
+    for c in (right_start, right_end):
+        if right.schema[c].dataType != ltype:
+            right = right.withColumn(c, F.col(c).cast(ltype))
     overlaps = (F.col(left_start) < F.col(right_end)) & (F.col(left_end) > F.col(right_start))
     if bin_seconds is None:
         return left.join(right, keys).where(overlaps)
