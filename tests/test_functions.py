@@ -50,3 +50,27 @@ def test_time_bin_is_monotone_and_session_zone_free(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert before == after
     assert before[1][0] == before[0][0] + 1
+
+
+def _comment_body_brute_force(t):
+    """Plain-Python statement of the rule: instr positions are 1-based (0 when absent);
+    substr from instr('/*') + 2 for instr('*/') - instr('/*') - 2 characters; '' when <= 0."""
+    if t is None:
+        return None
+    o, c = t.find("/*") + 1, t.find("*/") + 1
+    length = c - o - 2
+    return "" if length <= 0 else t[o + 1 : o + 1 + length]
+
+
+def test_first_block_comment_matches_brute_force(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=4, deadline=None)
+    @given(st.lists(st.one_of(st.none(), st.text(alphabet="/*a {}", max_size=14)), min_size=300, max_size=300))
+    def check(texts):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        got = dict(df.select("i", first_block_comment("t")).collect())
+        assert got == {i: _comment_body_brute_force(t) for i, t in enumerate(texts)}
+
+    check()
