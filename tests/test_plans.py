@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import SMALL_DIR
-from usagelens.plans.inspect import formatted_plan, plan_problems
+from usagelens.plans.inspect import formatted_plan, plan_problems, single_partition_parents
 from usagelens.plans.registry import QUERIES
 
 
@@ -60,3 +60,23 @@ def test_latest_schedules_no_window_and_partial_maxima(spark):
     # events shuffled once for the join, partial maxima once; the role aggregate reuses the join's partitioning
     assert len(job_exchanges) == 2
     assert "partial_max" in plan
+
+
+@pytest.mark.parametrize("name", ["enhanced_history", "fleet_averages", "node_cost_report"])
+def test_single_partition_only_under_aggregates(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parents = single_partition_parents(QUERIES[name](spark, SMALL_DIR))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    if name != "node_cost_report":  # the rollup does not output the averages: subquery pruned
+        assert parents, "the fleet averages use a one-row aggregate"
+    assert all(p in ("HashAggregate", "ObjectHashAggregate") for p in parents), parents
+
+
+def test_single_partition_checker_sees_global_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    df = spark.range(10).withColumn("a", F.avg("id").over(Window.partitionBy()))
+    assert "Window" in single_partition_parents(df)

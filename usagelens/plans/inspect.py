@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 
@@ -47,3 +49,34 @@ def plan_problems(df: DataFrame) -> list[str]:
     if unpartitioned_windows(df):
         problems.append("unpartitioned window")
     return problems
+
+
+_TREE_NODE = re.compile(r"^(?P<lead>[ :|+\-]*)(?P<name>[A-Za-z][\w ]*?) \((?P<id>\d+)\)$")
+
+
+def single_partition_parents(df: DataFrame) -> list[str]:
+    """Operator names directly above every ``Exchange SinglePartition`` of the plan,
+    its subqueries included. A partial-then-final aggregate (one row per task crosses)
+    is fine; anything else moves whole data to one task."""
+    text = formatted_plan(df)
+    single = set()
+    for block in text.split("\n\n"):
+        head = block.split("\n", 1)[0]
+        m = re.match(r"^\((\d+)\) Exchange", head)
+        if m and "Arguments: SinglePartition" in block:
+            single.add(m.group(1))
+    parents = []
+    stack: list[tuple[int, str]] = []  # (indent, name) of the current tree path
+    for line in text.splitlines():
+        m = _TREE_NODE.match(line)
+        if not m:
+            if not line.strip():
+                stack = []
+            continue
+        indent = len(m.group("lead"))
+        while stack and stack[-1][0] >= indent:
+            stack.pop()
+        if m.group("name") == "Exchange" and m.group("id") in single:
+            parents.append(stack[-1][1] if stack else "")
+        stack.append((indent, m.group("name")))
+    return parents
