@@ -5,7 +5,7 @@ import pytest
 from conftest import SMALL_DIR
 from usagelens.operators import statement_cost
 from usagelens.operators.runs import run_events, run_history
-from usagelens.plans import build_views, register_views
+from usagelens.plans import build_reports, build_views, register_views
 from usagelens.sources import Sources, fixture_sources, from_catalog, from_parquet
 from usagelens.sources.tables import SOURCE_NAMES
 
@@ -63,3 +63,12 @@ def test_registered_views_answer_sql(spark):
     assert n == views["run_history"].where("run_state = 'runSucceeded'").count() > 0
     top = spark.sql("SELECT approx_query_cost FROM enhanced_query_history ORDER BY approx_query_cost DESC LIMIT 1").first()[0]
     assert top == views["enhanced_query_history"].agg({"approx_query_cost": "max"}).first()[0]
+
+
+def test_registered_reports_answer_sql(spark):
+    reports = build_reports(fixture_sources(spark, SMALL_DIR), as_of="2024-01-31")
+    register_views(spark, reports)
+    n = spark.sql("SELECT count(*) FROM schedule_with_runs WHERE total_num_runs > 0").first()[0]
+    assert n == reports["schedule_with_runs"].where("total_num_runs > 0").count() > 0
+    first = spark.sql("SELECT total_run_duration_seconds FROM run_stats LIMIT 1").first()[0]
+    assert first == reports["run_stats"].agg({"total_run_duration_seconds": "max"}).first()[0]

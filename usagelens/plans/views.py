@@ -7,10 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.dashboards import dashboard_publishers, dashboard_queries
-from ..operators.runs import run_events, run_history
-from ..operators.schedules import latest_schedules, schedule_changes
+from ..operators.lookups import usage_by_sku
+from ..operators.runs import run_events, run_history, run_stats, timeline_run_stats
+from ..operators.schedules import latest_schedules, schedule_changes, schedule_with_runs
 from ..sources import Sources
 from .history import AsOf, enhanced_history
+from .node_cost import node_cost_report
 
 DEFAULT_NAMES = {
     "enhanced_query_history": "enhanced_query_history",
@@ -35,6 +37,21 @@ def build_views(src: Sources, as_of: AsOf = None) -> dict[str, DataFrame]:
     }
 
 
+def build_reports(src: Sources, as_of: AsOf = None) -> dict[str, DataFrame]:
+    """The reports that sit on top of the views (sorted as the reports are), lazily planned,
+    so SQL users can register and query them by name next to the views."""
+    changes = schedule_changes(src.audit_log)
+    runs = run_history(run_events(src.audit_log))
+    return {
+        "node_cost_report": node_cost_report(src, as_of=as_of),
+        "timeline_run_stats": timeline_run_stats(src.task_run_timeline),
+        "run_stats": run_stats(runs),
+        "schedule_with_runs": schedule_with_runs(latest_schedules(changes), runs),
+        "dashboard_publishers": dashboard_publishers(src.audit_log),
+        "serverless_sql_usage": usage_by_sku(src.usage),
+    }
+
+
 def register_views(
     spark: SparkSession, frames: Mapping[str, DataFrame], names: Mapping[str, str] | None = None
 ) -> dict[str, str]:
