@@ -62,7 +62,9 @@ def timeline_run_stats(
             "total_num_runs", "total_run_duration_seconds", "warehouses",
         )
     )
-    return out.orderBy(F.desc("total_run_duration_seconds")) if sort else out
+    # group keys break ties (e.g. many NULL totals), so a hot value does not sit in one sort task
+    ties = ["workspace_id", "job_id", "task_key", "result_state"]
+    return out.orderBy(F.desc("total_run_duration_seconds"), *ties) if sort else out
 
 
 def run_events(audit: DataFrame) -> DataFrame:
@@ -134,14 +136,15 @@ def run_history(events: DataFrame, task_keys: Sequence[str] = SQL_TASK_KEYS) ->
     )
 
 
+RUN_STAT_KEYS = ["workspace_id", "job_id", "task_key", "run_state", "query_id", "dashboard_id", "alert_id"]
+
+
 def run_stats(history: DataFrame, sort: bool = True) -> DataFrame:
     """Distinct runs, summed run seconds and the set of warehouses per
     (workspace, job, task, state, query, dashboard, alert), longest total first."""
-    out = history.groupBy(
-        "workspace_id", "job_id", "task_key", "run_state", "query_id", "dashboard_id", "alert_id"
-    ).agg(
+    out = history.groupBy(*RUN_STAT_KEYS).agg(
         F.count_distinct("main_run_id").alias("total_num_runs"),
         F.sum(epoch_seconds_between("run_event_time", "run_end_event_time")).alias("total_run_duration_seconds"),
         F.collect_set("warehouse_id").alias("warehouses"),
     )
-    return out.orderBy(F.desc("total_run_duration_seconds")) if sort else out
+    return out.orderBy(F.desc("total_run_duration_seconds"), *RUN_STAT_KEYS) if sort else out

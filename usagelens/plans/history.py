@@ -75,4 +75,6 @@ def enhanced_history(
     hist = src.query_history
     cost = statement_cost(hist, src.usage, src.list_prices, since=since, sku_pattern=sku_pattern, bin_seconds=bin_seconds)
     out = tool_statements(hist, since, missing=missing, cost=cost, cost_cols=["approx_query_cost"])
-    return out.orderBy(F.desc("approx_query_cost")) if sort else out
+    # ties (e.g. many zero-cost statements) are broken by the statement key, so the range
+    # partitioner of the global sort can split a hot cost value over several tasks
+    return out.orderBy(F.desc("approx_query_cost"), "workspace_id", "statement_id") if sort else out

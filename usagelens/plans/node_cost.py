@@ -55,7 +55,7 @@ def node_cost_report(
         F.avg(cost).alias("avg_apprx_query_cost"),
         F.median(cost).alias("med_apprx_query_cost"),
     )
-    return out.orderBy(F.desc("sum_CPUTotalExecutionTime")) if sort else out
+    return out.orderBy(F.desc("sum_CPUTotalExecutionTime"), *NODE_KEYS) if sort else out
 
 
 def node_cost_detail(

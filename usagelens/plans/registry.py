@@ -253,7 +253,8 @@ def q_run_stats_sql(spark, sf_dir):
                array_join(sort_array(collect_set(warehouse_id)), ',') AS warehouses
         FROM IDENTIFIER('{names["run_history"]}')
         GROUP BY ALL
-        ORDER BY total_run_duration_seconds DESC
+        ORDER BY total_run_duration_seconds DESC, workspace_id, job_id, task_key, run_state, query_id,
+                 dashboard_id, alert_id
     """)
 
 
