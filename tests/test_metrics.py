@@ -1,7 +1,7 @@
 from decimal import Decimal
 
 from builders import history
-from conftest import rows, ts
+from conftest import ts
 from usagelens.operators import statement_metrics, with_fleet_averages, with_statement_flags
 from usagelens.operators.metadata import with_client_label, with_comment_metadata, with_comment_text
 

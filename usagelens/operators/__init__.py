@@ -1,5 +1,5 @@
-"""Domain operators: each takes and returns DataFrames, built from built-in expressions,
-joins, windows-free aggregates and shuffles only (no Python UDF anywhere)."""
+"""Domain operators: each takes and returns DataFrames and is built from built-in
+expressions, joins and aggregates only (no Python UDF, no window over a whole key)."""
 
 from .cost import allocate_cost, priced_usage, statement_cost, statement_windows
 from .dashboards import audit_by_dashboard, audit_with_publisher, dashboard_publishers, dashboard_queries
