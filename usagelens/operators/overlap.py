@@ -35,10 +35,8 @@ def _explode_bins(df: DataFrame, start: str, end: str, first_col: str, bin_secon
     s, e = F.col(start), F.col(end)
     first = time_bin(F.least(s, e), bin_seconds)
     last = time_bin(F.greatest(s, e), bin_seconds)
-    return (
-        df.where(s.isNotNull() & e.isNotNull())
-        .withColumn(first_col, first)
-        .withColumn(BIN, F.explode(F.sequence(F.col(first_col), last)))
+    return df.where(s.isNotNull() & e.isNotNull()).select(
+        "*", first.alias(first_col), F.explode(F.sequence(first, last)).alias(BIN)
     )
 
 
@@ -69,4 +67,5 @@ def interval_overlap(
     lhs = _explode_bins(left, left_start, left_end, _L_FIRST, bin_seconds)
     rhs = _explode_bins(right, right_start, right_end, _R_FIRST, bin_seconds)
     owner = F.col(BIN) == F.greatest(F.col(_L_FIRST), F.col(_R_FIRST))
-    return lhs.join(rhs, [*keys, BIN]).where(overlaps & owner).drop(BIN, _L_FIRST, _R_FIRST)
+    out_cols = keys + [c for c in left.columns if c not in keys] + [c for c in right.columns if c not in keys]
+    return lhs.join(rhs, [*keys, BIN]).where(overlaps & owner).select(*out_cols)
