@@ -57,3 +57,26 @@ def test_hot_warehouse_is_spread_over_bins(spark):
     spans = _explode_bins(df, "s", "e", "_first", 3600).groupBy("id").count()
     assert spans.agg(F.max("count")).first()[0] <= 2
     assert df.select(time_bin("s", 3600)).distinct().count() > 500
+
+
+def test_early_day_filter_on_cost_equals_late_filter(spark):
+    from usagelens.functions import rolling_lower_bound
+    from usagelens.operators import statement_cost
+
+    src = fixture_sources(spark, SMALL_DIR)
+    since = rolling_lower_bound("2024-01-31", 15)
+    early = statement_cost(src.query_history, src.usage, src.list_prices, since=since)
+    late = statement_cost(src.query_history, src.usage, src.list_prices).where(F.col("start_time") >= since)
+    assert early.count() > 0
+    assert early.exceptAll(late).count() == 0 and late.exceptAll(early).count() == 0
+
+
+def test_flagship_binned_equals_plain(spark):
+    from usagelens.plans import enhanced_history
+
+    src = fixture_sources(spark, SMALL_DIR)
+    cols = ["workspace_id", "statement_id", "approx_query_cost"]
+    binned = enhanced_history(src, as_of="2024-01-31", sort=False).select(*cols)
+    plain = enhanced_history(src, as_of="2024-01-31", bin_seconds=None, sort=False).select(*cols)
+    assert binned.count() > 0
+    assert binned.exceptAll(plain).count() == 0 and plain.exceptAll(binned).count() == 0
