@@ -74,3 +74,20 @@ def test_first_block_comment_matches_brute_force(spark):
         assert got == {i: _comment_body_brute_force(t) for i, t in enumerate(texts)}
 
     check()
+
+
+def test_map_parse_equals_json_path_extraction(spark):
+    """Reading keys from one map parse gives what a per-key JSON path read gives."""
+    from usagelens.functions import json_string_map
+
+    cases = [
+        '{"app": "dbt", "node_id": "m.x"}', ' {"app":"dbt"} ', '{"app": {"a": 1, "b": [1,2]}}', '{"app": [1, "x"]}',
+        '{"app": 12.50}', '{"app": true}', '{"app": null}', '{"app": "a\\\\"b"}', '{"app": "caf\\\\u00e9"}',
+        '{"app": "x", "app": "y"}', '{"app": "x"} trailing', "{'app': 'x'}", '{"app": "x",}', '[{"app": "x"}]', '',
+        'not json', '{"node_id": "n", "other": {"app": "deep"}}', '{"app": ""}', '{"app":"x"}{"app":"y"}',
+        '{"app": 1e3}', None,
+    ]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
+    for key in ["app", "node_id"]:
+        diff = df.where(~F.get_json_object("t", f"$.{key}").eqNullSafe(json_string_map("t")[key]))
+        assert diff.count() == 0
