@@ -91,3 +91,29 @@ def test_map_parse_equals_json_path_extraction(spark):
     for key in ["app", "node_id"]:
         diff = df.where(~F.get_json_object("t", f"$.{key}").eqNullSafe(json_string_map("t")[key]))
         assert diff.count() == 0
+
+
+def test_union_task_schema_equals_separate_parses(spark):
+    """Parsing the create-task payload once with the union of the three task shapes reads
+    the same fields as three separate parses, malformed sub-objects included."""
+    from usagelens.functions import first_of
+    from usagelens.schemas import TASKS_DDL
+
+    shape = "array<struct<task_key:string, sql_task:struct<{kind}:struct<{kind}_id:string, pause_subscriptions:boolean>, warehouse_id:string>>>"
+    cases = [
+        '[{"task_key": "t", "sql_task": {"alert": {"alert_id": "a1"}, "warehouse_id": "w"}}]',
+        '[{"task_key": "t", "sql_task": {"dashboard": "oops", "alert": {"alert_id": "a1"}, "warehouse_id": "w"}}]',
+        '[{"task_key": "t", "sql_task": {"alert": {"alert_id": 5}, "warehouse_id": "w"}}]',
+        '[{"task_key": "t", "sql_task": {"alert": {"alert_id": "a1", "pause_subscriptions": "yes"}}}]',
+        '[{"sql_task": {"dashboard": {"dashboard_id": "d1", "pause_subscriptions": "bad"}, "query": {"query_id": "q"}}}]',
+        '[]', 'junk', None,
+    ]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
+    union = F.from_json("t", TASKS_DDL)
+    for kind in ["alert", "dashboard", "query"]:
+        alone = F.from_json("t", shape.format(kind=kind))
+        for a, b in [
+            (first_of(union["sql_task"][kind][f"{kind}_id"]), first_of(alone["sql_task"][kind][f"{kind}_id"])),
+            (first_of(union["sql_task"]["warehouse_id"]), first_of(alone["sql_task"]["warehouse_id"])),
+        ]:
+            assert df.where(~a.eqNullSafe(b)).count() == 0
