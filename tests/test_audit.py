@@ -225,3 +225,13 @@ def test_sort_options(spark):
     totals = [r.total_run_duration_seconds for r in run_stats(run_history(run_events(audit))).collect()]
     present = [x for x in totals if x is not None]
     assert present == sorted(present, reverse=True) and totals[-1] is None  # NULLs last in DESC
+
+
+def test_latest_per_key_with_two_keys(spark):
+    rng = random.Random(8)
+    data = [(rng.randint(0, 3), rng.choice(["a", "b", None]), i, rng.randint(0, 4)) for i in range(400)]
+    df = spark.createDataFrame(data, "k1 int, k2 string, id int, t int")
+    w = Window.partitionBy("k1", "k2").orderBy(F.desc("t"))
+    ranked = df.withColumn("r", F.dense_rank().over(w)).where("r = 1").drop("r")
+    ours = latest_per_key(df, ["k1", "k2"], "t")
+    assert ours.exceptAll(ranked).count() == 0 and ranked.exceptAll(ours).count() == 0

@@ -80,3 +80,15 @@ def test_comment_metadata_missing_and_label(spark):
     assert plain["d"].parsed_dbt_comment is None and plain["d"].DBT_Query_Type == "Other Query Type"
     assert filled["c"].node_id == "None" and filled["c"].node_or_connection == "None"  # Q16
     assert filled["a"].dbt_version == "None" and plain["a"].dbt_version is None
+
+
+def test_fleet_averages_by_workspace(spark):
+    h = history(
+        spark,
+        {"statement_id": "a", "workspace_id": 1, "total_duration_ms": 1000},
+        {"statement_id": "b", "workspace_id": 1, "total_duration_ms": 3000},
+        {"statement_id": "c", "workspace_id": 2, "total_duration_ms": 5000},
+    )
+    out = {r.statement_id: r.WarehouseAvgQueryRuntime
+           for r in with_fleet_averages(statement_metrics(h), h, by=["workspace_id"]).collect()}
+    assert out == {"a": 2.0, "b": 2.0, "c": 5.0}
