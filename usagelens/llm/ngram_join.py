@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .pairs import SEGMENT, bucket_components
 from .shared import join_ids, stored, text_by_id
 from .textops import WordHasher, least_overlap, mix, shingle_sets
 
@@ -39,7 +39,6 @@ from .textops import WordHasher, least_overlap, mix, shingle_sets
 FRAGMENT_BYTES = 8_000_000
 #: Fragments of the counts among representatives.
 PAIR_FRAGMENTS = 8
-PARITY_WORDS = 16
 
 
 def _fragment(h: np.ndarray, n: int) -> np.ndarray:
@@ -137,9 +136,6 @@ def _count_shared(table: pa.Table) -> pa.Table:
     )
 
 
-_SEGMENT = "fragment long, doc_id long, n long, grams binary"
-
-
 def _segments(n_fragments: int):
     """(doc_id, text) to the fragments of each set, as sorted 64-bit hashes."""
 
@@ -184,47 +180,6 @@ def _prefix(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": np.full(len(gram), doc), "n": np.full(len(gram), n), "shared": np.full(len(gram), n - alone), "gram": gram})
 
 
-def _parity(batches):
-    """Segments to a bitmap of 64 * PARITY_WORDS bits, one flipped for each n-gram."""
-    bits = 64 * PARITY_WORDS
-    for batch in batches:
-        out = []
-        for blob in batch.column("grams").to_pylist():
-            spot = mix(np.frombuffer(blob, np.uint64)) % np.uint64(bits)
-            odd = (np.bincount(spot.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-            out.append(np.packbits(odd, bitorder="little").view(np.int64))
-        out = np.array(out, np.int64).reshape(-1, PARITY_WORDS)
-        yield pa.RecordBatch.from_pydict(
-            {"doc_id": batch.column("doc_id"), "n": batch.column("n"), **{f"p{i}": out[:, i].copy() for i in range(PARITY_WORDS)}}
-        )
-
-
-def _overlap(batches):
-    """Rows with two segments to the size of their intersection."""
-    for batch in batches:
-        both = [
-            len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-            for x, y in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist(), strict=True)
-        ]
-        yield pa.RecordBatch.from_pydict(
-            {"a": batch.column("a"), "b": batch.column("b"), "n_a": batch.column("n_a"), "n_b": batch.column("n_b"), "part": pa.array(both, pa.int64())}
-        )
-
-
-def links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of those pairs whose overlap, counted by fragment and summed, reaches the threshold."""
-    left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
-    right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
-    met = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", "grams_a", "grams_b")
-    parts = met.mapInArrow(_overlap, "a long, b long, n_a long, n_b long, part long")
-    total = parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("both"))
-    return total.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
-
-
-def _near_length(x: str, y: str, percent: int):
-    return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
-
-
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every document; see the module text.
 
@@ -254,10 +209,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     heads = classes.where("doc_id = class_id").select("doc_id")
     n_heads = heads.count()
     segments = stored(
-        join_ids(texts, heads, "doc_id", "left_semi", n_heads).mapInArrow(_segments(PAIR_FRAGMENTS), _SEGMENT),
+        join_ids(texts, heads, "doc_id", "left_semi", n_heads).mapInArrow(_segments(PAIR_FRAGMENTS), SEGMENT),
         "join-segments",
     )
-    found = _representative_components(segments, percent)
+    found = bucket_components(segments, _prefixes(segments), percent)
     own = F.coalesce("component", "class_id", "doc_id")
     return (
         counted.select("doc_id", F.col("n").alias("n_shingles"))
@@ -267,58 +222,6 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
 
 
-def _representative_components(segments: DataFrame, percent: int) -> DataFrame:
-    prefixes = stored(_prefixes(segments), "join-prefix")
-    # one hub a bucket: the member with the largest share of common n-grams
-    rank = F.struct((F.col("shared") / F.col("n")).alias("share"), (-F.col("doc_id")).alias("minus"), F.col("n"))
-    hubs = stored(prefixes.groupBy("gram").agg(F.max(rank).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-        .select("gram", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n")), "join-hubs")
-    star = (
-        prefixes.join(hubs, "gram")
-        .where((F.col("doc_id") != F.col("hub")) & _near_length("n", "hub_n", percent))
-        .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-        .distinct()
-    )
-    star = stored(star, "join-star")
-    first = stored(links(star, segments, percent), "join-links")
-    label = components(first)
-    # what the hubs leave in different components
-    bitmap = (
-        segments.mapInArrow(_parity, "doc_id long, n long, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
-        .groupBy("doc_id")
-        .agg(*[F.expr(f"bit_xor(p{i})").alias(f"p{i}") for i in range(PARITY_WORDS)])
-    )
-    members = (
-        prefixes.join(label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "doc_id"))
-    )
-    mixed = stored(
-        members.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram"),
-        "join-mixed",
-    )
-    members = stored(members.join(mixed, "gram").join(bitmap, "doc_id"), "join-members")
-    x, y = members.alias("x"), members.alias("y")
-    flips = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
-    total = F.col("x.n") + F.col("y.n")
-    # overlap >= percent * total / (100 + percent), so at most this many n-grams differ
-    allowed = total - 2 * F.ceil(percent * total / (100 + percent))
-    rest = (
-        x.join(
-            y,
-            (F.col("x.gram") == F.col("y.gram"))
-            & (F.col("x.doc_id") < F.col("y.doc_id"))
-            & (F.col("x.component") != F.col("y.component"))
-            & _near_length("x.n", "y.n", percent)
-            & (flips <= allowed),
-        )
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    second = stored(links(stored(rest, "join-rest"), segments, percent), "join-links")
-    return components(first.unionByName(second))
-
-
 def _exploded(batches):
     """Segments to one row for each n-gram."""
     for batch in batches:

@@ -4,22 +4,97 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .ngram_join import jaccard_components
+from . import bpe, decontam, html_text, langid, licenses, line_dedup, lm, ngram_join, oracles, quality, warc
+from .shared import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality_cascade(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard_components(_table(spark, sf_dir, "documents"))
+    found = ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Encode and decode every text; the digest columns of the ids and of the decoded bytes."""
+    codec = bpe.ByteBpe(docs.sparkSession, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    both = codec.decode(codec.encode(docs.select("doc_id", "text")).select("doc_id", "ids"))
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(_table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(_table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path).where("kind = 'record'")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = langid.learn(docs, remainder != 2)
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_ngram_jaccard": op2_ngram_jaccard,
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_ngram_jaccard,
+        op3_html_extraction,
+        op4_byte_bpe,
+        op5_line_dedup,
+        op6_lm_scoring,
+        op7_license_scan,
+        op8_warc,
+        op9_decontamination,
+        op10_language_id,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": oracles.QUALITY,
+    "op2_ngram_jaccard": oracles.JACCARD,
+    "op8_warc": oracles.WARC,
+}
