@@ -2,24 +2,65 @@
 
 Counted as part of the subpackage ``usagelens.llm``. ``STAGES`` lists the stages in order; each
 takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the columns of documents.
+Rows without doc_id pass the stages that compare documents, as nothing can name them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from usagelens.llm import langid
+from usagelens.llm.decontam import contaminated
+from usagelens.llm.line_dedup import dedup_lines
 from usagelens.llm.ngram_join import jaccard_components
+from usagelens.llm.queries import bpe_digests
 from usagelens.llm.shared import stored
 
+#: A document whose best language wins a comparison by less than this is rejected.
+LEAST_LANGUAGE_SCORE = 0.5
 
-def _one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter and those whose language can't be told."""
+    model = langid.learn(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    found = langid.predict(docs, model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated lines out of the texts; a document of which nothing is left goes."""
+    found = dedup_lines(docs)
+    empty = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.where(~empty).withColumn("n_chars", changed).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents that near-duplicate links connect, the one with the smallest doc_id stays."""
     found = jaccard_components(docs)
     gone = found.where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("ngram_jaccard", _one_of_each_group)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes documents that hold a copy of a benchmark item, edited or not."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, the ids (little-endian unsigned 32-bit integers), and digests of ids and of the decoded text."""
+    return bpe_digests(docs, with_ids=True)
+
+
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("ngram_jaccard", near_duplicates),
+    ("decontamination", decontaminate),
+    ("byte_bpe", tokens),
+]
 
 #: No SQL expresses the stages (models, hashing, tokenizer); tests/llm holds them against brute force.
 ORACLE_SQL = None

@@ -32,8 +32,8 @@ from .shared import stored
 from .textops import WordHasher
 
 DEPTH = 5
-LEAST_SHARE = 1e-4
-LEAST_DIVERGENCE = 0.002
+LEAST_SHARE = 1e-5
+LEAST_DIVERGENCE = 0.001
 #: Weight of the suffix's distribution in a context's, in observations.
 SMOOTHING = 20.0
 HOT_WORDS = 1_000_000
@@ -114,8 +114,8 @@ def grow_tree(depth: np.ndarray, key: np.ndarray, n: np.ndarray) -> SuffixTree:
         rows = np.flatnonzero(depth == d)
         rows = rows[np.argsort(key[rows], kind="stable")]
         context = key[rows] >> 8
-        starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(rows) else np.zeros(0, np.int64)
-        for a, b in zip(starts, np.r_[starts[1:], len(rows)], strict=True):
+        cuts = np.r_[0, np.flatnonzero(np.diff(context)) + 1, len(rows)] if len(rows) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             c = int(context[a])
             times, spot = n[rows[a:b]], classes[key[rows[a:b]] & 255]
             if c >> (8 * (d - 1)) == 0 or times.sum() < LEAST_SHARE * total:

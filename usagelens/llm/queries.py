@@ -30,8 +30,8 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-def bpe_digests(docs: DataFrame) -> DataFrame:
-    """Encode and decode every text; the digest columns of the ids and of the decoded bytes."""
+def bpe_digests(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+    """Encode and decode every text; the digest columns of the ids and of the decoded bytes, and the ids on demand."""
     codec = bpe.ByteBpe(docs.sparkSession, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     both = codec.decode(codec.encode(docs.select("doc_id", "text")).select("doc_id", "ids"))
     return both.select(
@@ -39,6 +39,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if with_ids else []),
     )
 
 
