@@ -19,7 +19,10 @@ qh AS (
         '/* {{"app": "', CASE WHEN event_id % 2 = 0 THEN 'DBT' ELSE 'dbt' END, '"',
         CASE WHEN event_id % 9 = 0 THEN '' ELSE concat(', "node_id": "model.p.', event_type, '"') END,
         ', "profile_name": "p', user_id % 2, '", "target_name": "t', user_id % 4,
-        '", "connection_name": "c', user_id % 5, '"}} */ select 1')
+        '", "connection_name": "c', user_id % 5,
+        CASE WHEN event_id % 2 = 0 THEN concat('", "dbt_version": "1.', user_id % 3) ELSE '' END,
+        CASE WHEN event_id % 4 = 0 THEN concat('", "dbt_databricks_version": "1.', user_id % 7) ELSE '' END,
+        '"}} */ select 1')
       WHEN event_id % 13 = 0 THEN '/* plain note */ select 1'
       WHEN event_id % 31 = 0 THEN 'select */ 1 /*'
       ELSE 'select 1'
@@ -61,15 +64,17 @@ usage AS (
 LIST_PRICES = """
 list_prices AS (
   SELECT
-    CASE r_regionkey WHEN 0 THEN 'PREMIUM_SERVERLESS_SQL_COMPUTE' WHEN 1 THEN 'PREMIUM_JOBS_COMPUTE'
+    CASE r_regionkey WHEN 0 THEN 'PREMIUM_SERVERLESS_SQL_COMPUTE' WHEN 4 THEN 'PREMIUM_SERVERLESS_SQL_COMPUTE' WHEN 1 THEN 'PREMIUM_JOBS_COMPUTE'
          ELSE concat('OTHER_', r_regionkey) END AS sku_name,
-    CAST(CASE r_regionkey WHEN 0 THEN 0.7 WHEN 1 THEN 0.15 ELSE 1.0 END AS DOUBLE) AS price
+    CAST(CASE r_regionkey WHEN 0 THEN 0.7 WHEN 1 THEN 0.15 WHEN 4 THEN 0.05 ELSE 1.0 END AS DOUBLE) AS price
   FROM region
 )"""
 
 _OWNER = "concat('owner', o_custkey % 20, '@example.com')"
 _KIND = "['alert', 'dashboard', 'query'][o_orderkey % 3 + 1]"
-_TASK = "['refresh-query', 'refresh-alert', 'other'][l_linenumber]"
+_TASK = "['refresh-query', 'refresh-alert', 'refresh-dashboard', 'other'][(l_linenumber - 1) % 4 + 1]"
+_RUN_ID = "concat(o_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)"
+_PUBLISH = "(event_type = 'signup' AND user_id % 25 < 20)"
 
 AUDIT = f"""
 audit AS (
@@ -84,9 +89,13 @@ audit AS (
       concat('req-c-', o_orderkey) AS request_id,
       CASE WHEN o_orderkey % 10 <= 6 THEN concat('job-', o_custkey) END AS p_name,
       CASE WHEN o_orderkey % 10 <= 6 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'false' ELSE 'true' END END AS p_is_from_redash,
-      CASE WHEN o_orderkey % 10 <= 6 THEN concat(
-        '[{{"task_key": "', {_KIND}, '_task", "sql_task": {{"', {_KIND}, '": {{"', {_KIND}, '_id": "x', o_custkey,
-        '", "pause_subscriptions": false}}, "warehouse_id": "wh-', o_custkey % 8, '"}}}}]') END AS p_tasks,
+      CASE WHEN o_orderkey % 10 <= 6 THEN concat('[',
+        CASE WHEN o_orderkey % 11 <> 0 THEN concat(
+          '{{"task_key": "', {_KIND}, '_task", "sql_task": {{"', {_KIND}, '": {{"', {_KIND}, '_id": "x', o_custkey,
+          '", "pause_subscriptions": false}}, "warehouse_id": "wh-', o_custkey % 8, '"}}}}') ELSE '' END,
+        CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 11 <> 0
+          THEN ', {{"task_key": "second", "sql_task": {{"query": {{"query_id": "never"}}, "warehouse_id": "wh-never"}}}}' ELSE '' END,
+        ']') END AS p_tasks,
       CASE WHEN o_orderkey % 10 <= 6 THEN concat(
         '{{"quartz_cron_expression": "0 ', o_orderkey % 60, ' * * * ?", "timezone_id": "UTC", "pause_status": "',
         CASE WHEN o_orderkey % 4 = 0 THEN 'PAUSED' ELSE 'UNPAUSED' END, '"}}') END AS p_schedule,
@@ -113,33 +122,35 @@ audit AS (
     SELECT
       o_custkey % 3 AS workspace_id, o_orderdate + to_seconds(l_linenumber) AS event_time, 'jobs' AS service_name,
       'runStart' AS action_name, {_OWNER} AS email, 'jobs-runner/1.0' AS user_agent,
-      concat('req-s-', o_orderkey * 10 + l_linenumber) AS request_id,
+      concat('req-s-', {_RUN_ID}) AS request_id,
       CAST(o_custkey AS VARCHAR) AS p_jobId, CAST(o_orderkey AS VARCHAR) AS p_multitaskParentRunId,
-      CAST(o_orderkey * 10 + l_linenumber AS VARCHAR) AS p_runId, {_TASK} AS p_taskKey, 'sql_task' AS p_jobTaskType,
-      CASE WHEN l_linenumber = 1 THEN concat('q', l_partkey % 50) END AS p_queryIds,
-      CASE WHEN l_linenumber = 2 THEN concat('a', l_partkey % 50) END AS p_alertId,
-      CAST(NULL AS VARCHAR) AS p_dashboardId,
+      {_RUN_ID} AS p_runId, {_TASK} AS p_taskKey, 'sql_task' AS p_jobTaskType,
+      CASE WHEN l_linenumber % 4 = 1 THEN concat('q', l_partkey % 50) END AS p_queryIds,
+      CASE WHEN l_linenumber % 4 = 2 THEN concat('a', l_partkey % 50) END AS p_alertId,
+      CASE WHEN l_linenumber % 4 = 3 THEN concat('d', l_partkey % 50) END AS p_dashboardId,
       concat('wh-', l_suppkey % 8) AS p_warehouseId, {_OWNER} AS p_runCreatorUserName,
       200 AS status_code
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    WHERE l_linenumber <= 3
     UNION ALL BY NAME
     SELECT
       o_custkey % 3 AS workspace_id,
       o_orderdate + to_seconds(l_linenumber) + to_seconds(CAST(l_quantity AS BIGINT)) AS event_time,
       'jobs' AS service_name,
       CASE WHEN l_returnflag = 'R' THEN 'runSucceeded' ELSE 'runFailed' END AS action_name,
-      {_OWNER} AS email, 'jobs-runner/1.0' AS user_agent, concat('req-e-', o_orderkey * 10 + l_linenumber) AS request_id,
+      {_OWNER} AS email, 'jobs-runner/1.0' AS user_agent, concat('req-e-', {_RUN_ID}) AS request_id,
       CAST(o_custkey AS VARCHAR) AS p_jobId, CAST(o_orderkey AS VARCHAR) AS p_multitaskParentRunId,
-      CAST(o_orderkey * 10 + l_linenumber AS VARCHAR) AS p_runId, {_TASK} AS p_taskKey,
+      {_RUN_ID} AS p_runId, {_TASK} AS p_taskKey,
       200 AS status_code,
       CASE WHEN l_returnflag = 'A' THEN 'run failed' END AS error_message
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    WHERE l_linenumber <= 3 AND l_returnflag IN ('R', 'A')
+    WHERE l_returnflag IN ('R', 'A')
     UNION ALL BY NAME
     SELECT
-      user_id % 3 AS workspace_id, ts AS event_time, 'dashboards' AS service_name,
-      CASE WHEN event_type IN ('view', 'click') THEN 'executeQuery' ELSE 'publishDashboard' END AS action_name,
+      user_id % 3 AS workspace_id, CASE WHEN {_PUBLISH} AND event_id % 10 = 0 THEN ts - INTERVAL 600 DAY ELSE ts END AS event_time,
+      'dashboards' AS service_name,
+      CASE WHEN event_type IN ('view', 'click') THEN 'executeQuery' WHEN {_PUBLISH} THEN 'publishDashboard'
+           WHEN event_type = 'purchase' THEN 'getDashboard' WHEN event_type = 'error' THEN 'deleteDashboard'
+           WHEN event_type = 'signup' THEN 'subscribeDashboard' END AS action_name,
       concat('user', user_id, '@example.com') AS email,
       CASE WHEN event_id % 2 = 0 THEN 'lakeview_processing/1.0 scheduler' ELSE 'Mozilla/5.0 browser' END AS user_agent,
       concat('req-d-', event_id) AS request_id,
@@ -147,7 +158,6 @@ audit AS (
       CASE WHEN event_type IN ('view', 'click') THEN concat('stmt-', event_id) END AS p_statement_id,
       200 AS status_code
     FROM events
-    WHERE event_type IN ('view', 'click') OR (event_type = 'signup' AND user_id % 25 < 20)
   )
 )"""
 
@@ -161,7 +171,12 @@ timeline AS (
     CAST(l_orderkey AS VARCHAR) AS run_id,
     l_shipdate AS period_start_time,
     l_shipdate + to_seconds(CAST(l_quantity AS BIGINT)) AS period_end_time,
-    [concat('wh-', l_suppkey % 8), concat('wh-', l_suppkey % 8)] AS compute_ids
+    CASE l_orderkey % 5
+      WHEN 0 THEN [concat('wh-', l_suppkey % 8), concat('wh-', (l_suppkey + 1) % 8), concat('wh-', l_suppkey % 8)]
+      WHEN 1 THEN [concat('wh-', (l_suppkey + 1) % 8), concat('wh-', l_suppkey % 8), concat('wh-', (l_suppkey + 1) % 8)]
+      WHEN 2 THEN [concat('wh-', l_suppkey % 8), NULL, concat('wh-', l_suppkey % 8)]
+      WHEN 3 THEN CAST([] AS VARCHAR[])
+      ELSE [concat('wh-', l_suppkey % 8), concat('wh-', l_suppkey % 8)] END AS compute_ids
   FROM lineitem
 )"""
 

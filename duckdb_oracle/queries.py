@@ -193,8 +193,8 @@ SQL["priced_usage"] = _COST_BASE + "SELECT " + _cols("", [
 SQL["interval_overlap"] = _COST_BASE + (
     "SELECT statement_id, warehouse_id, start_time, end_time, usage_start_time, usage_end_time FROM pairs"
 )
-SQL["interval_overlap_plain"] = SQL["interval_overlap"]
 
+SQL["interval_overlap_plain"] = SQL["interval_overlap"]
 SQL["allocate_cost"] = _COST_BASE + "SELECT " + _cols("", [
     "statement_id", "warehouse_id", "usage_start_time", "query_duration_in_interval", "cost_per_second",
 ]) + " FROM pairs"
@@ -401,7 +401,10 @@ SELECT workspace_id, job_id, task_key, run_state, query_id, dashboard_id, alert_
        coalesce(string_agg(DISTINCT warehouse_id, ',' ORDER BY warehouse_id), '') AS warehouses
 FROM runs
 GROUP BY workspace_id, job_id, task_key, run_state, query_id, dashboard_id, alert_id"""
-SQL["run_stats_sql"] = SQL["run_stats"]
+SQL["run_stats_sql"] = _with(AUDIT, RUNS) + """
+SELECT trigger_type, run_state, count(*) AS run_rows, count(DISTINCT job_id) AS jobs, max(triggered_event_time) AS last_trigger
+FROM runs
+GROUP BY trigger_type, run_state"""
 
 SQL["schedule_with_runs"] = _with(AUDIT, CHANGES, LATEST, RUNS) + """,
 per_job AS (
@@ -417,10 +420,14 @@ SQL["timeline_run_stats"] = _with(TIMELINE) + f"""
 SELECT workspace_id, job_id, task_key, result_state,
        count(DISTINCT run_id) AS total_num_runs,
        CAST(sum(date_diff('second', period_start_time, period_end_time)) AS BIGINT) AS total_run_duration_seconds,
-       array_to_string(list_sort(list_distinct(compute_ids)), ',') AS warehouses
-FROM timeline
+       warehouses
+FROM (
+  -- first occurrences in their order; a missing element counts as one more value
+  SELECT *, array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i), ',') AS warehouses
+  FROM (SELECT *, list_transform(compute_ids, lambda x: coalesce(x, 'null')) AS ids FROM timeline)
+)
 WHERE task_key IN {SQL_TASK_KEYS}
-GROUP BY workspace_id, job_id, task_key, result_state, array_to_string(list_sort(list_distinct(compute_ids)), ',')"""
+GROUP BY workspace_id, job_id, task_key, result_state, warehouses"""
 
 # --- audit log: dashboards ------------------------------------------------------------------
 

@@ -14,8 +14,10 @@ from usagelens.operators import (
     run_events,
     run_history,
     run_stats,
+    run_totals,
     schedule_changes,
     schedule_with_runs,
+    timeline_run_stats,
 )
 
 
@@ -174,7 +176,7 @@ def test_run_history_and_stats(spark):
     assert sorted(r.run_state for r in r100.collect()) == ["runFailed", "runFailed", "runSucceeded", "runSucceeded"]
     r200 = hist.where("main_run_id = '200'").collect()
     assert [(r.run_state, r.run_duration_seconds) for r in r200] == [("runTriggered", None)]  # Q15
-    stats = {(r.task_key, r.run_state): r for r in run_stats(hist).collect()}
+    stats = {(r.task_key, r.run_state): r for r in run_stats(run_events(a)).collect()}
     assert stats[("refresh-query", "runSucceeded")].total_num_runs == 1
     assert stats[("refresh-query", "runSucceeded")].total_run_duration_seconds == 10
     assert sorted(stats[("refresh-alert", "runFailed")].warehouses) == ["w2"]
@@ -188,7 +190,7 @@ def test_schedule_with_runs_counts_history_rows(spark):
         _run("runStart", ts(2024, 1, 3, 0, 0, 1), run="1001", parent="100", task="refresh-query"),
         _run("runSucceeded", ts(2024, 1, 3, 0, 0, 4), run="1001", parent="100", task="refresh-query"),
     )
-    out = schedule_with_runs(latest_schedules(schedule_changes(a)), run_history(run_events(a))).collect()
+    out = schedule_with_runs(latest_schedules(schedule_changes(a)), run_totals(run_events(a))).collect()
     assert [(r.job_id, r.total_num_runs, r.total_run_duration_seconds, r.last_run_time) for r in out] == [
         ("9", 1, 3, ts(2024, 1, 3))]
 
@@ -222,7 +224,7 @@ def test_sort_options(spark):
     audit = fixture_sources(spark, SMALL_DIR).audit_log
     got = [(r.job_id, r.event_time) for r in schedule_changes(audit, sort=True).select("job_id", "event_time").collect()]
     assert got == sorted(got, key=lambda x: (x[0] is not None, x[0], x[1])) and len(got) > 100
-    totals = [r.total_run_duration_seconds for r in run_stats(run_history(run_events(audit))).collect()]
+    totals = [r.total_run_duration_seconds for r in run_stats(run_events(audit)).collect()]
     present = [x for x in totals if x is not None]
     assert present == sorted(present, reverse=True) and totals[-1] is None  # NULLs last in DESC
 
@@ -235,3 +237,94 @@ def test_latest_per_key_with_two_keys(spark):
     ranked = df.withColumn("r", F.dense_rank().over(w)).where("r = 1").drop("r")
     ours = latest_per_key(df, ["k1", "k2"], "t")
     assert ours.exceptAll(ranked).count() == 0 and ranked.exceptAll(ours).count() == 0
+
+
+def _pairs_form(events):
+    """Run totals and run statistics by grouping the run history itself."""
+    hist = run_history(events)
+    totals = hist.groupBy("workspace_id", "job_id").agg(
+        F.max("triggered_event_time").alias("last_run_time"), F.count("main_run_id").alias("total_num_runs"),
+        F.sum("run_duration_seconds").alias("total_run_duration_seconds"))
+    keys = ["workspace_id", "job_id", "task_key", "run_state", "query_id", "dashboard_id", "alert_id"]
+    stats = hist.groupBy(*keys).agg(
+        F.count_distinct("main_run_id").alias("total_num_runs"), F.sum("run_duration_seconds").alias("total_run_duration_seconds"),
+        F.array_join(F.sort_array(F.collect_set("warehouse_id")), ",").alias("warehouses"))
+    return totals, stats
+
+
+def _assert_same(a, b):
+    b = b.select(a.columns)
+    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_runs_without_pairs_equal_the_pair_form(spark):
+    rng = random.Random(9)
+    recs = [_run("runTriggered", ts(2024, 1, 1), run="100")]
+    for i in range(300):
+        recs.append(_run("runStart", ts(2024, 1, 1, 0, rng.randint(0, 59), i % 60), run=f"s{i}", parent="100", task="refresh-query", wh=f"w{i % 3}"))
+        recs.append(_run(rng.choice(["runSucceeded", "runFailed"]), ts(2024, 1, 1, 1, i // 60, i % 60), run=f"s{i}", parent="100", task="refresh-query"))
+    for i in range(40):  # runs without starts or ends, NULL runs, several triggers, missing times
+        run = None if i % 5 == 0 else f"r{i % 7}"
+        recs.append(_run("runTriggered", ts(2024, 1, 2, 0, i), run=run))
+        if i % 3:
+            recs.append(_run("runStart", None if i % 4 == 0 else ts(2024, 1, 2, 1, i), run=f"x{i}", parent=run, task="refresh-alert"))
+        if i % 2:
+            recs.append(_run("runFailed", None if i % 7 == 0 else ts(2024, 1, 2, 2, i), run=f"x{i}", parent=run, task="refresh-alert"))
+    ev = run_events(audit(spark, *recs))
+    totals, stats = _pairs_form(ev)
+    _assert_same(run_totals(ev), totals)
+    _assert_same(run_stats(ev, sort=False).withColumn("warehouses", F.array_join(F.sort_array("warehouses"), ",")), stats)
+
+
+def test_every_test_row_is_in_the_audit_log(spark):
+    from conftest import SMALL_DIR
+    from usagelens.sources import fixture_sources
+
+    log = fixture_sources(spark, SMALL_DIR).audit_log
+    n = {t: spark.read.parquet(f"{SMALL_DIR}/{t}.parquet").count() for t in ("lineitem", "events", "orders")}
+    assert log.where("action_name = 'runStart'").count() == n["lineitem"]
+    assert log.where("service_name = 'dashboards'").count() == n["events"]
+    assert log.where("action_name = 'runTriggered'").count() == n["orders"]
+
+
+def test_hot_job_of_latest_schedules_is_split(spark):
+    recs = [_create(1 if i % 3 == 0 else 10 + i, ts(2024, 1, 1, i % 24, i % 60), ) for i in range(900)]
+    changes = schedule_changes(audit(spark, *recs)).repartition(8)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = latest_schedules(changes)
+        df.collect()
+        assert "SortMergeJoin(skew=true)" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_report_orders(spark):
+    from conftest import SMALL_DIR
+    from usagelens.plans import enhanced_history, node_cost_report
+    from usagelens.sources import fixture_sources
+
+    src = fixture_sources(spark, SMALL_DIR)
+    for df, by in (
+        (enhanced_history(src, as_of="2024-01-31"), "approx_query_cost"),
+        (node_cost_report(src, as_of="2024-01-31"), "sum_CPUTotalExecutionTime"),
+        (timeline_run_stats(src.task_run_timeline), "total_run_duration_seconds"),
+    ):
+        got = [r[0] for r in df.select(by).collect()]
+        present = [x for x in got if x is not None]
+        assert len(got) > 5 and present == sorted(present, reverse=True) and all(x is None for x in got[len(present):])
+
+
+def test_array_order_makes_groups(spark):
+    data = [(1, "j", "sqlalert", "R", str(i), ts(2024, 1, 1), ts(2024, 1, 1, 0, 0, 5), ids) for i, ids in
+            enumerate([["a", "b", "a"], ["b", "a"], ["a", None], [], ["a", "b"]])]
+    tl = spark.createDataFrame(data, "workspace_id int, job_id string, task_key string, result_state string, run_id string, "
+                               "period_start_time timestamp_ntz, period_end_time timestamp_ntz, compute_ids array<string>")
+    got = sorted((r.warehouses, r.total_num_runs) for r in timeline_run_stats(tl).withColumn("warehouses", F.array_join("warehouses", ",", "null")).collect())
+    assert got == [("", 1), ("a,b", 2), ("a,null", 1), ("b,a", 1)]

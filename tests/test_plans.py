@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import SMALL_DIR
-from usagelens.plans.inspect import formatted_plan, plan_problems, single_partition_parents
+from plan_inspect import formatted_plan, plan_problems, single_partition_parents
 from usagelens.plans.registry import QUERIES
 
 
@@ -56,12 +56,40 @@ def test_latest_schedules_no_window_and_partial_maxima(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     tree = plan.split("\n\n\n")[0]
     assert "Window" not in tree
-    job_exchanges = [l for l in plan.splitlines() if l.startswith("Arguments: hashpartitioning(job_id")]
-    # events shuffled once for the join, partial maxima once; the role aggregate reuses the join's partitioning
-    assert len(job_exchanges) == 2
+    arguments = [l for l in plan.splitlines() if l.startswith("Arguments: hashpartitioning(")]
+    # each side of the null-safe join has an exchange of its own, so that a hot job can be split
+    assert sum("coalesce(job_id" in l or "coalesce(_job" in l for l in arguments) == 2
     assert "partial_max" in plan
 
 
+def test_latest_per_key_limits_groups_before_the_shuffle(spark):
+    plan = formatted_plan(QUERIES["latest_per_key"](spark, SMALL_DIR)).split("\n\n\n")[0]
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Scan parquet") == 1
+
+
+def test_run_totals_read_the_events_once(spark):
+    from usagelens.operators import run_events, run_totals
+    from usagelens.sources import fixture_sources
+
+    src = fixture_sources(spark, SMALL_DIR)
+    narrow = run_events(src.audit_log)
+    one = formatted_plan(run_totals(narrow)).count("Location: InMemoryFileIndex")
+    assert one == formatted_plan(narrow.groupBy("job_id").count()).count("Location: InMemoryFileIndex")
+
+
+def test_day_bound_reaches_the_usage_scan(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from usagelens.operators import statement_cost
+    from usagelens.sources import fixture_sources
+
+    src = fixture_sources(spark, SMALL_DIR)
+    src.usage.write.parquet(str(tmp_path / "usage"))
+    usage = spark.read.parquet(str(tmp_path / "usage"))
+    plan = formatted_plan(statement_cost(src.query_history, usage, src.list_prices, since=F.to_date(F.lit("2024-01-16"))))
+    assert "GreaterThan(usage_end_time,2024-01-16T00:00)" in plan
+
+
 @pytest.mark.parametrize("name", ["enhanced_history", "fleet_averages", "node_cost_report"])
 def test_single_partition_only_under_aggregates(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -12,7 +12,7 @@ from usagelens.operators import (
     latest_schedules,
     priced_usage,
     run_events,
-    run_history,
+    run_totals,
     schedule_changes,
     schedule_with_runs,
     statement_windows,
@@ -25,6 +25,7 @@ def test_overlap_seconds_never_exceed_statement_length(spark):
     src = fixture_sources(spark, SMALL_DIR)
     stmts = statement_windows(src.query_history)
     pairs = allocate_cost(stmts, priced_usage(src.usage, src.list_prices))
+    pairs = pairs.dropDuplicates(["statement_id", "usage_start_time"])  # a SKU with two prices has each pair twice
     per_stmt = pairs.groupBy("statement_id", "start_time", "end_time").agg(
         F.sum("query_duration_in_interval").alias("charged"), F.count(F.lit(1)).alias("n")
     )
@@ -35,7 +36,7 @@ def test_overlap_seconds_never_exceed_statement_length(spark):
 def test_schedule_with_runs_keeps_latest_rows(spark):
     audit = fixture_sources(spark, SMALL_DIR).audit_log
     latest = latest_schedules(schedule_changes(audit))
-    joined = schedule_with_runs(latest, run_history(run_events(audit)))
+    joined = schedule_with_runs(latest, run_totals(run_events(audit)))
     assert joined.count() == latest.count() > 0
 
 
@@ -81,3 +82,41 @@ def test_flagship_binned_equals_plain(spark):
     plain = enhanced_history(src, as_of="2024-01-31", bin_seconds=None, sort=False).select(*cols)
     assert binned.count() > 0
     assert binned.exceptAll(plain).count() == 0 and plain.exceptAll(binned).count() == 0
+
+
+def test_far_ends_make_no_more_bins_than_usage(spark):
+    from usagelens.operators import interval_overlap
+
+    rng = random.Random(3)
+    base = dt.datetime(2024, 1, 1)
+    at = lambda: base + dt.timedelta(seconds=rng.randint(0, 5 * 86400))
+    left = [("w", i, at(), at()) for i in range(200)]  # half of them inverted
+    left += [("w", 900, at(), dt.datetime(9999, 12, 31)), ("w", 901, dt.datetime(1900, 1, 1), at()), ("w", 902, dt.datetime(9999, 1, 1), dt.datetime(9999, 12, 31))]
+    right = [("w", h, base + dt.timedelta(hours=h), base + dt.timedelta(hours=h + 1)) for h in range(120)]
+    lhs = spark.createDataFrame(left, "k string, id int, s timestamp_ntz, e timestamp_ntz")
+    rhs = spark.createDataFrame(right, "k string, h int, us timestamp_ntz, ue timestamp_ntz")
+    binned = interval_overlap(lhs, rhs, "k", "s", "e", "us", "ue")
+    plain = interval_overlap(lhs, rhs, "k", "s", "e", "us", "ue", bin_seconds=None)
+    assert plain.count() > 1000 and binned.exceptAll(plain).count() == 0 and plain.exceptAll(binned).count() == 0
+    within = tuple(F.lit(x) for x in rhs.select(F.min(time_bin("us", 3600)), F.max(time_bin("ue", 3600))).first())
+    bins = _explode_bins(lhs, "s", "e", "_first", 3600, within).groupBy("id").count()
+    assert bins.agg(F.max("count")).first()[0] <= 121
+
+
+def test_median_equals_the_built_in_one(spark):
+    from usagelens.operators.median import value_bucket, with_weighted_median
+
+    rng = random.Random(4)
+    rows = [("hot", rng.gauss(0, 5) if i % 3 else round(rng.gauss(0, 5))) for i in range(5000)] + [(None, float(i)) for i in range(4)]
+    rows += [("one", 2.5), ("null", None), ("two", 1.0), ("two", 2.0), ("zero", 0.0), ("zero", -1e-300), ("zero", 1e300), ("some", None), ("some", 3.0)]
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "k string, v double").repartition(5)
+    cells = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    ours = with_weighted_median(df.select("k").distinct(), cells, ["k"], "v", "n", "m")
+    built_in = df.groupBy("k").agg(F.median("v").alias("m"))
+    assert ours.exceptAll(built_in).count() == 0 and ours.count() == built_in.count()
+    pairs = sorted(df.where("v IS NOT NULL").select("v", value_bucket(F.col("v"))).collect())
+    assert all(x[1] <= y[1] for x, y in zip(pairs, pairs[1:]))
+    # a million distinct values of one key lie in many buckets, sorted by several tasks
+    million = spark.range(1_000_000).select(F.lit("k").alias("k"), (F.col("id") * 1.5).alias("v"), F.lit(1).alias("n"))
+    assert with_weighted_median(spark.createDataFrame([("k",)], "k string"), million, ["k"], "v", "n", "m").first().m == 749_999.25
+    assert million.select(value_bucket(F.col("v"))).distinct().count() > 500

@@ -72,3 +72,32 @@ def test_registered_reports_answer_sql(spark):
     assert n == reports["schedule_with_runs"].where("total_num_runs > 0").count() > 0
     first = spark.sql("SELECT total_run_duration_seconds FROM run_stats LIMIT 1").first()[0]
     assert first == reports["run_stats"].agg({"total_run_duration_seconds": "max"}).first()[0]
+
+
+def test_saved_views_are_read_from_another_session(spark, tmp_path):
+    from usagelens.plans import save_views
+
+    views = build_views(fixture_sources(spark, SMALL_DIR), as_of="2024-01-31")
+    frame = {"run_history": views["run_history"].drop("request_params", "response")}
+    with pytest.raises(ValueError, match="temporary view"):
+        register_views(spark, frame, {"run_history": "reports.runs"})
+    with pytest.raises(ValueError, match="no name"):
+        save_views(frame, {})
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS reports LOCATION '{tmp_path}/reports.db'")
+    try:
+        for name in ("reports.runs", "spark_catalog.reports.runs"):
+            assert save_views(frame, {"run_history": name}) == {"run_history": name}
+            assert spark.newSession().table(name).count() == frame["run_history"].count() > 0
+    finally:
+        spark.sql("DROP DATABASE reports CASCADE")
+
+
+def test_loaders_name_missing_and_wrong_columns(spark):
+    fx = fixture_sources(spark, SMALL_DIR)
+    names = {n: f"c_{n}" for n in SOURCE_NAMES}
+    fx.usage.drop("usage_date").withColumn("sku_name", fx.usage["usage_quantity"]).createOrReplaceTempView("c_usage")
+    fx.query_history.withColumn("more", fx.query_history["start_time"]).createOrReplaceTempView("c_query_history")
+    src = from_catalog(spark, names)
+    assert "more" in src.query_history.columns
+    with pytest.raises(ValueError, match=r"source usage lacks: .*sku_name \(double, needed string\); usage_date \(missing|usage_date \(missing.*sku_name"):
+        src.usage

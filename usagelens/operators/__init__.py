@@ -8,7 +8,7 @@ from .lookups import scan, usage_by_sku
 from .metadata import with_client_label, with_comment_metadata, with_comment_text
 from .metrics import statement_metrics, with_fleet_averages, with_statement_flags
 from .overlap import interval_overlap
-from .runs import run_events, run_history, run_stats, timeline_run_stats
+from .runs import run_events, run_history, run_stats, run_totals, timeline_run_stats
 from .schedules import latest_schedules, schedule_changes, schedule_with_runs
 
 __all__ = [
@@ -24,6 +24,7 @@ __all__ = [
     "run_events",
     "run_history",
     "run_stats",
+    "run_totals",
     "scan",
     "schedule_changes",
     "schedule_with_runs",

@@ -54,12 +54,9 @@ def statement_windows(history: DataFrame, since: Column | None = None) -> DataFr
     q = history.select(
         "start_time",
         "end_time",
-        "executed_by",
         "statement_id",
-        "execution_status",
         "workspace_id",
         F.col("compute.warehouse_id").alias("warehouse_id"),
-        "statement_type",
     )
     return q if since is None else q.where(F.col("start_time") >= since)
 
@@ -107,8 +104,12 @@ def statement_cost(
 
     The pairs are hash-partitioned on (workspace_id, statement_id) once: that partitioning
     satisfies the grouping and is reused by the report's join to the statement rows,
-    so the per-statement result is never shuffled again.
+    so the per-statement result is never shuffled again. With ``since`` the usage scan is
+    bounded too (its end must lie after the bound).
     """
+    if since is not None:
+        # start_time >= since and start_time < usage_end_time: older usage can't overlap
+        usage = usage.where(F.col("usage_end_time") > since)
     pairs = allocate_cost(
         statement_windows(history, since), priced_usage(usage, prices, sku_pattern), bin_seconds
     )

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ms_to_seconds, param
@@ -45,6 +45,17 @@ def dashboard_publishers(audit: DataFrame, since: str = PUBLISHED_SINCE) -> Data
     )
 
 
+def _by_dashboard(publishers: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """The publishers and the condition to join them on ``key``.
+
+    NULL dashboards are left out first, so the null-safe comparison means equality; written so, its
+    keys differ from those the publishers were grouped by, and each side of a shuffled join has an
+    exchange of its own that AQE can split at a hot dashboard.
+    """
+    p = publishers.where(F.col("dashboard_id").isNotNull()).select(F.col("dashboard_id").alias("_p_dashboard_id"), "publisher")
+    return p, F.col(key).eqNullSafe(F.col("_p_dashboard_id"))
+
+
 def dashboard_queries(
     audit: DataFrame,
     history: DataFrame,
@@ -64,9 +75,8 @@ def dashboard_queries(
         "event_date",
     )
     rest = [c for c in history.columns if c not in _REPLACED]
-    joined = a.join(history, a["_a_statement_id"] == history["statement_id"]).join(
-        publishers, "dashboard_id", "left"
-    )
+    joined = a.join(history, a["_a_statement_id"] == history["statement_id"])
+    joined = joined.join(*_by_dashboard(publishers, "dashboard_id"), "left")
     return joined.select(
         F.col("_a_workspace_id").alias("workspace_id"),
         "dashboard_id",
@@ -92,5 +102,4 @@ def audit_by_dashboard(audit: DataFrame, dashboard_id: str) -> DataFrame:
 def audit_with_publisher(audit: DataFrame, publishers: DataFrame) -> DataFrame:
     """Every audit row of a dashboard that has a publisher, with that publisher."""
     keyed = audit.withColumn("_d_key", param(DASHBOARD_KEY))
-    pubs = publishers.select(F.col("dashboard_id").alias("_d_key"), "dashboard_id", "publisher")
-    return keyed.join(pubs, "_d_key").select(*audit.columns, "dashboard_id", "publisher")
+    return keyed.join(*_by_dashboard(publishers, "_d_key")).select(*audit.columns, F.col("_d_key").alias("dashboard_id"), "publisher")

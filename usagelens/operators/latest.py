@@ -1,19 +1,18 @@
 """Newest row(s) per key, ties kept (``dense_rank() ... DESC = 1``).
 
-Written as an aggregate plus a join back instead of a window: the per-key maximum is a
-partial aggregate (combined on every task before the shuffle), so a key holding a
-third of all rows never lands in one task as a sorted window partition. The join back
-is an equi-join on the key, which AQE's skew handling splits when one key is hot.
+Rank one is a group limit: Spark keeps only each task's newest rows of a key before the
+shuffle (``WindowGroupLimit`` in its partial mode), so one scan suffices and a hot key
+sends at most its tied newest rows from each task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_TOP = "_latest_top"
+_RANK = "_latest_rank"
 
 
 def latest_per_key(
@@ -30,9 +29,5 @@ def latest_per_key(
     """
     keys = [key] if isinstance(key, str) else list(key)
     rows = df if where is None else df.where(where)
-    renamed = {k: f"_latest_key{i}" for i, k in enumerate(keys)}
-    top = rows.groupBy(*keys).agg(F.max(order_col).alias(_TOP))
-    top = top.select(*[F.col(k).alias(v) for k, v in renamed.items()], _TOP)
-    cond = [F.col(k).eqNullSafe(F.col(v)) for k, v in renamed.items()]
-    joined = rows.join(top, cond).where(F.col(order_col).eqNullSafe(F.col(_TOP)))
-    return joined.select(*df.columns)
+    newest_first = Window.partitionBy(*keys).orderBy(F.col(order_col).desc_nulls_last())
+    return rows.withColumn(_RANK, F.dense_rank().over(newest_first)).where(F.col(_RANK) == 1).select(*df.columns)

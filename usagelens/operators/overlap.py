@@ -15,29 +15,41 @@ plain join row for row, for any input.
 
 Scale: with a bin as wide as the billing grain, a usage row touches 1-2 bins and a
 statement touches ``1 + duration / bin`` bins, so the join output stays linear and a hot
-warehouse is spread over its hours instead of one join key.
+warehouse is spread over its hours instead of one join key. The left side's bins are
+clipped to the range of the right side's (a one-row aggregate): bins outside it have no
+partner, so a statement that seems to end centuries ahead makes no more bins than there
+are billed hours.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import time_bin
 
 BIN = "_ovl_bin"
-_L_FIRST, _R_FIRST = "_ovl_l_first", "_ovl_r_first"
+_L_FIRST, _R_FIRST, _LAST = "_ovl_l_first", "_ovl_r_first", "_ovl_last"
 
 
-def _explode_bins(df: DataFrame, start: str, end: str, first_col: str, bin_seconds: int) -> DataFrame:
+def _bins(start: str, end: str, bin_seconds: int) -> tuple[Column, Column]:
     s, e = F.col(start), F.col(end)
-    first = time_bin(F.least(s, e), bin_seconds)
-    last = time_bin(F.greatest(s, e), bin_seconds)
-    return df.where(s.isNotNull() & e.isNotNull()).select(
-        "*", first.alias(first_col), F.explode(F.sequence(first, last)).alias(BIN)
-    )
+    return time_bin(F.least(s, e), bin_seconds), time_bin(F.greatest(s, e), bin_seconds)
+
+
+def _explode_bins(
+    df: DataFrame, start: str, end: str, first_col: str, bin_seconds: int, within: tuple[Column, Column] | None = None
+) -> DataFrame:
+    """A row for each bin of the span; ``within`` clips the bins, not the span's first one, which owns pairs."""
+    first, last = _bins(start, end, bin_seconds)
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumns({first_col: first, _LAST: last})
+    low, high = F.col(first_col), F.col(_LAST)
+    if within is not None:
+        low, high = F.greatest(low, within[0]), F.least(high, within[1])
+        rows = rows.where(low <= high)
+    return rows.withColumn(BIN, F.explode(F.sequence(low, high))).drop(_LAST)
 
 
 def interval_overlap(
@@ -64,7 +76,9 @@ def interval_overlap(
     overlaps = (F.col(left_start) < F.col(right_end)) & (F.col(left_end) > F.col(right_start))
     if bin_seconds is None:
         return left.join(right, keys).where(overlaps)
-    lhs = _explode_bins(left, left_start, left_end, _L_FIRST, bin_seconds)
+    r_first, r_last = _bins(right_start, right_end, bin_seconds)
+    within = (right.select(F.min(r_first)).scalar(), right.select(F.max(r_last)).scalar())
+    lhs = _explode_bins(left, left_start, left_end, _L_FIRST, bin_seconds, within)
     rhs = _explode_bins(right, right_start, right_end, _R_FIRST, bin_seconds)
     owner = F.col(BIN) == F.greatest(F.col(_L_FIRST), F.col(_R_FIRST))
     out_cols = keys + [c for c in left.columns if c not in keys] + [c for c in right.columns if c not in keys]

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import epoch_seconds_between, param
@@ -45,7 +45,8 @@ def timeline_run_stats(
     """Distinct runs and summed run seconds per (workspace, job, task, state, warehouse set),
     longest total first.
 
-    The warehouse set is ``array_distinct(compute_ids)``, a grouping key of its own.
+    The last key is ``array_distinct(compute_ids)``: first occurrences in their order, so
+    ``[a, b]`` and ``[b, a]`` are two groups.
     """
     out = (
         timeline.where(F.col("task_key").isin(list(task_keys)))
@@ -117,9 +118,11 @@ def run_history(events: DataFrame, task_keys: Sequence[str] = SQL_TASK_KEYS) ->
         *keys, F.col("event_time").alias("run_end_event_time"), F.col("action_name").alias("_e_action"),
         "response", "status", "error",
     )
+    # triggers without a run id meet nothing, and are not sent through the joins to one task
+    named = F.col("job_id").isNotNull() & F.col("main_run_id").isNotNull()
+    met = trigger.where(named).join(start.where(named), keys, "left").join(end.where(named), keys, "left")
     return (
-        trigger.join(start, keys, "left")
-        .join(end, keys, "left")
+        met.unionByName(trigger.where(~named), allowMissingColumns=True)
         .select(
             "workspace_id",
             "service_name",
@@ -137,14 +140,94 @@ def run_history(events: DataFrame, task_keys: Sequence[str] = SQL_TASK_KEYS) ->
 
 
 RUN_STAT_KEYS = ["workspace_id", "job_id", "task_key", "run_state", "query_id", "dashboard_id", "alert_id"]
+_RUN = ["job_id", "main_run_id"]
 
 
-def run_stats(history: DataFrame, sort: bool = True) -> DataFrame:
+def _run_roles(events: DataFrame, task_keys: Sequence[str]) -> DataFrame:
+    """Run events with their role in a run history: trigger, start or end (other events are left out)."""
+    sql_task = F.col("task_key").isin(list(task_keys))
+    role = (
+        F.when(F.col("action_name") == TRIGGERED, "trigger")
+        .when((F.col("action_name") == STARTED) & sql_task, "start")
+        .when(F.col("action_name").isin(SUCCEEDED, FAILED) & sql_task, "end")
+    )
+    return events.withColumn("_role", role).where(F.col("_role").isNotNull()).withColumn("_sec", F.unix_timestamp("event_time"))
+
+
+def run_totals(events: DataFrame, task_keys: Sequence[str] = SQL_TASK_KEYS) -> DataFrame:
+    """Last trigger time, run-history rows with a run id, and summed run seconds per (workspace, job).
+
+    Equals grouping :func:`run_history` without its pairs: a trigger of a run with S starts and
+    E ends stands for max(S, 1) * max(E, 1) rows, whose seconds add up to S' * sum(ends) - E' *
+    sum(starts), S' and E' counting those with a time (NULL if either is 0). Events are read
+    once and summed by run before the first shuffle; the window sees a row per workspace.
+    """
+    when = {r: F.col("_role") == r for r in ("trigger", "start", "end")}
+
+    def of(role, column):
+        return F.when(when[role], column)
+
+    cells = (
+        _run_roles(events, task_keys)
+        .groupBy(*_RUN, of("trigger", F.col("workspace_id")).alias("workspace_id"), when["trigger"].alias("_is_trigger"))
+        .agg(
+            F.count(of("trigger", F.lit(1))).alias("_t"), F.max(of("trigger", F.col("event_time"))).alias("_last"),
+            F.count(of("start", F.lit(1))).alias("_s"), F.count(of("start", F.col("_sec"))).alias("_s_timed"),
+            F.sum(of("start", F.col("_sec"))).alias("_s_sum"), F.count(of("end", F.lit(1))).alias("_e"),
+            F.count(of("end", F.col("_sec"))).alias("_e_timed"), F.sum(of("end", F.col("_sec"))).alias("_e_sum"),
+        )
+    )
+    run = Window.partitionBy(*_RUN)
+    named = F.col("job_id").isNotNull() & F.col("main_run_id").isNotNull()  # NULL keys meet nothing
+
+    def whole(c):
+        return F.when(named, F.sum(c).over(run))
+
+    rows = cells.select(
+        "job_id", "main_run_id", "workspace_id", "_is_trigger", "_t", "_last",
+        *[whole(c).alias(c) for c in ("_s", "_s_timed", "_s_sum", "_e", "_e_timed", "_e_sum")],
+    ).where("_is_trigger")
+    n = F.col("_t") * F.greatest(F.col("_s"), F.lit(1)) * F.greatest(F.col("_e"), F.lit(1))
+    seconds = F.when(
+        (F.col("_s_timed") > 0) & (F.col("_e_timed") > 0),
+        F.col("_t") * (F.col("_s_timed") * F.col("_e_sum") - F.col("_e_timed") * F.col("_s_sum")),
+    )
+    return rows.groupBy("workspace_id", "job_id").agg(
+        F.max("_last").alias("last_run_time"),
+        F.coalesce(F.sum(F.when(F.col("main_run_id").isNotNull(), F.coalesce(n, F.col("_t")))), F.lit(0)).alias("total_num_runs"),
+        F.sum(seconds).alias("total_run_duration_seconds"),
+    )
+
+
+def run_stats(events: DataFrame, task_keys: Sequence[str] = SQL_TASK_KEYS, sort: bool = True) -> DataFrame:
     """Distinct runs, summed run seconds and the set of warehouses per
-    (workspace, job, task, state, query, dashboard, alert), longest total first."""
-    out = history.groupBy(*RUN_STAT_KEYS).agg(
-        F.count_distinct("main_run_id").alias("total_num_runs"),
-        F.sum(epoch_seconds_between("run_event_time", "run_end_event_time")).alias("total_run_duration_seconds"),
-        F.collect_set("warehouse_id").alias("warehouses"),
+    (workspace, job, task, state, query, dashboard, alert), longest total first.
+
+    Equals grouping :func:`run_history` without its pairs: a run's triggers, starts and ends are
+    counted and summed by their output keys before they meet.
+    """
+    ev = _run_roles(events, task_keys)
+    named = F.col("job_id").isNotNull() & F.col("main_run_id").isNotNull()  # NULL keys meet nothing
+    triggers = ev.where("_role = 'trigger'").groupBy(*_RUN, "workspace_id").agg(F.count(F.lit(1)).alias("_t"))
+    starts = ev.where((F.col("_role") == "start") & named).groupBy(*_RUN, "task_key", "query_id", "dashboard_id", "alert_id").agg(
+        F.count("_sec").alias("_s_timed"), F.sum("_sec").alias("_s_sum"), F.collect_set("warehouse_id").alias("_set")
+    )
+    ends = ev.where((F.col("_role") == "end") & named).groupBy(*_RUN, F.col("action_name").alias("_e_action")).agg(
+        F.count("_sec").alias("_e_timed"), F.sum("_sec").alias("_e_sum")
+    )
+    seconds = F.when(
+        (F.col("_s_timed") > 0) & (F.col("_e_timed") > 0),
+        F.col("_t") * (F.col("_s_timed") * F.col("_e_sum") - F.col("_e_timed") * F.col("_s_sum")),
+    )
+    out = (
+        triggers.join(starts, _RUN, "left")
+        .join(ends, _RUN, "left")
+        .withColumn("run_state", F.coalesce("_e_action", F.lit(TRIGGERED)))
+        .groupBy(*RUN_STAT_KEYS)
+        .agg(
+            F.count_distinct("main_run_id").alias("total_num_runs"),
+            F.sum(seconds).alias("total_run_duration_seconds"),
+            F.array_distinct(F.flatten(F.collect_set(F.coalesce("_set", F.array().cast("array<string>"))))).alias("warehouses"),
+        )
     )
     return out.orderBy(F.desc("total_run_duration_seconds"), *RUN_STAT_KEYS) if sort else out

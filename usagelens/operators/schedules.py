@@ -104,12 +104,13 @@ def latest_schedules(changes: DataFrame) -> DataFrame:
     jobs and jobs whose newest event lacks the origin flag are dropped.
 
     Plan: a partial aggregate over a narrow projection gives the four newest times of
-    each job (only per-task partial maxima are shuffled); one equi-join on ``job_id``
-    brings them to the events, which are shuffled once (AQE splits a hot job's
-    partition); the join keeps only rows that are newest for at least one role; an
-    aggregate on the join's partitioning (no further shuffle) gathers, per role, the
-    rows tied at that newest time (usually one), and explodes rebuild their product.
-    No window sorts a whole job in one task, and only a job's newest rows are gathered.
+    each job (only per-task partial maxima are shuffled); a null-safe join on ``job_id``
+    brings them to the events. Its key expressions differ from the aggregate's, so both
+    sides get exchanges of their own and AQE can split a hot job's partition. The join
+    keeps only rows that are newest for at least one role; these few are shuffled again
+    and gathered per role (the rows tied at that newest time, usually one), and explodes
+    rebuild their product. A job whose events all have a NULL time has all of them tied,
+    as with rank one in the reports: n such events give up to n^4 rows.
     """
     t = F.col("event_time")
     events = changes.where(F.col("job_id").isNotNull())
@@ -144,7 +145,7 @@ def latest_schedules(changes: DataFrame) -> DataFrame:
         return F.collect_list(F.when(F.coalesce(cond, F.lit(False)), F.struct(*cols)))
 
     roles = (
-        events.join(newest, "job_id")
+        events.join(newest.withColumnRenamed("job_id", "_job"), F.col("job_id").eqNullSafe(F.col("_job")))
         .where(F.coalesce(is_last | is_cron | is_pause | is_create, F.lit(False)))
         .groupBy("job_id")
         .agg(
@@ -189,12 +190,7 @@ def latest_schedules(changes: DataFrame) -> DataFrame:
     )
 
 
-def schedule_with_runs(latest: DataFrame, runs: DataFrame) -> DataFrame:
+def schedule_with_runs(latest: DataFrame, run_totals: DataFrame) -> DataFrame:
     """Latest schedules left-joined to last run time, run-row count and summed run
-    seconds per (workspace, job). The count is of run-history rows with a run id."""
-    run_info = runs.groupBy("workspace_id", "job_id").agg(
-        F.max("triggered_event_time").alias("last_run_time"),
-        F.count("main_run_id").alias("total_num_runs"),
-        F.sum("run_duration_seconds").alias("total_run_duration_seconds"),
-    )
-    return latest.join(run_info, ["job_id", "workspace_id"], "left").select(*LATEST_COLUMNS, *RUN_INFO_COLUMNS)
+    seconds per (workspace, job), as ``run_totals`` gives them from the run events."""
+    return latest.join(run_totals, ["job_id", "workspace_id"], "left").select(*LATEST_COLUMNS, *RUN_INFO_COLUMNS)

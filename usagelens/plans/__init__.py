@@ -2,6 +2,6 @@
 
 from .history import enhanced_history, tool_statements
 from .node_cost import node_cost_detail, node_cost_report
-from .views import build_reports, build_views, register_views
+from .views import build_reports, build_views, register_views, save_views
 
-__all__ = ["build_reports", "build_views", "enhanced_history", "node_cost_detail", "node_cost_report", "register_views", "tool_statements"]
+__all__ = ["build_reports", "build_views", "enhanced_history", "node_cost_detail", "node_cost_report", "register_views", "save_views", "tool_statements"]

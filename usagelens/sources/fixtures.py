@@ -17,25 +17,20 @@ SERVERLESS_SQL_SKU = "PREMIUM_SERVERLESS_SQL_COMPUTE"
 JOBS_SKU = "PREMIUM_JOBS_COMPUTE"
 SCHEDULED_AGENT = "lakeview_processing/1.0 scheduler"
 INTERACTIVE_AGENT = "Mozilla/5.0 browser"
-RUN_TASK_KEYS = ["refresh-query", "refresh-alert", "other"]  # by l_linenumber 1, 2, 3
+RUN_TASK_KEYS = ["refresh-query", "refresh-alert", "refresh-dashboard", "other"]  # by l_linenumber % 4: 1, 2, 3, 0
 TIMELINE_TASK_KEYS = ["refresh-dashboard", "refresh-alert", "sqlalert", "other"]  # by l_linenumber % 4
 ASSET_KINDS = ["alert", "dashboard", "query"]  # by o_orderkey % 3
+OTHER_ACTIONS = {"purchase": "getDashboard", "error": "deleteDashboard", "signup": "subscribeDashboard"}  # neither execute nor publish
 
 
 # Each driver table is one Parquet file with one row group, which Spark cannot split:
 # one scan task would carry the whole table through the per-row mapping below. The
 # fact tables are therefore hash-partitioned on their key over the cluster's cores
-# right after the scan (deterministic, so a retried task sees the same rows).
+# right after the scan (deterministic, so a retried task sees the same rows). No number
+# of partitions is given, so adaptive execution sizes them and joins on the key reuse them.
 _SPREAD_KEYS = {"events": "event_id", "orders": "o_orderkey", "lineitem": "l_orderkey"}
 
 
-def _parallelism(spark: SparkSession) -> int:
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # no SparkContext on a remote (Connect) session
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _session_key(spark: SparkSession) -> str:
     try:
         return str(spark._jsparkSession.sessionUUID())
@@ -46,7 +41,7 @@ def _session_key(spark: SparkSession) -> str:
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     key = _SPREAD_KEYS.get(name)
-    return df if key is None else df.repartition(_parallelism(spark), key)
+    return df if key is None else df.repartition(key)
 
 
 def _s(c: Column) -> Column:
@@ -119,6 +114,8 @@ def query_history(events: DataFrame) -> DataFrame:
         F.lit(', "profile_name": "p'), _s(uid % 2),
         F.lit('", "target_name": "t'), _s(uid % 4),
         F.lit('", "connection_name": "c'), _s(uid % 5),
+        F.when(eid % 2 == 0, F.concat(F.lit('", "dbt_version": "1.'), _s(uid % 3))).otherwise(F.lit("")),
+        F.when(eid % 4 == 0, F.concat(F.lit('", "dbt_databricks_version": "1.'), _s(uid % 7))).otherwise(F.lit("")),
         F.lit('"} */ select 1'),
     )
     text = (
@@ -180,8 +177,9 @@ def usage(events: DataFrame) -> DataFrame:
 def list_prices(region: DataFrame) -> DataFrame:
     r = F.col("r_regionkey")
     return region.select(
-        F.when(r == 0, SERVERLESS_SQL_SKU).when(r == 1, JOBS_SKU).otherwise(F.concat(F.lit("OTHER_"), _s(r))).alias("sku_name"),
-        F.struct(F.when(r == 0, 0.7).when(r == 1, 0.15).otherwise(1.0).alias("default")).alias("pricing"),
+        # two price rows of one SKU on purpose: they multiply its cost
+        F.when(r.isin(0, 4), SERVERLESS_SQL_SKU).when(r == 1, JOBS_SKU).otherwise(F.concat(F.lit("OTHER_"), _s(r))).alias("sku_name"),
+        F.struct(F.when(r == 0, 0.7).when(r == 1, 0.15).when(r == 4, 0.05).otherwise(1.0).alias("default")).alias("pricing"),
     )
 
 
@@ -194,10 +192,14 @@ def _asset_changes(orders: DataFrame) -> DataFrame:
     action = F.when(m10 <= 6, "create").when(m10 <= 8, "update").otherwise("delete")
     is_create, is_settings = m10 <= 6, m10 == 7
     kind = F.element_at(F.array(*[F.lit(x) for x in ASSET_KINDS]), (k % 3 + 1).cast("int"))
-    tasks = F.concat(
-        F.lit('[{"task_key": "'), kind, F.lit('_task", "sql_task": {"'), kind, F.lit('": {"'), kind,
+    one_task = F.concat(
+        F.lit('{"task_key": "'), kind, F.lit('_task", "sql_task": {"'), kind, F.lit('": {"'), kind,
         F.lit('_id": "x'), _s(c), F.lit('", "pause_subscriptions": false}, "warehouse_id": "wh-'),
-        _s(c % 8), F.lit('"}}]'),
+        _s(c % 8), F.lit('"}}'),
+    )
+    second = F.lit('{"task_key": "second", "sql_task": {"query": {"query_id": "never"}, "warehouse_id": "wh-never"}}')
+    tasks = F.concat(
+        F.lit("["), F.when(k % 11 == 0, F.lit("")).when(k % 7 == 0, F.concat(one_task, F.lit(", "), second)).otherwise(one_task), F.lit("]")
     )
     schedule = F.concat(
         F.lit('{"quartz_cron_expression": "0 '), _s(k % 60),
@@ -249,25 +251,27 @@ def _run_triggers(orders: DataFrame) -> DataFrame:
 
 
 def _run_tasks(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """One start per line (lines 1-3) and one end per line flagged R or A."""
-    lines = lineitem.where(F.col("l_linenumber") <= 3).join(
+    """One start per line and one end per line flagged R or A."""
+    lines = lineitem.join(
         orders.select("o_orderkey", "o_custkey", "o_orderdate"),
         F.col("l_orderkey") == F.col("o_orderkey"),
     )
     k, c, ln = F.col("o_orderkey"), F.col("o_custkey"), F.col("l_linenumber")
-    task_key = F.element_at(F.array(*[F.lit(x) for x in RUN_TASK_KEYS]), ln)
+    task_key = F.element_at(F.array(*[F.lit(x) for x in RUN_TASK_KEYS]), F.pmod(ln - 1, F.lit(4)) + 1)
     start = F.timestamp_add("SECOND", ln, F.col("o_orderdate"))
     email = F.concat(F.lit("owner"), _s(c % 20), F.lit("@example.com"))
-    run_id = k * 10 + ln
+    # line numbers repeat within an order, so they do not name a task run alone
+    run_id = F.concat_ws("-", _s(k), _s(ln), _s(F.col("l_partkey")), _s(F.col("l_suppkey")))
     starts = lines.select(
         *_audit(
             c % 3, start, "jobs", F.lit("runStart"), email, F.lit("jobs-runner/1.0"),
-            F.concat(F.lit("req-s-"), _s(run_id)),
+            F.concat(F.lit("req-s-"), run_id),
             _params(
                 ("jobId", c), ("multitaskParentRunId", k), ("runId", run_id), ("taskKey", task_key),
                 ("jobTaskType", F.lit("sql_task")),
-                ("queryIds", F.when(ln == 1, F.concat(F.lit("q"), _s(F.col("l_partkey") % 50)))),
-                ("alertId", F.when(ln == 2, F.concat(F.lit("a"), _s(F.col("l_partkey") % 50)))),
+                ("queryIds", F.when(ln % 4 == 1, F.concat(F.lit("q"), _s(F.col("l_partkey") % 50)))),
+                ("alertId", F.when(ln % 4 == 2, F.concat(F.lit("a"), _s(F.col("l_partkey") % 50)))),
+                ("dashboardId", F.when(ln % 4 == 3, F.concat(F.lit("d"), _s(F.col("l_partkey") % 50)))),
                 ("warehouseId", F.concat(F.lit("wh-"), _s(F.col("l_suppkey") % 8))),
                 ("runCreatorUserName", email),
             ),
@@ -283,7 +287,7 @@ def _run_tasks(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
             *_audit(
                 c % 3, F.timestamp_add("SECOND", F.col("l_quantity").cast("long"), start), "jobs",
                 F.lit(action), email, F.lit("jobs-runner/1.0"),
-                F.concat(F.lit("req-e-"), _s(run_id)),
+                F.concat(F.lit("req-e-"), run_id),
                 _params(("jobId", c), ("multitaskParentRunId", k), ("runId", run_id), ("taskKey", task_key)),
                 _response(F.lit(200), error, _null("string")),
             )
@@ -296,14 +300,19 @@ def _run_tasks(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
 def _dashboard_activity(events: DataFrame) -> DataFrame:
     eid, uid, et = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    action = F.when(et.isin("view", "click"), "executeQuery").when((et == "signup") & (uid % 25 < 20), "publishDashboard")
+    publish = (et == "signup") & (uid % 25 < 20)
+    action = F.when(et.isin("view", "click"), "executeQuery").when(publish, "publishDashboard")
+    for kind, name in OTHER_ACTIONS.items():
+        action = action.when(et == kind, name)
+    # some publish events lie before the reports' floor
+    event_time = F.when(publish & (eid % 10 == 0), F.timestamp_add("DAY", F.lit(-600), F.col("ts"))).otherwise(F.col("ts"))
     params = _params(
         ("dashboard_id", F.concat(F.lit("d"), _s(uid % 25))),
         ("statement_id", F.when(et.isin("view", "click"), F.concat(F.lit("stmt-"), _s(eid)))),
     )
-    return events.where(action.isNotNull()).select(
+    return events.select(
         *_audit(
-            uid % 3, F.col("ts"), "dashboards", action,
+            uid % 3, event_time, "dashboards", action,
             F.concat(F.lit("user"), _s(uid), F.lit("@example.com")),
             F.when(eid % 2 == 0, SCHEDULED_AGENT).otherwise(INTERACTIVE_AGENT),
             F.concat(F.lit("req-d-"), _s(eid)), params,
@@ -326,7 +335,12 @@ def audit_log(orders: DataFrame, lineitem: DataFrame, events: DataFrame) -> Data
 
 def task_run_timeline(lineitem: DataFrame) -> DataFrame:
     s = F.col("l_suppkey")
-    wh = F.concat(F.lit("wh-"), _s(s % 8))
+    wh, other = F.concat(F.lit("wh-"), _s(s % 8)), F.concat(F.lit("wh-"), _s((s + 1) % 8))
+    shape = F.col("l_orderkey") % 5
+    compute = (
+        F.when(shape == 0, F.array(wh, other, wh)).when(shape == 1, F.array(other, wh, other)).when(shape == 2, F.array(wh, _null("string"), wh))
+        .when(shape == 3, F.array().cast("array<string>")).otherwise(F.array(wh, wh))
+    )
     task_key = F.element_at(F.array(*[F.lit(x) for x in TIMELINE_TASK_KEYS]), (F.col("l_linenumber") % 4 + 1).cast("int"))
     return lineitem.select(
         (s % 3).alias("workspace_id"),
@@ -336,7 +350,7 @@ def task_run_timeline(lineitem: DataFrame) -> DataFrame:
         _s(F.col("l_orderkey")).alias("run_id"),
         F.col("l_shipdate").alias("period_start_time"),
         F.timestamp_add("SECOND", F.col("l_quantity").cast("long"), F.col("l_shipdate")).alias("period_end_time"),
-        F.array(wh, wh).alias("compute_ids"),
+        compute.alias("compute_ids"),
     )
 
 
@@ -348,7 +362,7 @@ def warehouse_events(events: DataFrame) -> DataFrame:
     )
 
 
-_DEFINED: dict[tuple[str, str], Sources] = {}
+_DEFINED: dict[str, dict[str, Sources]] = {}
 
 
 def fixture_sources(spark: SparkSession, sf_dir: str) -> Sources:
@@ -357,9 +371,12 @@ def fixture_sources(spark: SparkSession, sf_dir: str) -> Sources:
     Each source is planned on first use, and the definitions are kept per session and
     folder (plans only, no data), like views registered once and queried many times.
     """
-    key = (_session_key(spark), sf_dir.rstrip("/"))
-    if key in _DEFINED:
-        return _DEFINED[key]
+    session, folder = _session_key(spark), sf_dir.rstrip("/")
+    for old in set(_DEFINED) - {session}:  # plans of one session only: another's may be stopped
+        del _DEFINED[old]
+    known = _DEFINED.setdefault(session, {})
+    if folder in known:
+        return known[folder]
     tables: dict[str, DataFrame] = {}
 
     def table(name: str) -> DataFrame:
@@ -375,5 +392,5 @@ def fixture_sources(spark: SparkSession, sf_dir: str) -> Sources:
         task_run_timeline=lambda: task_run_timeline(table("lineitem")),
         warehouse_events=lambda: warehouse_events(table("events")),
     )
-    _DEFINED[key] = src
+    known[folder] = src
     return src

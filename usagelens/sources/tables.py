@@ -9,6 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from ..schemas import SOURCE_SCHEMAS
 
 SOURCE_NAMES = (
     "query_history",
@@ -19,6 +22,36 @@ SOURCE_NAMES = (
     "warehouse_events",
 )
 
+def _fits(have: T.DataType, want: T.DataType) -> bool:
+    """Whether values of one type can be read as the other: same family, structs by their wanted fields."""
+    if isinstance(want, T.StructType):
+        names = {f.name: f.dataType for f in have.fields} if isinstance(have, T.StructType) else {}
+        return all(f.name in names and _fits(names[f.name], f.dataType) for f in want.fields)
+    if isinstance(want, T.ArrayType):
+        return isinstance(have, T.ArrayType) and _fits(have.elementType, want.elementType)
+    if isinstance(want, T.MapType):
+        return isinstance(have, T.MapType) and _fits(have.keyType, want.keyType) and _fits(have.valueType, want.valueType)
+    times = (T.TimestampType, T.TimestampNTZType)
+    if isinstance(want, times):
+        return isinstance(have, times)
+    if isinstance(want, T.NumericType):
+        return isinstance(have, T.NumericType)
+    return isinstance(have, type(want))
+
+
+def checked(name: str, df: DataFrame) -> DataFrame:
+    """``df`` if it has the columns that source ``name`` needs, in fitting types; more columns are fine."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    wrong = [
+        f"{f.name} ({have[f.name].simpleString() if f.name in have else 'missing'}, needed {f.dataType.simpleString()})"
+        for f in SOURCE_SCHEMAS[name].fields
+        if f.name not in have or not _fits(have[f.name], f.dataType)
+    ]
+    if wrong:
+        raise ValueError(f"source {name} lacks: {'; '.join(wrong)}")
+    return df
+
+
 Frame = DataFrame | Callable[[], DataFrame]
 
 
@@ -55,10 +88,10 @@ def from_catalog(spark: SparkSession, tables: Mapping[str, str]) -> Sources:
     missing = [n for n in SOURCE_NAMES if n not in tables]
     if missing:
         raise ValueError(f"no table given for: {', '.join(missing)}")
-    return Sources(**{n: (lambda t=tables[n]: spark.table(t)) for n in SOURCE_NAMES})
+    return Sources(**{n: (lambda n=n, t=tables[n]: checked(n, spark.table(t))) for n in SOURCE_NAMES})
 
 
 def from_parquet(spark: SparkSession, root: str) -> Sources:
     """Read ``<root>/<logical name>`` Parquet folders (one per source)."""
     root = root.rstrip("/")
-    return Sources(**{n: (lambda p=f"{root}/{n}": spark.read.parquet(p)) for n in SOURCE_NAMES})
+    return Sources(**{n: (lambda n=n, p=f"{root}/{n}": checked(n, spark.read.parquet(p))) for n in SOURCE_NAMES})
