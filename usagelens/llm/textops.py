@@ -38,6 +38,17 @@ def text_buffer(col) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def slices(batches, size: int, column: str = "text"):
+    """The batches cut into runs of rows with about ``size`` bytes of text each (a longer text stands alone); none is empty."""
+    for batch in batches:
+        _, off = text_buffer(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 class WordHasher:
     """Word hashes of every text of a column, computed in blocks of bounded size."""
 
