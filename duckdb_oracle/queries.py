@@ -264,7 +264,9 @@ job_events AS (
     p_tasks,
     json_transform(p_schedule, {_SCHEDULE_T}) AS schedule_info,
     json_transform(p_new_settings, {_NEW_SETTINGS_T}) AS update_info,
-    p_name AS job_name, p_is_from_redash AS from_redash_ind, status_code AS status, error_message AS error
+    p_name AS job_name, p_is_from_redash AS from_redash_ind, status_code AS status, error_message AS error,
+    p_name AS param_name, p_job_id AS param_job_id, p_jobId AS param_job_id_2, result AS response_result,
+    ((p_name IS NOT NULL)::BIGINT + (p_is_from_redash IS NOT NULL)::BIGINT + (p_tasks IS NOT NULL)::BIGINT + (p_schedule IS NOT NULL)::BIGINT + (p_job_id IS NOT NULL)::BIGINT + (p_new_settings IS NOT NULL)::BIGINT + (p_jobId IS NOT NULL)::BIGINT) AS n_params
   FROM audit
   WHERE service_name = 'jobs' AND action_name IN ('create', 'update', 'delete')
 ),
@@ -279,7 +281,7 @@ changes AS (
     json_extract_string(p_tasks, '$[0].sql_task.query.query_id') AS query_id,
     coalesce(update_info.tasks[1].sql_task.warehouse_id, json_extract_string(p_tasks, '$[0].sql_task.warehouse_id'))
       AS warehouse_id,
-    error, update_info
+    error, update_info, param_name, param_job_id, param_job_id_2, n_params, response_result
   FROM job_events
 )"""
 
@@ -287,7 +289,8 @@ SQL["schedule_changes"] = _with(AUDIT, CHANGES) + """
 SELECT workspace_id, event_time, service_name, action_name, user_email, schedule_cron,
        schedule_info.timezone_id AS schedule_timezone, pause_status, status, from_redash_ind, job_id, job_name,
        alert_id, dashboard_id, query_id, warehouse_id, error,
-       update_info.schedule.quartz_cron_expression AS update_cron
+       update_info.schedule.quartz_cron_expression AS update_cron,
+       param_name, param_job_id, param_job_id_2, n_params, response_result
 FROM changes"""
 
 # newest time of each job overall and among rows carrying a cron, a pause status, or a
@@ -333,7 +336,7 @@ latest AS (
     coalesce(n.alert_id, k.alert_id, cr.alert_id) AS alert_id,
     coalesce(n.query_id, k.query_id, cr.query_id) AS query_id,
     coalesce(n.warehouse_id, k.warehouse_id, cr.warehouse_id) AS warehouse_id,
-    n.error
+    n.error, n.param_name, n.response_result
   FROM last_rows n
   JOIN cron_rows k ON k.job_id = n.job_id
   JOIN pause_rows p ON p.job_id = n.job_id
@@ -344,7 +347,8 @@ latest AS (
 SQL["latest_schedules"] = _with(AUDIT, CHANGES, LATEST) + """
 SELECT workspace_id, last_updated_time, service_name, user_email, last_updated_action, schedule_cron, pause_status,
        schedule_info.quartz_cron_expression AS schedule_info_cron, schedule_info.timezone_id AS schedule_timezone,
-       status, from_redash_ind, job_id, job_name, dashboard_id, alert_id, query_id, warehouse_id, error
+       status, from_redash_ind, job_id, job_name, dashboard_id, alert_id, query_id, warehouse_id, error,
+       param_name, response_result
 FROM latest"""
 
 SQL["latest_per_key"] = _with(TIMELINE) + """
@@ -363,7 +367,9 @@ run_ev AS (
     coalesce(p_multitaskParentRunId, p_runId) AS main_run_id,
     p_jobTaskType AS task_type, p_taskKey AS task_key, p_jobTriggerType AS trigger_type, p_queryIds AS query_id,
     p_dashboardId AS dashboard_id, p_alertId AS alert_id, p_warehouseId AS warehouse_id,
-    p_runCreatorUserName AS creator_name, status_code AS status, error_message AS error
+    p_runCreatorUserName AS creator_name, status_code AS status, error_message AS error,
+    ((p_jobId IS NOT NULL)::BIGINT + (p_runId IS NOT NULL)::BIGINT + (p_jobTriggerType IS NOT NULL)::BIGINT + (p_multitaskParentRunId IS NOT NULL)::BIGINT + (p_taskKey IS NOT NULL)::BIGINT + (p_jobTaskType IS NOT NULL)::BIGINT + (p_queryIds IS NOT NULL)::BIGINT + (p_alertId IS NOT NULL)::BIGINT + (p_dashboardId IS NOT NULL)::BIGINT + (p_warehouseId IS NOT NULL)::BIGINT + (p_runCreatorUserName IS NOT NULL)::BIGINT) AS n_params,
+    p_runId AS param_run_id, error_message AS response_error
   FROM audit
   WHERE service_name = 'jobs' AND action_name IN ('runTriggered', 'runStart', 'runSucceeded', 'runFailed')
 ),

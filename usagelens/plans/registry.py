@@ -194,6 +194,10 @@ def _CHANGE_SCALARS():
     F.col("schedule_info.timezone_id").alias("schedule_timezone"), "pause_status", "status", "from_redash_ind",
     "job_id", "job_name", "alert_id", "dashboard_id", "query_id", "warehouse_id", "error",
     F.col("update_info.schedule.quartz_cron_expression").alias("update_cron"),
+    # the whole map and struct that the view passes on, flattened
+    F.col("request_params")["name"].alias("param_name"), F.col("request_params")["job_id"].alias("param_job_id"),
+    F.col("request_params")["jobId"].alias("param_job_id_2"), F.size("request_params").cast("long").alias("n_params"),
+    F.col("response.result").alias("response_result"),
 ]
 
 
@@ -204,6 +208,7 @@ def _LATEST_SCALARS():
     F.col("schedule_info.quartz_cron_expression").alias("schedule_info_cron"),
     F.col("schedule_info.timezone_id").alias("schedule_timezone"), "status", "from_redash_ind", "job_id",
     "job_name", "dashboard_id", "alert_id", "query_id", "warehouse_id", "error",
+    F.col("request_params")["name"].alias("param_name"), F.col("response.result").alias("response_result"),
 ]
 
 
@@ -237,7 +242,9 @@ def q_timeline_run_stats(spark, sf_dir):
 
 
 def q_run_events(spark, sf_dir):
-    return run_events(_src(spark, sf_dir).audit_log).drop("request_params", "response")
+    flat = [F.size("request_params").cast("long").alias("n_params"), F.col("request_params")["runId"].alias("param_run_id"),
+            F.col("response.error_message").alias("response_error")]
+    return run_events(_src(spark, sf_dir).audit_log).select("*", *flat).drop("request_params", "response")
 
 
 def q_run_history(spark, sf_dir):
