@@ -238,8 +238,8 @@ def fit(training: DataFrame) -> tuple[SuffixTree, DataFrame]:
     total = pairs.where("depth = 0").agg(F.sum("n")).first()[0] or 0
     often = pairs.groupBy("depth", "context").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST_SHARE * total)
     # at most 1 / LEAST_SHARE contexts of each length: a bounded table
-    rows = pairs.join(often.select("depth", "context"), ["depth", "context"]).select("depth", "key", "n").toPandas()
-    return grow_tree(rows["depth"].to_numpy(), rows["key"].to_numpy(), rows["n"].to_numpy()), words
+    rows = pairs.join(often.select("depth", "context"), ["depth", "context"]).select("depth", "key", "n").toArrow()
+    return grow_tree(*(rows.column(c).to_numpy() for c in ("depth", "key", "n"))), words
 
 
 def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
@@ -257,12 +257,12 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
     tree, words = fit(rows.where(~F.col("held_out")))
     n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     end_count = words.where(F.col("key") == int(END_WORD)).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    hot = words.where((F.col("n") >= n_all / HOT_WORDS) & (F.col("n") > 1)).toPandas()
-    key = hot["key"].to_numpy().astype(np.int64).view(np.uint64)
+    hot = words.where((F.col("n") >= n_all / HOT_WORDS) & (F.col("n") > 1)).toArrow()
+    key = hot.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(key)
     context = spark.sparkContext
     tree_sent = context.broadcast(tree)
-    hot_sent = context.broadcast((key[order], hot["n"].to_numpy().astype(np.float64)[order]))
+    hot_sent = context.broadcast((key[order], hot.column("n").to_numpy().astype(np.float64)[order]))
     scored = stored(rows.mapInArrow(lambda batches: _score(tree_sent, hot_sent, batches), _SCORED), "lm-scored")
     tails = scored.select("row", "tail").mapInArrow(_tail_words, "row long, key long")
     tails = tails.join(words, "key", "left").groupBy("row").agg(
