@@ -40,7 +40,7 @@ HOT_WORDS = 1_000_000
 END = 10  # newline: no word holds it
 #: Hash under which the end is counted among the words.
 END_WORD = np.uint64(0x656E64)
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: Bytes of text that a task works on at once.
 SLICE_BYTES = 8 << 20
 LANES = 2048
@@ -68,7 +68,7 @@ def _codes(x: np.ndarray) -> np.ndarray:
 def _counts(batches):
     """Training texts to (kind, key, n): kind 0 for words, 1 for (context, next) codes; summed in each batch."""
     hasher = WordHasher()
-    for batch in slices(batches, 2 * SLICE_BYTES):
+    for batch in slices(batches, SLICE_BYTES):
         texts = batch.column("text")
         _, words = hasher.words(texts)
         key, n = np.unique(words, return_counts=True)
@@ -190,7 +190,7 @@ def _score(tree_sent, hot_sent, batches):
     tree, (hot_words, hot_counts) = tree_sent.value, hot_sent.value
     hasher, row = WordHasher(), TaskContext.get().partitionId() << 33
     hot_log = np.log10(hot_counts + 0.1)
-    for batch in slices(batches, SLICE_BYTES):
+    for batch in slices(batches, SLICE_BYTES // 2):
         texts = batch.column("text")
         n = batch.num_rows
         off, words = hasher.words(texts)
