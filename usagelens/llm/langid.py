@@ -20,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import join_ids
+from .shared import join_ids, stored
 from .textops import text_buffer
 
 #: Labelled rows that are learned from, for each language.
@@ -125,12 +125,9 @@ def learn(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE)
     """Fit the model on at most ``per_language`` rows of each language among rows where ``may_learn`` holds."""
     labelled = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     ids = labelled.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang").groupBy("lang", "doc_id").agg(F.lit(1).alias("one"))
-    ids.createOrReplaceTempView("usagelens_langid_ids")
-    chosen = ids.sparkSession.sql(
-        f"SELECT lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY xxhash64(doc_id), doc_id) r "
-        f"FROM usagelens_langid_ids) WHERE r <= {int(per_language)}"
-    )
-    rows = join_ids(labelled.select("doc_id", "lang", "text"), chosen.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi", per_language)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = stored(ids.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang"), "language-sample")
+    rows = join_ids(labelled.select("doc_id", "lang", "text"), chosen, ["doc_id", "lang"], "left_semi", chosen.count())
     found = rows.select("lang", "text").mapInArrow(_profiles, "lang string, spots binary, values binary").collect()
     found = sorted(found, key=lambda r: (r.lang, r.spots, r.values))
     if not found:
