@@ -126,22 +126,28 @@ def _lines(batches):
 
 def _explode_bands(batches):
     for batch in batches:
+        if not batch.num_rows:
+            continue
         keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
         yield pa.RecordBatch.from_pydict({"line_id": np.repeat(batch.column("line_id").to_numpy(), BANDS), "gram": keys})
 
 
+def _form_sets(forms: list[bytes]) -> list[np.ndarray]:
+    hashes, off = _shingles([f.decode() for f in forms])
+    return [np.unique(hashes[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
+
+
 def _line_sets(batches):
-    """(line_id, line) to its shingle set, in one fragment."""
+    """(line_id, line) to the size of its shingle set and its form, from which the set is made where it is needed:
+    a form is an eighth of its hashes."""
     for batch in batches:
-        forms = [line_form(x) or "" for x in batch.column("line").to_pylist()]
-        hashes, off = _shingles(forms)
-        sets = [np.unique(hashes[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
+        forms = [(line_form(x) or "").encode() for x in batch.column("line").to_pylist()]
         yield pa.RecordBatch.from_pydict(
             {
-                "fragment": pa.array([0] * len(sets), pa.int64()),
+                "fragment": pa.array([0] * len(forms), pa.int64()),
                 "doc_id": batch.column("line_id"),
-                "n": pa.array([len(s) for s in sets], pa.int64()),
-                "grams": pa.array([s.tobytes() for s in sets], pa.binary()),
+                "n": pa.array([len(s) for s in _form_sets(forms)], pa.int64()),
+                "grams": pa.array(forms, pa.binary()),
             }
         )
 
@@ -152,10 +158,12 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     texts = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     lines = stored(texts.mapInArrow(_lines, _LINE), "lines")
     place = F.struct("doc_id", "line")
-    distinct = stored(lines.groupBy("line_id").agg(F.min(place).alias("place"), F.max("bands").alias("bands")), "lines-distinct")
-    keys = distinct.select("line_id", "bands").mapInArrow(_explode_bands, "line_id long, gram long")
-    full = stored(keys.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "lines-buckets")
-    members = stored(join_ids(keys, full, "gram", "left_semi", full.count()), "lines-members")
+    distinct = stored(lines.groupBy("line_id").agg(F.min(place).alias("place")), "lines-distinct")
+    keys = lines.where(F.col("bands").isNotNull()).select("line_id", "bands").mapInArrow(_explode_bands, "line_id long, gram long")
+    # a line that stands in several batches has its bands as often, so what counts are different lines
+    full = keys.groupBy("gram").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high")).where("low < high")
+    full = stored(full.select("gram"), "lines-buckets")
+    members = stored(join_ids(keys, full, "gram", "left_semi", full.count()).distinct(), "lines-members")
     shared = members.groupBy("line_id").agg(F.count(F.lit(1)).alias("shared"))
     # texts of the candidate lines, each read where it first stands
     wanted = stored(distinct.select("line_id", "place.doc_id", "place.line").join(shared, "line_id"), "lines-wanted")
@@ -166,7 +174,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = found.select(F.col("one.line_id").alias("line_id"), F.element_at("parts", (F.col("one.line") + 1).cast("int")).alias("line"))
     sets = stored(found.mapInArrow(_line_sets, SEGMENT), "lines-sets")
     buckets = members.join(wanted.select("line_id", "shared"), "line_id").join(sets.select(F.col("doc_id").alias("line_id"), "n"), "line_id")
-    linked = bucket_components(sets, buckets.select(F.col("line_id").alias("doc_id"), "n", "shared", "gram"), percent)
+    linked = bucket_components(sets, buckets.select(F.col("line_id").alias("doc_id"), "n", "shared", "gram"), percent, _form_sets)
     # the first place of each component stays
     united = distinct.select("line_id", "place").join(linked.withColumnRenamed("id", "line_id"), "line_id")
     best = stored(united.groupBy("component").agg(F.min("place").alias("best")), "lines-best")

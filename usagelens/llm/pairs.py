@@ -16,39 +16,50 @@ PARITY_WORDS = 16
 SEGMENT = "fragment long, doc_id long, n long, grams binary"
 
 
-def _parity(batches):
-    """Segments to a bitmap of 64 * PARITY_WORDS bits, one flipped for each n-gram."""
-    bits = 64 * PARITY_WORDS
-    for batch in batches:
-        out = []
-        for blob in batch.column("grams").to_pylist():
-            spot = mix(np.frombuffer(blob, np.uint64)) % np.uint64(bits)
-            odd = (np.bincount(spot.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-            out.append(np.packbits(odd, bitorder="little").view(np.int64))
-        out = np.array(out, np.int64).reshape(-1, PARITY_WORDS)
-        yield pa.RecordBatch.from_pydict(
-            {"doc_id": batch.column("doc_id"), "n": batch.column("n"), **{f"p{i}": out[:, i].copy() for i in range(PARITY_WORDS)}}
-        )
+def packed_hashes(blobs: list[bytes]) -> list[np.ndarray]:
+    """The sets of segments that hold their sorted hashes."""
+    return [np.frombuffer(x, np.uint64) for x in blobs]
+
+
+def _parity(sets_of):
+    """Segments to a bitmap of 64 * PARITY_WORDS bits, one flipped for each element."""
+
+    def run(batches):
+        bits = 64 * PARITY_WORDS
+        for batch in batches:
+            out = []
+            for elements in sets_of(batch.column("grams").to_pylist()):
+                spot = mix(elements) % np.uint64(bits)
+                odd = (np.bincount(spot.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+                out.append(np.packbits(odd, bitorder="little").view(np.int64))
+            out = np.array(out, np.int64).reshape(-1, PARITY_WORDS)
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": batch.column("doc_id"), "n": batch.column("n"), **{f"p{i}": out[:, i].copy() for i in range(PARITY_WORDS)}}
+            )
 
+    return run
 
-def _overlap(batches):
+
+def _overlap(sets_of):
     """Rows with two segments to the size of their intersection."""
-    for batch in batches:
-        both = [
-            len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-            for x, y in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist(), strict=True)
-        ]
-        yield pa.RecordBatch.from_pydict(
-            {"a": batch.column("a"), "b": batch.column("b"), "n_a": batch.column("n_a"), "n_b": batch.column("n_b"), "part": pa.array(both, pa.int64())}
-        )
+
+    def run(batches):
+        for batch in batches:
+            left, right = (sets_of(batch.column(c).to_pylist()) for c in ("grams_a", "grams_b"))
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
+            yield pa.RecordBatch.from_pydict(
+                {"a": batch.column("a"), "b": batch.column("b"), "n_a": batch.column("n_a"), "n_b": batch.column("n_b"), "part": pa.array(both, pa.int64())}
+            )
+
+    return run
 
 
-def links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def links(pairs: DataFrame, segments: DataFrame, percent: int, sets_of=packed_hashes) -> DataFrame:
     """(a, b) of those pairs whose overlap, counted by fragment and summed, reaches the threshold."""
     left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
     right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
     met = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", "grams_a", "grams_b")
-    parts = met.mapInArrow(_overlap, "a long, b long, n_a long, n_b long, part long")
+    parts = met.mapInArrow(_overlap(sets_of), "a long, b long, n_a long, n_b long, part long")
     total = parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("both"))
     return total.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
@@ -57,10 +68,11 @@ def _near_length(x: str, y: str, percent: int):
     return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
 
-def bucket_components(segments: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+def bucket_components(segments: DataFrame, buckets: DataFrame, percent: int, sets_of=packed_hashes) -> DataFrame:
     """(id, component) of those sets that have a link, among pairs that share a bucket.
 
-    ``segments`` (fragment, doc_id, n, grams) holds each set of n hashes cut into fragments,
+    ``segments`` (fragment, doc_id, n, grams) holds each set of n hashes cut into fragments, in a
+    form that ``sets_of`` turns into sorted arrays;
     ``buckets`` (doc_id, n, shared, gram) the buckets ``gram`` of each set; ``shared`` ranks hubs.
     All members of a bucket are compared with its hub. Those that this leaves in different
     components are compared with each other, unless length or parity bitmap rule a link out.
@@ -77,11 +89,11 @@ def bucket_components(segments: DataFrame, buckets: DataFrame, percent: int) ->
         .distinct()
     )
     star = stored(star, "join-star")
-    first = stored(links(star, segments, percent), "join-links")
+    first = stored(links(star, segments, percent, sets_of), "join-links")
     label = components(first)
     # what the hubs leave in different components
     bitmap = (
-        segments.mapInArrow(_parity, "doc_id long, n long, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
+        segments.mapInArrow(_parity(sets_of), "doc_id long, n long, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
         .groupBy("doc_id")
         .agg(*[F.expr(f"bit_xor(p{i})").alias(f"p{i}") for i in range(PARITY_WORDS)])
     )
@@ -112,5 +124,5 @@ def bucket_components(segments: DataFrame, buckets: DataFrame, percent: int) ->
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    second = stored(links(stored(rest, "join-rest"), segments, percent), "join-links")
+    second = stored(links(stored(rest, "join-rest"), segments, percent, sets_of), "join-links")
     return components(first.unionByName(second))
