@@ -34,6 +34,8 @@ MIN_WORDS = 5
 SHINGLE_CHARS = 9
 BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
+#: Lines near the threshold meet in large buckets, which one hub leaves in many components.
+HUB_ROUNDS = 2
 
 
 def line_form(line: str) -> str | None:
@@ -174,7 +176,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = found.select(F.col("one.line_id").alias("line_id"), F.element_at("parts", (F.col("one.line") + 1).cast("int")).alias("line"))
     sets = stored(found.mapInArrow(_line_sets, SEGMENT), "lines-sets")
     buckets = members.join(wanted.select("line_id", "shared"), "line_id").join(sets.select(F.col("doc_id").alias("line_id"), "n"), "line_id")
-    linked = bucket_components(sets, buckets.select(F.col("line_id").alias("doc_id"), "n", "shared", "gram"), percent, _form_sets)
+    linked = bucket_components(sets, buckets.select(F.col("line_id").alias("doc_id"), "n", "shared", "gram"), percent, _form_sets, HUB_ROUNDS)
     # the first place of each component stays
     united = distinct.select("line_id", "place").join(linked.withColumnRenamed("id", "line_id"), "line_id")
     best = stored(united.groupBy("component").agg(F.min("place").alias("best")), "lines-best")

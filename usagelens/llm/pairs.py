@@ -68,48 +68,57 @@ def _near_length(x: str, y: str, percent: int):
     return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
 
-def bucket_components(segments: DataFrame, buckets: DataFrame, percent: int, sets_of=packed_hashes) -> DataFrame:
+def bucket_components(segments: DataFrame, buckets: DataFrame, percent: int, sets_of=packed_hashes, hub_rounds: int = 1) -> DataFrame:
     """(id, component) of those sets that have a link, among pairs that share a bucket.
 
     ``segments`` (fragment, doc_id, n, grams) holds each set of n hashes cut into fragments, in a
     form that ``sets_of`` turns into sorted arrays;
     ``buckets`` (doc_id, n, shared, gram) the buckets ``gram`` of each set; ``shared`` ranks hubs.
-    All members of a bucket are compared with its hub. Those that this leaves in different
-    components are compared with each other, unless length or parity bitmap rule a link out.
+    All members of a bucket are compared with its hub. While that leaves members in different
+    components, the next hub is taken from components that had none in this bucket, ``hub_rounds`` times
+    in all; who is then still apart is compared with each other, unless length or parity bitmap rule
+    a link out.
     """
     prefixes = stored(buckets, "join-prefix")
-    # one hub a bucket: the member with the largest share of common n-grams
-    rank = F.struct((F.col("shared") / F.col("n")).alias("share"), (-F.col("doc_id")).alias("minus"), F.col("n"))
-    hubs = stored(prefixes.groupBy("gram").agg(F.max(rank).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-        .select("gram", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n")), "join-hubs")
-    star = (
-        prefixes.join(hubs, "gram")
-        .where((F.col("doc_id") != F.col("hub")) & _near_length("n", "hub_n", percent))
-        .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-        .distinct()
-    )
-    star = stored(star, "join-star")
-    first = stored(links(star, segments, percent, sets_of), "join-links")
-    label = components(first)
+    often = prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram")
+    members = stored(prefixes.join(stored(often, "join-often"), "gram").withColumn("component", F.col("doc_id")), "join-members")
+    edges = label = hubs = tested = None
+    for _ in range(hub_rounds):
+        if label is not None:
+            members = stored(_still_mixed(members.drop("component"), label), "join-members")
+            if members.limit(1).count() == 0:
+                return label
+        free = members if hubs is None else members.join(_components_of(hubs, label), ["gram", "component"], "left_anti")
+        # the member with the largest share of elements that others have too
+        rank = F.struct((F.col("shared") / F.col("n")).alias("share"), (-F.col("doc_id")).alias("minus"), "n", "component")
+        found = free.groupBy("gram").agg(F.max(rank).alias("top"))
+        found = stored(
+            found.select("gram", (-F.col("top.minus")).alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.component").alias("hub_component")),
+            "join-hubs",
+        )
+        star = (
+            members.join(found, "gram")
+            .where((F.col("component") != F.col("hub_component")) & _near_length("n", "hub_n", percent))
+            .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
+            .distinct()
+        )
+        star = stored(star, "join-star")
+        linked = stored(links(star, segments, percent, sets_of), "join-links")
+        edges = linked if edges is None else edges.unionByName(linked)
+        tested = star if tested is None else tested.unionByName(star)
+        hubs = found.select("gram", "hub") if hubs is None else hubs.unionByName(found.select("gram", "hub"))
+        label = components(edges)
     # what the hubs leave in different components
     bitmap = (
         segments.mapInArrow(_parity(sets_of), "doc_id long, n long, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
         .groupBy("doc_id")
         .agg(*[F.expr(f"bit_xor(p{i})").alias(f"p{i}") for i in range(PARITY_WORDS)])
     )
-    members = (
-        prefixes.join(label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "doc_id"))
-    )
-    mixed = stored(
-        members.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram"),
-        "join-mixed",
-    )
-    members = stored(members.join(mixed, "gram").join(bitmap, "doc_id"), "join-members")
+    members = stored(_still_mixed(members.drop("component"), label).join(bitmap, "doc_id"), "join-members")
     x, y = members.alias("x"), members.alias("y")
     flips = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
     total = F.col("x.n") + F.col("y.n")
-    # overlap >= percent * total / (100 + percent), so at most this many n-grams differ
+    # overlap >= percent * total / (100 + percent), so at most this many elements differ
     allowed = total - 2 * F.ceil(percent * total / (100 + percent))
     rest = (
         x.join(
@@ -122,7 +131,23 @@ def bucket_components(segments: DataFrame, buckets: DataFrame, percent: int, set
         )
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
         .distinct()
-        .join(star, ["a", "b"], "left_anti")
+        .join(tested, ["a", "b"], "left_anti")
     )
-    second = stored(links(stored(rest, "join-rest"), segments, percent, sets_of), "join-links")
-    return components(first.unionByName(second))
+    last = stored(links(stored(rest, "join-rest"), segments, percent, sets_of), "join-links")
+    return components(edges.unionByName(last))
+
+
+def _still_mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members with their component, of those buckets that hold several components."""
+    own = stored(
+        members.join(label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")),
+        "join-labelled",
+    )
+    mixed = own.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
+    return own.join(stored(mixed, "join-mixed"), "gram")
+
+
+def _components_of(hubs: DataFrame, label: DataFrame) -> DataFrame:
+    """(gram, component) of the hubs so far."""
+    named = hubs.join(label.select(F.col("id").alias("hub"), "component"), "hub", "left")
+    return named.select("gram", F.coalesce("component", "hub").alias("component")).distinct()
