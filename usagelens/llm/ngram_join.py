@@ -33,10 +33,12 @@ from pyspark.sql import functions as F
 
 from .pairs import SEGMENT, bucket_components
 from .shared import join_ids, stored, text_by_id
-from .textops import WordHasher, least_overlap, mix, shingle_sets
+from .textops import WordHasher, least_overlap, mix, shingle_sets, slices
 
-#: Bytes of text for each fragment of the first count: about 1.3 million n-grams.
-FRAGMENT_BYTES = 8_000_000
+#: Bytes of text for each fragment of the first count: about 2 million n-grams.
+FRAGMENT_BYTES = 12_000_000
+#: Bytes of text that are hashed and sorted at once.
+SLICE_BYTES = 2 << 20
 #: Fragments of the counts among representatives.
 PAIR_FRAGMENTS = 8
 
@@ -57,11 +59,9 @@ def _send(n_fragments: int):
 
     def send(batches):
         hasher = WordHasher()
-        for batch in batches:
+        for batch in slices(batches, SLICE_BYTES):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             sets = shingle_sets(*hasher.words(batch.column("text")))
-            if not len(ids):
-                continue
             size = np.array([len(s) for s in sets], np.int64)
             grams = np.concatenate(sets)
             owner = np.repeat(np.arange(len(ids)), size)
@@ -122,7 +122,7 @@ def _count_shared(table: pa.Table) -> pa.Table:
     spot = np.searchsorted(often, grams)
     hit = often[np.minimum(spot, len(often) - 1)] == grams if len(often) else np.zeros(len(grams), bool)
     part = np.bincount(np.repeat(np.arange(len(docs)), runs)[hit], minlength=len(docs))
-    keep = part > 0
+    keep = (part > 0) & (2 * part >= runs)  # see jaccard_components
     stats = joined("sizes", np.int64).reshape(-1, 5)
     zero = np.zeros(int(keep.sum()), np.int64)
     return pa.table(
@@ -165,19 +165,21 @@ def _batch_grams(batches):
         yield pa.RecordBatch.from_pydict({"gram": grams, "times": times.astype(np.int64)})
 
 
-def _prefix(table: pa.Table) -> pa.Table:
-    """One document's n-grams that others have too, rarest first: the prefix, its size and its parity bitmap."""
-    n = table.column("n")[0].as_py()
-    doc = table.column("doc_id")[0].as_py()
-    times = table.column("times").to_numpy()
-    gram = table.column("gram").to_numpy()
-    alone = n - len(gram)
-    length = n - int(least_overlap(n)) + 1 - alone
-    if length <= 0:
-        gram = gram[:0]
-    elif length < len(gram):
-        gram = gram[np.lexsort((gram, times))[:length]]
-    return pa.table({"doc_id": np.full(len(gram), doc), "n": np.full(len(gram), n), "shared": np.full(len(gram), n - alone), "gram": gram})
+def _prefix(percent: int):
+    """One document's n-grams that others have too, rarest first, cut to the prefix that a linked pair must share."""
+
+    def cut(table: pa.Table) -> pa.Table:
+        n = table.column("n")[0].as_py()
+        doc = table.column("doc_id")[0].as_py()
+        times = table.column("times").to_numpy()
+        gram = table.column("gram").to_numpy()
+        alone = n - len(gram)
+        length = max(0, n - int(least_overlap(n, percent)) + 1 - alone)
+        if length < len(gram):
+            gram = gram[np.lexsort((gram, times))[:length]]
+        return pa.table({"doc_id": np.full(len(gram), doc), "n": np.full(len(gram), n), "shared": np.full(len(gram), n - alone), "gram": gram})
+
+    return cut
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -197,22 +199,19 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         .agg(F.max("n").alias("n"), F.sum("part").alias("part"), F.sum("fp1").alias("fp1"), F.sum("fp2").alias("fp2"))
     )
     counted = stored(counted, "join-sizes")
+    # A document with a link has at most 100 - percent of its set to itself. A fragment in which more than
+    # half of its n-grams are its own sends no count; such fragments hide fewer shared n-grams than own ones.
+    may = counted.where((F.col("n") > 0) & (100 * F.col("part") >= (2 * percent - 100) * F.col("n")))
     # equal sets: a class each
-    may = counted.where((F.col("n") > 0) & (100 * F.col("part") >= percent * F.col("n")))
-    classes = stored(
-        may.join(
-            may.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("class_id")).select("n", "fp1", "fp2", "class_id"),
-            ["n", "fp1", "fp2"],
-        ).select("doc_id", "class_id"),
-        "join-classes",
-    )
+    heads = may.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("class_id"))
+    classes = stored(may.join(stored(heads, "join-heads"), ["n", "fp1", "fp2"]).select("doc_id", "class_id"), "join-classes")
     heads = classes.where("doc_id = class_id").select("doc_id")
     n_heads = heads.count()
     segments = stored(
         join_ids(texts, heads, "doc_id", "left_semi", n_heads).mapInArrow(_segments(PAIR_FRAGMENTS), SEGMENT),
         "join-segments",
     )
-    found = bucket_components(segments, _prefixes(segments), percent)
+    found = bucket_components(segments, _prefixes(segments, percent), percent)
     own = F.coalesce("component", "class_id", "doc_id")
     return (
         counted.select("doc_id", F.col("n").alias("n_shingles"))
@@ -235,9 +234,9 @@ def _exploded(batches):
         )
 
 
-def _prefixes(segments: DataFrame) -> DataFrame:
+def _prefixes(segments: DataFrame, percent: int) -> DataFrame:
     """(doc_id, n, shared, gram): the n-grams by which a representative meets its candidates."""
     counts = segments.select("grams").mapInArrow(_batch_grams, "gram long, times long")
     often = stored(counts.groupBy("gram").agg(F.sum("times").alias("times")).where("times > 1"), "join-often")
     rows = segments.mapInArrow(_exploded, "doc_id long, n long, gram long").join(often, "gram")
-    return rows.groupBy("doc_id").applyInArrow(_prefix, "doc_id long, n long, shared long, gram long")
+    return rows.groupBy("doc_id").applyInArrow(_prefix(percent), "doc_id long, n long, shared long, gram long")
