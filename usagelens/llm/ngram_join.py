@@ -37,6 +37,9 @@ from .textops import WordHasher, least_overlap, mix, shingle_sets, slices
 
 #: Bytes of text for each fragment of the first count: about 2 million n-grams.
 FRAGMENT_BYTES = 12_000_000
+#: Least number of fragments. Each fragment reports a document once at most, so below this number the
+#: reports of a document would grow with the number of fragments, and all reports faster than the input.
+MIN_FRAGMENTS = 64
 #: Bytes of text that are hashed and sorted at once.
 SLICE_BYTES = 2 << 20
 #: Fragments of the counts among representatives.
@@ -190,7 +193,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     texts = text_by_id(docs)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_fragments = max(16, size // FRAGMENT_BYTES + 1)
+    n_fragments = max(MIN_FRAGMENTS, size // FRAGMENT_BYTES + 1)
     counted = (
         texts.mapInArrow(_send(n_fragments), _SENT)
         .groupBy("fragment")
