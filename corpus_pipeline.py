@@ -19,6 +19,8 @@ from usagelens.llm.shared import stored
 
 #: A document whose best language wins a comparison by less than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
+#: What separates words of a line, as in ``line_form``; a line of these alone has no form and never goes.
+BLANKS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated lines out of the texts; a document of which nothing is left goes."""
     found = dedup_lines(docs)
-    empty = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    empty = (F.col("n_dropped") > 0) & ~F.col("text").rlike(rf"[^{BLANKS}]")
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.where(~empty).withColumn("n_chars", changed).select(docs.columns)
 

@@ -71,3 +71,26 @@ def test_edits_ties_and_odd_rows(spark):
         key=repr,
     )
     assert L.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_short_lines_and_scripts_without_blanks(spark):
+    rng = random.Random(3)
+    # one "word" of 120 characters; an edit at the end breaks few of its shingles
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(120))
+    rows = [(1, f"Menu\n{han}\nRead more\n-\n\u3000\nalone"), (2, f"menu\nown\n{han[:-1]}x\n read  MORE\n-\n\u3000"), (3, "Menu\n" * 300 + "read more!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in L.dedup_lines(docs).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("own\n\u3000", 4), 3: ("read more!", 300)}
+
+
+def test_signatures_of_short_forms_are_independent():
+    # pairs that share 8 of 26 shingles should rarely meet in a band, near ones nearly always
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    far = near = 0
+    for _ in range(300):
+        base = word(16 + L.SHINGLE_CHARS)
+        a, b, c = L._signatures([base, base[: 7 + L.SHINGLE_CHARS] + word(9), base[:-1] + "1"])
+        far += bool((a == b).any())
+        near += bool((a == c).any())
+    assert far < 90 and near > 290

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from brute import SMALL, components, shingles, similar
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from usagelens.llm import decontam
@@ -78,3 +79,15 @@ def test_odd_rows(spark):
             now = P.stored(stage(spark, now, SMALL), "odd")
         got = {r.doc_id for r in now.collect()}
         assert got == ({None, 3} if table is docs else set())
+
+
+def test_exact_copies_go_with_their_short_lines(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(120)
+    short = F.concat(F.lit("Note "), F.col("doc_id").cast("string"), F.lit("\n\u3000\n"), "text", F.lit("\nThe end\n-"))
+    planted = docs.withColumn("text", short)
+    copies = planted.withColumn("doc_id", F.col("doc_id") + 10_000_000)
+    now = planted.unionByName(copies).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    for _, stage in P.STAGES[:3]:
+        now = P.stored(stage(spark, now, SMALL), "copies")
+    left = {r.doc_id for r in now.select("doc_id").collect()}
+    assert left and max(left) < 10_000_000

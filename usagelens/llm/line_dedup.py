@@ -1,10 +1,10 @@
 """Fuzzy line dedup: MinHash bands, exact Jaccard verification, one line kept for each component.
 
 Lines are the parts of a text between newlines. A line's form is its lower-cased words joined by
-one space. Lines with fewer than five words are left alone: they are headings, labels and the
-like, and their repetition says nothing. Equal forms are one line from the start; of the distinct
-forms, character shingles are hashed into bins whose minima make the MinHash signature, bands of
-it name candidates, candidates are verified on their exact shingle sets, and linked forms unite.
+one space; every line with a word has one, however short. Equal forms are one line from the start;
+of the distinct forms, character shingles are hashed into bins whose minima make the MinHash
+signature, bands of it name candidates, candidates are verified on their exact shingle sets, and
+linked forms unite. A form shorter than a shingle equals only itself and needs no bands.
 Of each component the first line (smallest doc_id, then line number) stays, the others go.
 
 The bands miss a pair of similarity 0.8 with a probability of about 0.2 % (BANDS bands of ROWS
@@ -29,18 +29,19 @@ from .pairs import SEGMENT, bucket_components
 from .shared import join_ids, stored, text_by_id
 from .textops import mix
 
-MIN_WORDS = 5
 #: Characters of a shingle.
 SHINGLE_CHARS = 9
 BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
 #: Lines near the threshold meet in large buckets, which one hub leaves in many components.
 HUB_ROUNDS = 2
+#: For each bin the order in which an empty one asks the others; neighbours ask independently, so that the minima of a
+#: band do not all come from one shingle of a short line.
+_DONORS = np.random.default_rng(5).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
 
 
 def line_form(line: str) -> str | None:
-    words = line.lower().split()
-    return " ".join(words) if len(words) >= MIN_WORDS else None
+    return " ".join(line.lower().split()) or None
 
 
 def _line_id(form: str) -> int:
@@ -64,7 +65,7 @@ def _shingles(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(forms: list[str]) -> np.ndarray:
-    """(forms x BANDS) band keys: each bin's smallest hash, an empty bin taking over from the next one that has any."""
+    """(forms x BANDS) band keys: each bin's smallest hash, an empty bin taking over from the first of its donors that has any."""
     hashes, off = _shingles(forms)
     rows = np.repeat(np.arange(len(forms)), np.diff(off))
     spot = rows * BINS + ((hashes >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64)
@@ -73,12 +74,13 @@ def _signatures(forms: list[str]) -> np.ndarray:
     np.minimum.at(low, spot, mix(hashes))
     low = low.reshape(-1, BINS)
     filled = low.copy()
-    for step in range(1, BINS):
-        empty = filled == top
-        if not empty.any():
+    row, spot = np.nonzero(low == top)
+    for step in range(BINS):
+        if not len(row):
             break
-        moved = np.roll(low, -step, axis=1)
-        filled[empty] = np.where(moved == top, top, moved + np.uint64(step))[empty]
+        found = low[row, _DONORS[spot, step]]
+        filled[row, spot] = found
+        row, spot = row[found == top], spot[found == top]
     keys = np.zeros((len(forms), BANDS), np.uint64)
     for r in range(ROWS):
         keys = mix(keys * np.uint64(31) + filled.reshape(-1, BANDS, ROWS)[:, :, r])
@@ -113,7 +115,7 @@ def _lines(batches):
                 out["line"].append(no)
                 out["line_id"].append(_line_id(form))
                 out["bands"].append(None)
-                if out["line_id"][-1] not in seen:
+                if len(form) >= SHINGLE_CHARS and out["line_id"][-1] not in seen:
                     seen.add(out["line_id"][-1])
                     fresh.append((len(out["bands"]) - 1, form))
                     chars += len(form)
@@ -160,7 +162,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     texts = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     lines = stored(texts.mapInArrow(_lines, _LINE), "lines")
     place = F.struct("doc_id", "line")
-    distinct = stored(lines.groupBy("line_id").agg(F.min(place).alias("place")), "lines-distinct")
+    distinct = stored(lines.groupBy("line_id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("times")), "lines-distinct")
     keys = lines.where(F.col("bands").isNotNull()).select("line_id", "bands").mapInArrow(_explode_bands, "line_id long, gram long")
     # a line that stands in several batches has its bands as often, so what counts are different lines
     full = keys.groupBy("gram").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high")).where("low < high")
@@ -181,7 +183,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     united = distinct.select("line_id", "place").join(linked.withColumnRenamed("id", "line_id"), "line_id")
     best = stored(united.groupBy("component").agg(F.min("place").alias("best")), "lines-best")
     moved = stored(united.join(best, "component").where("place <> best").select("line_id", "best"), "lines-moved")
-    first = distinct.select("line_id", "place").join(moved, "line_id", "left").select("line_id", F.coalesce("best", "place").alias("keep"))
+    # a line that stands once and is no other's copy can't go
+    first = distinct.join(moved, "line_id", "left").where((F.col("times") > 1) | F.col("best").isNotNull())
+    first = first.select("line_id", F.coalesce("best", "place").alias("keep"))
     again = lines.select("doc_id", "line", "line_id").join(stored(first, "lines-first"), "line_id").where(place != F.col("keep"))
     return again.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
