@@ -61,3 +61,24 @@ def test_edited_copies_and_odd_rows(spark):
     assert set(got) == {1, 5, 6, *range(100, 400)}
     assert got[5] == (7, 1.0) and 0.5 <= got[1][1] < 0.9
     assert D.contaminated(docs.limit(0), bench).count() == 0 and D.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_multiplied_edited_copies_and_short_items(spark):
+    rng = random.Random(9)
+    item = [f"w{i}" for i in range(16)]
+    edited = [*item[:5], "new", *item[6:10], "other", *item[11:]]
+    around = lambda words, n=30: " ".join([f"v{rng.randrange(9999)}" for _ in range(n)] + words + ["end"])
+    rows = [(i, around(item)) for i in range(3)] + [(100 + i, around(edited)) for i in range(1000)]
+    rows += [(2000, around(["What", "is", "this?"])), (2001, around(["what", "this", "is"])), (2002, around(["two", "and", "two", "make", "four"])), (2003, "this")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "what is this"), (9, "Two and two make four.")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.first_word) for r in D.contaminated(docs, bench).collect()}
+    assert set(got) == {(i, 7) for i in [*range(3), *range(100, 1100)]} | {(2000, 8), (2002, 9)}
+    assert got[100, 7][0] == 0.75 and got[2000, 8] == (1.0, 30)
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(tuple, D.contaminated(docs, items).collect()))
+    monkeypatch.setattr(D, "BLOCK_GRAMS", 400)
+    assert whole and sorted(map(tuple, D.contaminated(docs, items).collect())) == whole

@@ -1,35 +1,36 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are the lower-cased runs of letters and digits. Every n-gram of every test item is looked up
-in all documents; an item's seeds are those of its n-grams that are rare for it (documents that
-contain them at most RARE times the lower quartile among its found n-grams), so an item that is
-copied often keeps its seeds. A seed joins a document to an item at a diagonal; around it, words
-are aligned with the item (match +1, mismatch and gap -1), and the score is the best local
-alignment over the item's length. A document is contaminated if a score reaches ``least``.
-
-The items' n-grams are sent to the tasks in blocks of a bounded size (BLOCK_GRAMS); a larger
-benchmark takes more passes over the documents, never a larger block.
-
-Odd input: null or wordless texts have no hits. Items under MIN_WORDS words can't be told from
-chance and have no seeds. Null doc_id or item_id: the row is left out. Repeated ids: one text,
-the greatest. Empty tables: no hits. Other columns are ignored.
+in all documents, and each place found is a seed, however many documents hold that n-gram. A seed
+joins a document to an item at a diagonal; around it, words are aligned with the item (match +1,
+mismatch and gap -1), and the score is the best local alignment over the item's length. A document
+is contaminated if a score reaches ``least``. Windows that hold too few of the item's words to
+reach it are not aligned; that bound is exact. An item under MIN_WORDS words is found by its whole
+sequence only, with score 1, and an item of one word by that word: who wants such items left out
+leaves them out of the benchmark.
+
+Documents are read once for each block of items and never shuffled. A block is sent to the tasks
+and bounded (about BLOCK_GRAMS words); a larger benchmark takes more passes, never a larger block.
+
+Odd input: null or wordless texts have no hits. Null doc_id or item_id: the row is left out.
+Repeated ids: one text, the greatest. Empty tables: no hits. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_ids, stored, text_by_id
+from .shared import stored, text_by_id
 from .textops import combine, mix
 
 GRAM = 4
 MIN_WORDS = 8
-RARE = 10
 LEAST_SCORE = 0.5
 BLOCK_GRAMS = 1_000_000
 
@@ -55,48 +56,58 @@ class _Hashes(dict):
         return h
 
 
-def _grams(words: list[str], hashes: _Hashes) -> np.ndarray:
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return combine(mix(h), GRAM).view(np.int64)
+def _hashed(text: str | None, hashes: _Hashes) -> np.ndarray:
+    return np.fromiter(map(hashes.__getitem__, words_of(text)), np.uint64)
 
 
-def _item_grams(batches):
+def _item_words(batches):
     hashes = _Hashes()
     for batch in batches:
-        out = {"item_id": [], "at": [], "gram": [], "n_words": []}
-        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = words_of(text)
-            if len(words) >= MIN_WORDS:
-                for at, g in enumerate(_grams(words, hashes).tolist()):
-                    for k, v in (("item_id", item), ("at", at), ("gram", g), ("n_words", len(words))):
-                        out[k].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))
-
-
-def _find(wanted, batches):
-    """(doc_id, text) to (doc_id, gram, at) for each place of a wanted n-gram."""
-    grams = wanted.value
-    # a table of low bits answers for most n-grams, a sorted search for the rest
-    maybe = np.zeros(1 << 22, bool)
-    maybe[grams & ((1 << 22) - 1)] = True
-    hashes = _Hashes()
-    for batch in batches:
-        docs, found, places = [], [], []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            g = _grams(words_of(text.as_py()), hashes)
-            at = np.flatnonzero(maybe[g & ((1 << 22) - 1)])
-            if len(at):
-                spot = np.minimum(np.searchsorted(grams, g[at]), len(grams) - 1)
-                at = at[grams[spot] == g[at]]
-                docs.append(np.full(len(at), doc, np.int64))
-                found.append(g[at])
-                places.append(at)
-        empty = [np.zeros(0, np.int64)]
+        words = [_hashed(x, hashes) for x in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_pydict(
-            {"doc_id": np.concatenate(docs or empty), "gram": np.concatenate(found or empty), "at": np.concatenate(places or empty)}
+            {"item_id": batch.column("item_id"), "words": pa.array([w.tobytes() for w in words], pa.binary()), "n_words": pa.array([len(w) for w in words], pa.int64())}
         )
 
 
+@dataclass
+class Items:
+    """A block of test items: their words, the sorted n-grams of the long ones with item and place, and
+    for each length of short ones the sorted whole sequences with their item."""
+
+    ids: list[int]
+    words: list[np.ndarray]
+    grams: np.ndarray
+    of_item: np.ndarray
+    of_at: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def index_items(ids: list[int], words: list[np.ndarray]) -> Items:
+    empty = [np.zeros(0, np.int64)]
+    long = [i for i, w in enumerate(words) if len(w) >= MIN_WORDS]
+    runs = [combine(mix(words[i]), GRAM).view(np.int64) for i in long]
+    grams = np.concatenate(runs or empty)
+    of_item = np.repeat(np.array(long, np.int64), [len(r) for r in runs])
+    of_at = np.concatenate([np.arange(len(r)) for r in runs] or empty)
+    order = np.argsort(grams, kind="stable")
+    short = {}
+    for n in range(1, MIN_WORDS):
+        whose = np.array([i for i, w in enumerate(words) if len(w) == n], np.int64)
+        if len(whose):
+            key = np.concatenate([combine(mix(words[i]), n).view(np.int64) for i in whose])
+            by_key = np.argsort(key, kind="stable")
+            short[n] = key[by_key], whose[by_key]
+    return Items(ids, words, grams[order], of_item[order], of_at[order], short)
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index in ``wanted``, index in the sorted ``keys``) of all equal pairs."""
+    low, high = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, "right")
+    n = high - low
+    which = np.repeat(np.arange(len(wanted)), n)
+    return which, np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(which))
+
+
 def alignment(item: np.ndarray, text: np.ndarray) -> int:
     """Best local alignment (Smith-Waterman) of two word sequences: match 1, mismatch -1, gap -1."""
     step = np.arange(len(text) + 1)
@@ -111,29 +122,55 @@ def alignment(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
-def _align(batches):
-    """(doc_id, text, items: [(item_id, item, lows, highs)]) to the best score of each item."""
+def _best(item: np.ndarray, words: np.ndarray, starts: np.ndarray, least: float) -> tuple[int, int, int]:
+    """(matched, first word, last word) of the best alignment around sorted ``starts``; (0, 0, 0) if none can reach ``least``."""
+    # a start says where the item would begin; overlapping windows are one
+    half = len(item) // 2
+    cut = np.flatnonzero(np.diff(starts) > len(item) + 2 * half)
+    best = (0, 0, 0)
+    for a, b in zip(starts[np.r_[0, cut + 1]].tolist(), starts[np.r_[cut, len(starts) - 1]].tolist(), strict=True):
+        low, high = max(0, a - half), min(b + len(item) + half, len(words))
+        part = words[low:high]
+        present = set(part.tolist())
+        if sum(w in present for w in item.tolist()) / len(item) >= least:
+            best = max(best, (alignment(item, part), low, high))
+    return best
+
+
+_FOUND = "doc_id long, item_id long, matched long, n_words long, first_word long, last_word long"
+
+
+def _find(sent, least, batches):
+    """(doc_id, text) to the best score of each item that a seed joins and that can reach ``least``."""
+    items = sent.value
+    # a table of low bits answers for most n-grams, a sorted search for the rest
+    maybe = np.zeros(1 << 22, bool)
+    maybe[items.grams & ((1 << 22) - 1)] = True
     hashes = _Hashes()
     for batch in batches:
-        out = {"doc_id": [], "item_id": [], "matched": [], "n_words": [], "first_word": [], "last_word": []}
-        for doc, text, items in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("items").to_pylist(), strict=True):
-            words = np.fromiter(map(hashes.__getitem__, words_of(text.as_py())), np.uint64)
-            for one in items:
-                item = np.fromiter(map(hashes.__getitem__, words_of(one["item"])), np.uint64)
-                best = (0, 0, 0)
-                low = high = None
-                for a in [*sorted(one["starts"]), None]:
-                    # a diagonal says where the item would begin; overlapping windows are one
-                    if a is not None and high is not None and a - len(item) // 2 <= high:
-                        high = max(high, a + len(item) + len(item) // 2)
-                        continue
-                    if high is not None:
-                        best = max(best, (alignment(item, words[low:high]), low, min(high, len(words))))
-                    if a is not None:
-                        low, high = max(0, a - len(item) // 2), a + len(item) + len(item) // 2
-                for k, v in (("doc_id", doc), ("item_id", one["item_id"]), ("matched", best[0]), ("n_words", len(item)), ("first_word", best[1]), ("last_word", best[2])):
-                    out[k].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))
+        rows = []
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            words = _hashed(text.as_py(), hashes)
+            mixed = mix(words)
+            g = combine(mixed, GRAM).view(np.int64)
+            at = np.flatnonzero(maybe[g & ((1 << 22) - 1)])
+            if len(at):
+                which, spot = _places(items.grams, g[at])
+                item, start = items.of_item[spot], at[which] - items.of_at[spot]
+                order = np.lexsort((start, item))
+                item, start = item[order], start[order]
+                cuts = np.r_[0, np.flatnonzero(np.diff(item)) + 1, len(item)] if len(item) else [0]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    i = int(item[a])
+                    best = _best(items.words[i], words, start[a:b], least)
+                    if best[0]:
+                        rows.append((doc, items.ids[i], best[0], len(items.words[i]), best[1], best[2]))
+            for n, (keys, whose) in items.short.items():
+                which, spot = _places(keys, combine(mixed, n).view(np.int64))
+                found, first = np.unique(whose[spot], return_index=True)
+                rows += [(doc, items.ids[i], n, n, int(which[f]), int(which[f]) + n) for i, f in zip(found.tolist(), first.tolist(), strict=True)]
+        names = [c.split()[0] for c in _FOUND.split(", ")]
+        yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(names)})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -144,30 +181,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     spark = docs.sparkSession
     texts = text_by_id(docs)
     items = text_by_id(benchmark.select(F.col("item_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "item_id")
-    grams = stored(items.mapInArrow(_item_grams, "item_id long, at long, gram long, n_words long"), "test-grams")
-    distinct = stored(grams.select("gram").distinct(), "test-distinct")
-    n_blocks = max(1, -(-distinct.count() // BLOCK_GRAMS))
-    hits = None
+    items = stored(items.mapInArrow(_item_words, "item_id long, words binary, n_words long").where("n_words > 0"), "test-items")
+    n_blocks = max(1, -(-(items.agg(F.sum("n_words")).first()[0] or 0) // BLOCK_GRAMS))
+    scored = None
     for block in range(n_blocks):
-        part = distinct.where(F.pmod(F.xxhash64("gram"), F.lit(n_blocks)) == block)
-        wanted = np.sort(np.array([r.gram for r in part.collect()], np.int64))  # at most about BLOCK_GRAMS
-        if not len(wanted):
-            wanted = np.zeros(1, np.int64)
-        sent = spark.sparkContext.broadcast(wanted)
-        some = stored(texts.mapInArrow(lambda b, sent=sent: _find(sent, b), "doc_id long, gram long, at long"), "test-hits")
-        hits = some if hits is None else hits.unionByName(some)
-    count = hits.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"))
-    known = grams.join(count, "gram")
-    usual = known.groupBy("item_id").agg(F.expr("percentile_disc(0.25) within group (order by n_docs)").alias("usual"))
-    seeds = stored(known.join(usual, "item_id").where(F.col("n_docs") <= RARE * F.col("usual")).select("gram", "item_id", F.col("at").alias("item_at")), "test-seeds")
-    starts = hits.join(seeds, "gram").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
-    pairs = starts.groupBy("doc_id", "item_id").agg(F.collect_list("start").alias("starts"))
-    pairs = pairs.join(items.withColumnRenamed("text", "item"), "item_id")
-    per_doc = stored(pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "starts")).alias("items")), "test-pairs")
-    n_docs = per_doc.count()
-    # the candidates' texts; the narrow ids are broadcast if they are few
-    found = join_ids(texts, stored(per_doc.select("doc_id"), "test-documents"), "doc_id", "left_semi", n_docs).join(per_doc, "doc_id")
-    scored = found.mapInArrow(_align, "doc_id long, item_id long, matched long, n_words long, first_word long, last_word long")
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).collect()  # about BLOCK_GRAMS words
+        sent = spark.sparkContext.broadcast(index_items([r.item_id for r in part], [np.frombuffer(r.words, np.uint64) for r in part]))
+        some = stored(texts.mapInArrow(lambda b, sent=sent: _find(sent, least, b), _FOUND), "test-found")
+        scored = some if scored is None else scored.unionByName(some)
     return scored.withColumn("score", F.col("matched") / F.col("n_words")).where(F.col("score") >= least).select(
         "doc_id", "item_id", "score", "first_word", "last_word"
     )
