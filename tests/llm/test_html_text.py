@@ -53,3 +53,22 @@ def test_odd_rows(spark):
     got = sorted((r.n_chars for r in extract_text(pages).collect()))
     assert got == [0, 0, 0, 1, 799_999]
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_siblings_of_whatever_length_without_an_article():
+    flat = LONG.strip()
+    page = f"""<body><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>bare <b>text</b>, short
+    <div><p>Short section.</p></div><a href="/a">one link</a> <a href="/b">another link</a><div><a href="/c">{LONG}</a> more</div></body>"""
+    assert main_text(page).split("\n") == ["Title", flat, flat, flat, "bare text, short", "Short section."]
+    assert main_text(f"<body><h2><a href='/t'>Title</a></h2><div><div><p>{LONG}</p><p>{LONG}</p></div></div></body>").split("\n") == ["Title", flat, flat]
+
+
+def test_scores_decide_within_and_across_articles():
+    flat = LONG.strip()
+    links = f"<ul><li><a href='/x'>{LONG}</a></li><li><a href='/y'>{LONG}</a></li></ul>"
+    one, two = f"<article><h2>One</h2><p>{LONG}</p>{links}</article>", f"<article><h2>Two</h2><p>{LONG}</p><p>{LONG}</p></article>"
+    want = ["One", flat, "Two", flat, flat]
+    assert main_text(f"<body>{one}{two}{links}</body>").split("\n") == want
+    assert main_text(f"<main><div>{one}</div><div>{two}</div></main>").split("\n") == want
+    assert main_text("<article>a</article><article>b</article>") == "a\nb"
+    assert main_text(f"<article><p>{LONG}</p><p>Source: <a href='/s'>{LONG}</a></p></article>").split("\n") == [flat, f"Source: {flat}"]

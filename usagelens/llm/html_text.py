@@ -3,10 +3,11 @@
 A page becomes a tree of elements (open paragraphs, list items and table cells close where HTML
 lets them). Boilerplate elements are dropped by tag, role or name. Each paragraph passes points for
 its length and commas to its parent and, halved, to its grandparent; a container's points are
-discounted by its share of link text. The best container is kept, widened to the article or main
-element around it, with those siblings that score well enough. Its blocks, in page order, are
-the text: character references decoded, white space within a block one space, blocks joined by
-a newline.
+discounted by its share of link text. The best container is kept, widened to the outermost article
+or main element around it, with its siblings of whatever length: headings, bare text and elements
+of which less than LINK_SHARE is link text, and the headings before it beside its ancestors. Inside
+of what is kept, containers of links go. The blocks, in page order, are the text: character
+references decoded, white space within a block one space, blocks joined by a newline.
 
 Odd input: null or empty html, or a page without text: empty text. Broken markup: what can't be a
 tag is text, an open comment or script runs to the end. Repeated rows and null ids: each row for
@@ -48,15 +49,19 @@ _DROPPED_NAMES = frozenset(
     "related recommended comment comments disqus respond pagination pager toolbar login signup".split()
 )
 _KEPT_TAGS = frozenset("html body article main".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: From this share of link text on, a container holds links rather than text.
+LINK_SHARE = 0.5
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "parts", "score", "chars", "links", "own")
+    __slots__ = ("tag", "parent", "parts", "score", "chars", "links", "own", "rest", "rest_links")
 
     def __init__(self, tag: str, parent: _Element | None) -> None:
         self.tag, self.parent = tag, parent
         self.parts: list[str | _Element] = []
         self.score, self.chars, self.links, self.own = 0.0, 0, 0, 0
+        self.rest, self.rest_links = 0, 0  # chars and links without containers of links below
 
 
 def _dropped(tag: str, attributes: str, open_tags: list[str]) -> bool:
@@ -149,8 +154,17 @@ def _walk(root: _Element) -> list[_Element]:
     return order
 
 
-def blocks(root: _Element) -> list[str]:
-    """The texts of the blocks below an element, in page order."""
+def _of_links(node: _Element) -> bool:
+    return node.rest_links >= LINK_SHARE * node.rest
+
+
+def _goes(node: _Element) -> bool:
+    """Whether an element is a container of links."""
+    return node.tag in _BLOCK and node.tag not in _PARAGRAPH and node.tag not in _HEADINGS and _of_links(node)
+
+
+def blocks(root: _Element, path: frozenset[int] = frozenset()) -> list[str]:
+    """The texts of the blocks below an element, in page order, without containers of links; those whose id is in ``path`` stay."""
     found: list[str] = []
     line: list[str] = []
 
@@ -169,6 +183,8 @@ def blocks(root: _Element) -> list[str]:
             line.append(x)
         elif x.tag in _BLOCK:
             end()
+            if x is not root and id(x) not in path and _goes(x):
+                continue
             todo.append(None)
             todo.extend(reversed(x.parts))
         else:
@@ -177,8 +193,28 @@ def blocks(root: _Element) -> list[str]:
     return found
 
 
-def best_containers(root: _Element) -> list[_Element]:
-    """The container with the most points and the siblings that belong to it, in page order."""
+def _beside(node: _Element) -> list[_Element]:
+    """An element and its siblings that belong to it; text and inline elements between blocks are one piece."""
+    kept, run = [], _Element("div", None)
+    for x in [*node.parent.parts, None]:
+        if isinstance(x, str):
+            run.parts.append(x)
+            run.rest += len(x) - sum(map(x.count, " \n\t"))
+        elif x is not None and x is not node and x.tag not in _BLOCK:
+            run.parts.append(x)
+            run.rest += x.rest
+            run.rest_links += x.rest_links
+        else:
+            if run.rest and not _of_links(run):
+                kept.append(run)
+            run = _Element("div", None)
+            if x is not None and (x is node or x.rest and (x.tag in _HEADINGS or not _of_links(x))):
+                kept.append(x)
+    return kept
+
+
+def best_containers(root: _Element) -> tuple[list[_Element], frozenset[int]]:
+    """The container with the most points and what belongs to it, in page order, and the ids of the best one and its ancestors."""
     order = _walk(root)
     commas = {}
     for node in reversed(order):  # children before parents
@@ -186,6 +222,9 @@ def best_containers(root: _Element) -> list[_Element]:
         node.own = len(text) - text.count(" ")
         node.chars = node.own + sum(x.chars for x in node.parts if not isinstance(x, str))
         node.links = node.chars if node.tag == "a" else sum(x.links for x in node.parts if not isinstance(x, str))
+        below = [x for x in node.parts if not isinstance(x, str) and not _goes(x)]
+        node.rest = node.own + sum(x.rest for x in below)
+        node.rest_links = node.rest if node.tag == "a" else sum(x.rest_links for x in below)
         commas[id(node)] = text.count(",") + sum(commas[id(x)] for x in node.parts if not isinstance(x, str) and x.tag not in _BLOCK)
     for node in order:
         if node.chars and (node.tag in _PARAGRAPH or node.tag in _BLOCK and node.own > 80) and node.parent is not None:
@@ -200,29 +239,35 @@ def best_containers(root: _Element) -> list[_Element]:
             node.score *= 1 - node.links / node.chars
     best = max(order, key=lambda n: n.score)
     if best.score <= 0:
-        return [next((n for n in order if n.tag in ("article", "main")), root)]
-    wide = best
-    while wide is not None and wide.tag not in ("article", "main"):
-        wide = wide.parent
-    if wide is not None:
-        return [wide]
-    if best.parent is None:
-        return [best]
-    least = max(10.0, 0.2 * best.score)
-    kept = []
-    for x in best.parent.parts:
-        if isinstance(x, str):
-            continue
-        density = x.links / x.chars if x.chars else 1.0
-        if x is best or x.score >= least or x.tag in _PARAGRAPH and x.chars > 80 and density < 0.25:
-            kept.append(x)
-    return kept
+        best = next((n for n in order if n.tag in ("article", "main")), None)
+        if best is None:
+            return [root], frozenset(map(id, order))
+    path, wide, node = set(), best, best
+    while node is not None:
+        path.add(id(node))
+        if node.tag in ("article", "main"):
+            wide = node
+        node = node.parent
+    if wide.parent is None:
+        return [wide], frozenset(path)
+    kept, node = _beside(wide), wide.parent
+    while node.parent is not None:
+        before = []
+        for x in node.parent.parts:
+            if x is node:
+                break
+            if not isinstance(x, str) and x.tag in _HEADINGS:
+                before.append(x)
+        kept = before + kept if before else kept
+        node = node.parent
+    return kept, frozenset(path)
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(line for node in best_containers(parse(page)) for line in blocks(node))
+    kept, path = best_containers(parse(page))
+    return "\n".join(line for node in kept for line in blocks(node, path))
 
 
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
