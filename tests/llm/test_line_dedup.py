@@ -77,10 +77,10 @@ def test_short_lines_and_scripts_without_blanks(spark):
     rng = random.Random(3)
     # one "word" of 120 characters; an edit at the end breaks few of its shingles
     han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(120))
-    rows = [(1, f"Menu\n{han}\nRead more\n-\n\u3000\nalone"), (2, f"menu\nown\n{han[:-1]}x\n read  MORE\n-\n\u3000"), (3, "Menu\n" * 300 + "read more!")]
+    rows = [(1, f"Menu\n{han}\nRead more\n-\n\u3000\nalone"), (2, f"menu\nown\n{han[:-1]}x\n read  MORE\n-\n\u3000"), (3, "Menu\n" * 300 + "other end")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_dropped) for r in L.dedup_lines(docs).collect()}
-    assert got == {1: (rows[0][1], 0), 2: ("own\n\u3000", 4), 3: ("read more!", 300)}
+    assert got == {1: (rows[0][1], 0), 2: ("own\n\u3000", 4), 3: ("other end", 300)}
 
 
 def test_signatures_of_short_forms_are_independent():
@@ -94,3 +94,15 @@ def test_signatures_of_short_forms_are_independent():
         far += bool((a == b).any())
         near += bool((a == c).any())
     assert far < 90 and near > 290
+
+
+def test_one_changed_character_in_short_lines(spark):
+    rng = random.Random(7)
+    lines = []
+    for i in range(300):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") if j % 6 else " " for j in range(1, 41 + i % 41))
+        at = rng.choice([j for j in range(6, len(line) - 6) if line[j] != " "])
+        lines.append((line, line[:at] + "7" + line[at + 1 :]))
+    docs = spark.createDataFrame([(1, "\n".join(a for a, _ in lines)), (2, "\n".join(b for _, b in lines))], "doc_id long, text string")
+    got = {r.doc_id: r.lines for r in L.repeated_lines(docs).collect()}
+    assert set(got) == {2} and len(got[2]) >= 0.97 * len(lines)

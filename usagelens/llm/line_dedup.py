@@ -29,8 +29,9 @@ from .pairs import SEGMENT, bucket_components
 from .shared import join_ids, stored, text_by_id
 from .textops import mix
 
-#: Characters of a shingle.
-SHINGLE_CHARS = 9
+#: Characters of a shingle. A changed character breaks as many shingles, so that at 80 % a line of 40 characters or more
+#: with one such change still meets its original.
+SHINGLE_CHARS = 4
 BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
 #: Lines near the threshold meet in large buckets, which one hub leaves in many components.
