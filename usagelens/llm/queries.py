@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_text, langid, licenses, line_dedup, lm, ngram_join, oracles, periodic, quality, warc
+from . import bpe, compression, decontam, html_text, langid, licenses, line_dedup, lm, ngram_join, oracles, periodic, quality, warc
 from .shared import new_path
 
 
@@ -83,6 +83,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = compression.learn(docs, _table(spark, sf_dir, "labels"), remainder != 2)
+    found = compression.predict(docs, model)
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_decontamination,
         op10_language_id,
         op12_periodic_runs,
+        op13_quality_classifier,
     )
 }
 
