@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, decontam, html_text, langid, licenses, line_dedup, lm, ngram_join, oracles, periodic, quality, warc
+from . import bpe, compression, decontam, divergence, html_text, langid, licenses, line_dedup, lm, ngram_join, oracles, periodic, quality, warc
 from .shared import new_path
 
 
@@ -78,6 +78,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.periodic_runs(_table(spark, sf_dir, "documents"), unroll=True)
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc,
         op9_decontamination,
         op10_language_id,
+        op11_source_divergence,
         op12_periodic_runs,
         op13_quality_classifier,
     )
@@ -113,4 +118,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": oracles.QUALITY,
     "op2_ngram_jaccard": oracles.JACCARD,
     "op8_warc": oracles.WARC,
+    "op11_source_divergence": oracles.DIVERGENCE,
 }
