@@ -47,6 +47,11 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
 
 
+def _once(cte: str) -> str:
+    """The CTE computed once, however often it is read."""
+    return cte.replace(" AS (", " AS MATERIALIZED (", 1)
+
+
 def _rd(expr: str) -> str:
     """Round to 6 places like the Spark side: snap to 9 places, then exact half-up on the decimal."""
     return f"CAST(round(CAST(round({expr}, 9) AS DECIMAL(38, 9)), 6) AS DOUBLE)"
@@ -194,7 +199,6 @@ SQL["interval_overlap"] = _COST_BASE + (
     "SELECT statement_id, warehouse_id, start_time, end_time, usage_start_time, usage_end_time FROM pairs"
 )
 
-SQL["interval_overlap_plain"] = SQL["interval_overlap"]
 SQL["allocate_cost"] = _COST_BASE + "SELECT " + _cols("", [
     "statement_id", "warehouse_id", "usage_start_time", "query_duration_in_interval", "cost_per_second",
 ]) + " FROM pairs"
@@ -243,6 +247,17 @@ SELECT workspace_id, profile_name, target_name, node_or_connection,
 FROM tool_cost
 GROUP BY workspace_id, profile_name, target_name, node_or_connection"""
 
+SQL["enhanced_history_order"] = f"""
+SELECT workspace_id, statement_id, approx_query_cost,
+       row_number() OVER (ORDER BY approx_query_cost DESC NULLS LAST, workspace_id NULLS FIRST, statement_id NULLS FIRST) AS position
+FROM ({SQL["enhanced_history"]})"""
+
+SQL["node_cost_order"] = f"""
+SELECT workspace_id, profile_name, target_name, node_or_connection, num_runs, sum_CPUTotalExecutionTime,
+       row_number() OVER (ORDER BY sum_CPUTotalExecutionTime DESC NULLS LAST, workspace_id NULLS FIRST, profile_name NULLS FIRST,
+                          target_name NULLS FIRST, node_or_connection NULLS FIRST) AS position
+FROM ({SQL["node_cost_report"]})"""
+
 SQL["node_cost_detail"] = _tool_cost(1) + f"""
 SELECT {_cols('', [*TOOL, 'apprx_query_cost', 'total_task_duration_ms'])}
 FROM tool_cost
@@ -293,6 +308,12 @@ SELECT workspace_id, event_time, service_name, action_name, user_email, schedule
        param_name, param_job_id, param_job_id_2, n_params, response_result
 FROM changes"""
 
+SQL["schedule_changes_order"] = _with(AUDIT, CHANGES) + """
+SELECT job_id, event_time, action_name, workspace_id, job_name, schedule_cron,
+       row_number() OVER (ORDER BY job_id NULLS FIRST, event_time NULLS FIRST, action_name NULLS FIRST, workspace_id NULLS FIRST,
+                          job_name NULLS FIRST, schedule_cron NULLS FIRST) AS position
+FROM changes"""
+
 # newest time of each job overall and among rows carrying a cron, a pause status, or a
 # create-time schedule; every row at such a time takes that role (ties multiply)
 LATEST = """
@@ -398,7 +419,7 @@ runs AS (
 
 SQL["run_events"] = _with(AUDIT, RUNS) + "SELECT * FROM run_ev"
 
-SQL["run_history"] = _with(AUDIT, RUNS) + "SELECT * FROM runs"
+SQL["run_history"] = _with(_once(AUDIT), RUNS) + "SELECT * FROM runs"
 
 SQL["run_stats"] = _with(AUDIT, RUNS) + """
 SELECT workspace_id, job_id, task_key, run_state, query_id, dashboard_id, alert_id,
@@ -481,7 +502,7 @@ SQL["audit_by_dashboard"] = _with(AUDIT) + f"""
 SELECT {_AUDIT_COLS} FROM audit a
 WHERE a.service_name = 'dashboards' AND a.p_dashboard_id = '{ONE_DASHBOARD}'"""
 
-SQL["audit_with_publisher"] = _with(AUDIT, PUBLISHERS) + f"""
+SQL["audit_with_publisher"] = _with(_once(AUDIT), PUBLISHERS) + f"""
 SELECT {_AUDIT_COLS}, d.dashboard_id, d.publisher
 FROM audit a JOIN publishers d ON d.dashboard_id = a.p_dashboard_id"""
 

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -239,9 +240,25 @@ def test_latest_per_key_with_two_keys(spark):
     assert ours.exceptAll(ranked).count() == 0 and ranked.exceptAll(ours).count() == 0
 
 
+def _joined_history(events):
+    """The run history as joins of its triggers, starts and ends."""
+    from usagelens.operators.runs import RUN_HISTORY_COLUMNS, SQL_TASK_KEYS
+
+    task = F.col("task_key").isin(SQL_TASK_KEYS)
+    t = events.where("action_name = 'runTriggered'").select("workspace_id", "service_name", "job_id", "main_run_id", "trigger_type", "action_name",
+                                                           F.col("event_time").alias("triggered_event_time"))
+    s = events.where((F.col("action_name") == "runStart") & task).select("job_id", "main_run_id", "task_type", "task_key", "query_id", "dashboard_id", "alert_id",
+                                                                         "warehouse_id", "request_params", F.col("event_time").alias("run_event_time"))
+    e = events.where(F.col("action_name").isin("runSucceeded", "runFailed") & task).select(
+        "job_id", "main_run_id", "response", "status", "error", F.col("action_name").alias("_end"), F.col("event_time").alias("run_end_event_time"))
+    met = t.join(s, ["job_id", "main_run_id"], "left").join(e, ["job_id", "main_run_id"], "left")
+    seconds = F.unix_timestamp("run_end_event_time") - F.unix_timestamp("run_event_time")
+    return met.withColumn("run_state", F.coalesce("_end", "action_name")).withColumn("run_duration_seconds", seconds).select(*RUN_HISTORY_COLUMNS)
+
+
 def _pairs_form(events):
-    """Run totals and run statistics by grouping the run history itself."""
-    hist = run_history(events)
+    """Run totals and run statistics by grouping the joined run history."""
+    hist = _joined_history(events)
     totals = hist.groupBy("workspace_id", "job_id").agg(
         F.max("triggered_event_time").alias("last_run_time"), F.count("main_run_id").alias("total_num_runs"),
         F.sum("run_duration_seconds").alias("total_run_duration_seconds"))
@@ -271,6 +288,9 @@ def test_runs_without_pairs_equal_the_pair_form(spark):
         if i % 2:
             recs.append(_run("runFailed", None if i % 7 == 0 else ts(2024, 1, 2, 2, i), run=f"x{i}", parent=run, task="refresh-alert"))
     ev = run_events(audit(spark, *recs))
+    flat = lambda df: df.withColumn("request_params", F.to_json("request_params")).withColumn("response", F.to_json("response"))
+    for cuts in (1, 4):
+        _assert_same(flat(run_history(ev, cuts=cuts)), flat(_joined_history(ev)))
     totals, stats = _pairs_form(ev)
     _assert_same(run_totals(ev), totals)
     _assert_same(run_stats(ev, sort=False).withColumn("warehouses", F.array_join(F.sort_array("warehouses"), ",")), stats)
@@ -287,22 +307,53 @@ def test_every_test_row_is_in_the_audit_log(spark):
     assert log.where("action_name = 'runTriggered'").count() == n["orders"]
 
 
-def test_hot_job_of_latest_schedules_is_split(spark):
-    recs = [_create(1 if i % 3 == 0 else 10 + i, ts(2024, 1, 1, i % 24, i % 60), ) for i in range(900)]
+def test_a_run_triggered_often_is_cut(spark):
+    recs = [_run("runTriggered", ts(2024, 1, 1, i % 24, i // 24 % 60), run="100") for i in range(900)]
+    recs += [_run("runStart", ts(2024, 1, 1, 1, i), run=f"s{i}", parent="100", task="refresh-query", wh="w") for i in range(3)]
+    ev = run_events(audit(spark, *recs)).repartition(4)
+    rows = run_history(ev, cuts=8)
+    assert rows.count() == 2700 == run_history(ev).count()
+    generated = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in generated
+    groups = run_history(ev, cuts=8).groupBy(F.pmod(F.xxhash64("workspace_id", "service_name", "trigger_type", "triggered_event_time"), F.lit(8))).count()
+    assert groups.count() == 8 and groups.agg(F.max("count")).first()[0] < 2700 / 3
+
+
+def test_warehouse_sets_are_gathered_by_element(spark):
+    """Thousands of runs, each with another set of warehouses: what is kept of a group is one value for each warehouse."""
+    recs = []
+    for i in range(250):
+        recs.append(_run("runTriggered", ts(2024, 1, 1, i % 24), run=f"r{i}"))
+        recs += [_run("runStart", ts(2024, 1, 1, i % 24, k), run=f"s{i}-{k}", parent=f"r{i}", task="refresh-query", wh=f"w{k}") for k in range(8) if i >> k & 1]
+    ev = run_events(audit(spark, *recs))
+    out = run_stats(ev, sort=False)
+    assert sorted(r.warehouses and sorted(r.warehouses) for r in out.collect()) == [[], [f"w{k}" for k in range(8)]]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    sets = re.findall(r"collect_set\((\w+)#", plan)
+    assert sets and set(sets) == {"warehouse_id"}
+
+
+def test_hot_job_of_latest_schedules_sends_its_newest_rows_only(spark):
+    recs = [_create(1 if i % 3 == 0 else 10 + i, ts(2024, 1, 1, i // 60, i % 60)) for i in range(900)]
     changes = schedule_changes(audit(spark, *recs)).repartition(8)
-    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
-            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
-            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
-    old = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        df = latest_schedules(changes)
-        df.collect()
-        assert "SortMergeJoin(skew=true)" in df._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    df = latest_schedules(changes)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    limited = []
+
+    def walk(node):
+        if node.nodeName() == "WindowGroupLimit":
+            limited.append(node.metrics().apply("numOutputRows").value())
+        for child in [node.children().apply(i) for i in range(node.children().size())]:
+            walk(child)
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            walk(node.plan())
+
+    walk(plan)
+    # 300 events of job 1 and one of each other job, up to four roles each: the hot job leaves a task at most once for each role
+    assert max(limited) <= 4 * (600 + 8 * 2) < 4 * 900
 
 
 def test_report_orders(spark):

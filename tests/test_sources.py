@@ -92,6 +92,46 @@ def test_saved_views_are_read_from_another_session(spark, tmp_path):
         spark.sql("DROP DATABASE reports CASCADE")
 
 
+def test_catalog_views_outlive_the_session_and_see_new_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from usagelens.operators import daily_average_sums  # noqa: F401
+    from usagelens.plans import create_views
+
+    fx = fixture_sources(spark, SMALL_DIR)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS views LOCATION '{tmp_path}/views.db'")
+    try:
+        tables = {}
+        for n in ("query_history", "usage", "list_prices", "audit_log"):
+            tables[n] = f"views.{n}"
+            getattr(fx, n).write.saveAsTable(tables[n])
+        names = create_views(spark, tables, {v: f"spark_catalog.views.{v}" for v in build_views(fx)}, as_of="2024-01-31")
+        assert names == {v: f"spark_catalog.views.{v}" for v in build_views(fx)}
+        other = spark.newSession()
+        texts = {c: F.to_json(c) for c in ("request_params", "response", "compute", "schedule_info", "update_info", "user_identity", "parsed_dbt_comment")}
+        near = {c: F.round(c, 9) for c in ("approx_query_cost", "WarehouseAvgQueryRuntime", "WarehouseAvgQueueTime", "WarehouseAvgProportionTimeQueueing")}
+
+        def flat(df):
+            return df.select([(texts | near)[c].alias(c) if c in texts | near else c for c in df.columns])
+
+        for logical, frame in build_views(fx, as_of="2024-01-31").items():
+            saved = other.table(names[logical])
+            assert saved.columns == frame.columns, logical
+            assert saved.count() > 0 and saved.collect() is not None
+            here = flat(spark.table(names[logical]))
+            assert _same(here, flat(frame)), logical
+        # a row that a source gets later is seen through the views that exist already
+        before = {v: other.table(n).count() for v, n in names.items()}
+        trigger = spark.table(tables["audit_log"]).where("action_name = 'runTriggered'").limit(1).collect()
+        spark.createDataFrame(trigger, fx.audit_log.schema).write.insertInto(tables["audit_log"])
+        after = {v: spark.newSession().table(n).count() for v, n in names.items()}
+        assert after["run_history"] > before["run_history"] and after["schedule_history"] == before["schedule_history"]
+        # only views whose tables are named are made
+        assert set(create_views(spark, {"audit_log": tables["audit_log"]}, {v: f"views.{v}_2" for v in names})) == {"schedule_history", "schedule_latest", "run_history"}
+    finally:
+        spark.sql("DROP DATABASE views CASCADE")
+
+
 def test_loaders_name_missing_and_wrong_columns(spark):
     fx = fixture_sources(spark, SMALL_DIR)
     names = {n: f"c_{n}" for n in SOURCE_NAMES}

@@ -60,6 +60,16 @@ def rolling_lower_bound(as_of: str | _dt.date | Column | None, days: int) -> Col
     return F.date_sub(as_of_date(as_of), int(days))
 
 
+def seconds_sql(start: str, end: str) -> str:
+    """:func:`elapsed_seconds` as SQL text."""
+    return f"timestampdiff(SECOND, {start}, {end})"
+
+
+def bin_sql(time: str, bin_seconds: int) -> str:
+    """:func:`time_bin` as SQL text."""
+    return f"CAST(floor(unix_timestamp({time}) / {int(bin_seconds)}) AS BIGINT)"
+
+
 def time_bin(c: ColumnOrName, bin_seconds: int) -> Column:
     """Integer bin index ``floor(epoch_seconds / bin_seconds)``; monotone in time."""
     return F.floor(F.unix_timestamp(_col(c)) / F.lit(int(bin_seconds))).cast("long")

@@ -7,6 +7,8 @@ rate. Concurrent statements each pay the full rate, so totals can exceed the bil
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,17 +63,21 @@ def statement_windows(history: DataFrame, since: Column | None = None) -> DataFr
     return q if since is None else q.where(F.col("start_time") >= since)
 
 
-def allocate_cost(statements: DataFrame, priced: DataFrame, bin_seconds: int | None = 3600) -> DataFrame:
+def allocate_cost(statements: DataFrame, priced: DataFrame, bin_seconds: int | None = 3600, usage: DataFrame | None = None) -> DataFrame:
     """One row per (statement, overlapping usage interval) with seconds and rate.
 
+    ``usage``, if given, holds the rows that ``priced`` was made from; their spans, unpriced, tell the
+    overlap join how long spans get.
+
     Seconds are whole seconds (an overlap under 1 s costs 0). A zero-length usage
     interval has no rate (NULL), which SUM ignores.
     """
     left = statements.select(*STATEMENT_KEYS)
     right = priced.select("warehouse_id", "usage_start_time", "usage_end_time", "total_cost_for_warehouse_uptime")
     pairs = interval_overlap(
-        left, right, "warehouse_id", "start_time", "end_time", "usage_start_time", "usage_end_time", bin_seconds
-    )
+        left, right, "warehouse_id", "start_time", "end_time", "usage_start_time", "usage_end_time", bin_seconds,
+        None if usage is None else usage.select("usage_start_time", "usage_end_time"),
+    )
     overlap_s = elapsed_seconds(
         F.greatest(F.col("start_time"), F.col("usage_start_time")),
         F.least(F.col("end_time"), F.col("usage_end_time")),
@@ -87,6 +93,26 @@ def allocate_cost(statements: DataFrame, priced: DataFrame, bin_seconds: int | N
     )
 
 
+def usage_since(usage: DataFrame, since: Column | None, longest_usage_hours: float | None = None) -> DataFrame:
+    """Usage rows that a statement started at or after ``since`` can overlap (their end lies after it).
+
+    With ``longest_usage_hours``, the longest span that a usage row can have, rows are also chosen by ``usage_date``
+    (the day a row starts), a day earlier than that span reaches: on a table partitioned by it whole partitions
+    are left unread. Without it no such row can be ruled out and none is. A row read that is longer than stated raises
+    an error, as rows left unread could be so too.
+    """
+    if since is None:
+        return usage
+    rows = usage.where(F.col("usage_end_time") > since)
+    if longest_usage_hours is None:
+        return rows
+    days = math.ceil(longest_usage_hours / 24) + 1
+    stated = elapsed_seconds("usage_start_time", "usage_end_time") <= F.lit(longest_usage_hours * 3600)
+    said = F.lit(f"a usage row is longer than the stated {longest_usage_hours} hours")
+    start = F.when(stated | F.col("usage_start_time").isNull(), F.col("usage_start_time")).otherwise(F.raise_error(said))
+    return rows.where(F.col("usage_date") >= F.date_sub(since.cast("date"), days)).withColumn("usage_start_time", start)
+
+
 def statement_cost(
     history: DataFrame,
     usage: DataFrame,
@@ -95,6 +121,7 @@ def statement_cost(
     sku_pattern: str = SERVERLESS_SQL_PATTERN,
     bin_seconds: int | None = 3600,
     cost_col: str = "approx_query_cost",
+    longest_usage_hours: float | None = None,
 ) -> DataFrame:
     """Summed pair cost per statement (statement, workspace, warehouse, start, end).
 
@@ -105,14 +132,10 @@ def statement_cost(
     The pairs are hash-partitioned on (workspace_id, statement_id) once: that partitioning
     satisfies the grouping and is reused by the report's join to the statement rows,
     so the per-statement result is never shuffled again. With ``since`` the usage scan is
-    bounded too (its end must lie after the bound).
+    bounded too (see :func:`usage_since`).
     """
-    if since is not None:
-        # start_time >= since and start_time < usage_end_time: older usage can't overlap
-        usage = usage.where(F.col("usage_end_time") > since)
-    pairs = allocate_cost(
-        statement_windows(history, since), priced_usage(usage, prices, sku_pattern), bin_seconds
-    )
+    usage = usage_since(usage, since, longest_usage_hours)
+    pairs = allocate_cost(statement_windows(history, since), priced_usage(usage, prices, sku_pattern), bin_seconds, usage)
     return (
         pairs.repartition("workspace_id", "statement_id")
         .groupBy(*STATEMENT_KEYS)

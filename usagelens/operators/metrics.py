@@ -8,8 +8,6 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ms_to_seconds, seconds_or_zero
-
 GIB = 1024 * 1024 * 1024
 
 # Output names of the metric stage, in report order.
@@ -37,93 +35,111 @@ READ_WEIGHT = Decimal("0.25")
 WORKER_WEIGHT = Decimal("0.25")
 
 
+def _seconds(ms: str) -> str:
+    return f"try_divide({ms}, 1000)"
+
+
+def _seconds_or_zero(ms: str) -> str:
+    return f"coalesce({_seconds(ms)}, 0D)"
+
+
+# Expressions as SQL text, for the operators below and for views that a catalog keeps as text.
+METRICS_SQL = {
+    **{c: c for c in ("workspace_id", "statement_id", "executed_by", "statement_text")},
+    "warehouse_id": "compute.warehouse_id",
+    **{c: c for c in ("execution_status", "statement_type", "client_application")},
+    "error_message": "coalesce(error_message, 'None')",
+    "QueryRuntimeSeconds": _seconds_or_zero("total_duration_ms"),
+    "CPUTotalExecutionTime": _seconds_or_zero("total_task_duration_ms"),
+    "ExecutionQueryTime": _seconds_or_zero("execution_duration_ms"),
+    "CompilationQueryTime": _seconds_or_zero("compilation_duration_ms"),
+    "QueueQueryTime": _seconds_or_zero("waiting_at_capacity_duration_ms"),
+    "StartUpQueryTime": _seconds_or_zero("waiting_for_compute_duration_ms"),
+    "ResultFetchTime": _seconds_or_zero("result_fetch_duration_ms"),
+    # metadata-only statements (no task time) get no allocation time
+    "TotalResourceTimeUsedForAllocation": f"CASE WHEN {_seconds_or_zero('total_task_duration_ms')} = 0 THEN 0D "
+    f"ELSE {_seconds_or_zero('total_duration_ms')} + {_seconds_or_zero('compilation_duration_ms')} END",
+    **{c: c for c in ("start_time", "end_time", "update_time")},
+    "read_bytes": "coalesce(read_bytes, 0L)",
+    "read_io_cache_percent": "coalesce(read_io_cache_percent, 0)",
+    "from_result_cache": "from_result_cache",
+    "spilled_local_bytes": "coalesce(spilled_local_bytes, 0L)",
+    "TotalCPUTime_To_Execution_Time_Ratio": "try_divide(total_task_duration_ms, total_duration_ms)",
+    "ProportionQueueTime": "coalesce(try_divide(waiting_at_capacity_duration_ms, total_duration_ms), 0D)",
+    "ReadDataAmountInGB": f"CASE WHEN read_bytes > 0 THEN try_divide(read_bytes, {GIB}) ELSE 0D END",
+}
+FLAGS_SQL = {
+    "UsedCacheFlag": f"CASE WHEN read_io_cache_percent > 0 THEN '{USED_CACHE}' ELSE '{NO_CACHE}' END",
+    "HasSpillFlag": f"CASE WHEN spilled_local_bytes > 0 THEN '{SPILLED}' ELSE '{NO_SPILL}' END",
+    "ReadDataFlag": f"CASE WHEN read_bytes > 0 THEN '{DID_READ}' ELSE '{NO_READ}' END",
+    "UsedWorkerTasksFlag": f"CASE WHEN CPUTotalExecutionTime > 0 THEN '{USED_WORKERS}' ELSE '{NO_WORKERS}' END",
+    "Calc_HasSpillFlag": "CASE WHEN spilled_local_bytes > 0 THEN 1 ELSE 0 END",
+    "Calc_ReadDataFlag": f"CASE WHEN read_bytes > 0 THEN {READ_WEIGHT} ELSE 0 END",
+    "Calc_UsedWorkerTasksFlag": f"CASE WHEN CPUTotalExecutionTime > 0 THEN {WORKER_WEIGHT} ELSE 0 END",
+}
+#: What each fleet average is taken of; NULL values don't count.
+AVERAGED_SQL = {
+    "WarehouseAvgQueryRuntime": _seconds("total_duration_ms"),
+    "WarehouseAvgQueueTime": _seconds("waiting_at_capacity_duration_ms"),
+    "WarehouseAvgProportionTimeQueueing": f"coalesce(try_divide({_seconds('waiting_at_capacity_duration_ms')}, {_seconds('total_duration_ms')}), 0D)",
+}
+
+
 def statement_metrics(history: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Durations in seconds (0 when missing), allocation time, ratios, GB read.
 
     Divisions never raise: a zero or NULL denominator gives NULL, then the default.
     ``extra`` raw history columns are carried along after the metric columns.
     """
-    runtime = seconds_or_zero("total_duration_ms")
-    cpu = seconds_or_zero("total_task_duration_ms")
-    compile_s = seconds_or_zero("compilation_duration_ms")
-    read_bytes = F.col("read_bytes")
-    return history.select(
-        "workspace_id",
-        "statement_id",
-        "executed_by",
-        "statement_text",
-        F.col("compute.warehouse_id").alias("warehouse_id"),
-        "execution_status",
-        "statement_type",
-        "client_application",
-        F.coalesce(F.col("error_message"), F.lit("None")).alias("error_message"),
-        runtime.alias("QueryRuntimeSeconds"),
-        cpu.alias("CPUTotalExecutionTime"),
-        seconds_or_zero("execution_duration_ms").alias("ExecutionQueryTime"),
-        compile_s.alias("CompilationQueryTime"),
-        seconds_or_zero("waiting_at_capacity_duration_ms").alias("QueueQueryTime"),
-        seconds_or_zero("waiting_for_compute_duration_ms").alias("StartUpQueryTime"),
-        seconds_or_zero("result_fetch_duration_ms").alias("ResultFetchTime"),
-        # metadata-only statements (no task time) get no allocation time
-        F.when(cpu == 0, F.lit(0.0)).otherwise(runtime + compile_s).alias("TotalResourceTimeUsedForAllocation"),
-        "start_time",
-        "end_time",
-        "update_time",
-        F.coalesce(read_bytes, F.lit(0).cast("long")).alias("read_bytes"),
-        F.coalesce(F.col("read_io_cache_percent"), F.lit(0)).alias("read_io_cache_percent"),
-        "from_result_cache",
-        F.coalesce(F.col("spilled_local_bytes"), F.lit(0).cast("long")).alias("spilled_local_bytes"),
-        F.try_divide(F.col("total_task_duration_ms"), F.col("total_duration_ms")).alias("TotalCPUTime_To_Execution_Time_Ratio"),
-        F.coalesce(
-            F.try_divide(F.col("waiting_at_capacity_duration_ms"), F.col("total_duration_ms")), F.lit(0.0)
-        ).alias("ProportionQueueTime"),
-        F.when(read_bytes > 0, F.try_divide(read_bytes, F.lit(GIB))).otherwise(F.lit(0.0)).alias("ReadDataAmountInGB"),
-        *extra,
-    )
+    return history.select(*[F.expr(e).alias(n) for n, e in METRICS_SQL.items()], *extra)
 
 
 def with_statement_flags(metrics: DataFrame) -> DataFrame:
     """Four text flags and three weights over the D1 output."""
-    spilled = F.col("spilled_local_bytes") > 0
-    did_read = F.col("read_bytes") > 0
-    workers = F.col("CPUTotalExecutionTime") > 0
-    return metrics.withColumns(
-        {
-            "UsedCacheFlag": F.when(F.col("read_io_cache_percent") > 0, USED_CACHE).otherwise(NO_CACHE),
-            "HasSpillFlag": F.when(spilled, SPILLED).otherwise(NO_SPILL),
-            "ReadDataFlag": F.when(did_read, DID_READ).otherwise(NO_READ),
-            "UsedWorkerTasksFlag": F.when(workers, USED_WORKERS).otherwise(NO_WORKERS),
-            "Calc_HasSpillFlag": F.when(spilled, F.lit(1)).otherwise(F.lit(0)),
-            "Calc_ReadDataFlag": F.when(did_read, F.lit(READ_WEIGHT)).otherwise(F.lit(0)),
-            "Calc_UsedWorkerTasksFlag": F.when(workers, F.lit(WORKER_WEIGHT)).otherwise(F.lit(0)),
-        }
-    )
-
-
-def _average_expressions() -> dict[str, Column]:
-    runtime = ms_to_seconds("total_duration_ms")
-    queued = ms_to_seconds("waiting_at_capacity_duration_ms")
-    return {
-        "WarehouseAvgQueryRuntime": F.avg(runtime),
-        "WarehouseAvgQueueTime": F.avg(queued),
-        "WarehouseAvgProportionTimeQueueing": F.avg(F.coalesce(F.try_divide(queued, runtime), F.lit(0.0))),
-    }
+    return metrics.withColumns({n: F.expr(e) for n, e in FLAGS_SQL.items()})
 
 
 _GROUPABLE = {"warehouse_id": "compute.warehouse_id", "workspace_id": "workspace_id"}
+DAY = "day"
+
 
+def daily_average_sums(history: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sum and count of each averaged value per day of start (and ``by``): partial sums that add up over any days.
 
-def with_fleet_averages(df: DataFrame, history: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    Rows without a start time have a NULL day. Stored as a table and extended by each new day's rows, they
+    stand in for the history in :func:`with_fleet_averages`; a day that gets late rows is summed anew.
+    """
+    keys = [F.col("start_time").cast("date").alias(DAY), *[F.col(_GROUPABLE[k]).alias(k) for k in by]]
+    sums = [f(F.expr(e)).alias(f"{n}_{kind}") for n, e in AVERAGED_SQL.items() for kind, f in (("sum", F.sum), ("count", F.count))]
+    return history.groupBy(*keys).agg(*sums)
+
+
+def with_fleet_averages(
+    df: DataFrame, history: DataFrame, by: Sequence[str] = (), daily: DataFrame | None = None, daily_until: Column | None = None
+) -> DataFrame:
     """D3: averages over *all* of ``history`` attached to each row of ``df``.
 
     Without ``by`` each average is a scalar subquery: Spark merges the three into one
     aggregate over two columns (partial sums on every task, one tiny final merge) and
     inlines the result, so no row of ``df`` moves. ``by`` (``warehouse_id`` /
     ``workspace_id``) averages per key instead and joins on it.
+
+    With ``daily`` (a table of :func:`daily_average_sums` with the same ``by``) and ``daily_until`` (a date), the days
+    before that date are read from it, and of ``history`` only the rows since: the averages are the
+    same, while the report's cost no longer grows with the age of the history.
     """
-    exprs = _average_expressions()
+    if (daily is None) != (daily_until is None):
+        raise ValueError("daily and daily_until go together")
+    if daily is None:
+        exprs = {name: F.avg(F.expr(e)) for name, e in AVERAGED_SQL.items()}
+        read = history
+        keys = [F.col(_GROUPABLE[k]).alias(k) for k in by]
+    else:
+        days = daily.where((F.col(DAY) < daily_until) | F.col(DAY).isNull())
+        read = days.unionByName(daily_average_sums(history.where(F.col("start_time") >= daily_until), by))
+        exprs = {name: F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_count")) for name in AVERAGED_SQL}
+        keys = [F.col(k) for k in by]
     if not by:
-        return df.withColumns({name: history.select(e).scalar() for name, e in exprs.items()})
-    keys = [F.col(_GROUPABLE[k]).alias(k) for k in by]
-    per_key = history.groupBy(*keys).agg(*[e.alias(n) for n, e in exprs.items()])
+        return df.withColumns({name: read.select(e).scalar() for name, e in exprs.items()})
+    per_key = read.groupBy(*keys).agg(*[e.alias(n) for n, e in exprs.items()])
     return df.join(per_key, list(by), "left")

@@ -91,55 +91,6 @@ def run_events(audit: DataFrame) -> DataFrame:
     )
 
 
-def run_history(events: DataFrame, task_keys: Sequence[str] = SQL_TASK_KEYS) -> DataFrame:
-    """Every trigger, left-joined to task starts and task ends of its run.
-
-    As in the reports, starts and ends meet on (job, run) only, not on the task: a run
-    with k matching tasks yields k starts x k ends rows, bounded by the job's task count.
-    State is the end action, else the trigger action; duration is the epoch-second
-    difference of end and start.
-    """
-    keys = ["job_id", "main_run_id"]
-    ev = events.select(
-        "workspace_id", "event_time", "service_name", "action_name", *keys, "trigger_type", "task_type",
-        "task_key", "query_id", "dashboard_id", "alert_id", "warehouse_id", "request_params", "response",
-        "status", "error",
-    )
-    sql_task = F.col("task_key").isin(list(task_keys))
-    trigger = ev.where(F.col("action_name") == TRIGGERED).select(
-        "workspace_id", "service_name", F.col("action_name").alias("_t_action"), *keys, "trigger_type",
-        F.col("event_time").alias("triggered_event_time"),
-    )
-    start = ev.where((F.col("action_name") == STARTED) & sql_task).select(
-        *keys, F.col("event_time").alias("run_event_time"), "task_type", "task_key", "query_id",
-        "dashboard_id", "alert_id", "warehouse_id", "request_params",
-    )
-    end = ev.where(F.col("action_name").isin(SUCCEEDED, FAILED) & sql_task).select(
-        *keys, F.col("event_time").alias("run_end_event_time"), F.col("action_name").alias("_e_action"),
-        "response", "status", "error",
-    )
-    # triggers without a run id meet nothing, and are not sent through the joins to one task
-    named = F.col("job_id").isNotNull() & F.col("main_run_id").isNotNull()
-    met = trigger.where(named).join(start.where(named), keys, "left").join(end.where(named), keys, "left")
-    return (
-        met.unionByName(trigger.where(~named), allowMissingColumns=True)
-        .select(
-            "workspace_id",
-            "service_name",
-            F.coalesce("_e_action", "_t_action").alias("run_state"),
-            *keys,
-            "trigger_type",
-            "triggered_event_time",
-            "run_event_time",
-            "run_end_event_time",
-            epoch_seconds_between("run_event_time", "run_end_event_time").alias("run_duration_seconds"),
-            "task_type", "task_key", "query_id", "dashboard_id", "alert_id", "warehouse_id",
-            "request_params", "response", "status", "error",
-        )
-    )
-
-
-RUN_STAT_KEYS = ["workspace_id", "job_id", "task_key", "run_state", "query_id", "dashboard_id", "alert_id"]
 _RUN = ["job_id", "main_run_id"]
 
 
@@ -154,6 +105,67 @@ def _run_roles(events: DataFrame, task_keys: Sequence[str]) -> DataFrame:
     return events.withColumn("_role", role).where(F.col("_role").isNotNull()).withColumn("_sec", F.unix_timestamp("event_time"))
 
 
+def _is_named():
+    return F.col("job_id").isNotNull() & F.col("main_run_id").isNotNull()  # NULL keys meet nothing
+
+
+def _list_of(role: str, *cols):
+    return F.collect_list(F.when(F.col("_role") == role, F.struct(*cols)))
+
+
+def run_history(events: DataFrame, task_keys: Sequence[str] = SQL_TASK_KEYS, cuts: int = 1) -> DataFrame:
+    """Every trigger, left-joined to task starts and task ends of its run.
+
+    As in the reports, starts and ends meet on (job, run) only, not on the task: a run
+    with k matching tasks yields k starts x k ends rows, bounded by the job's task count.
+    State is the end action, else the trigger action; duration is the epoch-second
+    difference of end and start.
+
+    The events are read once and gathered by run, and the product is exploded from the gathered
+    lists: one scan, one shuffle. A run's lists hold its task events, at most as many as the rows it
+    gives. ``cuts`` splits the triggers of each run over that many groups, to each of which the run's starts and
+    ends are sent, for logs in which one run is triggered very often. Triggers without a job or run id
+    meet nothing; they are spread by their content instead of gathered.
+    """
+    tagged = _run_roles(events, task_keys).where(_is_named() | (F.col("_role") == "trigger"))
+    spread = F.xxhash64("workspace_id", "service_name", "trigger_type", "event_time")
+    part = F.pmod(spread, F.lit(cuts))
+    if cuts == 1:
+        tagged = tagged.withColumn("_part", F.when(_is_named(), F.lit(0).cast("long")).otherwise(spread))
+    else:
+        everywhere = F.sequence(F.lit(0).cast("long"), F.lit(cuts - 1).cast("long"))
+        parts = F.when(~_is_named(), F.array(spread)).when(F.col("_role") == "trigger", F.array(part)).otherwise(everywhere)
+        tagged = tagged.withColumn("_part", F.explode(parts))
+    runs = tagged.groupBy(*_RUN, "_part").agg(
+        _list_of("trigger", "workspace_id", "service_name", "action_name", "trigger_type", "event_time").alias("_triggers"),
+        _list_of(
+            "start", "event_time", "task_type", "task_key", "query_id", "dashboard_id", "alert_id", "warehouse_id", "request_params"
+        ).alias("_starts"),
+        _list_of("end", "event_time", "action_name", "response", "status", "error").alias("_ends"),
+    )
+    met = (
+        runs.select(*_RUN, F.explode("_triggers").alias("t"), "_starts", "_ends")
+        .select(*_RUN, "t", F.explode_outer("_starts").alias("s"), "_ends")
+        .select(*_RUN, "t", "s", F.explode_outer("_ends").alias("e"))
+    )
+    return met.select(
+        "t.workspace_id",
+        "t.service_name",
+        F.coalesce("e.action_name", "t.action_name").alias("run_state"),
+        *_RUN,
+        "t.trigger_type",
+        F.col("t.event_time").alias("triggered_event_time"),
+        F.col("s.event_time").alias("run_event_time"),
+        F.col("e.event_time").alias("run_end_event_time"),
+        epoch_seconds_between(F.col("s.event_time"), F.col("e.event_time")).alias("run_duration_seconds"),
+        "s.task_type", "s.task_key", "s.query_id", "s.dashboard_id", "s.alert_id", "s.warehouse_id",
+        "s.request_params", "e.response", "e.status", "e.error",
+    )
+
+
+RUN_STAT_KEYS = ["workspace_id", "job_id", "task_key", "run_state", "query_id", "dashboard_id", "alert_id"]
+
+
 def run_totals(events: DataFrame, task_keys: Sequence[str] = SQL_TASK_KEYS) -> DataFrame:
     """Last trigger time, run-history rows with a run id, and summed run seconds per (workspace, job).
 
@@ -178,10 +190,9 @@ def run_totals(events: DataFrame, task_keys: Sequence[str] = SQL_TASK_KEYS) -> D
         )
     )
     run = Window.partitionBy(*_RUN)
-    named = F.col("job_id").isNotNull() & F.col("main_run_id").isNotNull()  # NULL keys meet nothing
 
     def whole(c):
-        return F.when(named, F.sum(c).over(run))
+        return F.when(_is_named(), F.sum(c).over(run))
 
     rows = cells.select(
         "job_id", "main_run_id", "workspace_id", "_is_trigger", "_t", "_last",
@@ -203,31 +214,47 @@ def run_stats(events: DataFrame, task_keys: Sequence[str] = SQL_TASK_KEYS, sort:
     """Distinct runs, summed run seconds and the set of warehouses per
     (workspace, job, task, state, query, dashboard, alert), longest total first.
 
-    Equals grouping :func:`run_history` without its pairs: a run's triggers, starts and ends are
-    counted and summed by their output keys before they meet.
+    Equals grouping :func:`run_history` without its pairs, from one scan: events are first counted and summed
+    by run and by what the report keeps of them (a trigger's workspace, a start's task, asset and
+    warehouse, an end's action); a run's few cells then meet as pairs do. As a start's cell has one
+    warehouse, the warehouses of a group are gathered value by value, so that its state is as large as the
+    set, whatever the number of runs or of different sets in them.
     """
-    ev = _run_roles(events, task_keys)
-    named = F.col("job_id").isNotNull() & F.col("main_run_id").isNotNull()  # NULL keys meet nothing
-    triggers = ev.where("_role = 'trigger'").groupBy(*_RUN, "workspace_id").agg(F.count(F.lit(1)).alias("_t"))
-    starts = ev.where((F.col("_role") == "start") & named).groupBy(*_RUN, "task_key", "query_id", "dashboard_id", "alert_id").agg(
-        F.count("_sec").alias("_s_timed"), F.sum("_sec").alias("_s_sum"), F.collect_set("warehouse_id").alias("_set")
+    start, end = F.col("_role") == "start", F.col("_role") == "end"
+    task = ["task_key", "query_id", "dashboard_id", "alert_id", "warehouse_id"]
+    cells = (
+        _run_roles(events, task_keys)
+        .where(_is_named() | (F.col("_role") == "trigger"))
+        .groupBy(
+            *_RUN, "_role", F.when(F.col("_role") == "trigger", F.col("workspace_id")).alias("workspace_id"),
+            F.when(end, F.col("action_name")).alias("action_name"), *[F.when(start, F.col(c)).alias(c) for c in task],
+        )
+        .agg(F.count(F.lit(1)).alias("_n"), F.count("_sec").alias("_timed"), F.sum("_sec").alias("_sum"))
+    )
+    runs = cells.groupBy(*_RUN).agg(
+        _list_of("trigger", "workspace_id", "_n").alias("_triggers"),
+        _list_of("start", *task, "_timed", "_sum").alias("_starts"),
+        _list_of("end", "action_name", "_timed", "_sum").alias("_ends"),
     )
-    ends = ev.where((F.col("_role") == "end") & named).groupBy(*_RUN, F.col("action_name").alias("_e_action")).agg(
-        F.count("_sec").alias("_e_timed"), F.sum("_sec").alias("_e_sum")
+    met = (
+        runs.select(*_RUN, F.explode("_triggers").alias("t"), "_starts", "_ends")
+        .select(*_RUN, "t", F.explode_outer("_starts").alias("s"), "_ends")
+        .select(*_RUN, "t", "s", F.explode_outer("_ends").alias("e"))
     )
     seconds = F.when(
-        (F.col("_s_timed") > 0) & (F.col("_e_timed") > 0),
-        F.col("_t") * (F.col("_s_timed") * F.col("_e_sum") - F.col("_e_timed") * F.col("_s_sum")),
+        (F.col("s._timed") > 0) & (F.col("e._timed") > 0),
+        F.col("t._n") * (F.col("s._timed") * F.col("e._sum") - F.col("e._timed") * F.col("s._sum")),
     )
     out = (
-        triggers.join(starts, _RUN, "left")
-        .join(ends, _RUN, "left")
-        .withColumn("run_state", F.coalesce("_e_action", F.lit(TRIGGERED)))
+        met.select(
+            *_RUN, "t.workspace_id", *[f"s.{c}" for c in task],
+            F.coalesce("e.action_name", F.lit(TRIGGERED)).alias("run_state"), seconds.alias("_seconds"),
+        )
         .groupBy(*RUN_STAT_KEYS)
         .agg(
             F.count_distinct("main_run_id").alias("total_num_runs"),
-            F.sum(seconds).alias("total_run_duration_seconds"),
-            F.array_distinct(F.flatten(F.collect_set(F.coalesce("_set", F.array().cast("array<string>"))))).alias("warehouses"),
+            F.sum("_seconds").alias("total_run_duration_seconds"),
+            F.collect_set("warehouse_id").alias("warehouses"),
         )
-    )
+    )
     return out.orderBy(F.desc("total_run_duration_seconds"), *RUN_STAT_KEYS) if sort else out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import first_of, param
 from ..schemas import JOB_RESULT_DDL, NEW_SETTINGS_DDL, SCHEDULE_DDL, TASKS_DDL
+from .latest import latest_per_key
 
 # Service and actions of asset changes; the origin flag value kept;
 # request-parameter keys of the jobs service payloads.
@@ -103,35 +104,13 @@ def latest_schedules(changes: DataFrame) -> DataFrame:
     filtered left joins act as inner joins); tied event times multiply rows; deleted
     jobs and jobs whose newest event lacks the origin flag are dropped.
 
-    Plan: a partial aggregate over a narrow projection gives the four newest times of
-    each job (only per-task partial maxima are shuffled); a null-safe join on ``job_id``
-    brings them to the events. Its key expressions differ from the aggregate's, so both
-    sides get exchanges of their own and AQE can split a hot job's partition. The join
-    keeps only rows that are newest for at least one role; these few are shuffled again
-    and gathered per role (the rows tied at that newest time, usually one), and explodes
-    rebuild their product. A job whose events all have a NULL time has all of them tied,
-    as with rank one in the reports: n such events give up to n^4 rows.
+    Plan: an event stands for up to four roles (newest of the job, newest with a cron, with a pause
+    status, with a schedule), one row each with the columns that role gives. Rank one of (job, role)
+    is a group limit: Spark keeps only each task's newest rows before the shuffle, so the
+    events are read once and a hot job sends its tied newest rows only. The rows left of a
+    job (usually four) are gathered per role, and explodes rebuild their product. A job whose events all
+    have a NULL time has all of them tied, as with rank one in the reports: n such events give up to n^4 rows.
     """
-    t = F.col("event_time")
-    events = changes.where(F.col("job_id").isNotNull())
-    newest = events.groupBy("job_id").agg(
-        F.max(t).alias("_t_any"),
-        F.max(F.when(F.col("schedule_cron").isNotNull(), t)).alias("_t_cron"),
-        F.max(F.when(F.col("pause_status").isNotNull(), t)).alias("_t_pause"),
-        F.max(F.when(F.col("schedule_info").isNotNull(), t)).alias("_t_create"),
-    )
-
-    def newest_for(cond, top: str):
-        # null-safe "event_time = newest time of this role" (a NULL time is newest only
-        # when the role has no non-NULL time, as with dense_rank ... DESC)
-        return cond & t.eqNullSafe(F.col(top))
-
-    is_last = newest_for(
-        (F.col("action_name") != DELETE_ACTION) & (F.col("from_redash_ind") == FLAGGED_ORIGIN), "_t_any"
-    )
-    is_cron = newest_for(F.col("schedule_cron").isNotNull(), "_t_cron")
-    is_pause = newest_for(F.col("pause_status").isNotNull(), "_t_pause")
-    is_create = newest_for(F.col("schedule_info").isNotNull(), "_t_create")
     last_cols = [
         "workspace_id", "event_time", "service_name", "user_identity", "action_name", "schedule_cron",
         "pause_status", "schedule_info", "update_info", "status", "from_redash_ind", "job_name", "dashboard_id",
@@ -139,22 +118,21 @@ def latest_schedules(changes: DataFrame) -> DataFrame:
     ]
     cron_cols = ["schedule_cron", "pause_status", "schedule_info", "job_name", "dashboard_id", "alert_id", "query_id", "warehouse_id"]
     create_cols = ["job_name", "dashboard_id", "alert_id", "query_id", "warehouse_id"]
-
-    def role(cond, cols):
-        # coalesce keeps the flag a plain boolean, so the row is listed only when it holds
-        return F.collect_list(F.when(F.coalesce(cond, F.lit(False)), F.struct(*cols)))
-
-    roles = (
-        events.join(newest.withColumnRenamed("job_id", "_job"), F.col("job_id").eqNullSafe(F.col("_job")))
-        .where(F.coalesce(is_last | is_cron | is_pause | is_create, F.lit(False)))
-        .groupBy("job_id")
-        .agg(
-            role(is_last, last_cols).alias("_last"),
-            role(is_cron, cron_cols).alias("_cron"),
-            role(is_pause, ["pause_status"]).alias("_pause"),
-            role(is_create, create_cols).alias("_create"),
-        )
-    )
+    has = {"last": F.lit(True)} | {r: F.col(c).isNotNull() for r, c in (("cron", "schedule_cron"), ("pause", "pause_status"), ("create", "schedule_info"))}
+    roles = F.array_compact(F.array(*[F.when(cond, F.lit(r)) for r, cond in has.items()]))
+    tagged = changes.where(F.col("job_id").isNotNull()).select("job_id", *last_cols, F.explode(roles).alias("_role"))
+    # a role's row carries what that role gives, so that the rows kept and shuffled stay narrow
+    only_last = [c for c in last_cols if c not in (*cron_cols, *create_cols, "event_time")]
+    narrow = [F.when(F.col("_role") == "last", F.col(c)).alias(c) for c in only_last]
+    tagged = tagged.select("job_id", "_role", "event_time", *dict.fromkeys([*cron_cols, *create_cols]), *narrow)
+    newest = latest_per_key(tagged, ["job_id", "_role"], "event_time")
+    flagged = (F.col("action_name") != DELETE_ACTION) & (F.col("from_redash_ind") == FLAGGED_ORIGIN)
+    newest = newest.where((F.col("_role") != "last") | flagged)
+
+    def role(name, cols):
+        return F.collect_list(F.when(F.col("_role") == name, F.struct(*cols))).alias(f"_{name}")
+
+    roles = newest.groupBy("job_id").agg(role("last", last_cols), role("cron", cron_cols), role("pause", ["pause_status"]), role("create", create_cols))
     rows = (
         roles.select("job_id", F.explode("_last").alias("last"), "_cron", "_pause", "_create")
         .select("job_id", "last", F.explode("_cron").alias("cron"), "_pause", "_create")

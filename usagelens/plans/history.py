@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rolling_lower_bound
+from ..functions import as_of_date, rolling_lower_bound
 from ..operators.cost import SERVERLESS_SQL_PATTERN, statement_cost
 from ..operators.metadata import COMMENT_TEXT, METADATA_COLUMNS, with_client_label, with_comment_metadata, with_comment_text
 from ..operators.metrics import AVERAGE_COLUMNS, FLAG_COLUMNS, METRIC_COLUMNS, statement_metrics, with_fleet_averages, with_statement_flags
@@ -33,6 +33,8 @@ def tool_statements(
     extra: Sequence[str] = (),
     cost: DataFrame | None = None,
     cost_cols: Sequence[str] = (),
+    daily: DataFrame | None = None,
+    daily_until: Column | None = None,
 ) -> DataFrame:
     """Statements started on or after ``since`` with every per-statement column, joined
     to ``cost`` on (workspace_id, statement_id) when given.
@@ -42,13 +44,14 @@ def tool_statements(
     metric columns: flags, averages, the parsed comment and the label are derived after
     it, so the shuffle carries only what the statement row holds (a filter on a derived
     column, like the tool label, is still pushed below the join by Catalyst).
+    ``daily`` and ``daily_until`` are those of :func:`with_fleet_averages`.
     """
     recent = history if since is None else history.where(F.col("start_time") >= since)
     df = statement_metrics(recent, extra=extra)
     if cost is not None:
         df = df.join(cost.select("workspace_id", "statement_id", *cost_cols), ["workspace_id", "statement_id"])
     df = with_statement_flags(df)
-    df = with_fleet_averages(df, history)
+    df = with_fleet_averages(df, history, daily=daily, daily_until=daily_until)
     df = with_comment_text(df)
     df = with_comment_metadata(df, missing=missing)
     df = with_client_label(df)
@@ -63,18 +66,26 @@ def enhanced_history(
     bin_seconds: int | None = 3600,
     missing: str | None = None,
     sort: bool = True,
+    longest_usage_hours: float | None = None,
+    daily: DataFrame | None = None,
+    daily_until: str | _dt.date | Column | None = None,
 ) -> DataFrame:
     """D10 (flagship): statements of the last ``days`` days with their approximate cost,
     dearest first. Statements with no overlapping priced usage are left out.
 
     The day filter is also applied to the statements entering the cost join: cost is
     per statement and ``start_time`` is one of its keys, so with unique statement ids
-    this gives the same rows while joining only the recent window.
+    this gives the same rows while joining only the recent window. Usage partitions older than the
+    window are left unread if ``longest_usage_hours`` is stated (see :func:`usage_since`), and the averages read
+    ``daily`` sums for the days before ``daily_until`` if given, so that no table is read in full.
     """
     since = rolling_lower_bound(as_of, days)
     hist = src.query_history
-    cost = statement_cost(hist, src.usage, src.list_prices, since=since, sku_pattern=sku_pattern, bin_seconds=bin_seconds)
-    out = tool_statements(hist, since, missing=missing, cost=cost, cost_cols=["approx_query_cost"])
+    cost = statement_cost(
+        hist, src.usage, src.list_prices, since=since, sku_pattern=sku_pattern, bin_seconds=bin_seconds, longest_usage_hours=longest_usage_hours
+    )
+    until = None if daily_until is None else as_of_date(daily_until)
+    out = tool_statements(hist, since, missing=missing, cost=cost, cost_cols=["approx_query_cost"], daily=daily, daily_until=until)
     # ties (e.g. many zero-cost statements) are broken by the statement key, so the range
     # partitioner of the global sort can split a hot cost value over several tasks
     return out.orderBy(F.desc("approx_query_cost"), "workspace_id", "statement_id") if sort else out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling_lower_bound
 from ..operators.cost import SERVERLESS_SQL_PATTERN, statement_cost
-from ..operators.median import with_weighted_median
+from ..operators.median import with_median
 from ..operators.metadata import LABEL, TOOL_LABEL
 from ..sources import Sources
 from .history import TOOL_COLUMNS, AsOf, tool_statements
@@ -47,23 +47,24 @@ def node_cost_report(
     mean and exact median of the approximate cost."""
     j = _tool_statement_cost(src, as_of, days, min_runtime, sku_pattern, bin_seconds)
     cost = "apprx_query_cost"
-    # one row per node and distinct cost, summed before the shuffle; sums and median both start from it
-    cells = j.groupBy(*NODE_KEYS, cost).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("CPUTotalExecutionTime").alias("cpu"),
-        F.sum("QueryRuntimeSeconds").alias("runtime"),
-        F.min("statement_id").alias("example"),
+    out = with_median(
+        j,
+        NODE_KEYS,
+        cost,
+        "med_apprx_query_cost",
+        sums={
+            "sum_CPUTotalExecutionTime": F.col("CPUTotalExecutionTime"),
+            "sum_QueryRuntimeSeconds": F.col("QueryRuntimeSeconds"),
+            "sum_apprx_query_cost": F.col(cost),
+        },
+        least={"example_statement_id": F.col("statement_id")},
+        n_rows="num_runs",
+        n_values="_priced",
     )
-    n_priced = F.sum(F.when(F.col(cost).isNotNull(), F.col("n")))
-    sums = cells.groupBy(*NODE_KEYS).agg(
-        F.sum("n").alias("num_runs"),
-        F.sum("cpu").alias("sum_CPUTotalExecutionTime"),
-        F.sum("runtime").alias("sum_QueryRuntimeSeconds"),
-        F.min("example").alias("example_statement_id"),
-        F.sum(F.col(cost) * F.col("n")).alias("sum_apprx_query_cost"),
-        F.try_divide(F.sum(F.col(cost) * F.col("n")), n_priced).alias("avg_apprx_query_cost"),
-    )
-    out = with_weighted_median(sums, cells, NODE_KEYS, cost, "n", "med_apprx_query_cost")
+    out = out.withColumn("avg_apprx_query_cost", F.try_divide("sum_apprx_query_cost", "_priced")).select(
+        *NODE_KEYS, "num_runs", "sum_CPUTotalExecutionTime", "sum_QueryRuntimeSeconds", "example_statement_id",
+        "sum_apprx_query_cost", "avg_apprx_query_cost", "med_apprx_query_cost",
+    )
     return out.orderBy(F.desc("sum_CPUTotalExecutionTime"), *NODE_KEYS) if sort else out
 
 

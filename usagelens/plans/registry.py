@@ -40,11 +40,12 @@ from ..operators import (
     with_comment_metadata,
     with_comment_text,
     with_fleet_averages,
+    with_position,
     with_statement_flags,
 )
 from ..sources import Sources, fixture_sources
 from .history import TOOL_COLUMNS, enhanced_history
-from .node_cost import node_cost_detail, node_cost_report
+from .node_cost import NODE_KEYS, node_cost_detail, node_cost_report
 from .views import build_views, register_views
 
 # Fixed parameters of the checks (test data covers 2024-01-01 .. 2024-01-30).
@@ -137,21 +138,19 @@ def q_priced_usage(spark, sf_dir):
     return scalars(priced_usage(s.usage, s.list_prices))
 
 
-def _overlap_query(bin_seconds):
-    def q(spark, sf_dir):
-        s = _src(spark, sf_dir)
-        left = statement_windows(s.query_history).select("statement_id", "warehouse_id", "start_time", "end_time")
-        right = priced_usage(s.usage, s.list_prices).select("warehouse_id", "usage_start_time", "usage_end_time")
-        pairs = interval_overlap(
-            left, right, "warehouse_id", "start_time", "end_time", "usage_start_time", "usage_end_time", bin_seconds
-        )
-        return pairs.select("statement_id", "warehouse_id", "start_time", "end_time", "usage_start_time", "usage_end_time")
-    return q
+def q_interval_overlap(spark, sf_dir):
+    s = _src(spark, sf_dir)
+    left = statement_windows(s.query_history).select("statement_id", "warehouse_id", "start_time", "end_time")
+    right = priced_usage(s.usage, s.list_prices).select("warehouse_id", "usage_start_time", "usage_end_time")
+    pairs = interval_overlap(
+        left, right, "warehouse_id", "start_time", "end_time", "usage_start_time", "usage_end_time", right_spans=s.usage.select("usage_start_time", "usage_end_time")
+    )
+    return pairs.select("statement_id", "warehouse_id", "start_time", "end_time", "usage_start_time", "usage_end_time")
 
 
 def q_allocate_cost(spark, sf_dir):
     s = _src(spark, sf_dir)
-    pairs = allocate_cost(statement_windows(s.query_history), priced_usage(s.usage, s.list_prices))
+    pairs = allocate_cost(statement_windows(s.query_history), priced_usage(s.usage, s.list_prices), usage=s.usage)
     return scalars(pairs.select(
         "statement_id", "warehouse_id", "usage_start_time", "query_duration_in_interval", "cost_per_second",
     ))
@@ -185,6 +184,24 @@ def q_node_cost_detail(spark, sf_dir):
     return scalars(df.drop("parsed_dbt_comment"))
 
 
+def q_enhanced_history_order(spark, sf_dir):
+    """Positions of the flagship's rows, dearest first (rounded costs, so that sums in another order rank alike)."""
+    df = scalars(enhanced_history(_src(spark, sf_dir), as_of=AS_OF, days=15, sort=False).select("workspace_id", "statement_id", "approx_query_cost"))
+    return with_position(df, [F.desc("approx_query_cost"), F.asc("workspace_id"), F.asc("statement_id")])
+
+
+def q_node_cost_order(spark, sf_dir):
+    df = node_cost_report(_src(spark, sf_dir), as_of=AS_OF, days=10, min_runtime=60, sort=False)
+    df = scalars(df.select(*NODE_KEYS, "num_runs", "sum_CPUTotalExecutionTime"))
+    return with_position(df, [F.desc("sum_CPUTotalExecutionTime"), *map(F.asc, NODE_KEYS)])
+
+
+def q_schedule_changes_order(spark, sf_dir):
+    """Positions in the change history by job and time; a job's changes of one moment by what changed."""
+    df = schedule_changes(_src(spark, sf_dir).audit_log).select("job_id", "event_time", "action_name", "workspace_id", "job_name", "schedule_cron")
+    return with_position(df, [F.asc_nulls_first(c) for c in df.columns])
+
+
 # --- schedules and runs ----------------------------------------------------------
 
 def _CHANGE_SCALARS():
@@ -320,15 +337,17 @@ QUERIES: dict[str, Query] = {
     "comment_metadata_filled": _comment_query("None"),
     "client_label": q_client_label,
     "priced_usage": q_priced_usage,
-    "interval_overlap": _overlap_query(3600),
-    "interval_overlap_plain": _overlap_query(86400),  # name of round 1; bins a day wide, the plain join is in the tests only
+    "interval_overlap": q_interval_overlap,
     "allocate_cost": q_allocate_cost,
     "statement_cost": q_statement_cost,
     "elapsed_vs_epoch_seconds": q_elapsed_vs_epoch_seconds,
     "enhanced_history": q_enhanced_history,
     "node_cost_report": q_node_cost_report,
     "node_cost_detail": q_node_cost_detail,
+    "enhanced_history_order": q_enhanced_history_order,
+    "node_cost_order": q_node_cost_order,
     "schedule_changes": q_schedule_changes,
+    "schedule_changes_order": q_schedule_changes_order,
     "latest_per_key": q_latest_per_key,
     "latest_schedules": q_latest_schedules,
     "schedule_with_runs": q_schedule_with_runs,
