@@ -77,6 +77,71 @@ def test_multiplied_edited_copies_and_short_items(spark):
     assert got[100, 7][0] == 0.75 and got[2000, 8] == (1.0, 30)
 
 
+def _language(rng, n):
+    """Words with a common turn of phrase here and there."""
+    out = []
+    while len(out) < n:
+        out += "one of the most common things".split() if rng.random() < 0.05 else [f"v{rng.randrange(2000)}"]
+    return out[:n]
+
+
+def test_an_ngram_of_all_documents_seeds_none(spark, monkeypatch):
+    rng = random.Random(12)
+    item = [f"w{i}" for i in range(12)] + "one of the most common things".split() + [f"w{i}" for i in range(20, 32)]
+    phrase = D.index_items([0], [D._hashed("one of the most", D._Hashes())]).grams[D.SHORT_GRAM]
+    assert len(phrase[0]) == 2  # an item of four words has n-grams of three
+    wide = D.combine(D.mix(D._hashed("one of the most", D._Hashes())), D.GRAM).view(np.int64)[0]
+    edited = [x for x in item if x not in ("w3", "w9", "w25")]
+    rows = [(k, " ".join(_language(rng, 150) + "one of the most common things".split() + _language(rng, 50))) for k in range(400)]
+    rows += [(1000 + k, " ".join(_language(rng, 60) + (item if k % 2 else edited) + _language(rng, 60))) for k in range(500)]
+    seeds, looked = [], []
+    monkeypatch.setattr(D, "seeds_of", lambda items, rank, f=D.seeds_of: seeds.append(f(items, rank)) or seeds[-1])
+    monkeypatch.setattr(D, "join_ids", lambda texts, chosen, *a, f=D.join_ids: looked.append(a[-1]) or f(texts, chosen, *a))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id for r in D.contaminated(docs, bench).collect()}
+    assert got == set(range(1000, 1500))
+    keys = seeds[0].grams[D.GRAM][0]
+    assert wide not in keys and 10 < len(keys) < len(item)
+    assert looked[0] <= 510  # the 400 documents with the phrase alone are not aligned
+
+
+def test_recall_of_edited_copies(spark):
+    rng = random.Random(13)
+    items = {i: _language(rng, rng.choice([5, 6, 7, 9, 14, 25, 60])) for i in range(120)}
+    rows, want = [], set()
+    for k in range(1200):
+        i = k % 120
+        words = []
+        for w in items[i]:
+            what = rng.random()
+            words += [] if what < 0.06 else [f"x{rng.randrange(999)}"] if what < 0.18 else [w, f"y{rng.randrange(999)}"] if what < 0.22 else [w]
+        text = _language(rng, 40) + words + _language(rng, 40)
+        ids = {x: n for n, x in enumerate({*text, *items[i]})}
+        if slow_alignment([ids[x] for x in items[i]], [ids[x] for x in text]) >= D.needed(len(items[i]), D.LEAST_SCORE):
+            want.add((k, i))
+        rows.append((k, " ".join(text)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    print("edited copies", len(want), "found", len(got & want))
+    assert len(want) > 600 and len(got & want) >= 0.95 * len(want)
+
+
+def test_edited_short_items_and_single_words(spark):
+    item = "the quick brown fox jumps over fences"
+    docs = ["so the quick brown cat jumps over fences here", "the quick red fox jumps over walls", "quick brown fox jumps over fences", "the fox over there jumps", "the", item]
+    docs = spark.createDataFrame(list(enumerate(f"aa bb {d} cc dd" for d in docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "the"), (3, "quick RED fox")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.score, 3) for r in D.contaminated(docs, bench).collect()}
+    assert got == {(0, 1): 0.714, (2, 1): 0.857, (5, 1): 1.0, (1, 3): 1.0}
+
+
+def test_every_text_of_a_repeated_id_is_looked_at(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"a {item}"), (1, "z other text"), (1, None), (2, "z"), (2, "zz")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item), (5, "w1")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.score) for r in D.contaminated(docs, bench).collect()] == [(1, 5, 1.0)]
+
+
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, D.contaminated(docs, items).collect()))

@@ -65,7 +65,7 @@ def test_edits_ties_and_odd_rows(spark):
     got = sorted(((r.doc_id, r.text, r.n_dropped) for r in L.dedup_lines(docs).collect()), key=repr)
     assert got == sorted(
         [
-            (5, "short line", 2), (3, near, 1), (9, "\nshort line", 1), (1, None, 0), (2, "", 0), (None, line, 0), (7, "a b c d e", 0),
+            (5, "short line", 2), (3, near, 1), (9, "", 2), (1, None, 0), (2, "", 0), (None, line, 0), (7, "a b c d e", 0),
             (7, "a b c d e", 0), (8, "", 1), (4, far + "\n", 499),
         ],
         key=repr,
@@ -73,6 +73,30 @@ def test_edits_ties_and_odd_rows(spark):
     assert L.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_clashing_columns_are_kept(spark):
+    names = ["gone", "gone_id", "GONE_", "lines", "line_id", "component", "gram", "n_dropped"]
+    docs = spark.createDataFrame([(1, "one line\nown", *names), (2, "One line", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    found = {r.doc_id: r for r in L.dedup_lines(docs).collect()}
+    assert found[2].text == "" and (found[2].n_lines, found[2].n_dropped) == (1, 1)
+    assert all(found[k][n] == n for k in found for n in names[:-1])
+
+
+def test_buckets_of_sorted_keys():
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    rows = sorted((rng.randrange(60), rng.randrange(8)) for _ in range(400)) + [(99, k // 3) for k in range(300)]
+    want = {}
+    for g, i in rows:
+        want.setdefault(g, set()).add(i)
+    want = sorted((g, i) for g, s in want.items() if len(s) > 1 for i in s)
+    for size in (1, 7, 1000):
+        parts = [rows[k : k + size] for k in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_pydict({"line_id": [i for _, i in p], "gram": [g for g, _ in p]}) for p in parts]
+        got = [(g, i) for b in L._shared(iter(batches)) for g, i in zip(b["gram"].to_pylist(), b["line_id"].to_pylist(), strict=True)]
+        assert got == want
+
+
 def test_short_lines_and_scripts_without_blanks(spark):
     rng = random.Random(3)
     # one "word" of 120 characters; an edit at the end breaks few of its shingles

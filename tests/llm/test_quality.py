@@ -41,6 +41,39 @@ def test_order_follows_rejections_per_cost_and_changes_no_verdict(spark):
     assert sorted(first.collect()) == sorted(other.collect())
 
 
+def test_clashing_columns_are_kept_or_replaced(spark):
+    docs = spark.createDataFrame([(1, "one two", "x", "y", "z", True)], "doc_id long, text string, by_word string, _by_word string, _by_line string, kept boolean")
+    found = quality.quality_cascade(docs)
+    assert found.columns == ["doc_id", "text", "by_word", "_by_word", "_by_line", *quality.BASE, "kept"]
+    assert found.select("by_word", "_by_word", "_by_line", "n_words", "kept").first()[:] == ("x", "y", "z", 2, False)
+
+
+def test_costly_measures_stand_behind_the_cheaper_rules(spark):
+    """What only a rule reads is nowhere but in the verdict's conditions, after what failed the base."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = quality.quality_cascade(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    at = {name: plan.index(name) for name in ("\\p{L}", "AS kept")}
+    assert plan.count("\\p{L}") == 1 and at["\\p{L}"] < at["AS kept"]
+    verdict = plan[plan.rindex("CASE WHEN", 0, plan.index("THEN false")) : plan.index("AS kept")]
+    assert "\\p{L}" in verdict and "\\p{L}" not in quality.measures(docs)._jdf.queryExecution().optimizedPlan().toString()
+    # the rules' order is that of rejections per cost, as measured; a rule put first ends the work for what it rejects
+    boom = F.raise_error(F.lit("evaluated")).cast("boolean")
+    rules = {"all": F.col("n_words") >= 0, "never": boom}
+    verdict = F.when(F.col("base_failed"), F.lit(False)).when(rules["all"], F.lit(False)).when(rules["never"], F.lit(False))
+    assert quality.measures(docs).withColumn("kept", verdict.otherwise(True)).where("kept").count() == 0
+
+
+def test_sample_is_by_hash_and_bounded(spark):
+    docs = spark.range(20_000).select("id", F.concat(F.lit("text "), F.col("id")).alias("text")).repartition(7)
+    one, two = quality._sample(docs, 100), quality._sample(docs.repartition(3), 100)
+    texts = sorted(r.text for r in one.collect())
+    assert len(texts) == 100 and texts == sorted(r.text for r in two.collect())
+    same = spark.range(5000).select(F.lit("one text").alias("text"))
+    assert quality._sample(same, 100).count() == 100 and quality._sample(same.limit(0), 100).count() == 0
+    assert quality._sample(same.withColumn("text", F.repeat("text", 20_000)), 100).count() == 0
+
+
 def test_plan_has_no_python(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     plan = quality.quality_cascade(docs)._jdf.queryExecution().executedPlan().toString()

@@ -165,7 +165,8 @@ class Codec:
 
 
 def _mapped(df: DataFrame, column: str, to: str, make) -> DataFrame:
-    """``df`` with the binary column ``to``, made by ``make()(value)`` from ``column``; nulls give empty bytes."""
+    """``df`` with the binary column ``to`` (replaced, if there already), made by ``make()(value)`` from ``column``; nulls give empty bytes."""
+    kept = [f for f in df.schema.fields if f.name != to]
 
     def run(batches):
         one = make()
@@ -177,10 +178,11 @@ def _mapped(df: DataFrame, column: str, to: str, make) -> DataFrame:
                 size += len(made[-1])
                 if size >= BATCH_BYTES or i + 1 == batch.num_rows:
                     part = batch.slice(start, i + 1 - start)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], [*batch.schema.names, to])
+                    old = [part.column(batch.schema.get_field_index(f.name)) for f in kept]
+                    yield pa.RecordBatch.from_arrays([*old, pa.array(made, pa.binary())], [*[f.name for f in kept], to])
                     made, size, start = [], 0, i + 1
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(to, T.BinaryType())]))
+    return df.mapInArrow(run, T.StructType([*kept, T.StructField(to, T.BinaryType())]))
 
 
 class ByteBpe:

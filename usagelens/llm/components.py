@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def _lowest(edges: DataFrame, with_self: bool) -> DataFrame:
@@ -32,9 +32,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             ).distinct()
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.where("v > u").join(_lowest(both, True), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = _lowest(both, True)
+        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.distinct(), "cc-large")
         low = _lowest(large, False)
         linked = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(linked.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+        last, now = now, stored(linked.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+        discard(last, least, large, low)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

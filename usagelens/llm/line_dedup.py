@@ -7,8 +7,9 @@ signature, bands of it name candidates, candidates are verified on their exact s
 linked forms unite. A form shorter than a shingle equals only itself and needs no bands.
 Of each component the first line (smallest doc_id, then line number) stays, the others go.
 
-The bands miss a pair of similarity 0.8 with a probability of about 0.2 % (BANDS bands of ROWS
-minima); what they propose is compared without caps (see ``pairs``).
+The bands miss a pair of similarity 0.8 with a probability of under 0.8 %, one of 0.85 of 0.02 % (BANDS bands of
+ROWS minima); lines of one language that share common letter groups only meet in few of them. What they
+propose is compared without caps (see ``pairs``).
 
 Odd input: null or empty text: unchanged, no lines. Null doc_id: the row keeps all its lines, as
 its place among others is undefined. Repeated doc_id: equal lines at the same place count as one
@@ -26,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pairs import SEGMENT, bucket_components
-from .shared import join_ids, stored, text_by_id
+from .shared import discard, free_name, join_ids, stored, text_by_id
 from .textops import mix
 
 #: Characters of a shingle. A changed character breaks as many shingles, so that at 80 % a line of 40 characters or more
 #: with one such change still meets its original.
 SHINGLE_CHARS = 4
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 16, 6
 BINS = BANDS * ROWS
 #: Lines near the threshold meet in large buckets, which one hub leaves in many components.
 HUB_ROUNDS = 2
@@ -137,6 +138,30 @@ def _explode_bands(batches):
         yield pa.RecordBatch.from_pydict({"line_id": np.repeat(batch.column("line_id").to_numpy(), BANDS), "gram": keys})
 
 
+def _shared(batches):
+    """Rows (gram, line_id) in this order to those whose gram several different lines have, each once."""
+    gram, lines = None, []  # the last run of equal grams may go on in the next batch
+
+    def part(grams: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        step = np.r_[True, (grams[1:] != grams[:-1]) | (ids[1:] != ids[:-1])][: len(grams)]
+        grams, ids = grams[step], ids[step]
+        begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
+        several = np.repeat(np.diff(np.r_[begin, len(grams)]) > 1, np.diff(np.r_[begin, len(grams)]))
+        return pa.RecordBatch.from_pydict({"line_id": ids[several], "gram": grams[several]})
+
+    for batch in batches:
+        grams, ids = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("gram", "line_id"))
+        if not len(grams):
+            continue
+        if gram is not None:
+            grams, ids = np.r_[np.full(len(lines), gram), grams], np.r_[lines, ids]
+        cut = int(np.searchsorted(grams, grams[-1], "left"))
+        gram, lines = grams[-1], np.unique(ids[cut:])
+        yield part(grams[:cut], ids[:cut])
+    if gram is not None:
+        yield part(np.full(len(lines), gram), lines)
+
+
 def _form_sets(forms: list[bytes]) -> list[np.ndarray]:
     hashes, off = _shingles([f.decode() for f in forms])
     return [np.unique(hashes[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
@@ -165,10 +190,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     place = F.struct("doc_id", "line")
     distinct = stored(lines.groupBy("line_id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("times")), "lines-distinct")
     keys = lines.where(F.col("bands").isNotNull()).select("line_id", "bands").mapInArrow(_explode_bands, "line_id long, gram long")
-    # a line that stands in several batches has its bands as often, so what counts are different lines
-    full = keys.groupBy("gram").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high")).where("low < high")
-    full = stored(full.select("gram"), "lines-buckets")
-    members = stored(join_ids(keys, full, "gram", "left_semi", full.count()).distinct(), "lines-members")
+    # a line that stands in several batches has its bands as often; a bucket matters if different lines are in it
+    dealt = keys.repartition("gram").sortWithinPartitions("gram", "line_id")
+    members = stored(dealt.mapInArrow(_shared, "line_id long, gram long"), "lines-members")
     shared = members.groupBy("line_id").agg(F.count(F.lit(1)).alias("shared"))
     # texts of the candidate lines, each read where it first stands
     wanted = stored(distinct.select("line_id", "place.doc_id", "place.line").join(shared, "line_id"), "lines-wanted")
@@ -180,6 +204,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets = stored(found.mapInArrow(_line_sets, SEGMENT), "lines-sets")
     buckets = members.join(wanted.select("line_id", "shared"), "line_id").join(sets.select(F.col("doc_id").alias("line_id"), "n"), "line_id")
     linked = bucket_components(sets, buckets.select(F.col("line_id").alias("doc_id"), "n", "shared", "gram"), percent, _form_sets, HUB_ROUNDS)
+    discard(members, wanted, per_doc, sets)
     # the first place of each component stays
     united = distinct.select("line_id", "place").join(linked.withColumnRenamed("id", "line_id"), "line_id")
     best = stored(united.groupBy("component").agg(F.min("place").alias("best")), "lines-best")
@@ -187,21 +212,26 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # a line that stands once and is no other's copy can't go
     first = distinct.join(moved, "line_id", "left").where((F.col("times") > 1) | F.col("best").isNotNull())
     first = first.select("line_id", F.coalesce("best", "place").alias("keep"))
-    again = lines.select("doc_id", "line", "line_id").join(stored(first, "lines-first"), "line_id").where(place != F.col("keep"))
-    return again.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    first = stored(first, "lines-first")
+    again = lines.select("doc_id", "line", "line_id").join(first, "line_id").where(place != F.col("keep"))
+    gone = stored(again.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines")), "lines-gone")
+    discard(lines, distinct, best, moved, first)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with ``text`` lacking its repeated lines, and the long columns n_lines and n_dropped."""
-    gone = stored(repeated_lines(docs, percent), "lines-gone").select(F.col("doc_id").alias("gone_id"), F.col("lines").alias("gone"))
-    n_gone = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
+    """``docs`` with ``text`` lacking its repeated lines, and the long columns n_lines and n_dropped (replaced, if there already)."""
+    gone = repeated_lines(docs, percent)
+    n_gone = gone.agg(F.sum(F.size("lines"))).first()[0] or 0
+    id_, drop = free_name("gone_id", docs.columns), free_name("gone", docs.columns)
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("lines").alias(drop))
     parts = F.split("text", "\n")
-    kept = F.filter(F.arrays_zip(parts.alias("part"), F.sequence(F.lit(0), F.size(parts) - 1).alias("no")), lambda x: ~F.array_contains("gone", x["no"].cast("long")))
-    joined = join_ids(docs.withColumn("gone_id", F.col("doc_id").cast("long")), gone, "gone_id", "left", n_gone)
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["part"]), "\n"))
+    kept = F.filter(F.arrays_zip(parts.alias("part"), F.sequence(F.lit(0), F.size(parts) - 1).alias("no")), lambda x: ~F.array_contains(drop, x["no"].cast("long")))
+    joined = join_ids(docs.withColumn(id_, F.col("doc_id").cast("long")), gone, id_, "left", n_gone)
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["part"]), "\n"))
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in others],
+        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in others],
         F.when(F.col("text").isNull() | (F.col("text") == ""), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import discard, stored
 from .textops import mix
 
 PARITY_WORDS = 16
@@ -79,20 +79,29 @@ def bucket_components(segments: DataFrame, buckets: DataFrame, percent: int, set
     in all; who is then still apart is compared with each other, unless length or parity bitmap rule
     a link out.
     """
+    done: list[DataFrame] = []  # tables that the result does not read
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        done.append(stored(df, name))
+        return done[-1]
+
     prefixes = stored(buckets, "join-prefix")
     often = prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram")
-    members = stored(prefixes.join(stored(often, "join-often"), "gram").withColumn("component", F.col("doc_id")), "join-members")
+    often = stored(often, "join-often")
+    members = kept(prefixes.join(often, "gram").withColumn("component", F.col("doc_id")), "join-members")
+    discard(prefixes, often)
     edges = label = hubs = tested = None
     for _ in range(hub_rounds):
         if label is not None:
-            members = stored(_still_mixed(members.drop("component"), label), "join-members")
+            members = kept(_still_mixed(members.drop("component"), label, kept), "join-members")
             if members.limit(1).count() == 0:
+                discard(*done)
                 return label
         free = members if hubs is None else members.join(_components_of(hubs, label), ["gram", "component"], "left_anti")
         # the member with the largest share of elements that others have too
         rank = F.struct((F.col("shared") / F.col("n")).alias("share"), (-F.col("doc_id")).alias("minus"), "n", "component")
         found = free.groupBy("gram").agg(F.max(rank).alias("top"))
-        found = stored(
+        found = kept(
             found.select("gram", (-F.col("top.minus")).alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.component").alias("hub_component")),
             "join-hubs",
         )
@@ -102,8 +111,8 @@ def bucket_components(segments: DataFrame, buckets: DataFrame, percent: int, set
             .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
             .distinct()
         )
-        star = stored(star, "join-star")
-        linked = stored(links(star, segments, percent, sets_of), "join-links")
+        star = kept(star, "join-star")
+        linked = kept(links(star, segments, percent, sets_of), "join-links")
         edges = linked if edges is None else edges.unionByName(linked)
         tested = star if tested is None else tested.unionByName(star)
         hubs = found.select("gram", "hub") if hubs is None else hubs.unionByName(found.select("gram", "hub"))
@@ -114,7 +123,7 @@ def bucket_components(segments: DataFrame, buckets: DataFrame, percent: int, set
         .groupBy("doc_id")
         .agg(*[F.expr(f"bit_xor(p{i})").alias(f"p{i}") for i in range(PARITY_WORDS)])
     )
-    members = stored(_still_mixed(members.drop("component"), label).join(bitmap, "doc_id"), "join-members")
+    members = kept(_still_mixed(members.drop("component"), label, kept).join(bitmap, "doc_id"), "join-members")
     x, y = members.alias("x"), members.alias("y")
     flips = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
     total = F.col("x.n") + F.col("y.n")
@@ -133,18 +142,18 @@ def bucket_components(segments: DataFrame, buckets: DataFrame, percent: int, set
         .distinct()
         .join(tested, ["a", "b"], "left_anti")
     )
-    last = stored(links(stored(rest, "join-rest"), segments, percent, sets_of), "join-links")
-    return components(edges.unionByName(last))
+    last = kept(links(kept(rest, "join-rest"), segments, percent, sets_of), "join-links")
+    label = components(edges.unionByName(last))
+    discard(*done)
+    return label
 
 
-def _still_mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+def _still_mixed(members: DataFrame, label: DataFrame, kept) -> DataFrame:
     """Members with their component, of those buckets that hold several components."""
-    own = stored(
-        members.join(label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")),
-        "join-labelled",
-    )
+    own = members.join(label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    own = kept(own, "join-labelled")
     mixed = own.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    return own.join(stored(mixed, "join-mixed"), "gram")
+    return own.join(kept(mixed, "join-mixed"), "gram")
 
 
 def _components_of(hubs: DataFrame, label: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` that nothing reads any more, each by its own path."""
+    for table in tables:
+        spark, jvm = table.sparkSession, table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, or with underscores at its end until no column in ``taken`` has it (in any case of letters)."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def text_by_id(docs: DataFrame) -> DataFrame:
@@ -42,6 +61,6 @@ def text_by_id(docs: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-def join_ids(big: DataFrame, ids: DataFrame, key: str, how: str, n_ids: int) -> DataFrame:
+def join_ids(big: DataFrame, ids: DataFrame, key: str | list[str], how: str, n_ids: int) -> DataFrame:
     """Join with a table of narrow rows, broadcast only if its counted size is small."""
     return big.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, key, how)
