@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are the lower-cased runs of letters and digits. Every n-gram of every test item is looked up in all
-documents. How common an n-gram is in the language shows in its neighbours: a turn of phrase stands
-after and before many different words, a passage of a test item has the same neighbour on one side at
-least, however many documents hold a copy. The smaller of the two counts of different neighbours (a sketch
+documents. How common an n-gram is in the language shows in the words REACH places before and after it: around
+a turn of phrase they are many different ones, around a passage of a test item one side at least has the same word
+nearly always, however many documents hold a copy. The smaller of the two counts of different words (a sketch
 over the corpus) is the n-gram's rank, and the KEPT rarest found n-grams of every stretch of STRETCH, ties included, are seeds:
 no stretch of an item that occurs anywhere is without a seed, and a phrase of many documents seeds none
 unless nothing rarer lies around it.
@@ -41,6 +41,8 @@ GRAM = 4
 SHORT_GRAM = 3
 MIN_WORDS = 8
 LEAST_SCORE = 0.5
+#: Distance of the words by which an n-gram's neighbourhoods are told apart: wider than common phrases, narrower than items.
+REACH = 4
 #: Of each run of STRETCH n-grams of an item the KEPT rarest are seeds.
 STRETCH, KEPT = 8, 4
 BLOCK_GRAMS = 1_000_000
@@ -179,7 +181,7 @@ _FOUND = "doc_id long, item_id long, matched long, n_words long, first_word long
 
 
 def _matches(sent, batches):
-    """(doc_id, text_hash, text) to the item n-grams in each text, each with the words around it (0 at the text's ends)."""
+    """(doc_id, text_hash, text) to the item n-grams in each text, each with the words REACH places before and after it (0 beyond the text)."""
     items = sent.value
     # a table of low bits answers for most n-grams, a sorted search for the rest
     keys = {size: np.unique(key) for size, (key, _, _) in items.grams.items()}
@@ -190,7 +192,8 @@ def _matches(sent, batches):
         for doc, name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text"), strict=True):
             words = _hashed(text.as_py(), hashes)
             mixed = mix(words)
-            around = np.r_[np.uint64(0), words, np.uint64(0)].view(np.int64)
+            none = np.zeros(REACH, np.uint64)
+            around = np.r_[none, words, none].view(np.int64)
             for size, key in keys.items():
                 g = combine(mixed, size).view(np.int64)
                 at = np.flatnonzero(maybe[size][g & ((1 << _BITS) - 1)])
@@ -198,7 +201,7 @@ def _matches(sent, batches):
                     at = at[key[np.minimum(np.searchsorted(key, g[at]), len(key) - 1)] == g[at]]
                 if len(at):
                     # a text that repeats an n-gram between the same words says nothing new
-                    one = np.unique(np.c_[g[at], around[at], around[at + size + 1]], axis=0)
+                    one = np.unique(np.c_[g[at], around[at], around[at + size + 2 * REACH - 1]], axis=0)
                     rows.append((doc, name, size, *[np.ascontiguousarray(one[:, k]).tobytes() for k in range(3)]))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())

@@ -7,7 +7,7 @@ signature, bands of it name candidates, candidates are verified on their exact s
 linked forms unite. A form shorter than a shingle equals only itself and needs no bands.
 Of each component the first line (smallest doc_id, then line number) stays, the others go.
 
-The bands miss a pair of similarity 0.8 with a probability of under 0.8 %, one of 0.85 of 0.02 % (BANDS bands of
+The bands miss a pair of similarity 0.8 with a probability of under 1 %, one of 0.85 of 0.1 % (BANDS bands of
 ROWS minima); lines of one language that share common letter groups only meet in few of them. What they
 propose is compared without caps (see ``pairs``).
 
@@ -33,7 +33,7 @@ from .textops import mix
 #: Characters of a shingle. A changed character breaks as many shingles, so that at 80 % a line of 40 characters or more
 #: with one such change still meets its original.
 SHINGLE_CHARS = 4
-BANDS, ROWS = 16, 6
+BANDS, ROWS = 20, 7
 BINS = BANDS * ROWS
 #: Lines near the threshold meet in large buckets, which one hub leaves in many components.
 HUB_ROUNDS = 2
