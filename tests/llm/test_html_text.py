@@ -72,3 +72,70 @@ def test_scores_decide_within_and_across_articles():
     assert main_text(f"<main><div>{one}</div><div>{two}</div></main>").split("\n") == want
     assert main_text("<article>a</article><article>b</article>") == "a\nb"
     assert main_text(f"<article><p>{LONG}</p><p>Source: <a href='/s'>{LONG}</a></p></article>").split("\n") == [flat, f"Source: {flat}"]
+
+
+def test_notices_and_reader_comments_beside_the_article():
+    flat = LONG.strip()
+    article = f"<article><h1>T</h1><p>{LONG}</p></article>"
+    for name in ("copyright", "legal", "gdpr", "tagline", "site-header", "cookie-notice", "share-buttons", "related posts", "Legal-Info", "comment-list"):
+        for inner in ("Some words that say little", f"<p>{LONG * 3}</p>"):
+            assert main_text(f"<body>{article}<div class='{name}'>{inner}</div></body>").split("\n") == ["T", flat], name
+    assert main_text(f"<body>{article}<section id='discussion'><div><p>{LONG * 9}</p></div></section></body>").split("\n") == ["T", flat]
+    assert main_text(f"<body>{article}<div>All rights of an unnamed notice</div><p>© 2024 Someone, somewhere</p></body>").split("\n") == ["T", flat]
+
+
+def test_names_do_not_cut_the_article():
+    flat = LONG.strip()
+    page = f"""<article><p>{LONG}</p><p class="share-price">Price</p><div class="related-work"><p>{LONG}</p></div><section id="discussion"><h2>Discussion</h2>
+    <p>{LONG}</p></section><p>Ask <label>your doctor</label> first</p><p class="notice">Noticed</p><div class="ad-slot">Buy now</div><div class="comments"><p>{LONG}</p></div></article>"""
+    assert main_text(page).split("\n") == [flat, "Price", flat, "Discussion", flat, "Ask your doctor first", "Noticed"]
+
+
+def test_cited_links_stay_and_link_boxes_go():
+    flat = LONG.strip()
+    cited = "<ul><li><a href='/a'>First source, cited</a></li><li><a href='/b'>Second source</a></li></ul>"
+    both = ["First source, cited", "Second source"]
+    assert main_text(f"<article><p>{LONG}</p>{cited}<p>{LONG}</p></article>").split("\n") == [flat, *both, flat]
+    assert main_text(f"<article><p>{LONG}</p><p>These are:</p>{cited}</article>").split("\n") == [flat, "These are:", *both]
+    assert main_text(f"<article><p>{LONG}</p><h2>References</h2>{cited}</article>").split("\n") == [flat, "References", *both]
+    assert main_text(f"<article><p>{LONG}</p>{cited}</article>").split("\n") == [flat]
+    assert main_text(f"<article><p>{LONG}</p><div>{cited}</div><p>{LONG}</p></article>").split("\n") == [flat, flat]
+
+
+def test_parts_of_one_story_in_several_wrappers():
+    flat = LONG.strip()
+    part = lambda n, name="part": f"<div class='{name}'><div class='text'><p>{n} {LONG}</p><p>{LONG}</p></div></div>"
+    page = f"<body><h1>T</h1>{part(1)}<div class='ad'><p>{LONG}</p></div>{part(2)}<div><ul><li><a href='/x'>{LONG}</a></li></ul></div>{part(3)}</body>"
+    assert main_text(page).split("\n") == ["T", *[x for n in (1, 2, 3) for x in (f"{n} {flat}", flat)]]
+
+
+#: Pages without an article element, and the text that a reader would take from them.
+LABELLED = [
+    (f"<body><div id=nav><a href=/>Home</a> <a href=/n>News</a></div><div id=content><h1>Rain</h1><p>{LONG}</p><p>{LONG}</p></div><div id=footer>Imprint</div></body>", ["Rain", 1, 1]),
+    (f"<body><table><tr><td><a href=/>Home</a><br><a href=/n>News</a></td><td><p>{LONG}</p><p>{LONG}</p></td></tr></table></body>", [1, 1]),
+    (f"<body><div class=post><h2>Post</h2><p>{LONG}</p><blockquote>Quoted, said they.</blockquote><pre>a  b</pre><p>{LONG}</p></div><div class=sidebar><p>{LONG}</p></div></body>",
+     ["Post", 1, "Quoted, said they.", "a b", 1]),
+    (f"<body><p>{LONG}</p><p>{LONG}</p><ul><li><a href=/a>Other story</a></li><li><a href=/b>One more story</a></li></ul></body>", [1, 1]),
+    (f"<body><section><h2>One</h2><p>{LONG}</p></section><section><h2>Two</h2><p>{LONG}</p></section><section class=related><p>{LONG}</p></section></body>", ["One", 1, "Two", 1]),
+    (f"<body><div><div><p>{LONG}</p><p>{LONG}</p></div><div><p>Short end.</p></div></div><form><p>{LONG * 4}</p></form></body>", [1, 1, "Short end."]),
+    (f"<body><div class=wrap><header><h1>Site</h1></header><div class=text>{LONG}<br>{LONG}</div></div></body>", [2]),
+    (f"<body><dl><dt>Term</dt><dd>{LONG}</dd><dt>Other</dt><dd>{LONG}</dd></dl><div role=navigation>{LONG}</div></body>", ["Term", 1, "Other", 1]),
+    (f"<body><div hidden><p>{LONG * 3}</p></div><div><p>{LONG}</p><div class=newsletter><p>Subscribe, please, to get more of this.</p></div><p>{LONG}</p></div></body>", [1, 1]),
+    ("<body><div>Too short for points</div></body>", ["Too short for points"]),
+]
+
+
+def test_labelled_pages_without_an_article():
+    flat = LONG.strip()
+    for page, want in LABELLED:
+        lines = [x if isinstance(x, str) else " ".join([flat] * x) for x in want]
+        assert main_text(page).split("\n") == lines, page
+
+
+def test_whole_table_without_article_elements(spark):
+    """The table's pages with a plain div in the article's place give the same text by their scores alone."""
+    pages = [r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    plainer = [re.sub(r"<(/?)article>", r"<\1div>", p or "") for p in pages]
+    same = sum(main_text(a) == main_text(b) for a, b in zip(pages, plainer, strict=True))
+    print("pages with the same text without their article element", same, "of", len(pages))
+    assert same == len(pages)

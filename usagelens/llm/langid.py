@@ -20,11 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import join_ids, stored
 from .textops import text_buffer
 
 #: Labelled rows that are learned from, for each language.
@@ -72,7 +71,7 @@ def _profiles(batches):
             some = np.flatnonzero(count)
             spots.append(some.astype(np.int32).tobytes())
             values.append((count[some] / max(1.0, count.sum())).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "spots": spots, "values": values})
+        yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "hash": batch.column("hash"), "spots": spots, "values": values})
 
 
 @dataclass
@@ -123,13 +122,18 @@ def _machine(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, rounds
 
 def learn(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """Fit the model on at most ``per_language`` rows of each language among rows where ``may_learn`` holds."""
-    labelled = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    ids = labelled.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang").groupBy("lang", "doc_id").agg(F.lit(1).alias("one"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = stored(ids.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang"), "language-sample")
-    rows = join_ids(labelled.select("doc_id", "lang", "text"), chosen, ["doc_id", "lang"], "left_semi", chosen.count())
-    found = rows.select("lang", "text").mapInArrow(_profiles, "lang string, spots binary, values binary").collect()
-    found = sorted(found, key=lambda r: (r.lang, r.spots, r.values))
+    labelled = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("lang", F.xxhash64("doc_id").alias("hash"), "text")
+    times = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language, as the model has
+    # rows under a bound of the hash, some more than wanted so that hardly ever fewer are left
+    wanted = per_language + 4 * per_language**0.5 + 10
+    bounds = [(r.lang, min((1 << 63) - 1, int(wanted / r.n * 2**64) - (1 << 63))) for r in times]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    rows = labelled.withColumn("lang", F.col("lang").cast("string")).join(bounds, "lang").where((F.col("hash") <= F.col("bound")) & F.col("text").rlike(r"\p{L}"))
+    rows = rows.groupBy("lang", "hash").agg(F.max("text").alias("text"))  # an id's rows count once
+    found = rows.mapInArrow(_profiles, "lang string, hash long, spots binary, values binary").collect()
+    found = sorted(found, key=lambda r: (r.lang, r.hash))
+    places = {}
+    found = [r for r in found if places.setdefault(r.lang, []).append(1) or len(places[r.lang]) <= per_language]
     if not found:
         return None
     languages = sorted({r.lang for r in found})
