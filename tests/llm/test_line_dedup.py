@@ -11,23 +11,30 @@ def forms(rows):
     return {(d, i): f for d, t in rows if t is not None and d is not None for i, x in enumerate(t.split("\n")) if (f := L.line_form(x))}
 
 
-def chars(form):
-    k = L.SHINGLE_CHARS
+def chars(form, k):
     return {form[i : i + k] for i in range(max(1, len(form) - k + 1))}
 
 
+def near(a, b):
+    """By shingles of 4 if both are short enough, or by shingles of 8 if both are long enough."""
+    for k, fits in ((L.SHORT, max(len(a), len(b)) < L.WIDE), (L.LONG, min(len(a), len(b)) >= L.LONG_FROM)):
+        x, y = chars(a, k), chars(b, k)
+        if fits and 100 * len(x & y) >= 80 * len(x | y):
+            return True
+    return False
+
+
 def expected(rows):
     """Every line but the first of each component, by comparing all distinct forms that share a shingle."""
     where = forms(rows)
     first = {}
     for place in sorted(where):
         first.setdefault(where[place], place)
-    sets = {f: chars(f) for f in first}
     index, links = {}, []
-    for f, s in sets.items():
-        near = set().union(*(index.get(g, set()) for g in s))
-        links += [(first[f], first[o]) for o in near if 100 * len(s & sets[o]) >= 80 * len(s | sets[o])]
-        for g in s:
+    for f in first:
+        grams = chars(f, L.SHORT)
+        links += [(first[f], first[o]) for o in set().union(*(index.get(g, set()) for g in grams)) if 0.7 <= len(f) / len(o) <= 1.5 and near(f, o)]
+        for g in grams:
             index.setdefault(g, set()).add(f)
     own = components(first.values(), links)
     gone = {}
@@ -113,13 +120,28 @@ def test_signatures_of_short_forms_are_independent():
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     far = near = 0
     for _ in range(300):
-        base = word(16 + L.SHINGLE_CHARS)
-        a, b, c = L._signatures([base, base[: 7 + L.SHINGLE_CHARS] + word(9), base[:-1] + "1"])
+        base = word(16 + L.SHORT)
+        a, b, c = L._signatures([base, base[: 7 + L.SHORT] + word(9), base[:-1] + "1"], L.SHORT)
         far += bool((a == b).any())
         near += bool((a == c).any())
     assert far < 90 and near > 290
 
 
+def test_lines_near_the_change_of_shingle_size(spark):
+    """Pairs of lines of 110 to 180 characters, one some characters longer: compared one way, the other, or both."""
+    rng = random.Random(8)
+    lines, want = [], 0
+    for i in range(400):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") if j % 7 else " " for j in range(1, 111 + i % 70))
+        other = line + " " + "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 50)))
+        lines.append((line, other))
+        want += near(L.line_form(line), L.line_form(other))
+    docs = spark.createDataFrame([(1, "\n".join(a for a, _ in lines)), (2, "\n".join(b for _, b in lines))], "doc_id long, text string")
+    got = {r.doc_id: r.lines for r in L.repeated_lines(docs).collect()}
+    assert set(got) == {2} and all(near(*map(L.line_form, lines[i])) for i in got[2])
+    assert 200 < want < 390 and len(got[2]) >= 0.97 * want
+
+
 def test_one_changed_character_in_short_lines(spark):
     rng = random.Random(7)
     lines = []

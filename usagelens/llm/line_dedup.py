@@ -7,9 +7,13 @@ signature, bands of it name candidates, candidates are verified on their exact s
 linked forms unite. A form shorter than a shingle equals only itself and needs no bands.
 Of each component the first line (smallest doc_id, then line number) stays, the others go.
 
-The bands miss a pair of similarity 0.8 with a probability of under 1 %, one of 0.85 of 0.1 % (BANDS bands of
-ROWS minima); lines of one language that share common letter groups only meet in few of them. What they
-propose is compared without caps (see ``pairs``).
+Two forms are near if the Jaccard similarity of their shingle sets reaches ``percent``. Shingles have SHORT characters
+between forms under WIDE characters, where one changed character must not break too many, and LONG
+characters between forms of LONG_FROM and more, where short ones are common to all of a language; forms of
+LONG_FROM to WIDE characters are compared both ways, so that no pair falls between the two.
+
+The bands miss a pair of similarity 0.8 with a probability of under 1 %, one of 0.85 of 0.2 % (BANDS bands of
+ROWS minima). What they propose is compared without caps (see ``pairs``).
 
 Odd input: null or empty text: unchanged, no lines. Null doc_id: the row keeps all its lines, as
 its place among others is undefined. Repeated doc_id: equal lines at the same place count as one
@@ -23,17 +27,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
 from .pairs import SEGMENT, bucket_components
 from .shared import discard, free_name, join_ids, stored, text_by_id
-from .textops import mix
+from .textops import mix, slices
 
-#: Characters of a shingle. A changed character breaks as many shingles, so that at 80 % a line of 40 characters or more
-#: with one such change still meets its original.
-SHINGLE_CHARS = 4
-BANDS, ROWS = 20, 7
+#: Characters of the shingles of short and of long forms: at 80 % a line of 40 characters with one changed character
+#: still meets its original by shingles of 4.
+SHORT, LONG = 4, 8
+LONG_FROM, WIDE = 128, 160
+BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
 #: Lines near the threshold meet in large buckets, which one hub leaves in many components.
 HUB_ROUNDS = 2
@@ -46,13 +52,20 @@ def line_form(line: str) -> str | None:
     return " ".join(line.lower().split()) or None
 
 
+def sizes(form: str) -> list[int]:
+    """The sizes of shingles by which a form is compared, the main one first."""
+    if len(form) < LONG_FROM:
+        return [SHORT]
+    return [LONG, SHORT] if len(form) < WIDE else [LONG]
+
+
 def _line_id(form: str) -> int:
-    return int.from_bytes(hashlib.blake2b(form.encode(), digest_size=8).digest(), "little", signed=True)
+    """An even number; the next one stands for the form as it is compared by its second size of shingles."""
+    return int.from_bytes(hashlib.blake2b(form.encode(), digest_size=8).digest(), "little", signed=True) & ~1
 
 
-def _shingles(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _shingles(forms: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all character shingles, n+1 offsets of the forms); a shorter form is one shingle."""
-    k = SHINGLE_CHARS
     joined = "".join(f.ljust(k, "\0") for f in forms)
     code = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
     value = np.zeros(max(0, len(code) - k + 1), np.uint64)
@@ -62,18 +75,19 @@ def _shingles(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     start = np.cumsum(length) - length
     count = length - k + 1
     off = np.r_[0, np.cumsum(count)]
-    spot = np.repeat(start - off[:-1], count) + np.arange(off[-1])
-    return mix(value[spot]), off
+    inside = np.ones(len(value), bool)  # not across two forms
+    for i in range(1, k):
+        inside[(start[1:] - i)[start[1:] - i < len(inside)]] = False
+    return mix(value[inside]), off
 
 
-def _signatures(forms: list[str]) -> np.ndarray:
+def _signatures(forms: list[str], k: int) -> np.ndarray:
     """(forms x BANDS) band keys: each bin's smallest hash, an empty bin taking over from the first of its donors that has any."""
-    hashes, off = _shingles(forms)
-    rows = np.repeat(np.arange(len(forms)), np.diff(off))
-    spot = rows * BINS + ((hashes >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64)
+    hashes, off = _shingles(forms, k)
+    spot = np.repeat(np.arange(len(forms)) * BINS, np.diff(off)) + ((hashes >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     low = np.full(len(forms) * BINS, top, np.uint64)
-    np.minimum.at(low, spot, mix(hashes))
+    np.minimum.at(low, spot, hashes * np.uint64(0xD6E8FEB86659FD93))
     low = low.reshape(-1, BINS)
     filled = low.copy()
     row, spot = np.nonzero(low == top)
@@ -86,7 +100,7 @@ def _signatures(forms: list[str]) -> np.ndarray:
     keys = np.zeros((len(forms), BANDS), np.uint64)
     for r in range(ROWS):
         keys = mix(keys * np.uint64(31) + filled.reshape(-1, BANDS, ROWS)[:, :, r])
-    return mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return mix(keys + np.arange(BANDS, dtype=np.uint64) + np.uint64(k << 20)).view(np.int64)
 
 
 _LINE = "doc_id long, line long, line_id long, bands binary"
@@ -95,38 +109,30 @@ CHUNK_CHARS = 1 << 20
 
 
 def _lines(batches):
-    """(doc_id, text) to its lines; the first of equal lines of a batch carries the bands."""
-    for batch in batches:
-        out = {"doc_id": [], "line": [], "line_id": [], "bands": []}
-        seen: set[int] = set()
-        fresh: list[tuple[int, str]] = []
-
-        def sign(out=out, fresh=fresh):
-            if fresh:
-                for (row, _), keys in zip(fresh, _signatures([f for _, f in fresh]), strict=True):
-                    out["bands"][row] = keys.tobytes()
-                fresh.clear()
-
-        chars = 0
+    """(doc_id, text) to its lines; the first of equal lines of a slice carries the bands, of its main size of shingles first."""
+    for batch in slices(batches, CHUNK_CHARS):
+        docs, numbers, ids = [], [], []
+        first: dict[int, tuple[int, str]] = {}
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             for no, line in enumerate((text.as_py() or "").split("\n")):
                 form = line_form(line)
                 if form is None:
                     continue
-                out["doc_id"].append(doc)
-                out["line"].append(no)
-                out["line_id"].append(_line_id(form))
-                out["bands"].append(None)
-                if len(form) >= SHINGLE_CHARS and out["line_id"][-1] not in seen:
-                    seen.add(out["line_id"][-1])
-                    fresh.append((len(out["bands"]) - 1, form))
-                    chars += len(form)
-                    if chars > CHUNK_CHARS:
-                        sign()
-                        chars = 0
-        sign()
-        yield pa.RecordBatch.from_pydict(
-            out, schema=pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("line_id", pa.int64()), ("bands", pa.binary())])
+                line_id = _line_id(form)
+                if len(form) >= SHORT and line_id not in first:
+                    first[line_id] = len(ids), form
+                docs.append(doc)
+                numbers.append(no)
+                ids.append(line_id)
+        bands: list[bytes | None] = [None] * len(ids)
+        for k in (LONG, SHORT):  # a form compared both ways has LONG as its main size
+            mine = [(row, form) for row, form in first.values() if k in sizes(form)]
+            for at in range(0, len(mine), 2048):
+                part = mine[at : at + 2048]
+                for (row, _), keys in zip(part, _signatures([f for _, f in part], k), strict=True):
+                    bands[row] = (bands[row] or b"") + keys.tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, pa.binary())], names=["doc_id", "line", "line_id", "bands"]
         )
 
 
@@ -134,8 +140,11 @@ def _explode_bands(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
-        yield pa.RecordBatch.from_pydict({"line_id": np.repeat(batch.column("line_id").to_numpy(), BANDS), "gram": keys})
+        blobs = batch.column("bands").to_pylist()
+        times = np.array([len(b) // 8 for b in blobs], np.int64)
+        ids = np.repeat(batch.column("line_id").to_numpy(), times)
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(times) - times, times)
+        yield pa.RecordBatch.from_pydict({"line_id": ids + (place >= BANDS), "gram": np.frombuffer(b"".join(blobs), np.int64)})
 
 
 def _shared(batches):
@@ -163,25 +172,43 @@ def _shared(batches):
 
 
 def _form_sets(forms: list[bytes]) -> list[np.ndarray]:
-    hashes, off = _shingles([f.decode() for f in forms])
-    return [np.unique(hashes[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
+    """The shingle sets of forms, each led by a byte that gives the size of its shingles."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(forms)
+    for k in (SHORT, LONG):
+        mine = [i for i, f in enumerate(forms) if f[0] == k]
+        for at in range(0, len(mine), 512):
+            part = mine[at : at + 512]
+            hashes, off = _shingles([forms[i][1:].decode() for i in part], k)
+            for i, a, b in zip(part, off[:-1], off[1:], strict=True):
+                out[i] = np.unique(hashes[a:b])
+    return out
 
 
 def _line_sets(batches):
     """(line_id, line) to the size of its shingle set and its form, from which the set is made where it is needed:
-    a form is an eighth of its hashes."""
-    for batch in batches:
-        forms = [(line_form(x) or "").encode() for x in batch.column("line").to_pylist()]
+    a form is an eighth of its hashes. A form that is compared both ways gives two rows."""
+    for batch in slices(batches, CHUNK_CHARS, "line"):
+        ids, forms = [], []
+        for line_id, line in zip(batch.column("line_id").to_pylist(), batch.column("line").to_pylist(), strict=True):
+            form = line_form(line) or ""
+            for second, k in enumerate(sizes(form)):
+                ids.append(line_id + second)
+                forms.append(bytes([k]) + form.encode())
         yield pa.RecordBatch.from_pydict(
             {
                 "fragment": pa.array([0] * len(forms), pa.int64()),
-                "doc_id": batch.column("line_id"),
+                "doc_id": pa.array(ids, pa.int64()),
                 "n": pa.array([len(s) for s in _form_sets(forms)], pa.int64()),
                 "grams": pa.array(forms, pa.binary()),
             }
         )
 
 
+def _plain(c: str) -> Column:
+    """The line's id, whichever way it was compared."""
+    return F.col(c).bitwiseAND(F.lit(-2).cast("long"))
+
+
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, lines): the numbers of those lines (from 0) of each document that repeat an earlier line."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -193,18 +220,21 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # a line that stands in several batches has its bands as often; a bucket matters if different lines are in it
     dealt = keys.repartition("gram").sortWithinPartitions("gram", "line_id")
     members = stored(dealt.mapInArrow(_shared, "line_id long, gram long"), "lines-members")
-    shared = members.groupBy("line_id").agg(F.count(F.lit(1)).alias("shared"))
+    shared = stored(members.groupBy("line_id").agg(F.count(F.lit(1)).alias("shared")), "lines-shared")
     # texts of the candidate lines, each read where it first stands
-    wanted = stored(distinct.select("line_id", "place.doc_id", "place.line").join(shared, "line_id"), "lines-wanted")
+    named = shared.select(_plain("line_id").alias("line_id")).distinct()
+    wanted = stored(distinct.select("line_id", "place.doc_id", "place.line").join(named, "line_id"), "lines-wanted")
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_id")).alias("at"))
     per_doc = stored(per_doc, "lines-documents")
     found = join_ids(text_by_id(texts), per_doc, "doc_id", "inner", wanted.count())
     found = found.select(F.split("text", "\n").alias("parts"), F.explode("at").alias("one"))
     found = found.select(F.col("one.line_id").alias("line_id"), F.element_at("parts", (F.col("one.line") + 1).cast("int")).alias("line"))
     sets = stored(found.mapInArrow(_line_sets, SEGMENT), "lines-sets")
-    buckets = members.join(wanted.select("line_id", "shared"), "line_id").join(sets.select(F.col("doc_id").alias("line_id"), "n"), "line_id")
+    buckets = members.join(shared, "line_id").join(sets.select(F.col("doc_id").alias("line_id"), "n"), "line_id")
     linked = bucket_components(sets, buckets.select(F.col("line_id").alias("doc_id"), "n", "shared", "gram"), percent, _form_sets, HUB_ROUNDS)
-    discard(members, wanted, per_doc, sets)
+    discard(members, shared, wanted, per_doc, sets)
+    # a line compared both ways stands for itself in two ways
+    linked = components(linked.select(_plain("id").alias("a"), _plain("component").alias("b")))
     # the first place of each component stays
     united = distinct.select("line_id", "place").join(linked.withColumnRenamed("id", "line_id"), "line_id")
     best = stored(united.groupBy("component").agg(F.min("place").alias("best")), "lines-best")

@@ -12,6 +12,8 @@ from .shared import discard, stored
 from .textops import mix
 
 PARITY_WORDS = 16
+#: Pairs whose sets a task holds at once.
+PAIRS_AT_ONCE = 256
 #: A set cut into fragments: sorted 64-bit hashes, n of them in the whole set.
 SEGMENT = "fragment long, doc_id long, n long, grams binary"
 
@@ -28,7 +30,8 @@ def _parity(sets_of):
         bits = 64 * PARITY_WORDS
         for batch in batches:
             out = []
-            for elements in sets_of(batch.column("grams").to_pylist()):
+            blobs = batch.column("grams")
+            for elements in (e for at in range(0, len(blobs), PAIRS_AT_ONCE) for e in sets_of(blobs.slice(at, PAIRS_AT_ONCE).to_pylist())):
                 spot = mix(elements) % np.uint64(bits)
                 odd = (np.bincount(spot.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
                 out.append(np.packbits(odd, bitorder="little").view(np.int64))
@@ -45,8 +48,11 @@ def _overlap(sets_of):
 
     def run(batches):
         for batch in batches:
-            left, right = (sets_of(batch.column(c).to_pylist()) for c in ("grams_a", "grams_b"))
-            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
+            both = []
+            for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                part = batch.slice(at, PAIRS_AT_ONCE)
+                left, right = (sets_of(part.column(c).to_pylist()) for c in ("grams_a", "grams_b"))
+                both += [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {"a": batch.column("a"), "b": batch.column("b"), "n_a": batch.column("n_a"), "n_b": batch.column("n_b"), "part": pa.array(both, pa.int64())}
             )
