@@ -42,6 +42,37 @@ def test_odd_rows_and_extra_columns(spark, model):
     assert [(r.lang_pred, r.score) for r in langid.predict(docs.where("doc_id = 5"), one).collect()] == [("xx", 1.0)] * 2
 
 
+FINNISH = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto "
+POLISH = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem "
+
+
+def test_fit_tells_texts_of_no_learned_language(spark, model):
+    import random
+
+    rng = random.Random(3)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (60, 500, 5000)]
+    strange = [*noise, FINNISH, FINNISH * 40, POLISH * 3, "Все люди рождаются свободными и равными " * 5, "人人生而自由" * 20]
+    docs = spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string")
+    assert all(r.fit < 0 for r in langid.predict(docs, model).collect())
+    held = spark.read.parquet(f"{MEDIUM}/documents.parquet").where("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2")
+    rows = langid.predict(held, model).where("lang_pred <> 'und'").collect()
+    assert len(rows) > 200 and sum(r.fit >= 0 for r in rows) >= 0.995 * len(rows)
+
+
+def test_the_sample_is_bounded_by_hash(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("lang"))
+    seen = []
+    plain = langid._families
+    langid._families = lambda mean: seen.append(mean.shape) or plain(mean)
+    try:
+        assert langid.learn(docs, F.lit(True), 40).languages == ["a", "b"]
+        same = docs.withColumn("doc_id", F.lit(7).cast("long")).withColumn("text", F.lit("one text"))
+        assert langid.learn(same, F.lit(True), 40).languages == ["a", "b"]  # a repeated id counts once
+    finally:
+        langid._families = plain
+    assert seen == [(2, langid.DIM)] * 2
+
+
 def test_blocks_change_nothing(spark, model, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     before = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}

@@ -32,6 +32,18 @@ def test_language_rejects_only_what_has_no_language(steps):
     assert all(r.doc_id in kept for r in before if sum(c.isalpha() for c in r.text) > 100)
 
 
+def test_language_rejects_noise_and_unlearned_languages(spark):
+    from test_langid import FINNISH
+
+    rng = random.Random(5)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(800))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    more = spark.createDataFrame([(10_000_001, noise, "en", "s", 800), (10_000_002, FINNISH * 9, None, "s", 999), (10_000_003, "12 34", "en", "s", 5)], docs.schema)
+    kept = {r.doc_id for r in P.language(spark, docs.unionByName(more), SMALL).collect()}
+    assert not kept & {10_000_001, 10_000_002, 10_000_003}
+    assert len(kept) >= 0.99 * docs.where(F.col("text").rlike("[a-z]")).count()
+
+
 def test_lines_go_once(steps):
     before, after = steps["line_dedup"]
     texts = {r.doc_id: r for r in before}

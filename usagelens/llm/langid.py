@@ -5,6 +5,11 @@ vector machines first predict the family (one-versus-one among families), then o
 machines within the family separate its languages. Features are hashed byte n-grams of the
 letters (2 to 4 bytes, other characters count as one blank).
 
+Beside the choice among the learned languages, each text gets its ``fit``: the mean log probability of its
+n-grams under the profile of the predicted language, less the least that texts of that language can be expected to have
+(MARGIN nats under the lowest that one half of the sample has by the other half's profile). A text whose fit is below zero is
+like none of the learned languages, however the machines decide; whoever filters by language drops it.
+
 Learning uses a bounded sample of labelled rows (``per_language`` of each language, those with the
 smallest hash of doc_id); prediction reads every whole text, block by block.
 
@@ -30,6 +35,9 @@ from .textops import text_buffer
 PER_LANGUAGE = 300
 BUCKET_BITS = 14
 SIZES = (2, 3, 4)
+#: Share of the n-grams that a profile has never seen, each.
+UNSEEN = 1e-6
+MARGIN = 1.0
 BLOCK = 1 << 19
 
 
@@ -76,13 +84,15 @@ def _profiles(batches):
 
 @dataclass
 class LanguageModel:
-    """Families of languages and the machines between them; ``weights`` has a column for each machine."""
+    """Families of languages and the machines between them; ``weights`` has a column for each machine, then one for the log
+    probabilities of each language, whose texts have a mean of at least ``least``."""
 
     languages: list[str]
     family: list[int]
     machines: list[tuple[str, int, int]]  # ("family", x, y) or ("language", x, y): positive for x
     weights: np.ndarray
     bias: np.ndarray
+    least: np.ndarray
 
 
 def _families(mean: np.ndarray) -> list[int]:
@@ -120,6 +130,18 @@ def _machine(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, rounds
     return total / rounds, total_b / rounds
 
 
+def _least_fit(rows: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """The least mean log probability that texts (sparse profiles) of a language have by each other's, less MARGIN."""
+    lowest = 0.0
+    for mine, other in ((rows[::2], rows[1::2]), (rows[1::2], rows[::2])):
+        profile = np.zeros(DIM)
+        for spots, values in other:
+            profile[spots] += values / len(other)
+        profile = np.log(profile + UNSEEN)
+        lowest = min([lowest, *(float(values @ profile[spots]) / max(float(values.sum()), 1e-9) for spots, values in mine if other)])
+    return lowest - MARGIN if lowest else float(np.log(UNSEEN))
+
+
 def learn(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """Fit the model on at most ``per_language`` rows of each language among rows where ``may_learn`` holds."""
     labelled = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("lang", F.xxhash64("doc_id").alias("hash"), "text")
@@ -128,9 +150,15 @@ def learn(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE)
     wanted = per_language + 4 * per_language**0.5 + 10
     bounds = [(r.lang, min((1 << 63) - 1, int(wanted / r.n * 2**64) - (1 << 63))) for r in times]
     bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
-    rows = labelled.withColumn("lang", F.col("lang").cast("string")).join(bounds, "lang").where((F.col("hash") <= F.col("bound")) & F.col("text").rlike(r"\p{L}"))
-    rows = rows.groupBy("lang", "hash").agg(F.max("text").alias("text"))  # an id's rows count once
-    found = rows.mapInArrow(_profiles, "lang string, hash long, spots binary, values binary").collect()
+    labelled = labelled.withColumn("lang", F.col("lang").cast("string")).where(F.col("text").rlike(r"\p{L}"))
+
+    def profiles(rows: DataFrame) -> list:
+        rows = rows.groupBy("lang", "hash").agg(F.max("text").alias("text"))  # an id's rows count once
+        return rows.mapInArrow(_profiles, "lang string, hash long, spots binary, values binary").collect()
+
+    found = profiles(labelled.join(bounds, "lang").where(F.col("hash") <= F.col("bound")).select("lang", "hash", "text"))
+    for lost in sorted({r.lang for r in times} - {r.lang for r in found}):  # few ids, repeated often, may all lie over the bound
+        found += profiles(labelled.where(F.col("lang") == lost).orderBy("hash").limit(per_language))
     found = sorted(found, key=lambda r: (r.lang, r.hash))
     places = {}
     found = [r for r in found if places.setdefault(r.lang, []).append(1) or len(places[r.lang]) <= per_language]
@@ -142,6 +170,7 @@ def learn(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE)
     mean = np.zeros((len(languages), DIM))
     for k, (spots, values) in zip(lang, rows, strict=True):
         mean[k, spots] += values / (lang == k).sum()
+    least = np.array([_least_fit([r for r, y in zip(rows, lang, strict=True) if y == k]) for k in range(len(languages))])
     scale = 1 / np.sqrt(mean.mean(axis=0) + 1e-6)
     rows = [(spots, values * scale[spots]) for spots, values in rows]
     family = _families(mean * scale)
@@ -153,7 +182,8 @@ def learn(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE)
         some = np.flatnonzero(pos | neg)
         w, bias[k] = _machine([rows[i] for i in some], np.where(pos[some], 1, -1))
         weights[:, k] = w * scale
-    return LanguageModel(languages, family, [t[:3] for t in tasks], weights.astype(np.float32), bias)
+    weights = np.concatenate([weights, np.log(mean + UNSEEN).T], axis=1)
+    return LanguageModel(languages, family, [t[:3] for t in tasks], weights.astype(np.float32), bias, least)
 
 
 def _decide(model: LanguageModel, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,6 +215,9 @@ def _decide(model: LanguageModel, margin: np.ndarray) -> tuple[np.ndarray, np.nd
     return lang, sure
 
 
+RESULT = ["lang_pred", "score", "fit"]
+
+
 def _predict(model: LanguageModel | None, batches):
     code = _letter_codes()
     ascii_letter = code != 32
@@ -198,9 +231,9 @@ def _predict(model: LanguageModel | None, batches):
         for i in range(n):
             a, b = off[i], off[i + 1]
             seen[i] = b > a and (any(ascii_letter[raw[s : min(b, s + 4096)]].any() for s in range(a, b, 4096)) or any(ch.isalpha() for ch in texts[i].as_py()))
-        pred, score = np.full(n, "und", object), np.zeros(n)
+        pred, score, fit = np.full(n, "und", object), np.zeros(n), np.full(n, -np.inf)
         if model is not None and n:
-            margin = np.zeros((n, len(model.machines)))
+            margin = np.zeros((n, model.weights.shape[1]))
             grams = np.zeros(n)
             for k in range(len(SIZES)):
                 grams += np.maximum(0, np.diff(off) - SIZES[k] + 1)
@@ -216,20 +249,24 @@ def _predict(model: LanguageModel | None, batches):
                     some = np.flatnonzero(np.diff(np.r_[bounds, len(spot)]) > 0)
                     if len(some):
                         margin[first + some] += np.add.reduceat(gain, bounds[some], axis=0, dtype=np.float64)
-            lang, sure = _decide(model, margin / np.maximum(1, grams)[:, None] + model.bias)
+            mean = margin / np.maximum(1, grams)[:, None]
+            lang, sure = _decide(model, mean[:, : len(model.machines)] + model.bias)
             pred[seen] = np.array(model.languages, object)[lang[seen]]
             score[seen] = sure[seen]
-        kept = [(batch.schema.names[i], c) for i, c in enumerate(batch.columns) if batch.schema.names[i] not in ("lang_pred", "score")]
+            own = mean[np.arange(n), len(model.machines) + lang] - model.least[lang]
+            fit[seen] = np.where(grams > 0, own, 0.0)[seen]  # a single byte has no n-gram to judge by
+        kept = [(batch.schema.names[i], c) for i, c in enumerate(batch.columns) if batch.schema.names[i] not in RESULT]
         yield pa.RecordBatch.from_arrays(
-            [c for _, c in kept] + [pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64())],
-            [x for x, _ in kept] + ["lang_pred", "score"],
+            [c for _, c in kept] + [pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64())],
+            [x for x, _ in kept] + RESULT,
         )
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """Adds lang_pred and score (0 to 1) to every row; reads nothing but ``text``. The model's size is
-    fixed by the number of languages, whatever the data."""
+    """Adds lang_pred, score (0 to 1) and fit (below zero: like no learned language; minus infinity with ``und``) to every
+    row; reads nothing but ``text``. The model's size is fixed by the number of languages, whatever the data."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    fields = [f for f in docs.schema.fields if f.name not in RESULT]
+    kinds = [T.StringType(), T.DoubleType(), T.DoubleType()]
+    schema = T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(RESULT, kinds, strict=True))])
     return docs.mapInArrow(lambda batches: _predict(sent.value, batches), schema)
