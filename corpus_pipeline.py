@@ -17,17 +17,15 @@ from usagelens.llm.ngram_join import jaccard_components
 from usagelens.llm.queries import bpe_digests
 from usagelens.llm.shared import stored
 
-#: A document whose best language wins a comparison by less than this is rejected.
-LEAST_LANGUAGE_SCORE = 0.5
 #: What separates words of a line, as in ``line_form``; a line of these alone has no form and never goes.
 BLANKS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those whose language can't be told."""
+    """Rejects documents without a letter and those that are like none of the learned languages (noise, other languages)."""
     model = langid.learn(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     found = langid.predict(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("fit") >= 0)).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
