@@ -63,3 +63,12 @@ def test_odd_rows(spark, tik):
         assert bytes(r.ids) == tik(r.text or "") and bytes(r.decoded) == (r.text or "").encode() and r.tokens == "x"
     assert len(got) == 5
     assert codec.decode(codec.encode(docs.limit(0))).count() == 0
+
+
+def test_result_columns_replace_old_ones(spark, tik):
+    codec = bpe.ByteBpe(spark, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    docs = spark.createDataFrame([(1, "some text", "old", "older", "x")], "doc_id long, text string, ids string, decoded string, pieces string")
+    both = codec.decode(codec.encode(docs))
+    assert both.columns == ["doc_id", "text", "pieces", "ids", "decoded"]
+    row = both.first()
+    assert bytes(row.ids) == tik("some text") and bytes(row.decoded) == b"some text" and row.pieces == "x"
