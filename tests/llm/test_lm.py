@@ -72,7 +72,9 @@ def slow_score(tree, text):
 
 def test_automaton_equals_longest_suffix_search(spark, scored):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    tree, _ = lm.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0"))
+    table, root, _ = lm.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0"))
+    (tree,) = lm._shards(table, root)
+    tree = Named(tree)
     assert len(tree.contexts) > 100
     for r in docs.orderBy("doc_id").limit(15).collect():
         assert scored[r.doc_id].score == pytest.approx(slow_score(tree, r.text), rel=1e-4)
@@ -81,6 +83,68 @@ def test_automaton_equals_longest_suffix_search(spark, scored):
         assert 0.99 < p.sum() + p[0] * (256 - tree.width) < 1.01
 
 
+class Named:
+    """An automaton with its contexts by name, looked up often."""
+
+    def __init__(self, tree):
+        self.contexts, self.log10, self.width, self.classes = tree.contexts, tree.log10, tree.width, tree.classes
+
+
+def slow_tree(texts):
+    """{(length, context)} of a plain count of all contexts, with the same tests and closure."""
+    counts = collections.defaultdict(collections.Counter)
+    for text in texts:
+        stream = b" ".join(fold(text or "").encode().split()) + b"\n"
+        for i, b in enumerate(stream):
+            for d in range(min(lm.DEPTH, i) + 1):
+                counts[stream[i - d : i]][b] += 1
+    total = sum(counts[b""].values())
+    p = {b"": {b: (n + 0.5) / (total + 128) for b, n in counts[b""].items()}}
+    kept = set()
+    for c in sorted((c for c in counts if c), key=len):
+        n = sum(counts[c].values())
+        if n < lm.LEAST_COUNT:
+            continue
+        q = p[c[1:]]
+        p[c] = {b: (x + lm.SMOOTHING * q[b]) / (n + lm.SMOOTHING) for b, x in counts[c].items()}
+        if sum(x * math.log(x / n / q[b]) for b, x in counts[c].items()) >= lm.LEAST_GAIN:
+            kept |= {c[i:j] for i in range(len(c)) for j in range(i + 1, len(c) + 1)}
+    return {(len(c), int.from_bytes(c, "big")) for c in kept}
+
+
+def test_kept_contexts_equal_a_plain_count(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    table, root, _ = lm.fit(docs)
+    (tree,) = lm._shards(table, root)
+    want = slow_tree([r.text for r in docs.collect()])
+    got = set(tree.contexts) - {(0, 0)}
+    assert len(want) > 50 and len(got ^ want) <= 2  # a gain within rounding of the bound
+
+
+def test_what_is_kept_grows_with_the_corpus(spark):
+    sizes = []
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        table, _, _ = lm.fit(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+        sizes.append({(r.depth, r.key >> 8) for r in table.select("depth", "key").collect()})
+    assert len(sizes[0]) * 2 < len(sizes[1]) and len(sizes[1]) * 2 < len(sizes[2])
+
+
+def test_shards_add_up(spark, scored, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    table, root, _ = lm.fit(docs)
+    n = table.selectExpr("depth", "shiftright(key, 8)").distinct().count()
+    monkeypatch.setattr(lm, "STATES_PER_PASS", n // 4)
+    shards = list(lm._shards(table, root))
+    assert len(shards) > 2 and max(len(s.log10) // s.width for s in shards) < n and sum(s.after.astype(int) for s in shards).tolist() == [1] * 256
+    repeated = docs.unionByName(docs.limit(5))
+    found = lm.score_documents(repeated).collect()
+    assert len(found) == len(scored) + 5
+    whole = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    monkeypatch.undo()
+    one = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    assert all(whole[d] == pytest.approx(one[d], rel=1e-6) for d in one)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a b", "x"), (3, "a b a", "x"), (3, "a b a", "x"), (4, "É é " * 100_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")

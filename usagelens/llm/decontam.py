@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, join_ids, stored, text_by_id
+from .shared import Sent, discard, join_ids, stored, text_by_id
 from .textops import combine, mix
 
 GRAM = 4
@@ -256,12 +256,12 @@ def _align(sent, least, batches):
 def _of_block(texts: DataFrame, items: Items, least: float) -> DataFrame:
     """Hits of one block of items in all texts."""
     spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(items)
+    sent = Sent(spark, items)
     matched = stored(texts.mapInArrow(lambda b: _matches(sent, b), _MATCHED), "test-matches")
     words = matched.select("grams", "before", "after").mapInArrow(_neighbours, "gram long, side int, word long")
     ranks = words.groupBy("gram", "side").agg(F.approx_count_distinct("word", 0.05).alias("n")).groupBy("gram").agg(F.min("n").alias("n"))
     seeds = seeds_of(items, {r.gram: r.n for r in ranks.collect()})  # n-grams of this block, about BLOCK_GRAMS at most
-    sent_seeds = spark.sparkContext.broadcast(seeds)
+    sent_seeds = Sent(spark, seeds)
     chosen = matched.select("doc_id", "text_hash", "size", "grams").mapInArrow(lambda b: _with_seed(sent_seeds, b), "doc_id long, text_hash long").distinct()
     chosen = stored(chosen, "test-documents")
     again = join_ids(texts, chosen, ["doc_id", "text_hash"], "inner", chosen.count())

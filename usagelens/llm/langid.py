@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import Sent
 from .textops import text_buffer
 
 #: Labelled rows that are learned from, for each language.
@@ -265,7 +266,7 @@ def _predict(model: LanguageModel | None, batches):
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """Adds lang_pred, score (0 to 1) and fit (below zero: like no learned language; minus infinity with ``und``) to every
     row; reads nothing but ``text``. The model's size is fixed by the number of languages, whatever the data."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
     fields = [f for f in docs.schema.fields if f.name not in RESULT]
     kinds = [T.StringType(), T.DoubleType(), T.DoubleType()]
     schema = T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(RESULT, kinds, strict=True))])

@@ -64,3 +64,19 @@ BROADCAST_ROWS = 1_000_000
 def join_ids(big: DataFrame, ids: DataFrame, key: str | list[str], how: str, n_ids: int) -> DataFrame:
     """Join with a table of narrow rows, broadcast only if its counted size is small."""
     return big.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, key, how)
+
+
+class Sent:
+    """A dataclass object sent to every executor once. What is broadcast are its plain fields, the class travels with the task's
+    code, so that executors need no copy of this package to read it."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self._kind = None if value is None else type(value)
+        self._fields = spark.sparkContext.broadcast(None if value is None else vars(value))
+
+    @property
+    def value(self):
+        return None if self._kind is None else self._kind(**self._fields.value)
+
+    def unpersist(self) -> None:
+        self._fields.unpersist()
