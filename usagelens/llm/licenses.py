@@ -6,8 +6,12 @@ shingles start at every h-th shingle, so any run of h shingles lies within one w
 window's similarity to a template it contains is at least s / 2h, above 1/4. Each of the BANDS
 bands is one minimum, so a window misses a template that it contains with a probability below
 (3/4) ** BANDS, about 1e-4, and one that holds four fifths of it with one below 1e-3. Retrieved
-pairs are verified: at least ``percent`` of the template's shingles must occur in the window
-widened by half a window on both sides.
+pairs are verified: in the window widened by half a window on both sides, at least ``percent`` of the template's
+shingles must occur within a span of about its length (a quarter more at 80 percent). Each such span is a match of its own,
+from left to right without overlap. Of templates that share half of their shingles (versions of one license) only the one
+contained best is reported where their spans overlap; notices that merely stand within a longer text are reported beside it.
+
+The templates given here are short notices. Whole license texts, one file each, are read with ``read_templates``.
 
 Odd input: null or empty text, or fewer than five words: no match. Null doc_id: the matches are
 returned with a null doc_id. Repeated rows: each has its matches. Very long texts are scanned in
@@ -17,9 +21,11 @@ columns are ignored. A template under five words is an error.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textops import SHINGLE, combine, mix
@@ -81,6 +87,17 @@ def _minima(shingles: np.ndarray) -> np.ndarray:
     return ((shingles[None, :] * _FACTORS[:, None]) >> np.uint64(32)).astype(np.uint32)
 
 
+def read_templates(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name to text of the templates in a folder of text files, read by Spark (any file system it knows)."""
+    rows = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("name")).collect()  # as many as licenses
+    return {r.name: r.value for r in rows}
+
+
+def span_length(n: int, percent: int) -> int:
+    """Longest span, in shingles, in which a template of n shingles is looked for."""
+    return -(-100 * n // percent) + 4
+
+
 class Templates:
     """Templates by level, with a table of the low bits of their minima for each band."""
 
@@ -93,6 +110,13 @@ class Templates:
         self.levels: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
             self.levels.setdefault(1 << (len(s) - 1).bit_length(), []).append(i)
+        # versions of one license: templates that share half of the smaller one's shingles, neither twice the other
+        self.rivals: dict[int, set[int]] = {i: set() for i in range(len(self.sets))}
+        for i, x in enumerate(self.sets):
+            for j, y in enumerate(self.sets[:i]):
+                if max(len(x), len(y)) <= 2 * min(len(x), len(y)) and 2 * len(np.intersect1d(x, y)) >= min(len(x), len(y)):
+                    self.rivals[i].add(j)
+                    self.rivals[j].add(i)
         self.minima = [_minima(s).min(axis=1) for s in self.sets]
         self.maybe = {}
         for half, members in self.levels.items():
@@ -147,11 +171,68 @@ class Templates:
             for a, b in rows:
                 for text in range(np.searchsorted(bounds, a, "right") - 1, np.searchsorted(bounds, b, "left")):
                     low, high = max(a, int(bounds[text])), min(b, int(bounds[text + 1]))
-                    places = low + np.flatnonzero(np.isin(shingles[low:high], self.sets[i]))
-                    found = len(np.unique(shingles[places]))
-                    if 100 * found >= percent * len(self.sets[i]):
-                        base = int(bounds[text])
-                        yield text, i, int(places[0]) - base, int(places[-1]) - base, 100.0 * found / len(self.sets[i])
+                    base = int(bounds[text])
+                    for first, last, found in self.occurrences(shingles[low:high], i, percent):
+                        yield text, i, low + first - base, low + last - base, 100.0 * found / len(self.sets[i])
+
+    def occurrences(self, shingles: np.ndarray, i: int, percent: int):
+        """(first, last, number of different shingles) of the spans that hold template i, from left to right."""
+        need, reach = -(-percent * len(self.sets[i]) // 100), span_length(len(self.sets[i]), percent)
+        places = np.flatnonzero(np.isin(shingles, self.sets[i])).tolist()
+        what = shingles[places].tolist() if places else []
+        times: dict[int, int] = {}
+        left = 0
+        k = 0
+        while k < len(places):
+            times[what[k]] = times.get(what[k], 0) + 1
+            while places[k] - places[left] >= reach:
+                times[what[left]] -= 1
+                if not times[what[left]]:
+                    del times[what[left]]
+                left += 1
+            if len(times) >= need:
+                # the rest of this occurrence: up to the last shingle in reach that it hasn't had yet
+                end = k
+                for j in range(k + 1, len(places)):
+                    if places[j] - places[left] >= reach:
+                        break
+                    if what[j] not in times:
+                        times.update({w: times.get(w, 0) + 1 for w in what[end + 1 : j + 1]})
+                        end = j
+                while times[what[left]] > 1:  # what came before the occurrence
+                    times[what[left]] -= 1
+                    left += 1
+                yield places[left], places[end], len(times)
+                times, left, k = {}, end + 1, end
+            k += 1
+
+    def best(self, shingles: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple]:
+        """The matches of ``scan``, rivals told apart: the best contained one stands, and what a rival of it would share
+        of its span is looked for beside it again."""
+        out, todo = [], [(-m[4], m[1], m[0], m[2], m[3]) for m in self.scan(shingles, bounds, percent)]
+        heapq.heapify(todo)
+        taken: dict[int, list[tuple[int, int, int]]] = {}
+        while todo:
+            share, i, text, first, last = heapq.heappop(todo)
+            over = {j for j, a, b in taken.get(text, ()) if (j == i or j in self.rivals[i]) and a <= last and first <= b}
+            if i in over:  # found again
+                continue
+            if not over:
+                out.append((text, i, first, last, -share))
+                taken.setdefault(text, []).append((i, first, last))
+                continue
+            # as far as the template could reach on both sides, without what is taken
+            base, reach = int(bounds[text]), span_length(len(self.sets[i]), percent)
+            spans = sorted((a, b) for j, a, b in taken[text] if j == i or j in self.rivals[i])
+            low, top = max(0, first - reach), min(int(bounds[text + 1]) - base, last + 1 + reach)
+            for a, b in [*spans, (top, top)]:
+                if a - low >= 1:
+                    for x, y, found in self.occurrences(shingles[base + low : base + min(a, top)], i, percent):
+                        one = (-100.0 * found / len(self.sets[i]), i, text, low + x, low + y)
+                        if one not in todo:
+                            heapq.heappush(todo, one)
+                low = max(low, b + 1)
+        return sorted(out)
 
 
 _MATCH = "doc_id long, license string, first_word long, last_word long, containment double"
@@ -169,7 +250,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, perc
             def flush(rows=rows, held=held, docs_held=docs_held):
                 if held:
                     bounds = np.cumsum([0, *map(len, held)])
-                    for text, i, a, b, share in known.scan(np.concatenate(held), bounds, percent):
+                    for text, i, a, b, share in known.best(np.concatenate(held), bounds, percent):
                         rows.append((docs_held[text], known.names[i], a, b + SHINGLE - 1, share))
                 held.clear()
                 docs_held.clear()
