@@ -73,3 +73,19 @@ def test_salvage_of_gzip_members():
     broken[len(broken) // 2] ^= 0xFF
     found, gaps = ids(parts[0] + bytes(broken) + b"".join(parts[2:]))
     assert found == [0, 2, 3, 4] and gaps[0][0] == len(parts[0])
+
+
+def test_gzip_members_of_several_records():
+    parts = records()
+    first, rest = gzip.compress(b"".join(parts[:3])), gzip.compress(parts[3])
+    rows = list(salvage(first + rest + parts[4]))
+    assert [(r[0], r[3]["page_id"]) for r in rows] == [("record", i) for i in range(5)]
+    assert [r[1:3] for r in rows] == [(0, len(first))] * 3 + [(len(first), len(first + rest)), (len(first + rest), len(first + rest + parts[4]))]
+    # damage inside a member that unzips: the records around it are kept
+    inner = bytearray(b"".join(parts))
+    inner[len(parts[0]) + len(parts[1]) // 2 + 60] ^= 1
+    rows = list(salvage(gzip.compress(bytes(inner))))
+    assert [r[3]["page_id"] for r in rows if r[0] == "record"] == [0, 2, 3, 4]
+    gaps = [r[3] for r in rows if r[0] == "gap"]
+    assert len(gaps) == 1 and gaps[0].startswith(f"bytes {len(parts[0])} to {len(parts[0]) + len(parts[1])} of the member")
+    assert [r[0] for r in salvage(gzip.compress(b""))] == []

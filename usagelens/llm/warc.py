@@ -8,7 +8,9 @@ on whatever file system Spark writes to. ``RECORDS_PER_FILE`` bounds a file.
 Reading: each file is read by one task. A record is checked (version line, lengths, closing line
 breaks, block digest); if a check fails, the reader looks for the next place where a version line
 or a gzip member begins, goes on there, and reports the bytes between as a gap with the reason.
-Files may be plain or gzipped by member.
+Files may be plain or gzipped; a member may hold one record, several, or a whole file, and is salvaged like a
+plain file itself: its records carry the member's place, and damage within it is a gap whose reason names the bytes of
+the unzipped member. A file is read whole by its task (Spark's binary files, at most 2 GB each).
 
 Odd input: null html counts as empty. Null page_id: the record is a response that nothing refers
 to, and its page_id is read as null. Rows that repeat both page_id and payload: all are responses if
@@ -133,12 +135,6 @@ def _member(data: bytes, at: int) -> tuple[bytes, int]:
 
 def _one(data: bytes, at: int) -> tuple[dict, int]:
     """(record, end) of the record at ``at``, if it passes all checks."""
-    if data[at : at + 3] == b"\x1f\x8b\x08":
-        content, end = _member(data, at)
-        found, inner = _one(content, 0)
-        if inner != len(content):
-            raise _Bad("gzip member holds more than a record")
-        return found, end
     if data[at : at + 7] != b"WARC/1.":
         raise _Bad("no version line")
     stop = data.find(b"\r\n\r\n", at)
@@ -173,12 +169,18 @@ def _one(data: bytes, at: int) -> tuple[dict, int]:
 
 
 def salvage(data: bytes):
-    """Yields ("record", start, end, record) and ("gap", start, end, reason) over the bytes of an archive."""
+    """Yields ("record", start, end, record) and ("gap", start, end, reason) over the bytes of an archive; all that a gzip member
+    holds has the member's start and end."""
     at = 0
     while at < len(data):
         try:
-            found, end = _one(data, at)
-            yield "record", at, end, found
+            if data[at : at + 3] == b"\x1f\x8b\x08":
+                content, end = _member(data, at)
+                for kind, a, b, what in salvage(content):
+                    yield kind, at, end, what if kind == "record" else f"bytes {a} to {b} of the member: {what}"
+            else:
+                found, end = _one(data, at)
+                yield "record", at, end, found
         except _Bad as bad:
             following = _START.search(data, at + 1)
             end = following.start() if following else len(data)
