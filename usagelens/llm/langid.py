@@ -7,8 +7,8 @@ letters (2 to 4 bytes, other characters count as one blank).
 
 Beside the choice among the learned languages, each text gets its ``fit``: the mean log probability of its
 n-grams under the profile of the predicted language, less the least that texts of that language can be expected to have
-(MARGIN nats under the lowest that one half of the sample has by the other half's profile). A text whose fit is below zero is
-like none of the learned languages, however the machines decide; whoever filters by language drops it.
+(MARGIN nats under the median that one half of the sample has by the other half's profile; a median, as some rows are
+mislabelled). A text whose fit is below zero is like none of the learned languages, however the machines decide; whoever filters by language drops it.
 
 Learning uses a bounded sample of labelled rows (``per_language`` of each language, those with the
 smallest hash of doc_id); prediction reads every whole text, block by block.
@@ -38,7 +38,7 @@ BUCKET_BITS = 14
 SIZES = (2, 3, 4)
 #: Share of the n-grams that a profile has never seen, each.
 UNSEEN = 1e-6
-MARGIN = 1.0
+MARGIN = 3.0
 BLOCK = 1 << 19
 
 
@@ -132,15 +132,15 @@ def _machine(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, rounds
 
 
 def _least_fit(rows: list[tuple[np.ndarray, np.ndarray]]) -> float:
-    """The least mean log probability that texts (sparse profiles) of a language have by each other's, less MARGIN."""
-    lowest = 0.0
+    """The median of the mean log probabilities that texts (sparse profiles) of a language have by each other's, less MARGIN."""
+    fits = []
     for mine, other in ((rows[::2], rows[1::2]), (rows[1::2], rows[::2])):
         profile = np.zeros(DIM)
         for spots, values in other:
             profile[spots] += values / len(other)
         profile = np.log(profile + UNSEEN)
-        lowest = min([lowest, *(float(values @ profile[spots]) / max(float(values.sum()), 1e-9) for spots, values in mine if other)])
-    return lowest - MARGIN if lowest else float(np.log(UNSEEN))
+        fits += [float(values @ profile[spots]) / max(float(values.sum()), 1e-9) for spots, values in mine if other]
+    return float(np.median(fits)) - MARGIN if fits else float(np.log(UNSEEN))
 
 
 def learn(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
