@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
 from .pairs import SEGMENT, bucket_components
 from .shared import discard, free_name, join_ids, stored, text_by_id
 from .textops import mix, slices
@@ -41,8 +40,6 @@ SHORT, LONG = 4, 8
 LONG_FROM, WIDE = 128, 160
 BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
-#: Lines near the threshold meet in large buckets, which one hub leaves in many components.
-HUB_ROUNDS = 2
 #: For each bin the order in which an empty one asks the others; neighbours ask independently, so that the minima of a
 #: band do not all come from one shingle of a short line.
 _DONORS = np.random.default_rng(5).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
@@ -231,21 +228,22 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = found.select(F.col("one.line_id").alias("line_id"), F.element_at("parts", (F.col("one.line") + 1).cast("int")).alias("line"))
     sets = stored(found.mapInArrow(_line_sets, SEGMENT), "lines-sets")
     buckets = members.join(shared, "line_id").join(sets.select(F.col("doc_id").alias("line_id"), "n"), "line_id")
-    linked = bucket_components(sets, buckets.select(F.col("line_id").alias("doc_id"), "n", "shared", "gram"), percent, _form_sets, HUB_ROUNDS)
+    # a line that is compared both ways stands for itself in two ways
+    both = sets.where(F.col("doc_id").bitwiseAND(F.lit(1).cast("long")) == 1).select(_plain("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    linked = bucket_components(sets, buckets.select(F.col("line_id").alias("doc_id"), "n", "shared", "gram"), percent, _form_sets, given=both)
+    linked = stored(linked.select(_plain("id").alias("line_id"), _plain("component").alias("component")).distinct(), "lines-linked")
     discard(members, shared, wanted, per_doc, sets)
-    # a line compared both ways stands for itself in two ways
-    linked = components(linked.select(_plain("id").alias("a"), _plain("component").alias("b")))
     # the first place of each component stays
-    united = distinct.select("line_id", "place").join(linked.withColumnRenamed("id", "line_id"), "line_id")
+    united = stored(join_ids(distinct.select("line_id", "place"), linked, "line_id", "inner", linked.count()), "lines-united")
     best = stored(united.groupBy("component").agg(F.min("place").alias("best")), "lines-best")
     moved = stored(united.join(best, "component").where("place <> best").select("line_id", "best"), "lines-moved")
     # a line that stands once and is no other's copy can't go
-    first = distinct.join(moved, "line_id", "left").where((F.col("times") > 1) | F.col("best").isNotNull())
+    first = join_ids(distinct, moved, "line_id", "left", moved.count()).where((F.col("times") > 1) | F.col("best").isNotNull())
     first = first.select("line_id", F.coalesce("best", "place").alias("keep"))
     first = stored(first, "lines-first")
     again = lines.select("doc_id", "line", "line_id").join(first, "line_id").where(place != F.col("keep"))
     gone = stored(again.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines")), "lines-gone")
-    discard(lines, distinct, best, moved, first)
+    discard(lines, distinct, linked, united, best, moved, first)
     return gone
 
 

@@ -74,7 +74,9 @@ def _near_length(x: str, y: str, percent: int):
     return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
 
-def bucket_components(segments: DataFrame, buckets: DataFrame, percent: int, sets_of=packed_hashes, hub_rounds: int = 1) -> DataFrame:
+def bucket_components(
+    segments: DataFrame, buckets: DataFrame, percent: int, sets_of=packed_hashes, hub_rounds: int = 1, given: DataFrame | None = None
+) -> DataFrame:
     """(id, component) of those sets that have a link, among pairs that share a bucket.
 
     ``segments`` (fragment, doc_id, n, grams) holds each set of n hashes cut into fragments, in a
@@ -83,7 +85,7 @@ def bucket_components(segments: DataFrame, buckets: DataFrame, percent: int, set
     All members of a bucket are compared with its hub. While that leaves members in different
     components, the next hub is taken from components that had none in this bucket, ``hub_rounds`` times
     in all; who is then still apart is compared with each other, unless length or parity bitmap rule
-    a link out.
+    a link out. ``given`` are links (a, b) that are known already.
     """
     done: list[DataFrame] = []  # tables that the result does not read
 
@@ -119,17 +121,24 @@ def bucket_components(segments: DataFrame, buckets: DataFrame, percent: int, set
         )
         star = kept(star, "join-star")
         linked = kept(links(star, segments, percent, sets_of), "join-links")
+        linked = linked if edges is not None or given is None else linked.unionByName(given)
         edges = linked if edges is None else edges.unionByName(linked)
         tested = star if tested is None else tested.unionByName(star)
         hubs = found.select("gram", "hub") if hubs is None else hubs.unionByName(found.select("gram", "hub"))
         label = components(edges)
     # what the hubs leave in different components
+    mixed = kept(_still_mixed(members.drop("component"), label, kept), "join-members")
+    if mixed.limit(1).count() == 0:
+        discard(*done)
+        return label
     bitmap = (
-        segments.mapInArrow(_parity(sets_of), "doc_id long, n long, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
+        segments.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi")
+        .select("fragment", "doc_id", "n", "grams")
+        .mapInArrow(_parity(sets_of), "doc_id long, n long, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
         .groupBy("doc_id")
         .agg(*[F.expr(f"bit_xor(p{i})").alias(f"p{i}") for i in range(PARITY_WORDS)])
     )
-    members = kept(_still_mixed(members.drop("component"), label, kept).join(bitmap, "doc_id"), "join-members")
+    members = kept(mixed.join(bitmap, "doc_id"), "join-members")
     x, y = members.alias("x"), members.alias("y")
     flips = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
     total = F.col("x.n") + F.col("y.n")
