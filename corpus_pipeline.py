@@ -15,7 +15,7 @@ from usagelens.llm.decontam import contaminated
 from usagelens.llm.line_dedup import dedup_lines
 from usagelens.llm.ngram_join import jaccard_components
 from usagelens.llm.queries import bpe_digests
-from usagelens.llm.shared import stored
+from usagelens.llm.shared import join_ids, stored
 
 #: What separates words of a line, as in ``line_form``; a line of these alone has no form and never goes.
 BLANKS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -38,15 +38,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents that near-duplicate links connect, the one with the smallest doc_id stays."""
-    found = jaccard_components(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stored(jaccard_components(docs).where("doc_id <> component_id").select("doc_id"), "pipeline-copies")
+    return join_ids(docs, gone, "doc_id", "left_anti", gone.count()).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that hold a copy of a benchmark item, edited or not."""
     found = contaminated(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = stored(found.select("doc_id").distinct(), "pipeline-contaminated")
+    return join_ids(docs, gone, "doc_id", "left_anti", gone.count()).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
