@@ -39,7 +39,7 @@ SIZES = (2, 3, 4)
 #: Share of the n-grams that a profile has never seen, each.
 UNSEEN = 1e-6
 MARGIN = 3.0
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 
 
 def _letter_codes() -> np.ndarray:
@@ -219,7 +219,7 @@ def _decide(model: LanguageModel, margin: np.ndarray) -> tuple[np.ndarray, np.nd
 RESULT = ["lang_pred", "score", "fit"]
 
 
-def _predict(model: LanguageModel | None, batches):
+def _predict(model: LanguageModel | None, batches, keep: list[str] | None = None):
     code = _letter_codes()
     ascii_letter = code != 32
     ascii_letter[128:] = False
@@ -256,18 +256,19 @@ def _predict(model: LanguageModel | None, batches):
             score[seen] = sure[seen]
             own = mean[np.arange(n), len(model.machines) + lang] - model.least[lang]
             fit[seen] = np.where(grams > 0, own, 0.0)[seen]  # a single byte has no n-gram to judge by
-        kept = [(batch.schema.names[i], c) for i, c in enumerate(batch.columns) if batch.schema.names[i] not in RESULT]
+        kept = [(batch.schema.names[i], c) for i, c in enumerate(batch.columns) if batch.schema.names[i] not in RESULT and (keep is None or batch.schema.names[i] in keep)]
         yield pa.RecordBatch.from_arrays(
             [c for _, c in kept] + [pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64())],
             [x for x, _ in kept] + RESULT,
         )
 
 
-def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None = None) -> DataFrame:
     """Adds lang_pred, score (0 to 1) and fit (below zero: like no learned language; minus infinity with ``und``) to every
-    row; reads nothing but ``text``. The model's size is fixed by the number of languages, whatever the data."""
+    row; reads nothing but ``text``. ``keep`` names the columns to return beside these (default: all). The model's size is
+    fixed by the number of languages, whatever the data."""
     sent = Sent(docs.sparkSession, model)
-    fields = [f for f in docs.schema.fields if f.name not in RESULT]
+    fields = [f for f in docs.schema.fields if f.name not in RESULT and (keep is None or f.name in keep)]
     kinds = [T.StringType(), T.DoubleType(), T.DoubleType()]
     schema = T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(RESULT, kinds, strict=True))])
-    return docs.mapInArrow(lambda batches: _predict(sent.value, batches), schema)
+    return docs.mapInArrow(lambda batches: _predict(sent.value, batches, keep), schema)
