@@ -15,7 +15,7 @@ from usagelens.llm.decontam import contaminated
 from usagelens.llm.line_dedup import dedup_lines
 from usagelens.llm.ngram_join import jaccard_components
 from usagelens.llm.queries import bpe_digests
-from usagelens.llm.shared import join_ids, stored
+from usagelens.llm.shared import free_name, join_ids, stored
 
 #: What separates words of a line, as in ``line_form``; a line of these alone has no form and never goes.
 BLANKS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -24,8 +24,12 @@ BLANKS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those that are like none of the learned languages (noise, other languages)."""
     model = langid.learn(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    found = langid.predict(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("fit") >= 0)).select(docs.columns)
+    # texts go to Python once and don't come back: what is rejected goes by a hash of id and text
+    key = free_name("row_key", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = langid.predict(keyed.select(key, "text"), model, keep=[key])
+    gone = stored(found.where((F.col("lang_pred") == "und") | (F.col("fit") < 0)).select(key).distinct(), "pipeline-languages")
+    return join_ids(keyed, gone, key, "left_anti", gone.count()).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
