@@ -40,6 +40,9 @@ SHORT, LONG = 4, 8
 LONG_FROM, WIDE = 128, 160
 BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
+#: Hubs that a bucket's lines are compared with before those still apart are compared with each other: many lines near the
+#: threshold meet in large buckets, which one hub leaves in many components.
+HUB_ROUNDS = 2
 #: For each bin the order in which an empty one asks the others; neighbours ask independently, so that the minima of a
 #: band do not all come from one shingle of a short line.
 _DONORS = np.random.default_rng(5).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
@@ -230,7 +233,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     buckets = members.join(shared, "line_id").join(sets.select(F.col("doc_id").alias("line_id"), "n"), "line_id")
     # a line that is compared both ways stands for itself in two ways
     both = sets.where(F.col("doc_id").bitwiseAND(F.lit(1).cast("long")) == 1).select(_plain("doc_id").alias("a"), F.col("doc_id").alias("b"))
-    linked = bucket_components(sets, buckets.select(F.col("line_id").alias("doc_id"), "n", "shared", "gram"), percent, _form_sets, given=both)
+    linked = bucket_components(sets, buckets.select(F.col("line_id").alias("doc_id"), "n", "shared", "gram"), percent, _form_sets, HUB_ROUNDS, both)
     linked = stored(linked.select(_plain("id").alias("line_id"), _plain("component").alias("component")).distinct(), "lines-linked")
     discard(members, shared, wanted, per_doc, sets)
     # the first place of each component stays
