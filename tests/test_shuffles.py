@@ -39,3 +39,44 @@ def test_rows_without_dashboard_are_not_sent_to_the_publishers(spark):
     finally:
         for k in conf:
             spark.conf.unset(k)
+
+
+def _mapped_log(spark):
+    orders = spark.createDataFrame([(1, 7, ts(2024, 1, 1)), (2, None, None)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz")
+    lines = [(1, 1, 1, n, 2.0, "R") for n in range(1, 5)] + [(1, None, None, 1, None, None), (2, 1, 1, 1, 2.0, "A")]
+    lineitem = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string")
+    events = spark.createDataFrame([(1, ts(2024, 1, 1), 1, "view")], "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    return fixtures.audit_log(orders, lineitem, events)
+
+
+def test_parameters_of_the_mapping_are_built_once_a_row(spark):
+    plan = run_history(run_events(_mapped_log(spark)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("jobTaskType") - plan.count("[jobTaskType]") == 1
+    starts = {r.request_id: r.request_params for r in _mapped_log(spark).where("action_name = 'runStart'").collect()}
+    assert starts["req-s-1-2-1-1"] == {
+        "jobId": "7", "multitaskParentRunId": "1", "runId": "1-2-1-1", "taskKey": "refresh-alert", "jobTaskType": "sql_task",
+        "alertId": "a1", "warehouseId": "wh-1", "runCreatorUserName": "owner7@example.com",
+    }
+    # what is NULL has no key
+    assert starts["req-s-2-1-1-1"] == {
+        "multitaskParentRunId": "2", "runId": "2-1-1-1", "taskKey": "refresh-query", "jobTaskType": "sql_task", "queryIds": "q1", "warehouseId": "wh-1",
+    }
+
+
+def test_payloads_that_nobody_reads_are_not_shuffled(spark):
+    rows = run_history(run_events(_mapped_log(spark)))
+    for df, sent in ((rows, True), (rows.drop("request_params", "response"), False), (rows.groupBy("run_state").count(), False)):
+        tree = df._jdf.queryExecution().optimizedPlan().toString()
+        grouped = re.search(r"Aggregate \[job_id.*", tree).group()
+        assert ("request_params" in grouped) == ("response" in grouped) == sent
+    # the lists are in step: each start has its own parameters, each end its own response
+    for r in rows.where("run_event_time is not null").collect():
+        assert r.request_params["taskKey"] == r.task_key and r.request_params.get("queryIds") == r.query_id
+        assert r.response is None or r.response.status_code == r.status and r.response.error_message == r.error
+
+
+def test_run_stats_build_objects_for_the_warehouses_only(spark):
+    from usagelens.operators import run_stats
+
+    tree = formatted_plan(run_stats(run_events(_mapped_log(spark)))).split("\n\n\n")[0]
+    assert tree.count("ObjectHashAggregate") == 2
