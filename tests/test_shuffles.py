@@ -43,7 +43,7 @@ def test_rows_without_dashboard_are_not_sent_to_the_publishers(spark):
 
 def _mapped_log(spark):
     orders = spark.createDataFrame([(1, 7, ts(2024, 1, 1)), (2, None, None)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz")
-    lines = [(1, 1, 1, n, 2.0, "R") for n in range(1, 5)] + [(1, None, None, 1, None, None), (2, 1, 1, 1, 2.0, "A")]
+    lines = [(1, 1, 1, n, 2.0, "R") for n in range(1, 5)] + [(1, None, None, 1, None, None), (2, 1, 1, 1, 2.0, "A"), (2, 5, 5, None, 2.0, "R")]
     lineitem = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string")
     events = spark.createDataFrame([(1, ts(2024, 1, 1), 1, "view")], "event_id long, ts timestamp_ntz, user_id long, event_type string")
     return fixtures.audit_log(orders, lineitem, events)
@@ -61,6 +61,7 @@ def test_parameters_of_the_mapping_are_built_once_a_row(spark):
     assert starts["req-s-2-1-1-1"] == {
         "multitaskParentRunId": "2", "runId": "2-1-1-1", "taskKey": "refresh-query", "jobTaskType": "sql_task", "queryIds": "q1", "warehouseId": "wh-1",
     }
+    assert starts["req-s-2-5-5"] == {"multitaskParentRunId": "2", "runId": "2-5-5", "jobTaskType": "sql_task", "warehouseId": "wh-5"}
 
 
 def test_payloads_that_nobody_reads_are_not_shuffled(spark):
