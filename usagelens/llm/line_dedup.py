@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
 from .pairs import SEGMENT, bucket_components
 from .shared import discard, free_name, join_ids, stored, text_by_id
 from .textops import mix, slices
@@ -43,6 +44,10 @@ BINS = BANDS * ROWS
 #: Hubs that a bucket's lines are compared with before those still apart are compared with each other: many lines near the
 #: threshold meet in large buckets, which one hub leaves in many components.
 HUB_ROUNDS = 2
+#: In buckets of at most so many lines all pairs are compared at once: at most (ALL_PAIRS - 1) / 2 pairs a member.
+ALL_PAIRS = 16
+#: Band keys of a part that is sorted at once, the least number of parts, lines whose keys are dealt to the parts together, and pairs compared together.
+PART_KEYS, LEAST_PARTS, DEALT_LINES, PAIRS = 1 << 18, 256, 1 << 16, 256
 #: For each bin the order in which an empty one asks the others; neighbours ask independently, so that the minima of a
 #: band do not all come from one shingle of a short line.
 _DONORS = np.random.default_rng(5).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
@@ -65,26 +70,42 @@ def _line_id(form: str) -> int:
 
 
 def _shingles(forms: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all character shingles, n+1 offsets of the forms); a shorter form is one shingle."""
-    joined = "".join(f.ljust(k, "\0") for f in forms)
-    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    value = np.zeros(max(0, len(code) - k + 1), np.uint64)
-    for i in range(k):
-        value = value * np.uint64(0x9E3779B97F4A7C15) + code[i : i + len(value)]
+    """(hashes of all character shingles, n+1 offsets of the forms); a shorter form is one shingle. ``k`` is a power of two."""
+    joined = "".join([f.ljust(k, "\0") for f in forms])
+    value = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    width, power = 1, 0x9E3779B97F4A7C15
+    while width < k:  # a polynomial of twice as many characters from two halves
+        value = value[:-width] * np.uint64(power) + value[width:]
+        width, power = 2 * width, power * power % (1 << 64)
     length = np.array([max(len(f), k) for f in forms], np.int64)
     start = np.cumsum(length) - length
     count = length - k + 1
     off = np.r_[0, np.cumsum(count)]
     inside = np.ones(len(value), bool)  # not across two forms
     for i in range(1, k):
-        inside[(start[1:] - i)[start[1:] - i < len(inside)]] = False
+        inside[start[1:] - i] = False
     return mix(value[inside]), off
 
 
+def _portions(items: list[tuple[int, str]], chars: int):
+    """``items`` (row, form) in runs of about so many characters, of which the arrays stay in the processor's cache."""
+    part, size = [], 0
+    for item in items:
+        part.append(item)
+        size += len(item[1])
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _signatures(forms: list[str], k: int) -> np.ndarray:
     """(forms x BANDS) band keys: each bin's smallest hash, an empty bin taking over from the first of its donors that has any."""
     hashes, off = _shingles(forms, k)
-    spot = np.repeat(np.arange(len(forms)) * BINS, np.diff(off)) + ((hashes >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64)
+    spot = (hashes >> np.uint64(40)).astype(np.uint32)
+    spot -= spot // np.uint32(BINS) * np.uint32(BINS)
+    spot = spot + np.repeat(np.arange(len(forms)) * BINS, np.diff(off))
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     low = np.full(len(forms) * BINS, top, np.uint64)
     np.minimum.at(low, spot, hashes * np.uint64(0xD6E8FEB86659FD93))
@@ -106,6 +127,8 @@ def _signatures(forms: list[str], k: int) -> np.ndarray:
 _LINE = "doc_id long, line long, line_id long, bands binary"
 #: Characters of lines that are hashed at once.
 CHUNK_CHARS = 1 << 20
+#: Characters whose shingles are hashed together.
+PORTION = 1 << 18
 
 
 def _lines(batches):
@@ -127,8 +150,7 @@ def _lines(batches):
         bands: list[bytes | None] = [None] * len(ids)
         for k in (LONG, SHORT):  # a form compared both ways has LONG as its main size
             mine = [(row, form) for row, form in first.values() if k in sizes(form)]
-            for at in range(0, len(mine), 2048):
-                part = mine[at : at + 2048]
+            for part in _portions(mine, PORTION):
                 for (row, _), keys in zip(part, _signatures([f for _, f in part], k), strict=True):
                     bands[row] = (bands[row] or b"") + keys.tobytes()
         yield pa.RecordBatch.from_arrays(
@@ -136,15 +158,34 @@ def _lines(batches):
         )
 
 
-def _explode_bands(batches):
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        blobs = batch.column("bands").to_pylist()
+def _dealt(parts: int):
+    """(line_id, bands) to rows (part, grams, line_ids) of packed numbers; equal grams have the same of ``parts`` parts."""
+
+    def cut(blobs: list[bytes], lines: list[int]) -> pa.RecordBatch:
         times = np.array([len(b) // 8 for b in blobs], np.int64)
-        ids = np.repeat(batch.column("line_id").to_numpy(), times)
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(times) - times, times)
-        yield pa.RecordBatch.from_pydict({"line_id": ids + (place >= BANDS), "gram": np.frombuffer(b"".join(blobs), np.int64)})
+        grams = np.frombuffer(b"".join(blobs), np.int64)
+        place = np.arange(len(grams)) - np.repeat(np.cumsum(times) - times, times)
+        ids = np.repeat(np.array(lines, np.int64), times) + (place >= BANDS)
+        part = (((grams.view(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, grams, ids = part[order], grams[order], ids[order]
+        begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        ends = np.r_[begin[1:], len(part)]
+        packed = ([x[a:b].tobytes() for a, b in zip(begin, ends, strict=True)] for x in (grams, ids))
+        return pa.RecordBatch.from_arrays([pa.array(part[begin]), *(pa.array(x, pa.binary()) for x in packed)], names=["part", "grams", "line_ids"])
+
+    def run(batches):
+        blobs, lines = [], []
+        for batch in batches:
+            blobs += batch.column("bands").to_pylist()
+            lines += batch.column("line_id").to_pylist()
+            if len(blobs) >= DEALT_LINES:
+                yield cut(blobs, lines)
+                blobs, lines = [], []
+        if blobs:
+            yield cut(blobs, lines)
+
+    return run
 
 
 def _shared(batches):
@@ -171,21 +212,82 @@ def _shared(batches):
         yield part(np.full(len(lines), gram), lines)
 
 
+def _meetings(batches):
+    """Rows (part, grams, line_ids) in the order of parts to rows (a, b) of all pairs in small buckets and rows (a, gram) of the members of large ones."""
+
+    def met(part: list[tuple[bytes, bytes]]):
+        grams, ids = (np.frombuffer(b"".join(x), np.int64) for x in zip(*part, strict=True))
+        order = np.lexsort((ids, grams))
+        for found in _shared(iter([pa.RecordBatch.from_pydict({"line_id": ids[order], "gram": grams[order]})])):
+            grams, ids = found.column("gram").to_numpy(), found.column("line_id").to_numpy()
+            begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
+            size = np.diff(np.r_[begin, len(grams)])
+            pairs = []
+            for n in range(2, ALL_PAIRS + 1):
+                x, y = np.triu_indices(n, 1)
+                first = begin[size == n][:, None]
+                pairs.append(np.stack([ids[first + x].ravel(), ids[first + y].ravel()]))
+            a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "gram"])
+            large = np.repeat(size > ALL_PAIRS, size)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[large]), pa.nulls(int(large.sum()), pa.int64()), pa.array(grams[large])], names=["a", "b", "gram"])
+
+    now, part = None, []
+    for batch in batches:
+        for no, grams, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "grams", "line_ids")), strict=True):
+            if no != now and part:
+                yield from met(part)
+                part = []
+            now = no
+            part.append((grams, ids))
+    if part:
+        yield from met(part)
+
+
 def _form_sets(forms: list[bytes]) -> list[np.ndarray]:
     """The shingle sets of forms, each led by a byte that gives the size of its shingles."""
     out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(forms)
     for k in (SHORT, LONG):
-        mine = [i for i, f in enumerate(forms) if f[0] == k]
-        for at in range(0, len(mine), 512):
-            part = mine[at : at + 512]
-            hashes, off = _shingles([forms[i][1:].decode() for i in part], k)
-            for i, a, b in zip(part, off[:-1], off[1:], strict=True):
+        mine = [(i, f[1:].decode()) for i, f in enumerate(forms) if f[0] == k]
+        for part in _portions(mine, PORTION):
+            hashes, off = _shingles([f for _, f in part], k)
+            for (i, _), a, b in zip(part, off[:-1], off[1:], strict=True):
                 out[i] = np.unique(hashes[a:b])
     return out
 
 
-def _line_sets(batches):
-    """(line_id, line) to the size of its shingle set and its form, from which the set is made where it is needed:
+def _numbered_sets(forms: list[str], k: int) -> np.ndarray:
+    """The shingles of forms, sorted by the number of their form and each once: the number in the upper 16 bits, 48 bits of the hash below."""
+    hashes, off = _shingles(forms, k)
+    number = np.repeat(np.arange(len(forms), dtype=np.uint64) << np.uint64(48), np.diff(off))
+    keys = np.sort(number | (hashes >> np.uint64(16)))
+    return keys[np.r_[True, keys[1:] != keys[:-1]]]
+
+
+def _near(percent: int):
+    """Rows with two forms to (a, b) of those whose shingle sets are near."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
+            left, right = (batch.column(c).to_pylist() for c in ("form_a", "form_b"))
+            ok = np.zeros(len(a), bool)
+            for k in (SHORT, LONG):
+                # one shorter than the bound of the other's could still be near only by the other's repeats
+                mine = [(i, (x[1:].decode(), y[1:].decode())) for i, (x, y) in enumerate(zip(left, right, strict=True)) if x[0] == k and y[0] == k]
+                for at in range(0, len(mine), PAIRS):
+                    rows, (x, y) = [i for i, _ in mine[at : at + PAIRS]], (list(f) for f in zip(*(p for _, p in mine[at : at + PAIRS]), strict=True))
+                    x, y = _numbered_sets(x, k), _numbered_sets(y, k)
+                    both = np.sort(np.concatenate([x, y]))
+                    n_x, n_y, n = (np.bincount((v >> np.uint64(48)).astype(np.int64), minlength=len(rows)) for v in (x, y, both[1:][both[1:] == both[:-1]]))
+                    ok[rows] = 100 * n >= percent * (n_x + n_y - n)
+            yield pa.RecordBatch.from_pydict({"a": a[ok], "b": b[ok]})
+
+    return run
+
+
+def _forms(batches):
+    """(line_id, line) to the form, led by the size of its shingles, from which the set is made where it is needed:
     a form is an eighth of its hashes. A form that is compared both ways gives two rows."""
     for batch in slices(batches, CHUNK_CHARS, "line"):
         ids, forms = [], []
@@ -194,10 +296,17 @@ def _line_sets(batches):
             for second, k in enumerate(sizes(form)):
                 ids.append(line_id + second)
                 forms.append(bytes([k]) + form.encode())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.binary())], names=["line_id", "form"])
+
+
+def _line_sets(batches):
+    """(line_id, form) to segments with the size of the form's shingle set."""
+    for batch in batches:
+        forms = batch.column("form").to_pylist()
         yield pa.RecordBatch.from_pydict(
             {
                 "fragment": pa.array([0] * len(forms), pa.int64()),
-                "doc_id": pa.array(ids, pa.int64()),
+                "doc_id": batch.column("line_id"),
                 "n": pa.array([len(s) for s in _form_sets(forms)], pa.int64()),
                 "grams": pa.array(forms, pa.binary()),
             }
@@ -216,26 +325,39 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     lines = stored(texts.mapInArrow(_lines, _LINE), "lines")
     place = F.struct("doc_id", "line")
     distinct = stored(lines.groupBy("line_id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("times")), "lines-distinct")
-    keys = lines.where(F.col("bands").isNotNull()).select("line_id", "bands").mapInArrow(_explode_bands, "line_id long, gram long")
+    keys = lines.where(F.col("bands").isNotNull()).select("line_id", "bands")
+    dealt = keys.mapInArrow(_dealt(LEAST_PARTS + lines.count() * BANDS // PART_KEYS), "part long, grams binary, line_ids binary")
     # a line that stands in several batches has its bands as often; a bucket matters if different lines are in it
-    dealt = keys.repartition("gram").sortWithinPartitions("gram", "line_id")
-    members = stored(dealt.mapInArrow(_shared, "line_id long, gram long"), "lines-members")
-    shared = stored(members.groupBy("line_id").agg(F.count(F.lit(1)).alias("shared")), "lines-shared")
+    met = stored(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_meetings, "a long, b long, gram long"), "lines-met")
+    pairs = met.where(F.col("b").isNotNull()).select("a", "b")
+    large = met.where(F.col("b").isNull()).select(F.col("a").alias("line_id"), "gram")
     # texts of the candidate lines, each read where it first stands
-    named = shared.select(_plain("line_id").alias("line_id")).distinct()
+    named = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).unionByName(large.select("line_id"))
+    named = named.select(_plain("line_id").alias("line_id")).distinct()
     wanted = stored(distinct.select("line_id", "place.doc_id", "place.line").join(named, "line_id"), "lines-wanted")
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_id")).alias("at"))
     per_doc = stored(per_doc, "lines-documents")
-    found = join_ids(text_by_id(texts), per_doc, "doc_id", "inner", wanted.count())
+    found = join_ids(text_by_id(docs).where(F.col("text").isNotNull()), per_doc, "doc_id", "inner", wanted.count())
     found = found.select(F.split("text", "\n").alias("parts"), F.explode("at").alias("one"))
     found = found.select(F.col("one.line_id").alias("line_id"), F.element_at("parts", (F.col("one.line") + 1).cast("int")).alias("line"))
-    sets = stored(found.mapInArrow(_line_sets, SEGMENT), "lines-sets")
-    buckets = members.join(shared, "line_id").join(sets.select(F.col("doc_id").alias("line_id"), "n"), "line_id")
-    # a line that is compared both ways stands for itself in two ways
-    both = sets.where(F.col("doc_id").bitwiseAND(F.lit(1).cast("long")) == 1).select(_plain("doc_id").alias("a"), F.col("doc_id").alias("b"))
-    linked = bucket_components(sets, buckets.select(F.col("line_id").alias("doc_id"), "n", "shared", "gram"), percent, _form_sets, HUB_ROUNDS, both)
-    linked = stored(linked.select(_plain("id").alias("line_id"), _plain("component").alias("component")).distinct(), "lines-linked")
-    discard(members, shared, wanted, per_doc, sets)
+    forms = stored(found.mapInArrow(_forms, "line_id long, form binary"), "lines-forms")
+    done = [met, wanted, per_doc, forms]
+    left, right = (forms.select(F.col("line_id").alias(c), F.col("form").alias(f"form_{c}")) for c in ("a", "b"))
+    both = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "form_a", "form_b")
+    edges = both.mapInArrow(_near(percent), "a long, b long")
+    if large.limit(1).count():
+        members = stored(large, "lines-members")
+        shared = stored(members.groupBy("line_id").agg(F.count(F.lit(1)).alias("shared")), "lines-shared")
+        sets = stored(forms.join(shared.select("line_id"), "line_id").mapInArrow(_line_sets, SEGMENT), "lines-sets")
+        buckets = members.join(shared, "line_id").join(sets.select(F.col("doc_id").alias("line_id"), "n"), "line_id")
+        buckets = buckets.select(F.col("line_id").alias("doc_id"), "n", "shared", "gram")
+        label = stored(bucket_components(sets, buckets, percent, _form_sets, HUB_ROUNDS).select(F.col("id").alias("a"), F.col("component").alias("b")), "lines-label")
+        done += [members, shared, sets, label]
+        edges = edges.unionByName(label)
+    # a line that is compared both ways is one line
+    edges = stored(edges.select(_plain("a").alias("a"), _plain("b").alias("b")), "lines-edges")
+    linked = stored(components(edges).select(F.col("id").alias("line_id"), "component"), "lines-linked")
+    discard(edges, *done)
     # the first place of each component stays
     united = stored(join_ids(distinct.select("line_id", "place"), linked, "line_id", "inner", linked.count()), "lines-united")
     best = stored(united.groupBy("component").agg(F.min("place").alias("best")), "lines-best")
