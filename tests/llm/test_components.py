@@ -15,3 +15,20 @@ def test_paths_stars_and_odd_edges(spark):
     real = [(a, b) for a, b in edges if a != b]
     assert got == brute({x for e in real for x in e}, real)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_task_turns_its_edges_into_stars():
+    import random
+
+    import pyarrow as pa
+
+    from usagelens.llm.components import _contracted
+
+    rng = random.Random(3)
+    edges = [(i + 1, i) for i in range(400)] + [(rng.randrange(500, 900), rng.randrange(500, 600)) for _ in range(200)]
+    edges = [(max(e), min(e)) for e in edges if e[0] != e[1]]
+    rng.shuffle(edges)
+    batches = [pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in edges[k : k + 50]]) for k in range(0, len(edges), 50)]
+    got = [(r["u"], r["v"]) for b in _contracted(iter(batches)) for r in b.to_pylist()]
+    own = brute({x for e in edges for x in e}, edges)
+    assert sorted(got) == sorted((u, low) for u, low in own.items() if u != low)

@@ -152,3 +152,46 @@ def test_one_changed_character_in_short_lines(spark):
     docs = spark.createDataFrame([(1, "\n".join(a for a, _ in lines)), (2, "\n".join(b for _, b in lines))], "doc_id long, text string")
     got = {r.doc_id: r.lines for r in L.repeated_lines(docs).collect()}
     assert set(got) == {2} and len(got[2]) >= 0.97 * len(lines)
+
+
+def test_packed_band_keys_meet_in_parts():
+    """All pairs of a small bucket, the members of a large one, from rows that hold many keys each."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    common = rng.getrandbits(62)
+    few = [rng.getrandbits(63) - 2**62 for _ in range(40)]
+    lines = [(2 * i, [*rng.sample(few, 3), *([common] if i % 2 else []), *(rng.getrandbits(62) for _ in range(L.BANDS))][: L.BANDS]) for i in range(1, 90)]
+    lines += lines[:10]  # the same lines of another batch
+    blobs = [b"".join(g.to_bytes(8, "little", signed=True) for g in grams) for _, grams in lines]
+    batch = pa.RecordBatch.from_pydict({"line_id": [i for i, _ in lines], "bands": blobs})
+    dealt = [r for b in L._dealt(7)(iter([batch.slice(0, 50), batch.slice(50)])) for r in b.to_pylist()]
+    assert len(dealt) <= 14 and sum(len(r["grams"]) for r in dealt) == 8 * L.BANDS * len(lines)
+    dealt.sort(key=lambda r: r["part"])
+    parts = [pa.RecordBatch.from_pylist(dealt[k : k + 2]) for k in range(0, len(dealt), 2)]
+    got = [(r["a"], r["b"], r["gram"]) for b in L._meetings(iter(parts)) for r in b.to_pylist()]
+    buckets = {}
+    for i, grams in lines:
+        for g in grams:
+            buckets.setdefault(g, set()).add(i)
+    small = [sorted(s) for s in buckets.values() if 1 < len(s) <= L.ALL_PAIRS]
+    assert {(a, b) for a, b, g in got if g is None} == {(x, y) for s in small for x in s for y in s if x < y} and small
+    large = sorted((i, None, g) for g, s in buckets.items() if len(s) > L.ALL_PAIRS for i in s)
+    assert sorted(r for r in got if r[2] is not None) == large and len(buckets[common]) > L.ALL_PAIRS
+
+
+def test_near_pairs_are_verified_exactly():
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    pairs = []
+    for _ in range(700):
+        base = "".join(rng.choice("abcde ") for _ in range(rng.randrange(4, 400)))
+        at = rng.randrange(len(base))
+        k = L.LONG if len(base) >= 144 else L.SHORT
+        pairs.append((k, base, base[:at] + "".join(rng.choice("xyz") for _ in range(rng.randrange(1, 30))) + base[at + rng.randrange(9) :]))
+    forms = [[bytes([k]) + p[i].encode() for k, *p in pairs] for i in (0, 1)]
+    batch = pa.RecordBatch.from_pydict({"a": list(range(700)), "b": list(range(700, 1400)), "form_a": forms[0], "form_b": forms[1]})
+    got = [r for b in L._near(80)(iter([batch])) for r in b.column("a").to_pylist()]
+    want = [i for i, (k, x, y) in enumerate(pairs) if 100 * len(chars(x, k) & chars(y, k)) >= 80 * len(chars(x, k) | chars(y, k))]
+    assert got == want and 100 < len(want) < 600

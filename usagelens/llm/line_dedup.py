@@ -24,6 +24,7 @@ Other columns are kept.
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .pairs import SEGMENT, bucket_components
+from .pairs import SEGMENT, bucket_links
 from .shared import discard, free_name, join_ids, stored, text_by_id
 from .textops import mix, slices
 
@@ -134,22 +135,25 @@ PORTION = 1 << 18
 def _lines(batches):
     """(doc_id, text) to its lines; the first of equal lines of a slice carries the bands, of its main size of shingles first."""
     for batch in slices(batches, CHUNK_CHARS):
-        docs, numbers, ids = [], [], []
-        first: dict[int, tuple[int, str]] = {}
+        docs, numbers, ids, long, short = [], [], [], [], []
+        seen: set[int] = set()
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            for no, line in enumerate((text.as_py() or "").split("\n")):
-                form = line_form(line)
-                if form is None:
+            for no, line in enumerate((text.as_py() or "").lower().split("\n")):
+                form = " ".join(line.split())  # line_form
+                if not form:
                     continue
                 line_id = _line_id(form)
-                if len(form) >= SHORT and line_id not in first:
-                    first[line_id] = len(ids), form
+                if line_id not in seen and (n := len(form)) >= SHORT:
+                    seen.add(line_id)
+                    if n >= LONG_FROM:
+                        long.append((len(ids), form))
+                    if n < WIDE:
+                        short.append((len(ids), form))
                 docs.append(doc)
                 numbers.append(no)
                 ids.append(line_id)
         bands: list[bytes | None] = [None] * len(ids)
-        for k in (LONG, SHORT):  # a form compared both ways has LONG as its main size
-            mine = [(row, form) for row, form in first.values() if k in sizes(form)]
+        for k, mine in ((LONG, long), (SHORT, short)):  # a form compared both ways has LONG as its main size
             for part in _portions(mine, PORTION):
                 for (row, _), keys in zip(part, _signatures([f for _, f in part], k), strict=True):
                     bands[row] = (bands[row] or b"") + keys.tobytes()
@@ -273,7 +277,6 @@ def _near(percent: int):
             left, right = (batch.column(c).to_pylist() for c in ("form_a", "form_b"))
             ok = np.zeros(len(a), bool)
             for k in (SHORT, LONG):
-                # one shorter than the bound of the other's could still be near only by the other's repeats
                 mine = [(i, (x[1:].decode(), y[1:].decode())) for i, (x, y) in enumerate(zip(left, right, strict=True)) if x[0] == k and y[0] == k]
                 for at in range(0, len(mine), PAIRS):
                     rows, (x, y) = [i for i, _ in mine[at : at + PAIRS]], (list(f) for f in zip(*(p for _, p in mine[at : at + PAIRS]), strict=True))
@@ -287,15 +290,20 @@ def _near(percent: int):
 
 
 def _forms(batches):
-    """(line_id, line) to the form, led by the size of its shingles, from which the set is made where it is needed:
-    a form is an eighth of its hashes. A form that is compared both ways gives two rows."""
-    for batch in slices(batches, CHUNK_CHARS, "line"):
+    """(text, at), the numbers and ids of lines of the text, to the forms of these lines, each led by the size of its shingles:
+    the set is made where it is needed, a form is an eighth of its hashes. A form that is compared both ways gives two rows."""
+    for batch in slices(batches, CHUNK_CHARS):
+        at = batch.column("at")
+        times = np.diff(at.offsets.to_numpy()).tolist()
+        wanted = zip(*(at.flatten().field(c).to_pylist() for c in ("line", "line_id")), strict=True)
         ids, forms = [], []
-        for line_id, line in zip(batch.column("line_id").to_pylist(), batch.column("line").to_pylist(), strict=True):
-            form = line_form(line) or ""
-            for second, k in enumerate(sizes(form)):
-                ids.append(line_id + second)
-                forms.append(bytes([k]) + form.encode())
+        for text, n in zip(batch.column("text"), times, strict=True):
+            lines = text.as_py().split("\n")
+            for no, line_id in islice(wanted, n):
+                form = line_form(lines[no]) or ""
+                for second, k in enumerate(sizes(form)):
+                    ids.append(line_id + second)
+                    forms.append(bytes([k]) + form.encode())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.binary())], names=["line_id", "form"])
 
 
@@ -338,9 +346,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_id")).alias("at"))
     per_doc = stored(per_doc, "lines-documents")
     found = join_ids(text_by_id(docs).where(F.col("text").isNotNull()), per_doc, "doc_id", "inner", wanted.count())
-    found = found.select(F.split("text", "\n").alias("parts"), F.explode("at").alias("one"))
-    found = found.select(F.col("one.line_id").alias("line_id"), F.element_at("parts", (F.col("one.line") + 1).cast("int")).alias("line"))
-    forms = stored(found.mapInArrow(_forms, "line_id long, form binary"), "lines-forms")
+    forms = stored(found.select("text", "at").mapInArrow(_forms, "line_id long, form binary"), "lines-forms")
     done = [met, wanted, per_doc, forms]
     left, right = (forms.select(F.col("line_id").alias(c), F.col("form").alias(f"form_{c}")) for c in ("a", "b"))
     both = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "form_a", "form_b")
@@ -351,9 +357,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         sets = stored(forms.join(shared.select("line_id"), "line_id").mapInArrow(_line_sets, SEGMENT), "lines-sets")
         buckets = members.join(shared, "line_id").join(sets.select(F.col("doc_id").alias("line_id"), "n"), "line_id")
         buckets = buckets.select(F.col("line_id").alias("doc_id"), "n", "shared", "gram")
-        label = stored(bucket_components(sets, buckets, percent, _form_sets, HUB_ROUNDS).select(F.col("id").alias("a"), F.col("component").alias("b")), "lines-label")
-        done += [members, shared, sets, label]
-        edges = edges.unionByName(label)
+        links, read = bucket_links(sets, buckets, percent, _form_sets, HUB_ROUNDS)
+        done += [members, shared, sets, *read]
+        edges = edges.unionByName(links.select("a", "b"))
     # a line that is compared both ways is one line
     edges = stored(edges.select(_plain("a").alias("a"), _plain("b").alias("b")), "lines-edges")
     linked = stored(components(edges).select(F.col("id").alias("line_id"), "component"), "lines-linked")
@@ -382,9 +388,10 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     kept = F.filter(F.arrays_zip(parts.alias("part"), F.sequence(F.lit(0), F.size(parts) - 1).alias("no")), lambda x: ~F.array_contains(drop, x["no"].cast("long")))
     joined = join_ids(docs.withColumn(id_, F.col("doc_id").cast("long")), gone, id_, "left", n_gone)
     text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["part"]), "\n"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in others],
-        F.when(F.col("text").isNull() | (F.col("text") == ""), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull() | (F.col("text") == ""), F.lit(0)).otherwise(breaks + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -77,7 +77,17 @@ def _near_length(x: str, y: str, percent: int):
 def bucket_components(
     segments: DataFrame, buckets: DataFrame, percent: int, sets_of=packed_hashes, hub_rounds: int = 1, given: DataFrame | None = None
 ) -> DataFrame:
-    """(id, component) of those sets that have a link, among pairs that share a bucket.
+    """(id, component) of those sets that :func:`bucket_links` connects."""
+    edges, done = bucket_links(segments, buckets, percent, sets_of, hub_rounds, given)
+    label = components(edges)
+    discard(*done)
+    return label
+
+
+def bucket_links(
+    segments: DataFrame, buckets: DataFrame, percent: int, sets_of=packed_hashes, hub_rounds: int = 1, given: DataFrame | None = None
+) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b) of links that connect all sets that have one, among pairs that share a bucket, and the tables to discard once they are read.
 
     ``segments`` (fragment, doc_id, n, grams) holds each set of n hashes cut into fragments, in a
     form that ``sets_of`` turns into sorted arrays;
@@ -103,8 +113,7 @@ def bucket_components(
         if label is not None:
             members = kept(_still_mixed(members.drop("component"), label, kept), "join-members")
             if members.limit(1).count() == 0:
-                discard(*done)
-                return label
+                return edges, done
         free = members if hubs is None else members.join(_components_of(hubs, label), ["gram", "component"], "left_anti")
         # the member with the largest share of elements that others have too
         rank = F.struct((F.col("shared") / F.col("n")).alias("share"), (-F.col("doc_id")).alias("minus"), "n", "component")
@@ -129,8 +138,7 @@ def bucket_components(
     # what the hubs leave in different components
     mixed = kept(_still_mixed(members.drop("component"), label, kept), "join-members")
     if mixed.limit(1).count() == 0:
-        discard(*done)
-        return label
+        return edges, done
     bitmap = (
         segments.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi")
         .select("fragment", "doc_id", "n", "grams")
@@ -158,9 +166,7 @@ def bucket_components(
         .join(tested, ["a", "b"], "left_anti")
     )
     last = kept(links(kept(rest, "join-rest"), segments, percent, sets_of), "join-links")
-    label = components(edges.unionByName(last))
-    discard(*done)
-    return label
+    return edges.unionByName(last), done
 
 
 def _still_mixed(members: DataFrame, label: DataFrame, kept) -> DataFrame:
