@@ -48,7 +48,7 @@ HUB_ROUNDS = 2
 #: In buckets of at most so many lines all pairs are compared at once: at most (ALL_PAIRS - 1) / 2 pairs a member.
 ALL_PAIRS = 16
 #: Band keys of a part that is sorted at once, the least number of parts, lines whose keys are dealt to the parts together, and pairs compared together.
-PART_KEYS, LEAST_PARTS, DEALT_LINES, PAIRS = 1 << 18, 256, 1 << 16, 256
+PART_KEYS, LEAST_PARTS, DEALT_LINES, PAIRS = 1 << 18, 256, 1 << 14, 256
 #: For each bin the order in which an empty one asks the others; neighbours ask independently, so that the minima of a
 #: band do not all come from one shingle of a short line.
 _DONORS = np.random.default_rng(5).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
